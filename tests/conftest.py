@@ -21,5 +21,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from varloom.session import on_workers
+
+    on_workers(session)
     yield session
     session.stop()

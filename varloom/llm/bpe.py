@@ -185,7 +185,7 @@ class PrefixBPE:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """(ids, decoded text) of a whole text; white space is dropped as the file's pattern says."""
-        chunks = text.split() if not _SEPARATORS.search(text) else [x for x in _SPACE.split(text) if x]
+        chunks = chunks_of(text)
         cache = self.cache
         try:
             got = [cache[c] for c in chunks]
@@ -203,6 +203,13 @@ class PrefixBPE:
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the pattern
 _SPACE = regex.compile(r"[\p{White_Space}]+")
+
+
+def chunks_of(text: str) -> list[str]:
+    """Maximal runs of what the pattern does not take for white space; no token reaches over their borders."""
+    return text.split() if not _SEPARATORS.search(text) else [x for x in _SPACE.split(text) if x]
+
+
 _BY_PATH: dict[str, PrefixBPE] = {}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, quality, secrets, toxicity, warc
+from . import html_text, minhash, packing, quality, secrets, toxicity, warc
 from ._common import table
 from .bpe import bpe_round_trip
 
@@ -55,6 +55,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", (~learn).alias("held_out"), "score", "predicted")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 OP4_SQL = """
 SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
@@ -96,6 +104,8 @@ def queries() -> dict:
         "op5_secret_scan": op5_secret_scan,
         "op7_html_text": op7_html_text,
         "op8_toxicity": op8_toxicity,
+        "op9_minhash": op9_minhash,
+        "op10_best_fit": op10_best_fit,
     }
 
 

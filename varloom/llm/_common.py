@@ -28,6 +28,12 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
+    """df.mapInArrow(run, schema), with this package importable where it runs."""
+    on_workers(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/varloom/{name}-{uuid.uuid4().hex}"
 

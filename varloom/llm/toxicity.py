@@ -9,12 +9,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import arrow_map
+
 _WORD = re.compile(r"\w+")
 #: Bounds of the fit: rows of confirmed toxic examples, rows of unlabelled text, features. They bound the driver's memory.
-MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 3000, 6000, 20_000
+MAX_POSITIVE, MAX_UNLABELLED, MAX_FEATURES = 2500, 5000, 20_000
 
 
 def features(text: str) -> set[str]:
@@ -44,33 +47,34 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, *, max_fe
     """
     if not positive or not unlabelled:
         return Model({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
-    count: dict[str, list[int]] = {}
-    bags = [[features(t) for t in positive], [features(t) for t in unlabelled]]
-    for k, side in enumerate(bags):
-        for bag in side:
-            for f in bag:
-                count.setdefault(f, [0, 0])[k] += 1
+    # features as 64-bit hashes while there are many: a set of strings per text would not fit the driver
+    hashed = [[np.unique(np.fromiter((xxhash.xxh3_64_intdigest(f.encode()) for f in features(t)), np.uint64)) for t in side] for side in (positive, unlabelled)]
     n_p, n_u = len(positive), len(unlabelled)
-    lift = {}
-    for f, (p, u) in count.items():
-        if p >= 3:
-            a, b = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
-            se = np.sqrt((1 - a) / (p + 0.5) + (1 - b) / (u + 0.5))
-            z = (np.log(a) - np.log(b)) / se
-            if z > 3:
-                lift[f] = z
-    names = sorted(lift, key=lambda f: (-lift[f], f))[:max_features]
-    index = {f: i for i, f in enumerate(names)}
-
-    def sparse(side: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        rows, cols = [], []
-        for i, bag in enumerate(side):
-            got = [index[f] for f in bag if f in index]
-            rows += [i] * len(got)
-            cols += got
-        return np.array(rows, np.int64), np.array(cols, np.int64)
-
-    (rp, cp), (ru, cu) = sparse(bags[0]), sparse(bags[1])
+    keys, p = np.unique(np.concatenate(hashed[0]), return_counts=True)
+    keys, p = keys[p >= 3], p[p >= 3]
+    place = lambda h: np.searchsorted(keys, h)[np.isin(h, keys)]
+    u = np.zeros(len(keys), np.int64)
+    for h in hashed[1]:
+        u[place(h)] += 1
+    a, b = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
+    z = (np.log(a) - np.log(b)) / np.sqrt((1 - a) / (p + 0.5) + (1 - b) / (u + 0.5))
+    best = np.argsort(-z, kind="stable")[: min(max_features, int((z > 3).sum()))]
+    keys = np.sort(keys[best])
+    name = {}
+    for t in positive:
+        for f in features(t):
+            h = xxhash.xxh3_64_intdigest(f.encode())
+            i = np.searchsorted(keys, np.uint64(h))
+            if i < len(keys) and keys[i] == h:
+                name[int(i)] = f
+    names = [name[i] for i in range(len(keys))]
+
+    def sparse(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        cols = [place(h) for h in side]
+        return np.repeat(np.arange(len(side)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
+
+    (rp, cp), (ru, cu) = sparse(hashed[0]), sparse(hashed[1])
+    del hashed
     w, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
@@ -131,7 +135,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             cols = [batch.column(batch.schema.get_field_index(c)) for c in send]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=[*send, "score", "predicted"])
 
-    return used.mapInArrow(run, schema)
+    return arrow_map(used, run, schema)
 
 
 def learn_part(id_col: str = "doc_id"):

@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from ._common import arrow_map
+
 #: Entries in each of the two generations of a worker's cache of encoded chunks. Results don't depend on it.
 CACHE_ENTRIES = 200_000
 _END = "\n"  # stands for the end of a word; no byte is written as it
@@ -249,4 +251,4 @@ def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     more = ", ids array<int>, decoded string" if ids else ""
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_text, minhash, packing, quality, secrets, toxicity, warc
+from . import embedding, html_text, minhash, packing, quality, secrets, substring, toxicity, warc
 from ._common import table
 from .bpe import bpe_round_trip
 
@@ -28,6 +28,10 @@ def op1_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_cascade(docs, sample).drop("rejected_by")
 
 
+def op2_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -44,6 +48,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"), count("novel"))
 
 
+def op6_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -72,6 +80,20 @@ FROM (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top
         CAST(1 + ((CAST('0x' || substr(sha1(coalesce(html, '')), CAST(1 + 5 * (i // 4) AS INT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS INT), 1)), '') AS payload_digest FROM pages))
 """
 
+OP6_SQL = """
+WITH RECURSIVE e AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+      WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id) AS n_links,
+       least(vec_id, coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id)) AS component_id,
+       vec_id <= coalesce((SELECT min(b) FROM r WHERE a = vec_id), vec_id) AS kept
+FROM embeddings
+"""
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -99,9 +121,11 @@ FROM s
 def queries() -> dict:
     return {
         "op1_quality_cascade": op1_quality_cascade,
+        "op2_chunk_dedup": op2_chunk_dedup,
         "op3_bpe": op3_bpe,
         "op4_warc": op4_warc,
         "op5_secret_scan": op5_secret_scan,
+        "op6_rp_forest": op6_rp_forest,
         "op7_html_text": op7_html_text,
         "op8_toxicity": op8_toxicity,
         "op9_minhash": op9_minhash,
@@ -110,4 +134,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_cascade": OP1_SQL, "op4_warc": OP4_SQL}
+    return {"op1_quality_cascade": OP1_SQL, "op4_warc": OP4_SQL, "op6_rp_forest": OP6_SQL}

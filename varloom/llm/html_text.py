@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._common import arrow_map
+
 #: Element classes of the HTML standard. Fixed values.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 HIDDEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist select".split())
@@ -341,4 +343,4 @@ def extract_text(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "
                 names=[id_col, "text", "n_chars", "n_lines"],
             )
 
-    return pages.select(id_col, html_col).mapInArrow(run, f"`{id_col}` {kind}, text string, n_chars long, n_lines long")
+    return arrow_map(pages.select(id_col, html_col), run, f"`{id_col}` {kind}, text string, n_chars long, n_lines long")

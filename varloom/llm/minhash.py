@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, discard, written
+from ._common import arrow_map, components, discard, written
 from .shingles import mix, salt, shingle_set, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -130,7 +130,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, bands: int = BAND
                     names=["id", "d1", "d2", "n", "keys"],
                 )
 
-    return docs.where(F.col(id_col).isNotNull()).select(id_col, text_col).mapInArrow(run, f"id {kind}, d1 long, d2 long, n int, keys array<long>")
+    return arrow_map(docs.where(F.col(id_col).isNotNull()).select(id_col, text_col), run, f"id {kind}, d1 long, d2 long, n int, keys array<long>")
 
 
 def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
@@ -144,7 +144,7 @@ def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, size: int = SHI
                 sets = [shingle_set(w, size).view(np.int64) for w in word_hashes(batch.column(1))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["id", "s"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, s array<long>")
+    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, s array<long>")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import arrow_map, written
 from .bpe import chunks_of
 
 CAPACITY = 4096
@@ -98,7 +98,7 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
                 cols, names = [*cols, pa.array(all_ids, pa.list_(pa.int32()))], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else ""))
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else ""))
 
 
 def best_fit_rounds(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -183,7 +183,7 @@ def pack(rows: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY) -
             k = rank - x[:, 1]
             yield pa.RecordBatch.from_arrays([*(get(c) for c in names), pa.array(x[:, 3] + k // x[:, 4]), pa.array(x[:, 5] + length * (k % x[:, 4]))], names=[*names, "sequence_id", "offset"])
 
-    return ranked.select(*rows.columns, "rank").mapInArrow(run, fields + ", sequence_id long, offset long")
+    return arrow_map(ranked.select(*rows.columns, "rank"), run, fields + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

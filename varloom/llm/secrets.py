@@ -9,6 +9,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from ._common import arrow_map
+
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -124,4 +126,4 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans {SPANS}" + (", redacted string" if redacted else ""))
+    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, spans {SPANS}" + (", redacted string" if redacted else ""))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import new_path
+from ._common import arrow_map, new_path
 
 CHUNK = 1 << 20
 READ = 1 << 18
@@ -94,7 +94,7 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([name] if n else [], pa.string()), pa.array([n] if n else [], pa.int64()), pa.array([size] if n else [], pa.int64())], names=["path", "records", "bytes"])
 
     spark = plan.sparkSession
-    found = rows.mapInArrow(run, "path string, records long, bytes long").collect()  # a row per file
+    found = arrow_map(rows, run, "path string, records long, bytes long").collect()  # a row per file
     return spark.createDataFrame(found, "path string, records long, bytes long").repartition(max(1, len(found)))
 
 
@@ -184,7 +184,7 @@ def read_chunks(files: DataFrame, folder: str, *, chunk: int = CHUNK, data: bool
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return files.select("path").mapInArrow(run, CHUNKS)
+    return arrow_map(files.select("path"), run, CHUNKS)
 
 
 def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_revisit_bytes: int = 0, folder: str | None = None) -> DataFrame:

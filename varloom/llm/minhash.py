@@ -16,12 +16,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, components, discard, written
+from ..session import on_workers
+from ._common import arrow_map, components, written
 from .shingles import mix, salt, shingle_set, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 30, below 0.00001.
 BANDS, ROWS = 30, 5
+#: Rows of a bucket that are compared together.
+BLOCK = 1000
 _FIRST = 0.125  # ranks are cut into [0, 1/8) and intervals that double
 
 
@@ -147,6 +150,40 @@ def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, size: int = SHI
     return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, s array<long>")
 
 
+def _compare(t: pa.Table, num: int) -> pa.Table:
+    """Edges (a, b) that span the links between rows of different roots, in one bucket or across two of its blocks."""
+    t = t.combine_chunks()
+    ids, root, block = (t.column(c).to_numpy().copy() for c in ("rep", "root", "block"))
+    cross = t.column("p")[0].as_py() != t.column("q")[0].as_py()
+    lists = t.column("s").chunk(0)
+    size = np.diff(lists.offsets.to_numpy())
+    key, code, freq = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(size)), size)
+    row, code = row[freq[code] > 1], code[freq[code] > 1]
+    code = np.unique(code, return_inverse=True)[1] if len(code) else code
+    order = np.argsort(code, kind="stable")
+    row, code = row[order], code[order]
+    both = np.zeros((len(size), len(size)), np.float32)
+    for c in range(0, int(code[-1]) + 1 if len(code) else 0, 4096):  # shared shingles, some columns at a time
+        a, b = np.searchsorted(code, [c, c + 4096])
+        part = np.zeros((len(size), 4096), np.float32)
+        part[row[a:b], code[a:b] - c] = 1
+        both += part @ part.T
+    both = both.astype(np.int64)
+    near = both * 10_000 >= num * (size[:, None] + size[None, :] - both)
+    near &= root[:, None] != root[None, :]
+    if cross:
+        near &= block[:, None] != block[None, :]
+    edges = []
+    for i in np.flatnonzero(near.any(1)):
+        for j in np.flatnonzero(near[i] & (root != root[i])):
+            if root[i] != root[j]:
+                edges.append((int(ids[i]), int(ids[j])))
+                low, high = sorted((root[i], root[j]))
+                root[root == high] = low
+    return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of at least `similarity` on their sets of `size`-word shingles.
 
@@ -155,46 +192,40 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one shingle; texts without words (null, empty, white space) link with nothing. If an id repeats with different
     texts, its smallest class counts.
 
-    Candidates share a band key. In each bucket every member is first compared with the bucket's smallest, never all
-    with all; what this leaves apart is compared across the classes found so far until nothing of a bucket is untried.
+    Candidates share a band key. Every text is first compared with one hub, the text of its buckets that shares the
+    most of others. What this leaves apart within a bucket is compared across the classes found so far, in the tasks
+    that hold the bucket or two blocks of a large one; only edges that span the links leave them, never all pairs. The
+    id must be an integer.
     """
     num = round(similarity * 10_000)
     sig = written(signatures(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows, size=size), "signatures")
     copies = sig.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     reps = written(copies, "reps")
-    # buckets with at least two texts, and their smallest
+    # buckets with at least two texts, and the text in each that shares most buckets' places
     keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("c")).where("c > 1").drop("c")
-    shared = written(keyed.join(hubs, "key").select("key", "rep", "n", "hub"), "buckets")
-    members = shared.select(F.col("rep").alias("id")).distinct()
+    crowd = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    shared = written(keyed.join(crowd, "key").select("key", "rep", "n", "c"), "buckets")
+    members = shared.groupBy("rep").agg((-F.sum("c")).alias("w"))
     text = docs.select(F.col(id_col).alias("id"), text_col)
-    sets = written(shingle_sets(text.join(members.hint("shuffle_hash"), "id", "left_semi"), id_col="id", text_col=text_col, size=size), "sets")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b) whose sets are similar enough."""
-        left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
-        right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb")).cast("long")
-        return pairs.join(left, "a").join(right, "b").where(both * 10_000 >= num * (F.size("sa") + F.size("sb") - both)).select("a", "b")
-
-    first = shared.where("rep <> hub").groupBy("rep").agg(F.min("hub").alias("b")).select(F.col("rep").alias("a"), "b")
-    links = written(verified(first), "links")
-    for every in (False, True):
-        roots = written(components(links), "roots")
-        now = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-        apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-        if not every:  # the smallest of each class against the smallest of the bucket's first class
-            heads = now.join(apart, "key").groupBy("key", "root").agg(F.min("rep").alias("rep"), F.min("lo").alias("lo"))
-            hub = heads.where("root = lo").select("key", F.col("rep").alias("b"))
-            pairs = heads.where("root <> lo").join(hub, "key").select(F.col("rep").alias("a"), "b").distinct()
-        else:
-            rest = now.join(apart.select("key"), "key")
-            x, y = (rest.select("key", F.col("rep").alias(c), F.col("root").alias("r" + c), F.col("n").alias("n" + c)) for c in "ab")
-            fits = (10_000 * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (F.col("ra") < F.col("rb"))
-            pairs = x.join(y, "key").where(fits).select("a", "b").distinct()
-        more = written(links.unionByName(verified(pairs)), "links")
-        discard(links, roots)
-        links = more
+    sets = written(shingle_sets(text.join(members.select(F.col("rep").alias("id")).hint("shuffle_hash"), "id", "left_semi"), id_col="id", text_col=text_col, size=size), "sets")
+    weighed = shared.join(members, "rep")
+    hubs = weighed.groupBy("key").agg(F.min(F.struct("w", "rep")).alias("hub"))
+    first = weighed.join(hubs, "key").groupBy("rep").agg(F.min("hub").alias("hub")).select(F.col("rep").alias("a"), F.col("hub.rep").alias("b")).where("a <> b")
+    left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"))
+    both = F.size(F.array_intersect("sa", "sb")).cast("long")
+    similar = both * 10_000 >= num * (F.size("sa") + F.size("sb") - both)
+    links = written(first.join(left, "a").join(right, "b").where(similar).select("a", "b"), "links")
+    # what this leaves apart in a bucket: all its members across classes, within a task or a pair of blocks
+    roots = written(components(links), "roots")
+    now = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "c", F.coalesce("root", "rep").alias("root"))
+    apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+    rest = now.join(apart, "key").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "rep", "root", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    sized = rest.join(sets.withColumnRenamed("id", "rep"), "rep")
+    on_workers(docs.sparkSession)
+    more = sized.groupBy("key", "p", "q").applyInArrow(lambda t: _compare(t, num), "a long, b long")
+    links = written(links.unionByName(more.distinct()), "links")
     roots = components(links)
     rep = sig.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
     out = rep.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))

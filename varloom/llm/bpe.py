@@ -11,12 +11,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -24,7 +26,6 @@ from ._common import arrow_map
 
 #: Entries in each of the two generations of a worker's cache of encoded chunks. Results don't depend on it.
 CACHE_ENTRIES = 200_000
-_END = "\n"  # stands for the end of a word; no byte is written as it
 
 
 def byte_alphabet() -> list[str]:
@@ -64,19 +65,19 @@ class PrefixBPE:
             if t in self.halves:
                 raise ValueError("a token has two merges")
             self.rank[t], self.halves[t], self.joined[vocab[a], vocab[b]] = n, (vocab[a], vocab[b]), t
+        self.may_follow: dict[int, bool] = {}
+        self.stands: dict[int, bool] = {}
+        self.ends: dict[str, int] = {}  # tokens with the word end, by their text
         self.automaton = ahocorasick.Automaton()
-        self.whole: dict[str, int] = {}  # token by its text, _END for the word end
         for t, i in vocab.items():
-            if t in self.special:
+            if t in self.special or not self._stands(i):
                 continue
-            text = t[: -len(self.suffix)] + _END if t.endswith(self.suffix) and len(t) > len(self.suffix) else t
-            self.whole[text] = i
-            self.automaton.add_word(text, (i, len(text) - text.endswith(_END)))
+            if t.endswith(self.suffix) and len(t) > len(self.suffix):
+                self.ends[t[: -len(self.suffix)]] = i
+            else:
+                self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        self.may_follow: dict[tuple[int, int], bool] = {}
-        self.stands: dict[int, bool] = {}
-        self.cache: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.longest_end = max(map(len, self.ends))
 
     def _compatible(self, left: int, right: int) -> bool:
         """Whether BPE leaves the border between two tokens that it made of their own texts.
@@ -115,49 +116,52 @@ class PrefixBPE:
         finally:
             self.joined[key] = saved
 
+    def _follows(self, before: int, t: int) -> bool:
+        if len(self.may_follow) > 1_000_000:
+            self.may_follow.clear()
+        ok = self.may_follow[before << 20 | t] = self._compatible(before, t)
+        return ok
+
     def encode_piece(self, piece: str) -> list[int]:
         """Ids of one piece, given in the byte alphabet."""
-        text = piece + _END
-        whole = self.whole.get(text)
-        if whole is not None and self._stands(whole):
+        whole = self.ends.get(piece)
+        if whole is not None:
             return [whole]
         n = len(piece)
-        last = [-1] * (n + 1)
-        back = [0] * (n + 1)
-        follows, compatible = self.may_follow, self._compatible
-        done = 0
-        for at, (t, size) in self.automaton.iter(text):
-            end = at + 1 if at < n else n
-            if at == n:
-                if last[n] >= 0 and done == n + 1:
-                    continue
-            elif end == n or last[end] >= 0:
-                continue  # the last character belongs to tokens with the word end; or the prefix has its token
-            start = end - size
-            if start == 0:
-                if not self._stands(t):
-                    continue
-            else:
-                before = last[start]
-                if before < 0:
-                    continue
-                key = (before, t)
-                ok = follows.get(key)
+        last: list = [None] * n  # the stored token of each prefix short of the piece
+        back = [0] * n
+        follows = self.may_follow.get
+        for at, (t, size) in self.automaton.iter(piece, 0, n - 1):
+            end = at + 1
+            if last[end] is None:
+                start = end - size
+                if start:
+                    before = last[start]
+                    ok = follows(before << 20 | t)
+                    if ok is None:
+                        ok = self._follows(before, t)
+                    if not ok:
+                        continue
+                last[end] = t
+                back[end] = start
+        ends = self.ends
+        for at in range(max(1, n - self.longest_end), n):
+            t = ends.get(piece[at:])
+            if t is not None:
+                before = last[at]
+                ok = follows(before << 20 | t)
                 if ok is None:
-                    if len(follows) > 1_000_000:
-                        follows.clear()
-                    ok = follows[key] = compatible(before, t)
-                if not ok or not self._stands(t):
-                    continue
-            last[end], back[end] = t, start
-            if at == n:
-                done = n + 1
-        ids = []
-        at = n
-        while at > 0:
+                    ok = self._follows(before, t)
+                if ok:
+                    break
+        else:
+            raise ValueError(f"no token ends {piece!r}")
+        ids = [t]
+        while at:
             ids.append(last[at])
             at = back[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def _split(self, part: str) -> Iterator[str]:
         """Pieces of a text without white space and special tokens, in the byte alphabet."""
@@ -169,39 +173,26 @@ class PrefixBPE:
             for p in self.pieces.findall(part):
                 yield p if p.isascii() and p.isprintable() else "".join([self.bytes[b] for b in p.encode()])
 
-    def encode_chunk(self, chunk: str) -> tuple[bytes, str]:
-        """(ids as little-endian unsigned 32-bit integers, tokens joined by spaces) of a text without white space."""
+    def encode(self, text: str) -> list[int]:
+        """Ids of a text."""
         ids: list[int] = []
-        parts = self.special_split.split(chunk) if self.special_split and "<|" in chunk else (chunk,)
+        parts = self.special_split.split(text) if self.special_split and "<|" in text else (text,)
         for part in parts:
             if part in self.special:
                 ids.append(self.special[part])
-            elif part:
-                for p in self._split(part):
-                    ids += self.encode_piece(p)
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids)
+            else:
+                for chunk in chunks_of(part):
+                    for p in self._split(chunk):
+                        ids += self.encode_piece(p)
+        return ids
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return [array("I", self.encode(t)).tobytes() for t in texts]
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: Iterable[int]) -> str:
         """The text of ids, special tokens included. The file names no decoder, so tokens stand between spaces."""
         return " ".join([self.token[i] for i in ids])
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """(ids, decoded text) of a whole text; white space is dropped as the file's pattern says."""
-        chunks = chunks_of(text)
-        cache = self.cache
-        try:
-            got = [cache[c] for c in chunks]
-        except KeyError:
-            if len(cache) > CACHE_ENTRIES:
-                self.older, self.cache = cache, {}
-                cache = self.cache
-            older = self.older
-            for c in chunks:
-                if c not in cache:
-                    cache[c] = older.get(c) or self.encode_chunk(c)
-            got = [cache[c] for c in chunks]
-        return b"".join([x[0] for x in got]), " ".join([x[1] for x in got if x[1]])
-
 
 _SEPARATORS = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the pattern
 _SPACE = regex.compile(r"[\p{White_Space}]+")
@@ -212,14 +203,64 @@ def chunks_of(text: str) -> list[str]:
     return text.split() if not _SEPARATORS.search(text) else [x for x in _SPACE.split(text) if x]
 
 
-_BY_PATH: dict[str, PrefixBPE] = {}
+class Vocabulary:
+    """ids of whole texts, each distinct chunk between ASCII white space encoded once in a batch and remembered.
 
+    encode_many gives the ids of short texts as little-endian unsigned 32-bit integers. No token reaches over white
+    space, so a text's ids are its chunks' in a row. Two shortcuts share entries: a letters-only chunk and its forms
+    with a comma or full stop behind it, and (the normaliser lowers case) the forms of an ASCII chunk in other case.
+    """
 
-def encoder(path: str) -> PrefixBPE:
-    """The process's encoder for a file."""
-    if path not in _BY_PATH:
-        _BY_PATH[path] = PrefixBPE(path)
-    return _BY_PATH[path]
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
+        self.encode_many = encode_many
+        self.tails = dict(zip(",.", encode_many([",", "."])))
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def of(self, chunks: list[str]) -> list[bytes]:
+        if len(self.known) > CACHE_ENTRIES:
+            self.older, self.known = self.known, {}
+        known, older = self.known, self.older
+        keys, tails, todo = [], [], set()
+        for c in chunks:
+            tail = b""
+            if c[-1:] in ",." and c[:-1].isalpha():
+                tail = self.tails[c[-1]]
+                c = c[:-1]
+            if c.isascii() and "<|" not in c:
+                c = c.lower()
+            keys.append(c)
+            tails.append(tail)
+            if c not in known:
+                if c in older:
+                    known[c] = older[c]
+                else:
+                    todo.add(c)
+        new = list(todo)
+        known.update(zip(new, self.encode_many(new)))
+        return [known[k] + t if t else known[k] for k, t in zip(keys, tails)]
+
+
+def batches_of_chunks(texts: pa.Array, rows: int = 2500) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+    """For every `rows` texts (null: empty) the offsets of their chunks, the chunks as codes, and what the codes stand for."""
+    for at in range(0, len(texts), rows):
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, rows).cast(pa.large_string()), ""))
+        coded = pc.dictionary_encode(lists.flatten())
+        offsets = lists.offsets.to_numpy()
+        yield offsets - offsets[0], coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def joined_ids(entries: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the coded chunks in a row, where each chunk's begin and the last one's end)."""
+    flat = np.frombuffer(b"".join(entries), "<u4")
+    size = np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+    first = np.cumsum(size) - size
+    n = size[codes]
+    at = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.repeat(first[codes] - at[:-1], n) + np.arange(at[-1])], at
+
+
+_BY_PATH: dict[str, tuple[PrefixBPE, Vocabulary]] = {}
 
 
 def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
@@ -232,17 +273,26 @@ def bpe_round_trip(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        if path not in _BY_PATH:
+            bpe = PrefixBPE(path)
+            _BY_PATH[path] = bpe, Vocabulary(bpe.encode_many)
+        bpe, vocabulary = _BY_PATH[path]
         for batch in batches:
             n, a, b, all_ids, all_text = [], [], [], [], []
-            for text in batch.column(1):
-                raw, decoded = enc.encode(text.as_py() or "")
-                n.append(len(raw) // 4)
-                a.append(hashlib.sha256(raw).hexdigest())
-                b.append(hashlib.sha256(decoded.encode()).hexdigest())
-                if ids:
-                    all_ids.append(list(struct.unpack(f"<{len(raw) // 4}I", raw)))
-                    all_text.append(decoded)
+            for offsets, codes, chunks in batches_of_chunks(batch.column(1)):
+                entries = vocabulary.of(chunks)
+                tokens, at = joined_ids(entries, codes)
+                text = [bpe.decode(array("I", e)) for e in entries]
+                listed = codes.tolist()
+                for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    own = tokens[at[i] : at[j]]
+                    decoded = " ".join([t for c in listed[i:j] if (t := text[c])])
+                    n.append(len(own))
+                    a.append(hashlib.sha256(own.tobytes()).hexdigest())
+                    b.append(hashlib.sha256(decoded.encode()).hexdigest())
+                    if ids:
+                        all_ids.append(own.astype(np.int32))
+                        all_text.append(decoded)
             cols = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256"]
             if ids:

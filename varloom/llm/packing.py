@@ -12,6 +12,7 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, written
-from .bpe import chunks_of
+from .bpe import Vocabulary, batches_of_chunks, joined_ids
 
 CAPACITY = 4096
 END_ID = 1
@@ -28,42 +29,26 @@ END_ID = 1
 RANK_ROWS = 20_000
 #: Places that are sent to every task; more are joined instead.
 MAX_SENT = 1_000_000
-CACHE_ENTRIES = 250_000
 
 
-class _Ids:
-    """ids of texts by the tokenizers library, chunk by chunk with a bounded cache."""
+_BY_PATH: dict[str, Vocabulary] = {}
 
-    def __init__(self, path: str):
+
+def _vocabulary(path: str) -> Vocabulary:
+    """The process's ids by the tokenizers library, which encodes each chunk once."""
+    if path not in _BY_PATH:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.new) > CACHE_ENTRIES:
-            self.old, self.new = self.new, {}
-        for at in range(0, len(texts), 256):
-            split = [chunks_of(t) for t in texts[at : at + 256]]
-            known, old = self.new, self.old
-            todo = []
-            for c in {c for s in split for c in s}:
-                if c not in known:
-                    if c in old:
-                        known[c] = old[c]
-                    else:
-                        todo.append(c)
-            for c, e in zip(todo, self.tok.encode_batch_fast(todo, add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-            for s in split:
-                yield b"".join([known[c] for c in s])
-
-
-_BY_PATH: dict[str, _Ids] = {}
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+
+        def encode_many(texts: list[str]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for at in range(0, len(texts), 5000) for e in tok.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
+
+        _BY_PATH[path] = Vocabulary(encode_many)
+    return _BY_PATH[path]
 
 
 def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
@@ -75,23 +60,25 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _BY_PATH:
-            _BY_PATH[path] = _Ids(path)
-        enc = _BY_PATH[path]
+        vocabulary = _vocabulary(path)
         for batch in batches:
             take, piece, start, length, crc, all_ids = [], [], [], [], [], []
-            for i, raw in enumerate(enc.encode([x.as_py() or "" for x in batch.column(1)])):
-                raw += end
-                n = len(raw) // 4
-                for k, a in enumerate(range(0, n, capacity)):
-                    b = min(n, a + capacity)
-                    take.append(i)
-                    piece.append(k)
-                    start.append(a)
-                    length.append(b - a)
-                    crc.append(zlib.crc32(raw[4 * a : 4 * b]))
-                    if ids:
-                        all_ids.append(np.frombuffer(raw, "<u4")[a:b].astype("int32"))
+            i = -1
+            for offsets, codes, chunks in batches_of_chunks(batch.column(1)):
+                tokens, at = joined_ids(vocabulary.of(chunks), codes)
+                for x, y in zip(at[offsets[:-1]].tolist(), at[offsets[1:]].tolist()):
+                    i += 1
+                    raw = tokens[x:y].tobytes() + end
+                    n = len(raw) // 4
+                    for k, a in enumerate(range(0, n, capacity)):
+                        b = min(n, a + capacity)
+                        take.append(i)
+                        piece.append(k)
+                        start.append(a)
+                        length.append(b - a)
+                        crc.append(zlib.crc32(raw[4 * a : 4 * b]))
+                        if ids:
+                            all_ids.append(np.frombuffer(raw, "<u4")[a:b].astype("int32"))
             cols = [batch.column(0).take(pa.array(take, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             names = [id_col, "piece", "start", "length", "ids_crc32"]
             if ids:

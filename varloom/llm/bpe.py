@@ -241,7 +241,7 @@ class Vocabulary:
         return [known[k] + t if t else known[k] for k, t in zip(keys, tails)]
 
 
-def batches_of_chunks(texts: pa.Array, rows: int = 2500) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
+def batches_of_chunks(texts: pa.Array, rows: int = 4000) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
     """For every `rows` texts (null: empty) the offsets of their chunks, the chunks as codes, and what the codes stand for."""
     for at in range(0, len(texts), rows):
         lists = pc.ascii_split_whitespace(pc.fill_null(texts.slice(at, rows).cast(pa.large_string()), ""))

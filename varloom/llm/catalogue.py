@@ -118,6 +118,12 @@ FROM s
 """.replace("STOP", ", ".join(f"'{w}'" for w in quality.STOP_WORDS))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_quality_cascade": op1_quality_cascade,
@@ -130,6 +136,7 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_minhash": op9_minhash,
         "op10_best_fit": op10_best_fit,
+        "pipeline": pipeline,
     }
 
 

@@ -101,14 +101,16 @@ SPANS = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_novelty: float = 0.8, identifiers: str = IDENTIFIERS, redacted: bool = False) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_novelty: float = 0.8, identifiers: str = IDENTIFIERS, redacted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Secrets of every whole text.
 
-    One row per input row: the id column, spans (array of kind, start, end, novelty; sorted by start, then kind), and
-    with redacted=True the text with its spans replaced (null where the text is null). A null or empty text has no
-    spans. Null ids and repeated rows stay as they are; other columns are ignored. Map-only.
+    One row per input row: the id column, the columns in keep, spans (array of kind, start, end, novelty; sorted by
+    start, then kind), and with redacted=True the text with its spans replaced (null where the text is null). A null or
+    empty text has no spans. Null ids and repeated rows stay as they are; other columns are ignored. Map-only.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
+    used = docs.select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)])
+    send = [c for c in used.columns if c in (id_col, *keep)]
+    fields = ", ".join(f"`{c}` {used.schema[c].dataType.simpleString()}" for c in send)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(identifiers, min_novelty)
@@ -120,10 +122,10 @@ def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
                 spans.append([{"kind": k, "start": a, "end": b, "novelty": n} for k, a, b, n in found])
                 if redacted:
                     clean.append(redact(text, found) if found else text)
-            cols, names = [batch.column(0), pa.array(spans, _SPANS)], [id_col, "spans"]
+            cols, names = [*(batch.column(batch.schema.get_field_index(c)) for c in send), pa.array(spans, _SPANS)], [*send, "spans"]
             if redacted:
                 cols.append(pa.array(clean, pa.string()))
                 names.append("redacted")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, spans {SPANS}" + (", redacted string" if redacted else ""))
+    return arrow_map(used, run, f"{fields}, spans {SPANS}" + (", redacted string" if redacted else ""))

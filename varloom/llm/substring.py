@@ -160,8 +160,9 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             return n
         return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
 
-    def begin(x: bytes, a: int, b: int) -> int:
-        return sum(1 for i in range(a, b) if x[i] not in blank and (i == 0 or x[i - 1] in blank))
+    def begin(x: bytes, a: int, b: int, opens: bool) -> int:
+        """Words that begin in x[a:b]; opens: whether x itself begins a text."""
+        return sum(1 for i in range(a, b) if x[i] not in blank and (x[i - 1] in blank if i else opens))
 
     for batch in batches:
         out = []
@@ -171,16 +172,24 @@ def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             end = min(INSIDE, e - s)  # of the run's end in r and fr
             right = shared(r[end:], fr[end:])
             a, b = at - left, end + right
-            w += begin(l, a, at) + begin(r, end, b)
             start, stop = s - left, e + right
-            if a and l[a - 1] not in blank and l[a] not in blank:  # the rest of a word that began before: not counted
+            w += begin(l, a, at, start == 0) + begin(r, end, b, False)
+            # the rest of a word that began before, also where the context is used up: it was not counted
+            if start and l[a] not in blank and (not a or l[a - 1] not in blank):
                 cut = next((i for i in range(a, len(l)) if l[i] in blank), None)
-                start += (cut or a) - a
-            if b < len(r) and r[b] not in blank and r[b - 1] not in blank:  # the front of a word that goes on
+                if cut is None:
+                    continue  # within one word
+                start += cut - a
+            # the front of a word that goes on, or may
+            more = len(r) == end + CONTEXT if b == len(r) else r[b] not in blank
+            if more and r[b - 1] not in blank:
                 cut = max(r.rfind(c, 0, b) for c in blank)
-                if cut >= 0:
-                    stop -= b - cut
-                    w -= 1
+                if cut < 0:
+                    continue
+                stop -= b - cut
+                w -= 1
+            if start >= stop:
+                continue
             out.append((d, start, stop, w, f, fs + start - s))
         cols = list(zip(*out)) if out else [[]] * 6
         yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["id", "start", "end", "n_words", "first_id", "first_start"])

@@ -112,7 +112,12 @@ def columns(called: DataFrame, links: DataFrame, comps: DataFrame, min_columns:
 
 def visits(cols: DataFrame, steps: DataFrame) -> DataFrame:
     """(rov_id, path_id, col, code, first_step, last_step, rn): a row per column that a haplotype visits, ranked by column."""
-    g = steps.join(cols.select("rov_id", "col", "seg_id"), "seg_id").groupBy("rov_id", "path_id", "col").agg(F.count("*").alias("times"), F.min("strand").alias("strand"), F.min("step_idx").alias("first_step"), F.max("step_idx").alias("last_step"))
+    return visited(steps.join(cols.select("rov_id", "col", "seg_id"), "seg_id"))
+
+
+def visited(inside: DataFrame) -> DataFrame:
+    """visits() of steps that already carry their region and column."""
+    g = inside.groupBy("rov_id", "path_id", "col").agg(F.count("*").alias("times"), F.min("strand").alias("strand"), F.min("step_idx").alias("first_step"), F.max("step_idx").alias("last_step"))
     code = F.when(F.col("times") > 1, F.col("times") + 2).when(F.col("strand") == ">", 1).otherwise(2)
     return g.select("rov_id", "path_id", "col", code.cast("bigint").alias("code"), "times", "first_step", "last_step", F.row_number().over(Window.partitionBy("rov_id", "path_id").orderBy("col")).alias("rn"))
 
@@ -143,11 +148,12 @@ def contexts(anch: DataFrame) -> DataFrame:
     return nxt.where("v IS NOT NULL AND (rr2 - rr > 1 OR hr2 - hr > 1)").select("rov_id", "ref", "hap", F.col("col").alias("u"), "v")
 
 
-def alleles(anch: DataFrame, ctx: DataFrame, cols: DataFrame, loci: DataFrame) -> DataFrame:
+def alleles(anch: DataFrame, ctx: DataFrame, cols: DataFrame, loci: DataFrame, laps: DataFrame | None = None) -> DataFrame:
     """The allele of each haplotype in each context: (rov_id, ref, u, v, hap, is_ref, type, walk, dna, at, pos, id).
 
     is_ref: its columns in the context and its walk equal the reference's. type by number of steps: SUB, INS, DEL;
-    INV where its walk is the reference's backwards, which is left to inversion calling.
+    INV where its walk is the reference's backwards, which is left to inversion calling. laps(rov_id, path_id, lap) gives the steps of each
+    haplotype in a region where they are not simply all of them.
     """
     seats = ctx.select("rov_id", "ref", "u", "v").distinct()
     at_u = anch.select("rov_id", "ref", "hap", F.col("col").alias("u"), F.col("eq").alias("eu"), F.col("rr").alias("rr_u"), F.col("hr").alias("hr_u"), F.col("ce").alias("ce_u"), F.col("rf").alias("rf_u"), F.col("rl").alias("rl_u"), F.col("hf").alias("hf_u"), F.col("hl").alias("hl_u"))
@@ -160,7 +166,8 @@ def alleles(anch: DataFrame, ctx: DataFrame, cols: DataFrame, loci: DataFrame) -
     both = both.select("rov_id", "ref", "u", "v", "hap", "same", rs.alias("rs"), re.alias("re"), hs.alias("hs"), he.alias("he"))
     # the steps of each haplotype inside the region, in order
     step = F.struct("step_idx", F.col("strand").alias("orient"), "seg_id", "locus", "seq")
-    laps = loci.join(cols.select("rov_id", "seg_id"), "seg_id").groupBy("rov_id", "path_id").agg(F.sort_array(F.collect_list(step)).alias("lap"))
+    if laps is None:
+        laps = loci.join(cols.select("rov_id", "seg_id"), "seg_id").groupBy("rov_id", "path_id").agg(F.sort_array(F.collect_list(step)).alias("lap"))
     cut = lambda lap, s, e: F.filter(lap, lambda x: x["step_idx"].between(F.col(s), F.col(e)))
     both = both.join(laps.select("rov_id", F.col("path_id").alias("ref"), F.col("lap").alias("rlap")), ["rov_id", "ref"]).join(laps.select("rov_id", F.col("path_id").alias("hap"), F.col("lap").alias("hlap")), ["rov_id", "hap"])
     both = both.select("rov_id", "ref", "u", "v", "hap", "same", cut("rlap", "rs", "re").alias("rw"), cut("hlap", "hs", "he").alias("hw"))
@@ -219,6 +226,7 @@ def records(al: DataFrame, cols: DataFrame, paths: DataFrame) -> DataFrame:
         "ns",
         F.concat_ws(",", _at(F.col("rwalk"), k), text(lambda x: x["at"])).alias("at"),
         F.col("type").alias("vartype"),
+        F.when(F.contains("rov_id", F.lit("#")), "T").otherwise("F").alias("tangled"),
         "es",
         F.col("lv").cast("bigint").alias("lv"),
         refs.alias("refs"),
@@ -250,6 +258,6 @@ def vcf_lines(rec: DataFrame, paths: DataFrame) -> DataFrame:
     """(chrom, pos, id, vartype, line): the text of each record with its genotypes."""
     g = genotype_matrix(rec, paths)
     r = rec.join(g, ["rov_id", "ref", "u", "v", "vartype"])
-    info = F.concat(F.lit("AC="), "ac", F.lit(";AF="), "af", F.lit(";AN="), F.col("an").cast("string"), F.lit(";NS="), F.col("ns").cast("string"), F.lit(";AT="), "at", F.lit(";VARTYPE="), "vartype", F.lit(";TANGLED=F;ES="), "es", F.lit(";LV="), F.col("lv").cast("string"))
+    info = F.concat(F.lit("AC="), "ac", F.lit(";AF="), "af", F.lit(";AN="), F.col("an").cast("string"), F.lit(";NS="), F.col("ns").cast("string"), F.lit(";AT="), "at", F.lit(";VARTYPE="), "vartype", F.lit(";TANGLED="), "tangled", F.lit(";ES="), "es", F.lit(";LV="), F.col("lv").cast("string"))
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref_seq", "alt", F.lit("60"), F.lit("PASS"), info, F.lit("GT"), F.array_join("gts", "\t"))
     return r.select("chrom", "pos", "id", "vartype", line.alias("line"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calling, decompose, graphs
+from ..operators import calling, decompose, graphs, inversions, untangle
 from ..sources import gfa
 from .durable import written
 
@@ -84,10 +84,32 @@ class Graph:
             called = calling.restrict(called, self.loci, self.paths, region)
         cols = written(calling.columns(called, self.links, self.comps), "columns")
         seen = written(calling.visits(cols, self.steps), "visits")
-        loops = calling.tangled(cols, seen)
-        seen = seen.join(loops, "rov_id", "left_anti")
-        anch = written(calling.anchors(seen, chosen), "anchors")
-        return calling.records(calling.alleles(anch, calling.contexts(anch), cols, self.loci), cols, self.paths)
+        loops = written(calling.tangled(cols, seen), "tangled")
+        plain = seen.join(loops, "rov_id", "left_anti")
+        anch = written(calling.anchors(plain, chosen), "anchors")
+        rec = calling.records(calling.alleles(anch, calling.contexts(anch), cols, self.loci), cols, self.paths)
+        if not loops.take(1):
+            return rec
+        # regions passed more than once: lap by lap
+        wound = cols.join(loops, "rov_id")
+        laps = written(untangle.region_laps(wound, self.loci), "laps")
+        pairs = written(untangle.lap_pairs(untangle.transcripts(laps, chosen)), "pairs")
+        cols2, laps2 = (written(x, "unrolled") for x in untangle.unrolled(wound, laps, pairs))
+        anch2 = written(calling.anchors(untangle.lap_visits(cols2, laps2), chosen).join(laps2.select("rov_id", "ref").distinct(), ["rov_id", "ref"], "left_semi"), "anchors")
+        more = calling.records(calling.alleles(anch2, calling.contexts(anch2), cols2, self.loci, laps2.select("rov_id", "path_id", "lap").distinct()), cols2, self.paths)
+        return rec.unionByName(more)
+
+    def inversions(self, refs: list[str], tree: DataFrame | None = None) -> DataFrame:
+        """subr_records() of the bubbles that a haplotype reads backwards as a whole."""
+        chosen = self.references(refs)
+        called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen)
+        cols = written(calling.columns(called, self.links, self.comps), "columns")
+        seen = written(calling.visits(cols, self.steps), "visits")
+        pins = written(inversions.whole_pins(seen, calling.anchors(seen, chosen)), "pins")
+        return inversions.subr_records(written(inversions.stretches(pins, self.steps), "stretches"), self.loci, self.paths)
+
+    def hairpins(self) -> DataFrame:
+        return decompose.hairpins(self.links, self.comps)
 
     def gfa2vcf(self, refs: list[str], region: str | None = None) -> DataFrame:
         """(chrom, pos, id, vartype, line) of every call, to be ordered by its first columns."""

@@ -100,3 +100,41 @@ def reverse_paths(steps: DataFrame, ref_path: int) -> DataFrame:
     back = F.reverse(F.transform("w", lambda x: F.struct(x["seg_id"].alias("s"), F.when(x["strand"] == ">", "<").otherwise(">").alias("o"))))
     ref = w.where(F.col("path_id") == ref_path).select(back.alias("rw"))
     return w.where(F.col("path_id") != ref_path).select("path_id", plain.alias("p")).join(ref, F.col("p") == F.col("rw")).select("path_id")
+
+
+def collinear_calls(steps: DataFrame, segments: DataFrame, paths: DataFrame, ref_path: int) -> DataFrame:
+    """(chrom, pos, id, ref_seq, alt, vartype, ac, an): a record per site and type from collinear_sites().
+
+    A haplotype counts as the reference where it walks from the site's start to its end as the reference does; those
+    that reach neither are missing. Empty stretches of the reference are insertions, empty ones of the path deletions;
+    both are anchored at the last base before.
+    """
+    from ..functions.scalars import parse_walk, revcomp
+    from .graphs import with_loci
+    from .validate import check_calls
+
+    sites = collinear_sites(steps, ref_path)
+    loci = with_loci(steps, segments).where(F.col("path_id") == ref_path)
+    token = F.concat("strand", F.col("seg_id").cast("string"))
+    base = F.when(F.col("strand") == ">", F.col("seq")).otherwise(revcomp(F.col("seq")))
+    a = loci.select(F.col("step_idx").alias("ref_start"), token.alias("t0"), F.right(base, F.lit(1)).alias("anchor"), (F.col("locus") + F.length("seq")).alias("next"))
+    b = loci.select(F.col("step_idx").alias("ref_end"), token.alias("t1"))
+    spot = sites.select("ref_start", "ref_end", "ref_walk").distinct().join(a, "ref_start").join(b, "ref_end")
+    claims = spot.select("ref_start", "ref_end", F.concat("t0", "ref_walk", "t1").alias("at")).join(paths.select("path_id")).withColumn("claim", F.concat_ws(":", "ref_start", "ref_end", "path_id"))
+    same = check_calls(claims, steps).where("found").join(claims.select("claim", "ref_start", "ref_end"), "claim").groupBy("ref_start", "ref_end").agg(F.count("*").alias("n_ref"))
+    kind = F.when(F.col("ref_walk") == "", "INS").when(F.col("alt_walk") == "", "DEL").otherwise("SUB")
+    seqs = segments.select("seg_id", "seq")
+
+    def spelled(df: DataFrame, walk: str, out: str) -> DataFrame:
+        """df with the sequence of a walk; equal walks are spelled once."""
+        w = df.select(walk).distinct()
+        t = w.select(walk, F.posexplode(parse_walk(F.col(walk))).alias("k", "t")).select(walk, "k", F.col("t.seg_id").alias("seg_id"), F.col("t.orient").alias("strand")).join(seqs, "seg_id")
+        g = t.groupBy(walk).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", base.alias("b")))), lambda x: x["b"]), "").alias(out))
+        return df.join(g, walk, "left").withColumn(out, F.coalesce(out, F.lit("")))
+
+    alts = sites.withColumn("vartype", kind).groupBy("ref_start", "ref_end", "ref_walk", "alt_walk", "vartype").agg(F.count("*").alias("ac"))
+    alts = spelled(spelled(alts, "ref_walk", "rs"), "alt_walk", "as_").join(spot.drop("ref_walk"), ["ref_start", "ref_end"]).join(same, ["ref_start", "ref_end"], "left")
+    prefix = F.when(F.col("vartype") == "SUB", "").otherwise(F.col("anchor"))
+    rec = alts.groupBy("ref_start", "ref_end", "vartype", "t0", "t1", "next", "n_ref", F.concat(prefix, "rs").alias("ref_seq")).agg(F.sort_array(F.collect_list(F.struct("alt_walk", F.concat(prefix, "as_").alias("dna"), "ac"))).alias("alts"))
+    chrom = paths.where(F.col("path_id") == ref_path).select(F.col("name").alias("chrom"))
+    return rec.join(chrom).select("chrom", (F.col("next") - F.expr("IF(vartype = 'SUB', 0, 1)")).cast("bigint").alias("pos"), F.concat("t0", "t1").alias("id"), "ref_seq", F.array_join(F.transform("alts", lambda x: x["dna"]), ",").alias("alt"), "vartype", F.array_join(F.transform("alts", lambda x: x["ac"].cast("string")), ",").alias("ac"), (F.coalesce("n_ref", F.lit(0)) + F.aggregate("alts", F.lit(0).cast("bigint"), lambda n, x: n + x["ac"])).alias("an"))

@@ -114,3 +114,9 @@ def decomposed(rec: DataFrame, max_alt: int = 8) -> DataFrame:
     tags = F.concat(kept, text([*origin, ("DECOMPOSED", F.lit("T")), *raw]))
     snp = snp.withColumn("info", tags).withColumn("id", F.concat("id", F.lit(":"), F.col("_n").cast("string"), F.lit(":snp"), (F.col("_j") + 1).cast("string"))).withColumn("pos", F.col("pos") + F.col("_x.i")).withColumn("ref", F.col("_x.a")).withColumn("alts", F.array("_x.b")).select(*rec.columns)
     return rev.unionByName(long).unionByName(snp)
+
+
+def provenance(out: DataFrame, profile: str) -> DataFrame:
+    """(json): for every record of a rewritten set what it came from and how."""
+    operation = F.when(info("RESCUED_CHILD") == "T", "rescue").when(info("PASSTHROUGH") == "T", "passthrough").when(info("LEFT_NORMALIZED").isNotNull(), "left_normalize").when(info("DECOMPOSED") == "T", "decompose").otherwise("keep")
+    return out.select(F.to_json(F.struct(F.lit(profile).alias("profile"), operation.alias("operation"), F.coalesce(info("ORIGIN"), F.col("id")).alias("raw_record_id"), F.coalesce(info("RAW_ALT_INDEX"), F.lit("1")).cast("int").alias("raw_alt_index"), info("RAW_POS").cast("bigint").alias("raw_pos"), info("RAW_REF").alias("raw_ref"), info("RAW_ALT").alias("raw_alt"), F.col("id").alias("output_record_id"), F.col("pos").alias("output_pos"), F.col("ref").alias("output_ref"), F.col("alts").alias("output_alts"))).alias("json"))

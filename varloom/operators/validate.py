@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import parse_walk
+from ..sources.vcf import genotype_entries, info
+from . import graphs
 
 
 def check_calls(claims: DataFrame, steps: DataFrame) -> DataFrame:
@@ -24,3 +26,44 @@ def report(checked: DataFrame) -> DataFrame:
     """One row: claims, bad, and the error rate in percent (0 without claims)."""
     bad = F.sum(F.expr("CAST(NOT found AS BIGINT)"))
     return checked.agg(F.count("*").alias("claims"), F.coalesce(bad, F.lit(0)).alias("bad"), F.coalesce(100.0 * bad / F.count("*"), F.lit(0.0)).alias("error_rate"))
+
+
+def claims_of_vcf(rec: DataFrame, paths: DataFrame) -> DataFrame:
+    """claims for check_calls() of every called allele of sources.vcf.records(): (claim, line_no, path_id, at).
+
+    A genotype's column and phase name a haplotype by the layout of genotype_columns(); its walk is the AT entry of its
+    allele. Genotypes of haplotypes that the graph lacks claim path -1, which holds nothing.
+    """
+    g = genotype_entries(rec)
+    cols = graphs.genotype_columns(paths).select(F.col("hap_col").alias("sample_no"), "phase", "path_id")
+    at = rec.select("line_no", F.posexplode(F.split(info("AT"), ",")).alias("allele", "at"))
+    x = g.join(cols, ["sample_no", "phase"], "left").join(at, ["line_no", "allele"], "left")
+    return x.select(F.concat_ws(":", "line_no", "sample_no", "phase").alias("claim"), "line_no", F.coalesce("path_id", F.lit(-1)).alias("path_id"), F.coalesce("at", F.lit("")).alias("at"))
+
+
+def failed_records(claims: DataFrame, checked: DataFrame) -> DataFrame:
+    """(line_no, claim): the first claim of each record that does not hold."""
+    bad = checked.where("NOT found").select("claim").join(claims.select("claim", "line_no"), "claim")
+    return bad.groupBy("line_no").agg(F.min("claim").alias("claim"))
+
+
+def record_violations(rec: DataFrame) -> DataFrame:
+    """(line_no, rule) of records whose fields break a rule.
+
+    Empty names and alleles, places below 1, alleles beyond the list, allele numbers below 1, as many AC and AF as ALTs,
+    AT one more, a kind that is none, equal ids.
+    """
+    n = F.size("alts")
+    count = lambda k: F.size(F.split(F.coalesce(info(k), F.lit("")), ","))
+    called = F.flatten(F.transform("gts", lambda g: F.split(g, "\\|")))
+    rules = {
+        "empty": (F.coalesce(F.col("chrom"), F.lit("")) == "") | (F.coalesce(F.col("id"), F.lit("")) == "") | (F.coalesce(F.col("ref"), F.lit("")) == "") | F.exists("alts", lambda a: a == ""),
+        "place": F.coalesce(F.col("pos"), F.lit(0)) < 1,
+        "allele": F.exists(called, lambda a: (a != ".") & (F.coalesce(a.try_cast("int"), F.lit(-1)).between(0, n) == F.lit(False))),
+        "number": F.coalesce(info("AN").try_cast("bigint"), F.lit(0)) < 1,
+        "counts": (count("AC") != n) | (count("AF") != n) | (count("AT") != n + 1),
+        "kind": ~F.coalesce(info("VARTYPE"), F.lit("")).isin("SUB", "INS", "DEL", "SUBR"),
+    }
+    told = rec.select("line_no", F.explode(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in rules.items()]), lambda x: x.isNotNull())).alias("rule"))
+    twice = rec.groupBy("chrom", "id", info("VARTYPE").alias("t")).agg(F.max("line_no").alias("line_no"), F.count("*").alias("n")).where("n > 1")
+    return told.unionByName(twice.select("line_no", F.lit("repeated").alias("rule")))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import calling, collinear, decompose, graphs, profiles, validate
+from ..operators import calling, collinear, decompose, graphs, profiles, validate, views
 from ..session import on_workers
-from ..sources import gfa, vcf
+from ..sources import gfa, pvst, texts, vcf
 from . import synth
 from .durable import written
 
@@ -37,6 +37,8 @@ COMPLEX = [
     T.join("HG1#1#chr1 10 >9>14 ACGT ATGA,ACGTACTACGTACGTA 60 PASS AC=1,1;AF=0.3333333333333333,0.3333333333333333;AN=3;NS=3;AT=>9>10>11>12,>9>20>11>21,>9>30>31>32;VARTYPE=SUB;TANGLED=T;ES=>9>14;LV=0 GT 0 1 2".split()),
     T.join("ref 2 >1>5 ACGTA TACGT 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>1>2>3>4>5,<5<4<3<2<1;VARTYPE=SUBR;TANGLED=F GT 0 1".split()),
 ]
+BAD_RECORDS = [T.join("c 0 >1>2 A C 60 PASS AC=1;AF=0.5;AN=0;NS=2;AT=>1;VARTYPE=SUB GT 0 7 .".split()), T.join("HG1#1#chr1 9 >2>4 A T 60 PASS AC=1;AF=1;AN=1;NS=1;AT=>1,>2;VARTYPE=SUB GT . . 1".split()), T.join("c 3 >8>9 A T 60 PASS AC=1;AF=1;AN=1;NS=1;AT=>1,>2;VARTYPE=ODD GT . . 1".split())]
+HAIRPIN = [*[f"S\t{i}\t{s}" for i, s in enumerate("ACGTA", 1)], *[f"L\t{a}\t+\t{b}\t+\t0M" for a, b in ((1, 2), (2, 3), (3, 4), (4, 5), (1, 5))], *[f"L\t{a}\t-\t{b}\t-\t0M" for a, b in ((5, 4), (4, 3), (3, 2), (2, 1))], "P\tref\t1+,2+,3+,4+,5+\t*", "P\talt\t5-,4-,3-,2-,1-\t*"]
 #: What the rewritten call sets of the rows above are. Fixed values.
 TOP_LINES = ["HG1#1#chr1 1 >0>5:top AAAAA A 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>0>1>2>3>4,>0;VARTYPE=DEL;TANGLED=T;ES=>0>5;LV=0;ORIGIN=>0>5;PROFILE=top-level-only;PASSTHROUGH=T GT 0 1 0"]
 POPPED_LINES = ["HG1#1#chr1 3 >2>4:rescued A G 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>2>4;LV=1;ORIGIN=>2>4;PARENT=>0>5;PROFILE=popped;RESCUED_CHILD=T;POPPED_PARENT=>0>5 GT 0 . 1"]
@@ -276,6 +278,50 @@ def q_collinear(spark, d):
     return collinear.collinear_sites(synth.chain(spark, d).steps, 0)
 
 
+def q_collinear_calls(spark, d):
+    return synth.chain(spark, d).call_collinear("H0").withColumn("ac", F.col("ac").cast("bigint"))
+
+
+def q_vcf_validation(spark, d):
+    g, rec = _chain_records(spark, d)
+    text = calling.vcf_lines(rec, g.paths).select(F.monotonically_increasing_id().alias("line_no"), F.col("line").alias("value"))
+    return g.validate(vcf.records(written(text, "lines")))[1]
+
+
+def q_record_violations(spark, d):
+    return validate.record_violations(vcf.records(lines_of(spark, [*RAW, *BAD_RECORDS])))
+
+
+def q_step_context(spark, d):
+    return views.step_context(synth.chain(spark, d).steps, 9, 3)
+
+
+def q_longest_loop(spark, d):
+    return views.longest_loop(synth.walks(spark, d).steps)
+
+
+def q_repeats(spark, d):
+    return views.repeats(synth.walks(spark, d).steps, 12)
+
+
+def q_subr(spark, d):
+    from .graph_api import Graph
+
+    return Graph.from_lines(lines_of(spark, HAIRPIN)).inversions(["ref"])
+
+
+def q_pvst_lines(spark, d):
+    from .graph_api import Graph
+
+    return pvst.lines(Graph.from_lines(lines_of(spark, NESTED)).decompose()).select("idx", "line")
+
+
+def q_structure_json(spark, d):
+    g, rec = _chain_records(spark, d)
+    j = texts.structure_json(g.decompose(), rec)
+    return j.select("kind", F.coalesce(F.get_json_object("json", "$.label"), F.get_json_object("json", "$.id")).alias("name"), F.coalesce(F.get_json_object("json", "$.af[0]"), F.lit("-")).alias("af"))
+
+
 def q_reverse_paths(spark, d):
     steps = [(0, k, s, ">") for k, s in enumerate((1, 2, 3))] + [(1, k, s, "<") for k, s in enumerate((3, 2, 1))] + [(2, k, s, ">") for k, s in enumerate((3, 2, 1))]
     return collinear.reverse_paths(spark.createDataFrame(steps, "path_id long, step_idx long, seg_id long, strand string"), 0)
@@ -420,6 +466,15 @@ def oracle_sql() -> dict[str, str]:
         "nested_calls": _literal(["HG1#1#chr1 2 >1>4 CT C 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>1>3,>1;VARTYPE=DEL;TANGLED=F;ES=>1>4;LV=1 GT 0 1 ."]),
         "collinear": f"""WITH {CHAIN} SELECT h AS path_id, CASE c WHEN 'I' THEN 2 * s + 1 ELSE 2 * s END AS ref_start, 2 * s + 2 AS ref_end, CASE c WHEN 'I' THEN '' ELSE '>' || 3 * s + 1 END AS ref_walk,
             CASE c WHEN 'D' THEN '' ELSE '>' || 3 * s + 2 END AS alt_walk FROM ch JOIN ct USING (s) WHERE c = 'I' OR (c IN ('A', 'D') AND i = 0)""",
+        "collinear_calls": f"WITH {CHAIN} SELECT chrom, pos, id, ref_seq, alt, vartype, ac, an FROM ca JOIN ct USING (s) WHERE ca.c = 'I' OR ct.i = 0",
+        "vcf_validation": f"WITH {CHAIN} SELECT CAST(sum(an) AS BIGINT) AS claims, CAST(0 AS BIGINT) AS bad, CAST(0 AS DOUBLE) AS error_rate FROM ca",
+        "record_violations": "SELECT CAST(n AS BIGINT) AS line_no, rule FROM (VALUES (4, 'place'), (4, 'allele'), (4, 'number'), (4, 'counts'), (5, 'repeated'), (6, 'kind')) AS t(n, rule)",
+        "step_context": f"WITH {CHAIN} SELECT h AS path_id, i AS step_idx, (SELECT string_agg('>' || x.seg, '' ORDER BY x.i) FROM st x WHERE x.h = st.h AND x.i BETWEEN st.i - 3 AND st.i + 3) AS context FROM st WHERE seg = 9",
+        "longest_loop": f"WITH {WALKS} SELECT p AS path_id, seg AS seg_id, n AS times FROM (SELECT p, seg, count(*) AS n, row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, seg) AS k FROM wk GROUP BY p, seg) WHERE k = 1",
+        "repeats": f"WITH {WALKS} SELECT p AS path_id, seg AS seg_id, count(*) AS times, min(i) AS first_step, max(i) AS last_step FROM wk GROUP BY p, seg HAVING count(*) >= 12",
+        "subr": "SELECT 'ref' AS chrom, CAST(2 AS BIGINT) AS pos, '>1>5' AS id, 'ACGTA' AS ref_seq, 'TACGT' AS alt, '1' AS ac, CAST(2 AS BIGINT) AS an, CAST(2 AS BIGINT) AS ns, '>1>2>3>4>5,<5<4<3<2<1' AS \"at\", '1' AS hap_cols",
+        "pvst_lines": "SELECT CAST(n AS BIGINT) AS idx, replace(v, '|', chr(9)) AS line FROM (VALUES (-1, 'H|0.0.3|.|.|.'), (0, 'D|0|.|1|.'), (1, 'F|1|>0>5|2|L'), (2, 'F|2|>1>4|.|L')) AS t(n, v)",
+        "structure_json": f"WITH {CHAIN} SELECT 'pvst_node' AS kind, '>' || e || '>' || 3 * s + 3 AS name, '-' AS af FROM es UNION ALL SELECT 'pvst_node', '.', '-' UNION ALL SELECT 'variant_call', id, ac || '/' || an FROM ca",
         "reverse_paths": "SELECT CAST(1 AS BIGINT) AS path_id",
         "validate_calls": f"WITH {CHAIN} SELECT s || ':' || h AS claim, c = 'A' AS found FROM ch",
         "validation_summary": f"WITH {CHAIN} SELECT count(*) AS claims, count(*) FILTER (c <> 'A') AS bad, 100.0::DOUBLE * count(*) FILTER (c <> 'A') / count(*) AS error_rate FROM ch",

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,3 +34,9 @@ def discard(*tables: DataFrame) -> None:
         if path:
             p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
+def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
+    """df with a count of its rows that the returned observation tells once an action has run: a trace of stages' sizes."""
+    seen = Observation(stage)
+    return df.observe(seen, F.count(F.lit(1)).alias("items")), seen

@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calling, decompose, graphs, inversions, untangle
-from ..sources import gfa
+from ..operators import calling, collinear, decompose, graphs, inversions, untangle, validate
+from ..sources import gfa, vcf
 from .durable import written
 
 
@@ -114,3 +114,24 @@ class Graph:
     def gfa2vcf(self, refs: list[str], region: str | None = None) -> DataFrame:
         """(chrom, pos, id, vartype, line) of every call, to be ordered by its first columns."""
         return calling.vcf_lines(self.call(refs, region), self.paths)
+
+    def write_vcf(self, prefixes: list[str], path: str) -> None:
+        """A folder of VCF files per prefix below path, each with its own header."""
+        names = [r[0] for r in graphs.genotype_columns(self.paths).groupBy("hap_col").agg(F.min("sample").alias("s")).orderBy("hap_col").select("s").collect()]
+        for p in prefixes:
+            lengths = graphs.path_lengths(self.steps, self.segments).join(self.references([p]), "path_id").join(self.paths, "path_id")
+            contigs = [(r.name, r.hap_len) for r in lengths.select("name", "hap_len", "path_id").orderBy("path_id").collect()]
+            vcf.write(self.gfa2vcf([p]), vcf.header(contigs, names), f"{path}/{p}")
+
+    def call_collinear(self, ref: str | None = None) -> DataFrame:
+        """Calls without a decomposition, from each path's alignment with one reference path."""
+        first = graphs.first_reference(self.paths, ref).first()
+        if first is None or first[0] is None:
+            raise ValueError(f"no path is called {ref!r}")
+        return collinear.collinear_calls(self.steps, self.segments, self.paths, first[0])
+
+    def validate(self, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(failed records, summary) of sources.vcf.records() against the graph's walks."""
+        claims = written(validate.claims_of_vcf(rec, self.paths), "claims")
+        checked = written(validate.check_calls(claims.select("claim", "path_id", "at"), self.steps), "checked")
+        return validate.failed_records(claims, checked), validate.report(checked)

@@ -56,13 +56,12 @@ def header(contigs: list[tuple[str, int]], names: list[str]) -> list[str]:
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
 
 
-def write(lines: DataFrame, head: list[str], path: str, by: str | None = None) -> None:
+def write(lines: DataFrame, head: list[str], path: str) -> None:
     """Text files of call lines (chrom, pos, id, vartype, line), range-sorted, each file with the header on top.
 
-    With by, a folder per value of that column. Files are cut by range, so nothing is gathered in one task.
+    Files are cut by range, so nothing is gathered in one task; their names sort as their ranges do.
     """
-    keys = ([by] if by else []) + ["chrom", "pos", "id"]
-    parts = lines.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = ("chrom", "pos", "id")
 
     def with_header(it):
         import pandas as pd
@@ -74,7 +73,4 @@ def write(lines: DataFrame, head: list[str], path: str, by: str | None = None) -
                 first = False
             yield pdf[["value"]]
 
-    if by:
-        parts.select(by, F.col("line").alias("value")).write.partitionBy(by).text(path)
-    else:
-        parts.select(F.col("line").alias("value")).mapInPandas(with_header, "value string").write.text(path)
+    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).mapInPandas(with_header, "value string").write.text(path)

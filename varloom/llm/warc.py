@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, new_path
+from ._common import arrow_map, new_path, written
 
 CHUNK = 1 << 20
 READ = 1 << 18
@@ -29,12 +29,12 @@ def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     """(id, url, body, sha1, payload_bytes, record_type, refers_to) of every row; a null body is empty.
 
     Of rows with equal payloads of at least min_revisit_bytes that with the largest id is the response, the others
-    revisit it. Largest ids are found per digest with partial maxima before the shuffle; in the join back the rows of a
-    hot digest can be split over tasks, since nothing above needs them together.
+    revisit it. Largest ids are found per digest with partial maxima before the shuffle and written, so that both sides
+    of the join back are plain exchanges and the rows of a hot digest can be split over tasks.
     """
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("sha1", F.sha1("body"))
-    top = rows.groupBy("sha1").agg(F.max("id").alias("top"))
+    top = written(rows.groupBy("sha1").agg(F.max("id").alias("top")), "tops")
     size = F.octet_length("body").cast("long")
     revisit = (size >= min_revisit_bytes) & (F.col("id") < F.col("top"))
     return rows.join(top, "sha1").select("id", "url", "body", "sha1", size.alias("payload_bytes"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))

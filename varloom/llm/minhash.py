@@ -203,7 +203,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps = written(copies, "reps")
     # buckets with at least two texts, and the text in each that shares most buckets' places
     keyed = reps.select("rep", "n", F.explode("keys").alias("key"))
-    crowd = keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    crowd = written(keyed.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "crowd")
     shared = written(keyed.join(crowd, "key").select("key", "rep", "n", "c"), "buckets")
     members = shared.groupBy("rep").agg((-F.sum("c")).alias("w"))
     text = docs.select(F.col(id_col).alias("id"), text_col)

@@ -127,7 +127,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     start = F.shiftright("pos", 24)
     place = F.col("id").cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)") + start.cast("decimal(13,0)")
     first = c.groupBy("digest").agg(F.min(place).alias("p"), F.count("*").alias("c")).where("c > 1")
-    first = first.select("digest", F.floor(F.col("p") / F.lit(1 << 40).cast("decimal(13,0)")).cast("long").alias("f"), F.pmod("p", F.lit(1 << 40).cast("decimal(13,0)")).cast("long").alias("fs"))
+    first = written(first.select("digest", F.floor(F.col("p") / F.lit(1 << 40).cast("decimal(13,0)")).cast("long").alias("f"), F.pmod("p", F.lit(1 << 40).cast("decimal(13,0)")).cast("long").alias("fs")), "firsts")
     length, words = F.shiftright("pos", 12).bitwiseAND(F.lit(0xFFF)), F.col("pos").bitwiseAND(F.lit(0xFFF))
     hit = c.join(first, "digest").where("id <> f").select("id", start.alias("s"), length.alias("n"), words.alias("w"), "f", "fs")
     # neighbours of one document with the same first document and shift are one run
@@ -136,7 +136,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     runs = hit.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("new").over(per_doc))
     runs = runs.groupBy("id", "run").agg(F.min("s").alias("s"), F.max(F.col("s") + F.col("n")).alias("e"), F.sum("w").alias("w"), F.first("f").alias("f"), F.min("fs").alias("fs"))
     runs = written(runs, "runs")
-    discard(c)
+    discard(c, first)
     # the bytes around both places of a run, from one pass over the texts
     asks = runs.select("id", "run", F.lit(0).alias("side"), F.col("id").alias("at"), "s", "e").unionByName(runs.select("id", "run", F.lit(1).alias("side"), F.col("f").alias("at"), F.col("fs").alias("s"), (F.col("fs") + F.col("e") - F.col("s")).alias("e")))
     body = F.col("text").cast("binary")

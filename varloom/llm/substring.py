@@ -112,7 +112,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """Passages of at least min_words words that stand in a document of smaller id too.
 
     A row per passage: the id column, start and end (bytes of the UTF-8 text, end exclusive, on borders of words),
-    n_words, first_id and first_start (where the same bytes stand before). Rows of one document may overlap; see
+    n_words, first_id and first_start (a place in that document where the same bytes stand). Rows of one document may overlap; see
     merged_spans(). For each passage the copy in the document of smallest id has no row, so one copy always stays.
     Repeats within one document alone are left. The id must be an integer; null ids and null or short texts have no
     passages; of an id that repeats with different texts any row's text may be compared. Words are set apart by ASCII
@@ -125,9 +125,9 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     c = written(chunks(rows, id_col="id", text_col="text", min_words=min_words), "chunks")
     start = F.shiftright("pos", 24)
-    place = F.col("id").cast("decimal(19,0)") * F.lit(1 << 40).cast("decimal(13,0)") + start.cast("decimal(13,0)")
-    first = c.groupBy("digest").agg(F.min(place).alias("p"), F.count("*").alias("c")).where("c > 1")
-    first = written(first.select("digest", F.floor(F.col("p") / F.lit(1 << 40).cast("decimal(13,0)")).cast("long").alias("f"), F.pmod("p", F.lit(1 << 40).cast("decimal(13,0)")).cast("long").alias("fs")), "firsts")
+    # least id with its place: plain numbers, so that partial results are kept by hash and not sorted
+    first = c.groupBy("digest").agg(F.min("id").alias("f"), F.min_by(start, "id").alias("fs"), F.count("*").alias("c")).where("c > 1").select("digest", "f", "fs")
+    first = written(first, "firsts")
     length, words = F.shiftright("pos", 12).bitwiseAND(F.lit(0xFFF)), F.col("pos").bitwiseAND(F.lit(0xFFF))
     hit = c.join(first, "digest").where("id <> f").select("id", start.alias("s"), length.alias("n"), words.alias("w"), "f", "fs")
     # neighbours of one document with the same first document and shift are one run

@@ -67,15 +67,16 @@ def borders(data: np.ndarray, window: int = WINDOW, max_chunk: int = MAX_CHUNK)
 
 
 def chunks(docs: DataFrame, *, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(digest, id, pos) of every chunk of every whole text that may hold min_words words.
+    """(id, digest, pos, lead) of every chunk of every whole text that may hold min_words words.
 
-    pos packs start << 24 | length << 12 | words that begin in the chunk, in bytes of UTF-8.
+    pos packs start << 24 | length << 12 | words that begin in the chunk, in bytes of UTF-8; lead is the start of the
+    text's first chunk with the same digest.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, digest, pos, held = [], [], [], 0
+            take, digest, pos, lead, held = [], [], [], [], 0
             for i, x in enumerate(batch.column(1)):
                 buf = x.as_buffer() if x.is_valid else b""
                 if len(buf) < 2 * min_words - 1:
@@ -90,29 +91,31 @@ def chunks(docs: DataFrame, *, id_col: str, text_col: str, min_words: int) -> Da
                 ends = borders(data)
                 starts = np.concatenate([[0], ends[:-1]])
                 view = memoryview(buf)
-                digest += [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
+                own = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+                _, first, which = np.unique(own, return_index=True, return_inverse=True)
+                digest.append(own.view(np.int64))
+                lead.append(starts[first[which]])
                 pos.append(starts << 24 | (ends - starts) << 12 | (so_far[ends] - so_far[starts]))
                 take.append(np.full(len(ends), i))
                 held += len(ends)
                 if held > 200_000:
-                    yield _batch(batch, take, digest, pos)
-                    take, digest, pos, held = [], [], [], 0
-            yield _batch(batch, take, digest, pos)
+                    yield _batch(batch, take, digest, pos, lead)
+                    take, digest, pos, lead, held = [], [], [], [], 0
+            yield _batch(batch, take, digest, pos, lead)
 
-    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, digest long, pos long")
+    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, digest long, pos long, lead long")
 
 
-def _batch(batch: pa.RecordBatch, take: list, digest: list, pos: list) -> pa.RecordBatch:
-    if not take:
-        return pa.RecordBatch.from_arrays([batch.column(0).slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.int64())], names=["id", "digest", "pos"])
-    return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.concatenate(take))), pa.array(np.array(digest, np.uint64).view(np.int64)), pa.array(np.concatenate(pos))], names=["id", "digest", "pos"])
+def _batch(batch: pa.RecordBatch, take: list, *columns: list) -> pa.RecordBatch:
+    joined = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (take, *columns)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(joined[0]), *joined[1:]], names=["id", "digest", "pos", "lead"])
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Passages of at least min_words words that stand in a document of smaller id too.
 
     A row per passage: the id column, start and end (bytes of the UTF-8 text, end exclusive, on borders of words),
-    n_words, first_id and first_start (a place in that document where the same bytes stand). Rows of one document may overlap; see
+    n_words, first_id and first_start (where the same bytes stand before). Rows of one document may overlap; see
     merged_spans(). For each passage the copy in the document of smallest id has no row, so one copy always stays.
     Repeats within one document alone are left. The id must be an integer; null ids and null or short texts have no
     passages; of an id that repeats with different texts any row's text may be compared. Words are set apart by ASCII
@@ -126,7 +129,7 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     c = written(chunks(rows, id_col="id", text_col="text", min_words=min_words), "chunks")
     start = F.shiftright("pos", 24)
     # least id with its place: plain numbers, so that partial results are kept by hash and not sorted
-    first = c.groupBy("digest").agg(F.min("id").alias("f"), F.min_by(start, "id").alias("fs"), F.count("*").alias("c")).where("c > 1").select("digest", "f", "fs")
+    first = c.groupBy("digest").agg(F.min("id").alias("f"), F.min_by("lead", "id").alias("fs"), F.count("*").alias("c")).where("c > 1").select("digest", "f", "fs")
     first = written(first, "firsts")
     length, words = F.shiftright("pos", 12).bitwiseAND(F.lit(0xFFF)), F.col("pos").bitwiseAND(F.lit(0xFFF))
     hit = c.join(first, "digest").where("id <> f").select("id", start.alias("s"), length.alias("n"), words.alias("w"), "f", "fs")

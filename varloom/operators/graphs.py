@@ -7,11 +7,13 @@ paths(path_id, name)             steps(path_id, step_idx, seg_id, strand)   stra
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pansn
 from ..plans.durable import discard, written
+from ..session import on_workers
 
 
 def bidirected(links: DataFrame) -> DataFrame:
@@ -33,13 +35,41 @@ def tips(segments: DataFrame, links: DataFrame) -> DataFrame:
     return d.where("deg_l = 0").select("seg_id", F.lit("l").alias("side")).unionByName(d.where("deg_r = 0 AND deg_l > 0").select("seg_id", F.lit("r").alias("side")))
 
 
+def _forests(it):
+    """Each batch of edges (u, v) as edges of its nodes to the smallest node that they reach within the batch."""
+    for pdf in it:
+        up: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            at = x
+            while up.setdefault(at, at) != at:
+                at = up[at]
+            while up[x] != at:
+                up[x], x = at, up[x]
+            return at
+
+        for u, v in zip(pdf.u.tolist(), pdf.v.tolist()):
+            x, y = find(u), find(v)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+        nodes = list(up)
+        roots = [find(x) for x in nodes]
+        yield pd.DataFrame([(x, r) for x, r in zip(nodes, roots) if x != r], columns=["u", "v"])
+
+
 def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, root) of every node(id): the smallest id that edges(a, b) reach from it.
 
-    Alternating large-star and small-star rounds, each written durably; rounds grow with the logarithm of the diameter.
+    Edges are range-sorted and each batch of them is shrunk to a forest of depth one, which shortens long chains of
+    neighbouring ids. Then large-star and small-star rounds alternate, each written durably; their number grows with the
+    logarithm of what diameter is left.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
-    stamp = None
+    on_workers(edges.sparkSession)
+    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    e = e.repartitionByRange("v", "u").sortWithinPartitions("v", "u").mapInPandas(_forests, "u long, v long")
+    e = written(e.distinct(), "star")
+    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    stamp = mark(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -47,7 +77,7 @@ def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
         nxt = written(small.select("x.u", "x.v").where("u <> v").distinct(), "star")
-        now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = mark(nxt)
         discard(e)
         e = nxt
         if now == stamp:

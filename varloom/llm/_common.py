@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,25 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def release() -> None:
+    """Give memory that this process has freed back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     """df.mapInArrow(run, schema), with this package importable where it runs."""
     on_workers(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches):
+        for out in run(batches):
+            yield out
+            release()
+
+    return df.mapInArrow(task, schema)
 
 
 def new_path(spark: SparkSession, name: str) -> str:

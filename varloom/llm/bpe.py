@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from ._common import arrow_map
 
 #: Entries in each of the two generations of a worker's cache of encoded chunks. Results don't depend on it.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 
 def byte_alphabet() -> list[str]:
@@ -257,7 +257,11 @@ def joined_ids(entries: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.
     first = np.cumsum(size) - size
     n = size[codes]
     at = np.concatenate([[0], np.cumsum(n)])
-    return flat[np.repeat(first[codes] - at[:-1], n) + np.arange(at[-1])], at
+    out = np.empty(at[-1], "<u4")
+    for a in range(0, len(codes), 100_000):  # indices take more memory than ids
+        b = min(len(codes), a + 100_000)
+        out[at[a] : at[b]] = flat[np.repeat(first[codes[a:b]] - at[a:b], n[a:b]) + np.arange(at[a], at[b])]
+    return out, at
 
 
 _BY_PATH: dict[str, tuple[PrefixBPE, Vocabulary]] = {}

@@ -57,8 +57,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document with their places in sequences."""
-    return packing.pack_documents(docs, tokenizer_path())
+    """The pieces of every document with their places in sequences.
+
+    Small batches: the workers still hold what earlier stages left in their memory.
+    """
+    return packing.pack_documents(docs, tokenizer_path(), batch_rows=1000, cache_entries=20_000)
 
 
 STAGES = [

@@ -211,14 +211,14 @@ class Vocabulary:
     with a comma or full stop behind it, and (the normaliser lowers case) the forms of an ASCII chunk in other case.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
-        self.encode_many = encode_many
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
+        self.encode_many, self.entries = encode_many, entries
         self.tails = dict(zip(",.", encode_many([",", "."])))
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
     def of(self, chunks: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_ENTRIES:
+        if len(self.known) > self.entries:
             self.older, self.known = self.known, {}
         known, older = self.known, self.older
         keys, tails, todo = [], [], set()

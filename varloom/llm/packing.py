@@ -21,22 +21,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, written
-from .bpe import Vocabulary, batches_of_chunks, joined_ids
+from .bpe import CACHE_ENTRIES, Vocabulary, batches_of_chunks, joined_ids
 
 CAPACITY = 4096
 END_ID = 1
+#: Documents whose distinct chunks are encoded together.
+BATCH_ROWS = 4000
 #: Rows of one length that are ranked together.
 RANK_ROWS = 20_000
 #: Places that are sent to every task; more are joined instead.
 MAX_SENT = 1_000_000
 
 
-_BY_PATH: dict[str, Vocabulary] = {}
+_BY_PATH: dict[tuple[str, int], Vocabulary] = {}
 
 
-def _vocabulary(path: str) -> Vocabulary:
+def _vocabulary(path: str, entries: int = CACHE_ENTRIES) -> Vocabulary:
     """The process's ids by the tokenizers library, which encodes each chunk once."""
-    if path not in _BY_PATH:
+    if (path, entries) not in _BY_PATH:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -47,24 +49,24 @@ def _vocabulary(path: str) -> Vocabulary:
         def encode_many(texts: list[str]) -> list[bytes]:
             return [array("I", e.ids).tobytes() for at in range(0, len(texts), 5000) for e in tok.encode_batch_fast(texts[at : at + 5000], add_special_tokens=False)]
 
-        _BY_PATH[path] = Vocabulary(encode_many)
-    return _BY_PATH[path]
+        _BY_PATH[path, entries] = Vocabulary(encode_many, entries)
+    return _BY_PATH[path, entries]
 
 
-def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False, batch_rows: int = BATCH_ROWS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """(id, piece, start, length, ids_crc32[, ids]) of every document: its ids and end_id, cut only beyond capacity.
 
-    A null text counts as empty and gives one piece that holds end_id alone.
+    Fewer batch_rows and cache_entries take less memory and more time, and change nothing else. A null text counts as empty and gives one piece that holds end_id alone.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = _vocabulary(path)
+        vocabulary = _vocabulary(path, cache_entries)
         for batch in batches:
             take, piece, start, length, crc, all_ids = [], [], [], [], [], []
             i = -1
-            for offsets, codes, chunks in batches_of_chunks(batch.column(1)):
+            for offsets, codes, chunks in batches_of_chunks(batch.column(1), batch_rows):
                 tokens, at = joined_ids(vocabulary.of(chunks), codes)
                 for x, y in zip(at[offsets[:-1]].tolist(), at[offsets[1:]].tolist()):
                     i += 1
@@ -173,6 +175,6 @@ def pack(rows: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY) -
     return arrow_map(ranked.select(*rows.columns, "rank"), run, fields + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, batch_rows: int = BATCH_ROWS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """pieces() written to the shared folder, then pack()."""
-    return pack(written(pieces(docs, path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id), "pieces"), id_col=id_col, capacity=capacity)
+    return pack(written(pieces(docs, path, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id, batch_rows=batch_rows, cache_entries=cache_entries), "pieces"), id_col=id_col, capacity=capacity)

@@ -26,8 +26,9 @@ def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
     flat = pc.dictionary_encode(lists.flatten())
     flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    unique = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
-    keep = np.fromiter((w != "" for w in flat.dictionary.to_pylist()), bool, len(flat.dictionary))
+    distinct = flat.dictionary.to_pylist()
+    unique = np.fromiter((xxhash.xxh3_64_intdigest(w.encode()) for w in distinct), np.uint64, len(distinct))
+    keep = np.fromiter(map(bool, distinct), bool, len(distinct))
     code = flat.indices.to_numpy()
     h, ok = (unique[code], keep[code]) if len(code) else (np.zeros(0, np.uint64), np.zeros(0, bool))
     off = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists.offsets) else 0)

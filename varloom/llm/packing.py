@@ -26,7 +26,7 @@ from .bpe import CACHE_ENTRIES, Vocabulary, batches_of_chunks, joined_ids
 CAPACITY = 4096
 END_ID = 1
 #: Documents whose distinct chunks are encoded together.
-BATCH_ROWS = 4000
+BATCH_ROWS = 8000
 #: Rows of one length that are ranked together.
 RANK_ROWS = 20_000
 #: Places that are sent to every task; more are joined instead.

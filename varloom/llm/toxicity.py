@@ -52,7 +52,14 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, *, max_fe
     n_p, n_u = len(positive), len(unlabelled)
     keys, p = np.unique(np.concatenate(hashed[0]), return_counts=True)
     keys, p = keys[p >= 3], p[p >= 3]
-    place = lambda h: np.searchsorted(keys, h)[np.isin(h, keys)]
+
+    def place(h: np.ndarray) -> np.ndarray:
+        """Where those of h that are among keys stand."""
+        if not len(keys):
+            return np.zeros(0, np.int64)
+        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return i[keys[i] == h]
+
     u = np.zeros(len(keys), np.int64)
     for h in hashed[1]:
         u[place(h)] += 1
@@ -61,13 +68,13 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, *, max_fe
     best = np.argsort(-z, kind="stable")[: min(max_features, int((z > 3).sum()))]
     keys = np.sort(keys[best])
     name = {}
+    wanted = set(keys.tolist())
     for t in positive:
         for f in features(t):
             h = xxhash.xxh3_64_intdigest(f.encode())
-            i = np.searchsorted(keys, np.uint64(h))
-            if i < len(keys) and keys[i] == h:
-                name[int(i)] = f
-    names = [name[i] for i in range(len(keys))]
+            if h in wanted:
+                name[h] = f
+    names = [name[k] for k in keys.tolist()]
 
     def sparse(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         cols = [place(h) for h in side]

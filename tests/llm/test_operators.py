@@ -152,6 +152,39 @@ def test_passages_on_odd_tables(spark, odd, none):
     assert left[50].strip() == "" and len(left[5]) > 1000
 
 
+def whole_repeats(text, got):
+    """Holds rows against every window of 50 words of each text, by brute force."""
+    first, want = {}, collections.defaultdict(set)
+    for i in sorted(text):
+        at = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", text[i].encode())]
+        for k in range(len(at) - 49):
+            if first.setdefault(text[i].encode()[at[k][0] : at[k + 49][1]], i) != i:
+                want[i] |= {a for a, _ in at[k : k + 50]}
+    have = collections.defaultdict(set)
+    for r in got:
+        raw, other = text[r.doc_id].encode(), text[r.first_id].encode()
+        assert raw[r.start : r.end] == other[r.first_start : r.first_start + r.end - r.start]
+        assert len(raw[r.start : r.end].split()) == r.n_words >= 50 and r.first_id < r.doc_id
+        have[r.doc_id] |= {m.start() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw) if r.start <= m.start() < r.end}
+    assert have == want
+    return want
+
+
+def test_passages_of_short_words(spark):
+    rng = random.Random(6)
+
+    def short(n):
+        return " ".join("".join(rng.choice("abcdefghij0123456789") for _ in range(rng.randrange(1, 4))) for _ in range(n))
+
+    text = {}
+    for i in range(80):
+        part = short(51)
+        text[2 * i], text[2 * i + 1] = (f"{short(rng.randrange(90))} {part}\n{short(rng.randrange(90))}" for _ in range(2))
+    text[500], text[501] = " ".join("x" * 50), "y " + " ".join("x" * 70)  # 99 bytes hold 50 words
+    got = substring.repeated_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    assert len(whole_repeats(text, got)) == 81
+
+
 # ---- BPE
 
 

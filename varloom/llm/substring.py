@@ -1,4 +1,4 @@
-"""Substring dedup: content-defined chunks under a gear rolling hash, equal chunks met by digest, matches grown exactly."""
+"""Substring dedup: chunks of words under a rolling hash find what may repeat, digests of whole word windows what does."""
 
 from __future__ import annotations
 
@@ -14,17 +14,17 @@ from ._common import arrow_map, discard, written
 from .shingles import mix
 
 MIN_WORDS = 50
-#: A border stands where the rolling hash (over 32 bytes) is the least of a window of so many places. So borders are 48
-#: bytes apart on average, and any stretch of 32 + 2 * 96 bytes, wherever it stands, holds a whole chunk of its own.
+#: A border of words stands where the hash of so many words is the least of a window of places; see window_of().
+SPAN = 3
+#: For borders() of plain bytes.
 WINDOW = 96
 MAX_CHUNK = 4095
-#: Bytes on either side of a run that are compared to grow it: over 32 + 2 * WINDOW, what borders can leave unmatched.
-CONTEXT = 256
-#: Bytes of the run itself that go along, to find the ends of words cut at its borders.
-INSIDE = 64
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.where(_BLANK, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64)))
+_POWER = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
+_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -35,6 +35,18 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _least(key: np.ndarray, window: int) -> np.ndarray:
+    """The least of each window of keys."""
+    least, span = key, 1
+    while span * 2 <= window:
+        least = np.minimum(least[: len(least) - span], least[span:])
+        span *= 2
+    if span < window:
+        n = len(key)
+        least = np.minimum(least[: n - window + 1], least[window - span : n - span + 1])
+    return least
+
+
 def borders(data: np.ndarray, window: int = WINDOW, max_chunk: int = MAX_CHUNK) -> np.ndarray:
     """Ends of the chunks of one text's bytes, its length last.
 
@@ -45,12 +57,7 @@ def borders(data: np.ndarray, window: int = WINDOW, max_chunk: int = MAX_CHUNK)
     if n <= window:
         return np.array([n] if n else [], np.int64)
     key = gear(data).astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
-    least, span = key, 1
-    while span * 2 <= window:
-        least = np.minimum(least[: len(least) - span], least[span:])
-        span *= 2
-    if span < window:
-        least = np.minimum(least[: n - window + 1], least[window - span : n - span + 1])
+    least = _least(key, window)
     change = np.flatnonzero(least[1:] != least[:-1]) + 1
     chosen = np.unique(np.concatenate([least[:1], least[change]]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     if len(chosen) > 1:
@@ -66,49 +73,118 @@ def borders(data: np.ndarray, window: int = WINDOW, max_chunk: int = MAX_CHUNK)
     return ends
 
 
-def chunks(docs: DataFrame, *, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, digest, pos, lead) of every chunk of every whole text that may hold min_words words.
+def window_of(min_words: int) -> tuple[int, int]:
+    """(words hashed, places compared) such that any min_words words, however short, decide two borders by themselves."""
+    if min_words < 2:
+        raise ValueError("min_words must be 2 at least")
+    span = min(SPAN, min_words - 1)
+    return span, (min_words - span + 1) // 2
+
+
+def word_borders(data: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(starts, ends, least, chosen) of one text's bytes; None where it has fewer than min_words words.
 
-    pos packs start << 24 | length << 12 | words that begin in the chunk, in bytes of UTF-8; lead is the start of the
-    text's first chunk with the same digest.
+    starts and ends: of words, in bytes. least: per window of places the word that is its border (the first of equals).
+    chosen: those words, each once. The words i to i + min_words - 1 hold the places whose windows are i to
+    i + min_words - span + 1 - window, so least of the first and last of these are borders wherever those words stand,
+    and so are all between; the two windows share no place, so there is a whole chunk between them.
     """
+    blank = _BLANK[data]
+    begins = ~blank
+    stops = begins.copy()
+    begins[1:] &= blank[:-1]
+    starts = np.flatnonzero(begins)
+    if len(starts) < min_words:
+        return None
+    stops[:-1] &= blank[1:]
+    ends = np.flatnonzero(stops) + 1
+    at = starts[0]
+    offset = np.arange(at, len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
+    word = mix(np.add.reduceat(_BYTE[data[at:]] * _POWER[offset & 1023], starts - at))
+    span, window = window_of(min_words)
+    n = len(word) - span + 1
+    key = word[:n].copy()
+    for k in range(1, span):
+        key = key * _C1 + word[k : k + n] * _C2
+    key = mix(key) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
+    least = (_least(key, window) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return starts, ends, least, least[np.append(True, least[1:] != least[:-1])]
+
+
+def _of(x: pa.Scalar, min_words: int) -> tuple | None:
+    buf = x.as_buffer() if x.is_valid else b""
+    if len(buf) < 2 * min_words - 1:
+        return None
+    got = word_borders(np.frombuffer(buf, np.uint8), min_words)
+    return got and (memoryview(buf), *got)
+
+
+def _digests(view: memoryview, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    own = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
+    return own.view(np.int64)
+
+
+def _batch(batch: pa.RecordBatch, names: list[str], take: list, *columns: list) -> pa.RecordBatch:
+    joined = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (take, *columns)]
+    return pa.RecordBatch.from_arrays([batch.column(0).take(joined[0]), *joined[1:]], names=["id", *names])
+
+
+def _rows(batches: Iterator[pa.RecordBatch], names: list[str], of_row, most: int = 200_000) -> Iterator[pa.RecordBatch]:
+    """The columns that of_row(batch, i) returns (or None) for each row, with its id, in batches of about `most` rows."""
+    for batch in batches:
+        cols, held = [[] for _ in range(len(names) + 1)], 0
+        for i in range(batch.num_rows):
+            got = of_row(batch, i)
+            if got is None:
+                continue
+            for c, x in zip(cols, (np.full(len(got[0]), i), *got)):
+                c.append(x)
+            held += len(got[0])
+            if held > most:
+                yield _batch(batch, names, *cols)
+                cols, held = [[] for _ in range(len(names) + 1)], 0
+        yield _batch(batch, names, *cols)
+
+
+def chunks(docs: DataFrame, *, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(id, digest, pos) of every chunk between two borders of every whole text of min_words words; pos: its first word."""
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            take, digest, pos, lead, held = [], [], [], [], 0
-            for i, x in enumerate(batch.column(1)):
-                buf = x.as_buffer() if x.is_valid else b""
-                if len(buf) < 2 * min_words - 1:
-                    continue
-                data = np.frombuffer(buf, np.uint8)
-                blank = _BLANK[data]
-                begins = ~blank
-                begins[1:] &= blank[:-1]
-                so_far = np.concatenate([[0], np.cumsum(begins)])
-                if so_far[-1] < min_words:
-                    continue
-                ends = borders(data)
-                starts = np.concatenate([[0], ends[:-1]])
-                view = memoryview(buf)
-                own = np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist())], np.uint64)
-                _, first, which = np.unique(own, return_index=True, return_inverse=True)
-                digest.append(own.view(np.int64))
-                lead.append(starts[first[which]])
-                pos.append(starts << 24 | (ends - starts) << 12 | (so_far[ends] - so_far[starts]))
-                take.append(np.full(len(ends), i))
-                held += len(ends)
-                if held > 200_000:
-                    yield _batch(batch, take, digest, pos, lead)
-                    take, digest, pos, lead, held = [], [], [], [], 0
-            yield _batch(batch, take, digest, pos, lead)
-
-    return arrow_map(docs.select(id_col, text_col), run, f"id {kind}, digest long, pos long, lead long")
-
-
-def _batch(batch: pa.RecordBatch, take: list, *columns: list) -> pa.RecordBatch:
-    joined = [pa.array(np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64)) for x in (take, *columns)]
-    return pa.RecordBatch.from_arrays([batch.column(0).take(joined[0]), *joined[1:]], names=["id", "digest", "pos", "lead"])
+    def of_row(batch: pa.RecordBatch, i: int) -> tuple | None:
+        got = _of(batch.column(1)[i], min_words)
+        if got is None:
+            return None
+        view, starts, _, _, chosen = got
+        return _digests(view, starts[chosen[:-1]], starts[chosen[1:]]), chosen[:-1]
+
+    return arrow_map(docs.select(id_col, text_col), lambda b: _rows(b, ["digest", "pos"], of_row), f"id {kind}, digest long, pos long")
+
+
+def windows(docs: DataFrame, *, min_words: int) -> DataFrame:
+    """(id, digest, pos, size, back) of every window of min_words words all of whose chunks are in hits.
+
+    docs: id, text, hits (first words of the chunks that another document holds too). pos packs start << 32 | number of
+    the first word; start and size in bytes of UTF-8; back is how far before stands the text's first such window.
+    """
+    span, window = window_of(min_words)
+    far = min_words - span + 1 - window
+
+    def of_row(batch: pa.RecordBatch, i: int) -> tuple | None:
+        got = _of(batch.column(1)[i], min_words)
+        if got is None:
+            return None
+        view, starts, ends, least, chosen = got
+        missing = np.append(0, np.cumsum(~np.isin(chosen[:-1], batch.column(2)[i].values.to_numpy())))
+        place = np.cumsum(np.append(0, least[1:] != least[:-1]))  # of least in chosen
+        first = np.flatnonzero(missing[place[far:]] == missing[place[: len(place) - far]])
+        if not len(first):
+            return None
+        a, b = starts[first], ends[first + min_words - 1]
+        digest = _digests(view, a, b)
+        _, lead, which = np.unique(digest, return_index=True, return_inverse=True)
+        return digest, a << 32 | first, b - a, a - a[lead[which]]
+
+    return arrow_map(docs.select("id", "text", "hits"), lambda b: _rows(b, ["digest", "pos", "size", "back"], of_row), "id long, digest long, pos long, size long, back long")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -116,86 +192,35 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
 
     A row per passage: the id column, start and end (bytes of the UTF-8 text, end exclusive, on borders of words),
     n_words, first_id and first_start (where the same bytes stand before). Rows of one document may overlap; see
-    merged_spans(). For each passage the copy in the document of smallest id has no row, so one copy always stays.
-    Repeats within one document alone are left. The id must be an integer; null ids and null or short texts have no
-    passages; of an id that repeats with different texts any row's text may be compared. Words are set apart by ASCII
-    white space.
-
-    Chunks meet by a 64-bit digest: partial minima find each digest's first place, and joins whose hot digests can be
-    split bring it back. Runs of chunks with the same first document and shift become one row, and only their borders'
-    contexts (256 bytes each) travel to be compared, so what a chunk border left out on either side is added exactly.
+    merged_spans(). Every window of min_words words that an earlier document holds is in a row; its partner is the
+    document of smallest id with that window, so one copy always stays. Repeats within one document alone are left. The
+    id must be an integer; null ids and null or short texts have no passages; of an id that repeats with different texts
+    any row's text may be compared. Words are set apart by ASCII white space.
+
+    Whatever two documents share of min_words words holds a chunk with the same borders in both, so only windows whose
+    chunks all stand in two documents are looked at. These meet by a 64-bit digest of all their bytes: partial minima find
+    each digest's first place, and joins whose hot digests can be split bring it back. Windows one word apart with the
+    same first document and shift become one row.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     c = written(chunks(rows, id_col="id", text_col="text", min_words=min_words), "chunks")
-    start = F.shiftright("pos", 24)
+    both = c.groupBy("digest").agg(F.min("id").alias("f"), F.max("id").alias("m")).where("f < m").select("digest")
+    both = written(both, "shared")
+    hits = written(c.join(both, "digest").groupBy("id").agg(F.collect_list("pos").alias("hits")), "hits")
+    discard(c, both)
+    w = written(windows(rows.join(hits, "id"), min_words=min_words), "windows")
+    discard(hits)
     # least id with its place: plain numbers, so that partial results are kept by hash and not sorted
-    first = c.groupBy("digest").agg(F.min("id").alias("f"), F.min_by("lead", "id").alias("fs"), F.count("*").alias("c")).where("c > 1").select("digest", "f", "fs")
+    start, number = F.shiftright("pos", 32), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF))
+    first = w.select("id", "digest", (start - F.col("back")).alias("lead")).groupBy("digest").agg(F.min("id").alias("f"), F.min_by("lead", "id").alias("fs"), F.max("id").alias("m")).where("f < m").select("digest", "f", "fs")
     first = written(first, "firsts")
-    length, words = F.shiftright("pos", 12).bitwiseAND(F.lit(0xFFF)), F.col("pos").bitwiseAND(F.lit(0xFFF))
-    hit = c.join(first, "digest").where("id <> f").select("id", start.alias("s"), length.alias("n"), words.alias("w"), "f", "fs")
-    # neighbours of one document with the same first document and shift are one run
-    per_doc = Window.partitionBy("id").orderBy("s", "f", "fs")
-    joins = (F.lag(F.col("s") + F.col("n")).over(per_doc) == F.col("s")) & (F.lag("f").over(per_doc) == F.col("f")) & (F.lag(F.col("fs") - F.col("s")).over(per_doc) == F.col("fs") - F.col("s"))
+    hit = w.join(first, "digest").where("id <> f").select("id", start.alias("s"), (start + F.col("size")).alias("e"), number.alias("k"), "f", "fs")
+    # windows of one document one word apart with the same first document and shift are one passage
+    per_doc = Window.partitionBy("id").orderBy("k", "s", "f", "fs")
+    joins = (F.col("k") - F.lag("k").over(per_doc) <= 1) & (F.lag("f").over(per_doc) == F.col("f")) & (F.lag(F.col("fs") - F.col("s")).over(per_doc) == F.col("fs") - F.col("s"))
     runs = hit.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("new").over(per_doc))
-    runs = runs.groupBy("id", "run").agg(F.min("s").alias("s"), F.max(F.col("s") + F.col("n")).alias("e"), F.sum("w").alias("w"), F.first("f").alias("f"), F.min("fs").alias("fs"))
-    runs = written(runs, "runs")
-    discard(c, first)
-    # the bytes around both places of a run, from one pass over the texts
-    asks = runs.select("id", "run", F.lit(0).alias("side"), F.col("id").alias("at"), "s", "e").unionByName(runs.select("id", "run", F.lit(1).alias("side"), F.col("f").alias("at"), F.col("fs").alias("s"), (F.col("fs") + F.col("e") - F.col("s")).alias("e")))
-    body = F.col("text").cast("binary")
-    low, high = F.greatest(F.lit(0), F.col("s") - CONTEXT), F.greatest(F.col("s"), F.col("e") - INSIDE)
-    before = body.substr((low + 1).cast("int"), (F.least(F.col("e"), F.col("s") + INSIDE) - low).cast("int"))
-    after = body.substr((high + 1).cast("int"), (F.col("e") + CONTEXT - high).cast("int"))
-    got = asks.join(rows.withColumnRenamed("id", "at"), "at").select("id", "run", "side", before.alias("l"), after.alias("r"))
-    own, other = got.where("side = 0").select("id", "run", "l", "r"), got.where("side = 1").select("id", "run", F.col("l").alias("fl"), F.col("r").alias("fr"))
-    both = runs.join(own, ["id", "run"]).join(other, ["id", "run"]).select("id", "s", "e", "w", "f", "fs", "l", "r", "fl", "fr")
-    grown = arrow_map(both, _grow, "id long, start long, end long, n_words long, first_id long, first_start long")
-    return grown.where(F.col("n_words") >= min_words).distinct().withColumnRenamed("id", id_col)
-
-
-def _grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds to a run what its contexts share, then leaves out words cut at either end."""
-    blank = b" \t\n\x0b\x0c\r"
-
-    def shared(a: bytes, b: bytes) -> int:
-        n = min(len(a), len(b))
-        if a[:n] == b[:n]:
-            return n
-        return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
-
-    def begin(x: bytes, a: int, b: int, opens: bool) -> int:
-        """Words that begin in x[a:b]; opens: whether x itself begins a text."""
-        return sum(1 for i in range(a, b) if x[i] not in blank and (x[i - 1] in blank if i else opens))
-
-    for batch in batches:
-        out = []
-        for d, s, e, w, f, fs, l, r, fl, fr in zip(*(batch.column(i).to_pylist() for i in range(10))):
-            at, f_at = min(s, CONTEXT), min(fs, CONTEXT)  # of the run's start in l and fl
-            left = shared(l[:at][::-1], fl[:f_at][::-1])
-            end = min(INSIDE, e - s)  # of the run's end in r and fr
-            right = shared(r[end:], fr[end:])
-            a, b = at - left, end + right
-            start, stop = s - left, e + right
-            w += begin(l, a, at, start == 0) + begin(r, end, b, False)
-            # the rest of a word that began before, also where the context is used up: it was not counted
-            if start and l[a] not in blank and (not a or l[a - 1] not in blank):
-                cut = next((i for i in range(a, len(l)) if l[i] in blank), None)
-                if cut is None:
-                    continue  # within one word
-                start += cut - a
-            # the front of a word that goes on, or may
-            more = len(r) == end + CONTEXT if b == len(r) else r[b] not in blank
-            if more and r[b - 1] not in blank:
-                cut = max(r.rfind(c, 0, b) for c in blank)
-                if cut < 0:
-                    continue
-                stop -= b - cut
-                w -= 1
-            if start >= stop:
-                continue
-            out.append((d, start, stop, w, f, fs + start - s))
-        cols = list(zip(*out)) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.int64()) for x in cols], names=["id", "start", "end", "n_words", "first_id", "first_start"])
+    runs = runs.groupBy("id", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), (F.max("k") - F.min("k") + min_words).alias("n_words"), F.min("f").alias("first_id"), F.min("fs").alias("first_start"))
+    return runs.drop("run").withColumnRenamed("id", id_col)
 
 
 def merged_spans(passages: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

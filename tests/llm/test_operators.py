@@ -185,6 +185,26 @@ def test_passages_of_short_words(spark):
     assert len(whole_repeats(text, got)) == 81
 
 
+def test_passages_of_lines_that_stand_apart_before(spark):
+    rng = random.Random(7)
+
+    def wide(n, letters):
+        return " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(8, 14))) for _ in range(n))
+
+    text = {}
+    for i, letters in enumerate(["абвгдежзиклмно", "αβγδεζηθικλ", "अआइईउऊएऐ", "abcdefgh_0"] * 4):
+        lines = [wide(rng.choice((20, 45, 49)), letters) for _ in range(4)]
+        for k, x in enumerate(lines):
+            text[10 * i + k] = f"{wide(30, letters)}\n{x}\n{wide(30, letters)}"
+        text[10 * i + 4] = "\n".join(lines)
+        text[10 * i + 5] = f"{wide(9, letters)}\n" + "\n".join(lines)
+        text[10 * i + 6] = "\n".join(lines[1:]) + f"\n{wide(60, letters)}"
+    text[900], text[901] = "wort " * 400, "ein " + "wort " * 300
+    got = substring.repeated_passages(spark.createDataFrame(list(text.items()), "doc_id long, text string")).collect()
+    want = whole_repeats(text, got)
+    assert {10 * i + 5 for i in range(16)} | {901} <= set(want)
+
+
 # ---- BPE
 
 

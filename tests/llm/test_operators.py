@@ -357,6 +357,29 @@ def test_html_never_fails(page):
     assert isinstance(html_text.render(page), str)
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<table><colgroup><col><col><tr><td>a<td>b<tr><td>c</table>d", "a  b\nc\n\nd"),
+        ("<table><caption>t<colgroup><col><tbody><tr><td>a</table>", "t\na"),
+        ("<table><colgroup><col>x<td>a<tr><td>b</table>", "x\n\na\nb"),
+        ("<table><form><tr><td>a<td>b</tr></form></table>", "a  b"),
+        ("<table><center><tr><td>a<td>b</center></table>", "a  b"),
+        ("<table><tr><form><td>a</td><td>b</td></form></tr><tr><td>c</table>", "a  b\nc"),
+        ("<table>one <b>two</b><tr><td>a</td>three<td>b<tr><td>c</table>", "one two\nthree\n\na  b\nc"),
+        ("<table><div>x</div><tr><td>a</table>", "x\n\na"),
+        ("<table><tr><td>a<td>b</td><table><tr><td>c</table>", "a  b\n\nc"),
+        ("x <math><mi>y</mi><mo>=</mo><annotation>tex</annotation></math>", "x y="),
+        ("<svg>no<title>no</title><desc>no</desc><text>one</text><g><text>two <tspan>b</tspan></text></g></svg>", "one\ntwo b"),
+        ("<object data=a.pdf><param name=x>instead</object>", "instead"),
+        ("<p>pick <select><optgroup label=L><option>a<option>b</select>", "pick\nL\na\nb"),
+        ("<table>" + "<div>" * 5000 + "<tr><td>a<td>b", "a  b"),
+    ],
+)
+def test_html_text_around_cells(page, want):
+    assert html_text.render(page) == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, None, None), (3, "u", ""), (None, "u", "b"), (1, "u", "<p>a</p>")], "page_id long, url string, html string")
     got = sorted(map(tuple, html_text.extract_text(pages).collect()), key=str)

@@ -13,28 +13,31 @@ from pyspark.sql import DataFrame
 from ._common import arrow_map
 
 #: Element classes of the HTML standard. Fixed values.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-HIDDEN = frozenset("head title script style template noscript noframes iframe object audio video canvas svg math datalist select".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+HIDDEN = frozenset("head title script style template noscript noframes iframe audio video canvas datalist".split())
+#: Not drawn within these.
+HIDDEN_IN = {"svg": frozenset("desc metadata defs symbol clippath mask pattern marker".split()), "math": frozenset(["annotation", "annotation-xml"])}
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption".split()
+    "header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption".split()
 )
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())  # set off by an empty line
-CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption legend summary".split())
+CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption legend summary optgroup option".split())
 #: An opening tag closes these open elements, up to one of the scopes.
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
-    "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
-    "tr": (frozenset(["tr", "td", "th"]), frozenset(["table"])),
-    "tbody": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])),
-    "thead": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])),
-    "tfoot": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table"])),
-}
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    "td": (frozenset(["td", "th", "caption", "colgroup"]), frozenset(["tr", "table"])),
+    "th": (frozenset(["td", "th", "caption", "colgroup"]), frozenset(["tr", "table"])),
+    "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])),
+    "col": (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption"]), frozenset(["table", "colgroup"])),
+} | dict.fromkeys(["tbody", "thead", "tfoot", "caption", "colgroup"], (frozenset(["tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"]), frozenset(["table"])))
+#: What a table is made of; all else in it stands before it.
+PARTS = frozenset("tr tbody thead tfoot td th caption colgroup col".split())
 _SCOPE = frozenset("table td th caption html body".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -43,10 +46,11 @@ _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "order", "tag")
+    __slots__ = ("children", "hidden", "mute", "order", "tag", "within")
 
     def __init__(self, tag: str, hidden: bool = False, order: int | None = None):
         self.tag, self.hidden, self.order, self.children = tag, hidden, order, []
+        self.within, self.mute = "", False  # svg or math that holds it; whether its own strings are not drawn
 
 
 def _hides(tag: str, raw: str) -> tuple[bool, dict[str, str]]:
@@ -61,15 +65,22 @@ def parse(html: str) -> Node:
     """A tree with implied end tags. Unclosed elements end with their parent; stray end tags are dropped."""
     root = Node("html")
     stack = [root]
+
+    def put(s: str) -> None:
+        if stack[-1].tag == "colgroup" and s.strip():
+            stack.pop()
+        if not stack[-1].mute:
+            stack[-1].children.append(s)
+
     at = 0
     n = len(html)
     while at < n:
         m = _TOKEN.search(html, at)
         if m is None:
-            stack[-1].children.append(html[at:])
+            put(html[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html[at : m.start()])
+            put(html[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -96,6 +107,15 @@ def parse(html: str) -> Node:
                 continue
         elif stack[-1].tag == "head" and tag not in HIDDEN and tag not in ("meta", "link", "base"):
             stack.pop()  # the first other element ends the head
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.pop()
+        if tag == "table":  # one that does not stand in a cell ends the table before it
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in ("td", "th", "caption"):
+                    break
+                if stack[i].tag == "table":
+                    del stack[i:]
+                    break
         if tag in CLOSES_P:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
@@ -123,7 +143,16 @@ def parse(html: str) -> Node:
         node = Node(tag, hidden, order)
         if tag == "img" and attrs.get("alt"):
             node.children.append(attrs["alt"])
-        stack[-1].children.append(node)
+        elif tag == "optgroup" and attrs.get("label"):
+            node.children.append(attrs["label"])
+        up = stack[-1]
+        node.within = tag if tag in HIDDEN_IN else "" if tag == "foreignobject" else up.within
+        node.mute = tag == "svg" or (up.mute and tag not in ("text", "foreignobject", "math"))
+        node.hidden = hidden or (up.within != "" and tag in HIDDEN_IN[up.within])
+        if up.mute and not node.mute:  # a text of a drawing stands by itself
+            up.children.append(Node("div"))
+            up = up.children[-1]
+        up.children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
@@ -208,24 +237,58 @@ def _text_of(node: Node) -> str:
     return "".join(out)
 
 
-def _rows(table: Node) -> list[list[Node]]:
+def _parts(table: Node) -> tuple[list[list[Node]], list[Node], list[Node]]:
+    """Rows of cells, captions, and what stands in the table outside of them, in blocks. Without recursion."""
+    seen: list[tuple[Node, int]] = []  # elements outside of cells with the place of their parent
+    holds: list[bool] = []  # whether parts of the table stand in them
+    todo: list = [(x, -1) for x in table.children]
+    while todo:
+        x, above = todo.pop()
+        if isinstance(x, str) or x.hidden or x.tag == "table":
+            continue
+        seen.append((x, above))
+        holds.append(False)
+        if x.tag in PARTS:
+            k = len(seen) - 1
+            while k >= 0 and not holds[k]:
+                holds[k] = True
+                k = seen[k][1]
+        if x.tag not in ("td", "th", "caption"):
+            todo += [(c, len(seen) - 1) for c in x.children]
+    made_of = {id(x) for (x, _), h in zip(seen, holds) if h}
     rows: list[list[Node]] = []
-
-    def add(parent: Node) -> None:
-        for x in parent.children:
-            if isinstance(x, str) or x.hidden:
+    captions, stray = [], []
+    row = adjoins = False
+    todo = [(x, False) for x in reversed(table.children)]
+    while todo:
+        x, leaving = todo.pop()
+        if leaving:
+            row = adjoins = False
+        elif isinstance(x, str) or id(x) not in made_of:
+            if isinstance(x, str) and not adjoins and not x.strip():
                 continue
+            if not adjoins:
+                stray.append(Node("div"))
+            stray[-1].children.append(x)
+            adjoins = True
+        elif x.tag in ("td", "th"):
+            adjoins = False
+            if not row:
+                rows.append([])
+            row = True
+            rows[-1].append(x)
+        elif x.tag == "caption":
+            adjoins = False
+            captions.append(x)
+        else:
+            adjoins = False
             if x.tag == "tr":
-                rows.append([c for c in x.children if not isinstance(c, str) and not c.hidden])
-            elif x.tag in ("tbody", "thead", "tfoot"):
-                add(x)
-            elif x.tag in ("td", "th"):
-                if not rows or not rows[-1] or rows[-1][0].tag not in ("td", "th"):
-                    rows.append([])
-                rows[-1].append(x)
-
-    add(table)
-    return rows
+                rows.append([])
+                row = True
+            if x.tag in PARTS:
+                todo.append((x, True))
+            todo += [(c, False) for c in reversed(x.children)]
+    return rows, captions, stray
 
 
 def _render(root: Node, page: _Page, depth: int = 0) -> None:
@@ -296,11 +359,18 @@ def _render(root: Node, page: _Page, depth: int = 0) -> None:
 
 
 def _table(table: Node, page: _Page, depth: int) -> None:
-    """Cells padded to their column's width, columns set apart by two spaces. Deeply nested tables run on as blocks."""
-    for x in table.children:
-        if not isinstance(x, str) and x.tag == "caption" and not x.hidden:
-            page.verbatim([" ".join(_text_of(x).split())])
-    rows = _rows(table)
+    """What stands outside of cells first; cells padded to their column's width, columns set apart by two spaces. Deeply nested tables run on as blocks."""
+    rows, captions, stray = _parts(table)
+    for x in stray:
+        if depth < 8:
+            _render(x, page, depth + 1)
+        else:
+            page.text(_text_of(x))
+            page.block(False)
+    if stray:
+        page.block(True)
+    for x in captions:
+        page.verbatim([" ".join(_text_of(x).split())])
     cells = []
     for row in rows:
         got = []

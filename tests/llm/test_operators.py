@@ -380,6 +380,22 @@ def test_html_text_around_cells(page, want):
     assert html_text.render(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<a title=Bob's>text</a> we don't <b>lose</b> it", "text we don't lose it"),
+        ("<p title=\"5\" tall\">one</p><p class=\"x\">two</p>", "one\n\ntwo"),
+        ("<p 'a>one</p><p b'>two</p>", "one\n\ntwo"),
+        ("<p title=\"a>one</p>two", "one\n\ntwo"),
+        ("<p a=x=\"y>one</p><p b=\"z\">two</p>", "one\n\ntwo"),
+        ("<p title='a>b' style = \"display:none\">no</p><img alt = 'a > b'>yes", "a > byes"),
+        ("<ol start=3/><li>x</ol><input type=hidden/>y", "  1. x\n\ny"),
+    ],
+)
+def test_html_quotes_in_tags(page, want):
+    assert html_text.render(page) == want
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, None, None), (3, "u", ""), (None, "u", "b"), (1, "u", "<p>a</p>")], "page_id long, url string, html string")
     got = sorted(map(tuple, html_text.extract_text(pages).collect()), key=str)

@@ -39,8 +39,12 @@ IMPLIED = {
 #: What a table is made of; all else in it stands before it.
 PARTS = frozenset("tr tbody thead tfoot td th caption colgroup col".split())
 _SCOPE = frozenset("table td th caption html body".split())
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: A quote opens a string only after "=", and only where it is closed; elsewhere it is a character like any other.
+_VALUE = r"\"([^\"]*)\"|'([^']*)'|([^\s>]*+)"
+_NAME = r"[^\s/>][^\s/>=]*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE.replace('(', '(?:')}))?+)*+)>", re.S)
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:{_VALUE}))?+")
+_UNCLOSED = re.compile(r"<[!?]")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
@@ -74,7 +78,12 @@ def parse(html: str) -> Node:
 
     at = 0
     n = len(html)
+    last = html.rfind(">") + 1
     while at < n:
+        if at >= last:  # what is left holds no whole tag
+            m = _UNCLOSED.search(html, at)
+            put(html[at : m.start()] if m else html[at:])
+            break
         m = _TOKEN.search(html, at)
         if m is None:
             put(html[at:])

@@ -292,6 +292,20 @@ def test_secrets(spark, odd, none):
     assert scan("the author wrote about authorisation in general terms") == []
 
 
+def test_secrets_that_stand_twice():
+    rng = random.Random(12)
+    scan = secrets.Scanner().scan
+    for letters in ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for gap in (3, 30, 200, 490, 505, 2000):
+            key = "".join(rng.choice(letters) for _ in range(40))
+            fill = " ".join(["more plain text"] * 200)[:gap]
+            for text in (f"the bearer is {key}\n{fill}\nthe bearer is {key}\n", f"the bearer is {key}\n{fill}\nX={key} again"):
+                left = secrets.redact(text, scan(text))
+                assert key not in left and "[SECRET]" in left, (gap, left)
+    assert scan("the bearer is zzzzzzzzzzzzzzzzzzzzzzzzzzzzzzz") == []
+    assert scan("the token is abcdefghijklmnopqrstuvwxyz") == []
+
+
 # ---- embeddings
 
 

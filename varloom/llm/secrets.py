@@ -34,6 +34,7 @@ IDENTIFIERS = (
     "qrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 0123456789abcdef 00000000 ffffffff 11111111 deadbeef lorem ipsum dolor sit amet"
 )
 AROUND = 512  # code points before and after a candidate that compression may draw on
+SHARED = 16  # characters of a candidate that count as a copy
 REACH = 96  # code points after a sensitive word in which its line's strings count as its context
 
 
@@ -56,6 +57,23 @@ class Scanner:
         more = len(self.packer.compress(base + candidate.encode())) - len(self.packer.compress(base))
         return more / len(candidate)
 
+    def context(self, text: str, a: int, b: int) -> str:
+        """The text around text[a:b] without copies of it or of 16 or more characters of it."""
+        s = text[a:b]
+        sides = []
+        for side in (text[max(0, a - AROUND - len(s)) : a], text[b : b + AROUND + len(s)]):
+            i = 0
+            while i + SHARED <= len(s):
+                n = SHARED
+                if s[i : i + n] not in side:
+                    i += 1
+                    continue
+                while i + n < len(s) and s[i : i + n + 1] in side:
+                    n += 1
+                side = side.replace(s[i : i + n], " ")
+            sides.append(side)
+        return sides[0][-AROUND:] + sides[1][:AROUND]
+
     def base(self, text: str) -> list[tuple[str, int, int, float | None]]:
         spans: list[tuple[str, int, int, float | None]] = [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
         if "AKIA" in text:
@@ -63,8 +81,9 @@ class Scanner:
         return spans + [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
 
     def novel(self, text: str, taken: list[tuple[str, int, int, float | None]]) -> list[tuple[str, int, int, float | None]]:
-        """Incompressible strings in a sensitive context that no base span overlaps."""
-        found, last = [], -1
+        """Incompressible strings in a sensitive context that no base span overlaps, at every place where they stand."""
+        known: dict[str, float] = {}
+        seen = set()
         for m in SENSITIVE.finditer(text):
             stop = text.find("\n", m.end(), m.end() + REACH)
             stop = m.end() + REACH if stop < 0 else stop
@@ -73,12 +92,23 @@ class Scanner:
                 if a >= stop:
                     break
                 s = c[0]
-                if a <= last or not any(x.isdigit() for x in s) or not any(x.isalpha() for x in s) or any(a < y and x < b for _, x, y, _ in taken):
+                if a in seen or s in known or not any(x.isalpha() for x in s) or any(a < y and x < b for _, x, y, _ in taken):
                     continue
-                n = self.novelty(text[max(0, a - AROUND) : a] + text[b : b + AROUND], s)
+                seen.add(a)
+                n = self.novelty(self.context(text, a, b), s)
                 if n >= self.min_novelty:
-                    found.append(("novel", a, b, n))
-                    last = a
+                    known[s] = n
+        spans = []
+        for s, n in known.items():
+            a = text.find(s)
+            while a >= 0:
+                spans.append(("novel", a, a + len(s), n))
+                a = text.find(s, a + len(s))
+        found, last = [], -1
+        for x in sorted(spans, key=lambda x: (x[1], -x[2])):  # of those that hold one another the outer one
+            if x[2] > last and not any(x[1] < d and c < x[2] for _, c, d, _ in taken):
+                found.append(x)
+                last = x[2]
         return found
 
     def scan(self, text: str) -> list[tuple[str, int, int, float | None]]:

@@ -420,6 +420,10 @@ def test_html_rows(spark):
 # ---- toxicity
 
 
+def test_toxicity_bounds_are_whole():
+    assert (toxicity.MAX_POSITIVE, toxicity.MAX_UNLABELLED) == (3000, 6000)
+
+
 def test_toxicity_learns_and_generalises(spark, odd, none):
     rng = random.Random(11)
     bad = ["vileword", "nastyterm", "slurname"]

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -306,6 +307,31 @@ def test_secrets_that_stand_twice():
     assert scan("the token is abcdefghijklmnopqrstuvwxyz") == []
 
 
+def test_novel_strings_are_found():
+    """Recall by alphabet and length over planted random strings; before and after the sensitive word."""
+    rng = random.Random(13)
+    text = " ".join(words(rng, 60).replace("w", rng.choice(["wa", "fer", "lin"])) for _ in range(3))
+    scan = secrets.Scanner().scan
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (letters, letters + letters.upper(), letters + "0123456789", letters + letters.upper() + "0123456789+/", "0123456789ABCDEF"):
+        for n in (16, 24, 40, 200, 2000):
+            hits = 0
+            for k in range(60):
+                key = "".join(rng.choice(alphabet) for _ in range(n))
+                line = f"the bearer is {key} now" if k % 2 else f"{key} is the signature"
+                hits += "[SECRET]" in secrets.redact(text + "\n" + line, [s for s in scan(f"{text}\n{line}\n{text}") if s[0] == "novel"])
+            assert hits >= 54, (alphabet, n, hits)
+    assert not [s for s in scan(" ".join(f"the token of {w} stands" for w in text.split())) if s[0] == "novel"]
+
+
+@pytest.mark.parametrize("piece", ["token ", "token word ", "token", "bearer 0aZ9kQ2mX7pL4vB8tR1c ", "a" * 300 + " secret ", "password=abcdef1 token "])
+def test_secrets_take_time_in_proportion(piece):
+    text = piece * (1_000_000 // len(piece))
+    at = time.perf_counter()
+    secrets.Scanner().scan(text)
+    assert time.perf_counter() - at < 20  # by the square of its length it would take hours
+
+
 # ---- embeddings
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -16,12 +19,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Kinds in the order that breaks ties between spans that start together.
 KINDS = ("assign", "access", "hex", "novel")
-#: Words that make what follows on their line sensitive. Fixed values.
+#: Words that make strings near them on their line sensitive. Fixed values.
 SENSITIVE = re.compile(
     r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|signature|session[_-]?id|client[_-]?id",
     re.I | re.A,
 )
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~-]{16,}", re.A)
+_RUN = re.compile(r"[A-Za-z0-9+/_=~-]+", re.A)
 #: Names that code uses. Together with the text around a candidate they are what compression may draw on. Fixed values.
 IDENTIFIERS = (
     "password passwd passphrase secret token api_key apikey access_key access_token refresh_token private_key public_key client_id "
@@ -35,14 +38,34 @@ IDENTIFIERS = (
 )
 AROUND = 512  # code points before and after a candidate that compression may draw on
 SHARED = 16  # characters of a candidate that count as a copy
-REACH = 96  # code points after a sensitive word in which its line's strings count as its context
+REACH = 96  # code points between a sensitive word and a string of its line that it makes sensitive, on either side
+MIN_NOVELTY = 0.95
+MIN_CHARS = 16  # shorter strings are not tried: natural words cost as many bytes a character as random letters there
+
+
+def alphabet_bits(s: str) -> float:
+    """Bits of a random character of the alphabet (hexadecimal, or the classes of characters) that s is written in."""
+    if not s.strip("0123456789"):
+        return math.log2(10)
+    if not s.strip("0123456789abcdef") or not s.strip("0123456789ABCDEF"):
+        return 4.0
+    classes = ((26, str.islower), (26, str.isupper), (10, str.isdigit), (6, lambda x: not x.isalnum()))
+    return math.log2(max(2, sum(n for n, has in classes if any(map(has, s)))))
+
+
+def _starts(found: list[tuple[int, int]]) -> list[int]:
+    return [a for a, _ in found]
 
 
 class Scanner:
-    """Finds spans (kind, start, end, marginal bytes per character) in one text; offsets in code points, end exclusive."""
+    """Finds spans (kind, start, end, novelty) in one text; offsets in code points, end exclusive.
+
+    Its time grows with the text's length: every run of characters is cut into candidates once, each candidate is
+    compressed once, after a bounded context.
+    """
 
-    def __init__(self, identifiers: str = IDENTIFIERS, min_novelty: float = 0.8):
-        self.min_novelty = min_novelty
+    def __init__(self, identifiers: str = IDENTIFIERS, min_novelty: float = MIN_NOVELTY, min_chars: int = MIN_CHARS):
+        self.min_novelty, self.min_chars = min_novelty, min_chars
         self.packer = zstandard.ZstdCompressor(
             level=3,
             dict_data=zstandard.ZstdCompressionDict(identifiers.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
@@ -52,16 +75,17 @@ class Scanner:
         )
 
     def novelty(self, around: str, candidate: str) -> float:
-        """Marginal compressed bytes per character of candidate after the dictionary and the text around it."""
+        """Marginal compressed bytes of candidate after the dictionary and the text around it, as a share of what random
+        characters of its alphabet need. About 1 and more: incompressible."""
         base = around.encode()
         more = len(self.packer.compress(base + candidate.encode())) - len(self.packer.compress(base))
-        return more / len(candidate)
+        return more / (len(candidate) * alphabet_bits(candidate) / 8)
 
     def context(self, text: str, a: int, b: int) -> str:
         """The text around text[a:b] without copies of it or of 16 or more characters of it."""
         s = text[a:b]
         sides = []
-        for side in (text[max(0, a - AROUND - len(s)) : a], text[b : b + AROUND + len(s)]):
+        for side in (text[max(0, a - AROUND) : a], text[b : b + AROUND]):
             i = 0
             while i + SHARED <= len(s):
                 n = SHARED
@@ -70,9 +94,9 @@ class Scanner:
                     continue
                 while i + n < len(s) and s[i : i + n + 1] in side:
                     n += 1
-                side = side.replace(s[i : i + n], " ")
+                side = side.replace(s[i : i + n], " ")  # 16 characters less, so few times a side
             sides.append(side)
-        return sides[0][-AROUND:] + sides[1][:AROUND]
+        return sides[0] + sides[1]
 
     def base(self, text: str) -> list[tuple[str, int, int, float | None]]:
         spans: list[tuple[str, int, int, float | None]] = [("assign", m.start(), m.end(), None) for m in ASSIGN.finditer(text) if m.end(1) - m.start(1) >= 6]
@@ -80,33 +104,65 @@ class Scanner:
             spans += [("access", m.start(), m.end(), None) for m in ACCESS.finditer(text)]
         return spans + [("hex", m.start(), m.end(), None) for m in HEX.finditer(text)]
 
+    def candidates(self, text: str) -> list[tuple[int, int]]:
+        """Strings of min_chars characters or more with a sensitive word near them, in order.
+
+        Runs of the characters that keys are made of, cut where sensitive words stand in them.
+        """
+        words = [m.span() for m in SENSITIVE.finditer(text)]
+        if not words:
+            return []
+        begins, ends = _starts(words), [b for _, b in words]
+        found = []
+        for run in _RUN.finditer(text):
+            at, stop = run.span()
+            if stop - at < self.min_chars:
+                continue
+            for a, b in [*words[bisect_left(begins, at) : bisect_left(begins, stop)], (stop, stop)]:
+                if a - at >= self.min_chars and self._near(text, at, a, begins, ends):
+                    found.append((at, a))
+                at = max(at, min(b, stop))
+        return found
+
+    def _near(self, text: str, a: int, b: int, begins: list[int], ends: list[int]) -> bool:
+        """Whether the sensitive word next before or after text[a:b] stands on its line within reach."""
+        k = bisect_right(ends, a) - 1
+        if k >= 0 and a - ends[k] < REACH and text.find("\n", ends[k], a) < 0:
+            return True
+        k = bisect_left(begins, b)
+        return k < len(begins) and begins[k] - b < REACH and text.find("\n", b, begins[k]) < 0
+
     def novel(self, text: str, taken: list[tuple[str, int, int, float | None]]) -> list[tuple[str, int, int, float | None]]:
         """Incompressible strings in a sensitive context that no base span overlaps, at every place where they stand."""
+        blocks: list[list[int]] = []  # what base spans cover
+        for _, x, y, _ in sorted(taken, key=lambda t: t[1]):
+            if blocks and x <= blocks[-1][1]:
+                blocks[-1][1] = max(blocks[-1][1], y)
+            else:
+                blocks.append([x, y])
+        block_ends = [y for _, y in blocks]
+
+        def free(a: int, b: int) -> bool:
+            k = bisect_right(block_ends, a)
+            return k == len(blocks) or blocks[k][0] >= b
+
         known: dict[str, float] = {}
-        seen = set()
-        for m in SENSITIVE.finditer(text):
-            stop = text.find("\n", m.end(), m.end() + REACH)
-            stop = m.end() + REACH if stop < 0 else stop
-            for c in _CANDIDATE.finditer(text, m.end(), len(text)):
-                a, b = c.span()
-                if a >= stop:
-                    break
-                s = c[0]
-                if a in seen or s in known or not any(x.isalpha() for x in s) or any(a < y and x < b for _, x, y, _ in taken):
-                    continue
-                seen.add(a)
+        for a, b in self.candidates(text):
+            s = text[a:b]
+            if s not in known and free(a, b):
                 n = self.novelty(self.context(text, a, b), s)
                 if n >= self.min_novelty:
                     known[s] = n
-        spans = []
+        if not known:
+            return []
+        places = ahocorasick.Automaton()
         for s, n in known.items():
-            a = text.find(s)
-            while a >= 0:
-                spans.append(("novel", a, a + len(s), n))
-                a = text.find(s, a + len(s))
+            places.add_word(s, (len(s), n))
+        places.make_automaton()
+        spans = [("novel", end + 1 - size, end + 1, n) for end, (size, n) in places.iter(text)]
         found, last = [], -1
         for x in sorted(spans, key=lambda x: (x[1], -x[2])):  # of those that hold one another the outer one
-            if x[2] > last and not any(x[1] < d and c < x[2] for _, c, d, _ in taken):
+            if x[2] > last and free(x[1], x[2]):
                 found.append(x)
                 last = x[2]
         return found
@@ -131,19 +187,19 @@ SPANS = "array<struct<kind:string,start:int,end:int,novelty:double>>"
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("novelty", pa.float64())]))
 
 
-def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_novelty: float = 0.8, identifiers: str = IDENTIFIERS, redacted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+def find_secrets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_novelty: float = MIN_NOVELTY, min_chars: int = MIN_CHARS, identifiers: str = IDENTIFIERS, redacted: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Secrets of every whole text.
 
     One row per input row: the id column, the columns in keep, spans (array of kind, start, end, novelty; sorted by
     start, then kind), and with redacted=True the text with its spans replaced (null where the text is null). A null or
-    empty text has no spans. Null ids and repeated rows stay as they are; other columns are ignored. Map-only.
+    empty text has no spans. Strings of under min_chars characters are found by the fixed patterns alone. Null ids and repeated rows stay as they are; other columns are ignored. Map-only.
     """
     used = docs.select(id_col, text_col, *[c for c in keep if c not in (id_col, text_col)])
     send = [c for c in used.columns if c in (id_col, *keep)]
     fields = ", ".join(f"`{c}` {used.schema[c].dataType.simpleString()}" for c in send)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(identifiers, min_novelty)
+        scanner = Scanner(identifiers, min_novelty, min_chars)
         for batch in batches:
             spans, clean = [], []
             for x in batch.column(1):

@@ -568,27 +568,54 @@ def check_packing(rows, capacity):
     return len(at)
 
 
-def test_rounds_are_best_fit_decreasing():
+def best_fit_decreasing(sizes, cap):
+    """How many sequences the plain sequential method needs."""
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fit = [g for g in gaps if g >= s]
+        if fit:
+            gaps[gaps.index(min(fit))] -= s
+        else:
+            gaps.append(cap - s)
+    return len(gaps)
+
+
+def test_sweeps_are_best_fit_decreasing():
     rng = random.Random(15)
-    for _ in range(60):
+    for _ in range(200):
         cap = rng.randrange(5, 60)
         sizes = [rng.randrange(1, cap + 1) for _ in range(rng.randrange(0, 80))]
-        gaps = []
+        sweep = packing.Sweep(cap, 0)
         for s in sorted(sizes, reverse=True):
-            fit = [g for g in gaps if g >= s]
-            if fit:
-                gaps[gaps.index(min(fit))] -= s
-            else:
-                gaps.append(cap - s)
-        assert packing.best_fit_rounds(collections.Counter(sizes), cap)[1] == len(gaps)
-    with pytest.raises(ValueError):
-        packing.best_fit_rounds({9: 1}, 8)
+            sweep.document(s)
+        assert sweep.fresh == best_fit_decreasing(sizes, cap)
+        assert sum(sizes) + sum(g for g, _ in sweep.gaps()) == cap * sweep.fresh
 
 
-def test_packing(spark, odd, none, monkeypatch):
+def pieces_of(spark, sizes):
+    return spark.createDataFrame([(i, 0, 0, n, i % 7, "x", None) for i, n in enumerate(sizes)], "doc_id long, piece int, start long, length long, ids_crc32 long, sweep string, gap int")
+
+
+def test_rounds_are_best_fit_decreasing(spark):
+    rng = random.Random(17)
+    for cap, rounds in ((64, 7), (50, 3), (100, 1)):
+        sizes = [rng.choice((rng.randrange(1, cap + 1), rng.randrange(1, 9), cap // 3)) for _ in range(700)]
+        rows = pieces_of(spark, sizes)
+        got = packing.pack(rows, capacity=cap, rounds=rounds).collect()
+        assert check_packing(got, cap) == best_fit_decreasing(sizes, cap)
+        assert sorted((r.doc_id, r.length, r.sweep, r.gap) for r in got) == [(i, n, "x", None) for i, n in enumerate(sizes)]
+        many = packing.pack(rows, capacity=cap, rounds=rounds, sweep_rows=20).collect()
+        assert len(many) == len(sizes) and check_packing(many, cap) <= best_fit_decreasing(sizes, cap) * 1.15 + 1
+    again = packing.pack(rows, capacity=cap, rounds=rounds, sweep_rows=20).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, many), key=str)
+    for bad in (0, 9):
+        with pytest.raises(ValueError):
+            packing.pack(pieces_of(spark, [3, bad]), capacity=8)
+
+
+def test_packing(spark, odd, none):
     from tokenizers import Tokenizer
 
-    monkeypatch.setattr(packing, "RANK_ROWS", 7)
     path = tokenizer_path()
     rng = random.Random(16)
     docs = odd.unionByName(spark.createDataFrame([(100 + i, words(rng, rng.randrange(0, 40), 50), "en", 9, "q", 1, 2) for i in range(120)], DOCS))
@@ -603,7 +630,5 @@ def test_packing(spark, odd, none, monkeypatch):
     assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == want
     n = check_packing(got, 64)
     assert n <= 1.02 * sum(r.length for r in got) / 64 + 1
-    monkeypatch.setattr(packing, "MAX_SENT", 0)
-    again = packing.pack_documents(docs, path, capacity=64).collect()
-    assert check_packing(again, 64) == n and len(again) == len(got)
+    assert n == best_fit_decreasing([r.length for r in got], 64)
     assert packing.pack_documents(none, path).count() == 0

@@ -1,15 +1,15 @@
 """Best-fit packing of tokenised documents into sequences, in bulk-synchronous rounds.
 
-Documents of one length are interchangeable, and so are gaps of one size. So both are held as runs in the order of
-their size: (length, how many documents) and (gap, which sequences). There are at most `capacity` sizes of either,
-whatever the corpus. A round takes the longest run of documents left, sweeps from its successor among the gaps (the
-smallest that holds it) upwards, gives the i-th document by rank the i-th place by rank, and updates the gaps. What
-grows with the corpus stays distributed: token counts, the run lengths' sums, ranks and the lookup of places.
+A round takes the documents of a range of lengths, the longest first, and the gaps that may hold them. Both are
+range-sorted by size and dealt by their rank in their range, so that each sweep gets its even share of every size and no
+two sweeps want the same gap. A sweep goes from large to small and gives each document its successor among the gaps (the
+smallest that holds it), by rank where several want one, and a new sequence where none does. What is left of the gaps
+goes to the next round.
 """
 
 from __future__ import annotations
 
-import bisect
+import heapq
 import os
 import zlib
 from array import array
@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, written
@@ -27,10 +28,10 @@ CAPACITY = 4096
 END_ID = 1
 #: Documents whose distinct chunks are encoded together.
 BATCH_ROWS = 8000
-#: Rows of one length that are ranked together.
-RANK_ROWS = 20_000
-#: Places that are sent to every task; more are joined instead.
-MAX_SENT = 1_000_000
+#: A round holds lengths of over capacity / 2, one of over capacity / 4, and so on; the last all that are left.
+ROUNDS = 7
+#: Documents and gaps of a sweep. Each sweep may leave a sequence of its own that is not full.
+SWEEP_ROWS = 10_000
 
 
 _BY_PATH: dict[tuple[str, int], Vocabulary] = {}
@@ -90,89 +91,135 @@ def pieces(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str
     return arrow_map(docs.select(id_col, text_col), run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if ids else ""))
 
 
-def best_fit_rounds(runs: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Places for runs {length: documents}, and the number of sequences.
+class Sweep:
+    """Documents and gaps from large to small, gaps first of equals; each document goes to the smallest gap that holds it."""
+
+    def __init__(self, capacity: int, first_id: int):
+        self.capacity, self.fresh = capacity, first_id
+        self.open: list[tuple[int, int]] = []  # (gap, sequence) that hold what comes next, the smallest last
+        self.rest: list[tuple[int, int]] = []  # a heap of (-gap, sequence): too small yet
+
+    def _reach(self, size: int) -> None:
+        while self.rest and -self.rest[0][0] >= size:
+            gap, seq = heapq.heappop(self.rest)
+            self.open.append((-gap, seq))
+
+    def gap(self, size: int, seq: int) -> None:
+        self._reach(size)
+        self.open.append((size, seq))
+
+    def document(self, size: int) -> tuple[int, int]:
+        """(sequence, offset)"""
+        self._reach(size)
+        if self.open:
+            gap, seq = self.open.pop()
+        else:
+            gap, seq = self.capacity, self.fresh
+            self.fresh += 1
+        left = gap - size
+        if left >= size:
+            self.open.append((left, seq))
+        elif left:
+            heapq.heappush(self.rest, (-left, seq))
+        return seq, self.capacity - gap
+
+    def gaps(self) -> list[tuple[int, int]]:
+        return self.open + [(-g, seq) for g, seq in self.rest]
+
+
+def _dealt(rows: DataFrame, sweeps: int) -> DataFrame:
+    """Range-sorted by size; the n-th document and the n-th gap of a range go to sweep n modulo their number."""
+    order = (F.col("size").desc(), F.col("gap").desc(), F.col("tie"))
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
 
-    A place (length, rank, many, sequence, each, offset) puts the documents of that length with ranks rank ..
-    rank + many - 1 into sequences from `sequence` on, `each` in every one, one after the other from offset on.
-    """
-    places: list[tuple[int, int, int, int, int, int]] = []
-    gaps: dict[int, list[tuple[int, int]]] = {}  # gap -> runs of sequences (first, how many)
-    sizes: list[int] = []
-    used = 0
-
-    def put(gap: int, first: int, many: int) -> None:
-        if gap and many:
-            if gap not in gaps:
-                gaps[gap] = []
-                bisect.insort(sizes, gap)
-            gaps[gap].append((first, many))
-
-    for length in sorted(runs, reverse=True):
-        if not 0 < length <= capacity:
-            raise ValueError(f"a length of {length}")
-        left, rank = runs[length], 0
-        while left:
-            at = bisect.bisect_left(sizes, length)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, many = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-            else:
-                gap, first, many = capacity, used, -(-left // (capacity // length))
-                used += many
-            each = gap // length
-            full = min(many, left // each)
-            if full:
-                places.append((length, rank, full * each, first, each, capacity - gap))
-                put(gap - each * length, first, full)
-                rank, left = rank + full * each, left - full * each
-            if left and full < many:  # the last documents fill one sequence in part
-                places.append((length, rank, left, first + full, left, capacity - gap))
-                put(gap - left * length, first + full, 1)
-                rank, left, full = rank + left, 0, full + 1
-            put(gap, first + full, many - full)
-    return places, used
-
-
-def pack(rows: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
-    """rows of pieces() with sequence_id and offset added. rows is read three times: give a table that is written.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = [TaskContext.get().partitionId()] * 2
+        for batch in batches:
+            gap = batch.column(batch.schema.get_field_index("gap")).to_numpy(zero_copy_only=False).astype(bool)
+            sweep = np.empty(len(gap), np.int64)
+            for k, mine in enumerate((gap, ~gap)):
+                n = int(mine.sum())
+                sweep[mine] = (seen[k] + np.arange(n)) % sweeps
+                seen[k] += n
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sweep)], names=[*batch.schema.names, "sweep"])
+
+    return arrow_map(ranged, run, fields + ", sweep long")
 
-    Every piece has one place; no two overlap, and each sequence is filled from 0 without gaps. Equal rows get places
-    of their own. An empty table gives an empty one. Pieces longer than capacity raise ValueError.
-    """
-    runs = {r[0]: r[1] for r in rows.groupBy("length").count().collect()}  # at most capacity rows
-    places, _ = best_fit_rounds(runs, capacity)
-    places.sort()
-    salts = max(1, -(-sum(runs.values()) // RANK_ROWS))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(salts)).cast("int"))
-    before = salted.groupBy("length", "salt").count()
-    upto = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("length", "salt", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("before"))
-    own = Window.partitionBy("length", "salt").orderBy(id_col, "piece", "ids_crc32", "start")
-    ranked = salted.withColumn("nth", F.row_number().over(own) - 1).join(before, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("nth")).drop("salt", "nth", "before")
-    spark = rows.sparkSession
-    if len(places) > MAX_SENT:
-        table = spark.createDataFrame(places, "l long, r long, many long, s long, each long, o long")
-        k = F.col("rank") - F.col("r")
-        hit = ranked.join(table, (F.col("length") == F.col("l")) & k.between(0, F.col("many") - 1))
-        out = hit.withColumn("sequence_id", F.col("s") + F.floor(k / F.col("each"))).withColumn("offset", F.col("o") + F.col("length") * (k % F.col("each")))
-        return out.select(*rows.columns, "sequence_id", "offset")
-    p = np.array(places, np.int64).reshape(-1, 6)
-    keys = p[:, 0] << 48 | p[:, 1]
-    names = rows.columns
-    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+
+def _swept(dealt: DataFrame, capacity: int, number: int) -> DataFrame:
+    """(gap, sequence_id, offset, row) of a round: documents with their places, and gaps (gap not null) as they are after it."""
+    kind = dealt.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sweep, row_type = None, None, None
+
+        def left() -> pa.RecordBatch:
+            gaps = sweep.gaps() if sweep else []
+            cols = [pa.array([g for g, _ in gaps], pa.int64()), pa.array([s for _, s in gaps], pa.int64()), pa.nulls(len(gaps), pa.int64()), pa.nulls(len(gaps), row_type)]
+            return pa.RecordBatch.from_arrays(cols, names=["gap", "sequence_id", "offset", "row"])
+
         for batch in batches:
             get = lambda c: batch.column(batch.schema.get_field_index(c))
-            length, rank = (get(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "rank"))
-            x = p[np.searchsorted(keys, length << 48 | rank, "right") - 1] if len(p) else p
-            k = rank - x[:, 1]
-            yield pa.RecordBatch.from_arrays([*(get(c) for c in names), pa.array(x[:, 3] + k // x[:, 4]), pa.array(x[:, 5] + length * (k % x[:, 4]))], names=[*names, "sequence_id", "offset"])
+            row_type = get("row").type
+            take, seqs, offsets = [], [], []
+            for i, (which, size, gap, seq) in enumerate(zip(*(get(c).to_pylist() for c in ("sweep", "size", "gap", "seq")))):
+                if which != now:
+                    if sweep:
+                        yield left()
+                    now, sweep = which, Sweep(capacity, number << 56 | which << 24)
+                if gap:
+                    sweep.gap(size, seq)
+                else:
+                    s, o = sweep.document(size)
+                    take.append(i)
+                    seqs.append(s)
+                    offsets.append(o)
+            rows = get("row").take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(take), pa.int64()), pa.array(seqs, pa.int64()), pa.array(offsets, pa.int64()), rows], names=["gap", "sequence_id", "offset", "row"])
+        if sweep:
+            yield left()
+
+    return arrow_map(dealt, run, f"gap long, sequence_id long, offset long, row {kind}")
+
+
+def pack(rows: DataFrame, *, id_col: str = "doc_id", capacity: int = CAPACITY, rounds: int = ROUNDS, sweep_rows: int = SWEEP_ROWS) -> DataFrame:
+    """rows of pieces() with sequence_id and offset added. rows is read once a round: give a table that is written.
 
-    return arrow_map(ranked.select(*rows.columns, "rank"), run, fields + ", sequence_id long, offset long")
+    Every piece has one place; no two overlap, and each sequence is filled from 0 without gaps. Equal rows get places
+    of their own. An empty table gives an empty one. Pieces of no length or longer than capacity raise ValueError. A
+    round's table is written before the next one; the driver sees the rounds' counts alone. With one sweep a round the
+    result is what best-fit decreasing gives row by row.
+    """
+    bounds = [capacity >> k for k in range(1, rounds) if capacity >> k] + [0]  # a round holds what is longer
+    tie = F.xxhash64(id_col, "piece", "ids_crc32", "start")
+    docs = rows.select(F.col("length").cast("long").alias("size"), F.lit(False).alias("gap"), tie.alias("tie"), F.lit(0).cast("long").alias("seq"), F.struct(*rows.columns).alias("row"))
+    number = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b >= F.col("size")))
+    counts = {r["k"]: r for r in docs.groupBy(number.alias("k")).agg(F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).collect()}
+    for r in counts.values():
+        if r["least"] < 1 or r["most"] > capacity:
+            raise ValueError(f"lengths of {r['least']} to {r['most']}")
+    done: list[DataFrame] = []
+    above = capacity
+    for k, low in enumerate(bounds):
+        if k in counts:
+            # what a round left that was too small for the rounds since, and all that the last one left
+            gaps = [t.where(F.col("gap") > low) if t is done[-1] else t.where((F.col("gap") > low) & (F.col("gap") <= above)) for t in done]
+            gaps = [t.select(F.col("gap").alias("size"), F.lit(True).alias("gap"), F.xxhash64("sequence_id").alias("tie"), F.col("sequence_id").alias("seq"), F.lit(None).cast(docs.schema["row"].dataType).alias("row")) for t in gaps]
+            n = sum(t.count() for t in gaps)
+            both = docs.where((F.col("size") > low) & (F.col("size") <= (bounds[k - 1] if k else capacity)))
+            for t in gaps:
+                both = both.unionByName(t)
+            sweeps = -(-max(n, counts[k]["n"]) // sweep_rows)
+            dealt = _dealt(both, sweeps).repartition("sweep").sortWithinPartitions("sweep", F.col("size").desc(), F.col("gap").desc(), "tie")
+            done.append(written(_swept(dealt, capacity, k), f"round{k}"))
+            above = low
+    if not done:
+        return rows.select("*", F.lit(0).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = done[0]
+    for t in done[1:]:
+        out = out.unionByName(t)
+    return out.where("gap IS NULL").select(*[F.col("row").getField(c).alias(c) for c in rows.columns], "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, batch_rows: int = BATCH_ROWS, cache_entries: int = CACHE_ENTRIES) -> DataFrame:

@@ -481,7 +481,7 @@ def test_toxicity_learns_and_generalises(spark, odd, none):
 
 def plain_classes(text, size=5):
     rows = [(i, tuple((t or "").split())) for i, t in text]
-    sets = [(i, {w[k : k + size] for k in range(max(1, len(w) - size + 1))} if w else set()) for i, w in rows]
+    sets = [(i, collections.Counter(w[k : k + size] for k in range(max(1, len(w) - size + 1))) if w else collections.Counter()) for i, w in rows]
     up = {i: i for i, _ in rows}
 
     def find(x):
@@ -491,7 +491,7 @@ def plain_classes(text, size=5):
 
     for a, (i, x) in enumerate(sets):
         for j, y in sets[a + 1 :]:
-            if x and y and 10 * len(x & y) >= 8 * len(x | y):
+            if x and y and 10 * (x & y).total() >= 8 * (x | y).total():
                 lo, hi = sorted((find(i), find(j)))
                 up[hi] = lo
     return {i: find(i) for i in up}
@@ -507,6 +507,10 @@ def test_near_duplicates(spark, none):
             for _ in range(rng.randrange(0, 3) if k else 0):
                 v[rng.randrange(len(v))] = f"z{rng.randrange(9999)}"
             text.append((10 * g + k, (" " if k % 2 else "\n\t ").join(v)))
+    for g in range(6):  # lines that repeat: what counts is how often
+        line, tail = words(rng, 12, 5000), words(rng, 30, 5000)
+        for k, n in enumerate((6, 6, 7, 12)):
+            text.append((300 + 10 * g + k, "\n".join([line] * n + [tail + f" k{k}"])))
     family = words(rng, 120, 5000).split()
     for k in range(60):  # a group of near copies that are not all alike
         v = list(family)
@@ -519,6 +523,15 @@ def test_near_duplicates(spark, none):
     want = plain_classes(text)
     assert {r.doc_id: r.class_id for r in got} == want and len(got) == len(want)
     assert all(r.kept == (r.doc_id == r.class_id) for r in got)
+    text = dict(text)
+    for r in got:
+        others = [i for i in want if i != r.doc_id and want[i] == r.class_id]
+        alone = all((text[i] or "").split() == (text[r.doc_id] or "").split() and i > r.doc_id for i in others)
+        assert (r.linked_id is None) == alone
+        if r.linked_id is not None:
+            assert want[r.linked_id] == r.class_id and r.linked_id != r.doc_id
+            pair = plain_classes([(1, text[r.doc_id]), (2, text[r.linked_id])])
+            assert pair[1] == pair[2]
     assert minhash.near_duplicates(none).count() == 0
 
 
@@ -531,6 +544,22 @@ def test_signatures_estimate_similarity():
     assert (s[0] == s[4]).all() and (s[2] != 0).all() and (s[3] == 0).all()
 
 
+def test_signatures_of_weighted_sets():
+    rng = np.random.default_rng(18)
+    h = rng.integers(0, 2**63, 400).astype(np.uint64)
+    for high in (1.0, 4.0):
+        a, b = rng.uniform(0.05, high, 400), rng.uniform(0.05, high, 400)
+        s = minhash.dart_signatures([h, h, h], 1500, [a, b, a])
+        assert abs((s[0] == s[1]).mean() - np.minimum(a, b).sum() / np.maximum(a, b).sum()) < 0.05
+        assert (s[0] == s[2]).all()
+    words_of = np.array([1, 2, 3, 1, 2, 3, 1, 2, 3], np.uint64)
+    same = shingles.shingle_set(words_of, 3)
+    assert len(same) == len(set(same.tolist())) == 7
+    h, n = shingles.counted(shingles.shingles(words_of, 3))
+    assert n.tolist().count(3) == 1 and n.sum() == 7
+    assert (minhash.dart_signatures([h], 64, [n]) == minhash.dart_signatures([same], 64)).all()
+
+
 def test_blocks_of_a_large_bucket(spark, monkeypatch):
     rng = random.Random(14)
     base = words(rng, 100, 5000).split()
@@ -540,7 +569,7 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
         for _ in range(rng.randrange(0, 7)):
             v[rng.randrange(len(v))] = f"y{rng.randrange(9999)}"
         text.append((k, " ".join(v)))
-    monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "BLOCK", 700)
     got = minhash.near_duplicates(spark.createDataFrame(text, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == plain_classes(text)
 

@@ -1,9 +1,11 @@
 """Near-duplicate documents by DartMinHash signatures and banded joining, verified exactly.
 
-Every element of a text's shingle set owns a region of weight x rank. Darts fall on it as a hashed Poisson process that
-depends on the element alone; each has a rank and a coordinate. A signature keeps the dart of the earliest rank for each
-coordinate. Only darts below a rank that shrinks with the set's weight need to be thrown, so a signature costs about
-k ln k darts whatever the text's length.
+A text is a weighted set: its shingles, each with how often it stands there. Every element owns a region of weight x
+rank. Darts fall on it as a hashed Poisson process that depends on the element alone; each has a rank, a place along the
+weight, and a coordinate. A signature keeps the dart of the earliest rank for each coordinate among those that hit the
+set's regions. Only darts below a rank that shrinks with the set's weight need to be thrown, so a signature costs about
+k ln k darts whatever the text's length. Two signatures agree at a coordinate with the chance of their weighted Jaccard
+similarity, the sum of the least weights over the sum of the greatest.
 """
 
 from __future__ import annotations
@@ -18,13 +20,13 @@ from pyspark.sql import functions as F
 
 from ..session import on_workers
 from ._common import arrow_map, components, written
-from .shingles import mix, salt, shingle_set, word_hashes
+from .shingles import counted, mix, repeats_apart, salt, shingle_set, shingles, word_hashes
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 30, below 0.00001.
 BANDS, ROWS = 30, 5
-#: Rows of a bucket that are compared together.
-BLOCK = 1000
+#: Shingles of a bucket's texts that a block holds (a longer text is a block by itself); a task compares two blocks.
+BLOCK = 100_000
 _FIRST = 0.125  # ranks are cut into [0, 1/8) and intervals that double
 
 
@@ -41,41 +43,54 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def dart_signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
-    """Signatures (len(sets) x k, 64-bit) of sets of unit weights given as hashes. Empty sets get zeros.
+def dart_signatures(sets: list[np.ndarray], k: int, weights: list[np.ndarray] | None = None) -> np.ndarray:
+    """Signatures (len(sets) x k, 64-bit) of weighted sets given as hashes and positive weights. Empty sets get zeros.
 
-    A set with repeated elements of weight w is one whose element hashes are taken w times with different salts.
+    Without weights each element counts 1. An element's region is cut along its weight into cells of width 1, the last
+    one in part, each with darts of its own; a dart beyond the weight misses.
     """
     sig = np.zeros((len(sets), k), np.uint64)
     want = k * np.log(k) + 2 * k
+    weights = [np.ones(len(s)) for s in sets] if weights is None else [np.asarray(w, float) for w in weights]
     todo = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
-    theta = np.array([want / len(s) if len(s) else 0.0 for s in sets])
+    theta = np.array([want / w.sum() if len(w) else 0.0 for w in weights])
     while len(todo):
         left = []
         at = 0
-        while at < len(todo):  # groups of sets with about half a million elements and darts
+        while at < len(todo):  # groups of sets with about half a million cells and darts
             part, load = [], 0.0
             while at < len(todo) and (not part or load < 500_000):
-                load += len(sets[todo[at]]) + want
+                load += weights[todo[at]].sum() + want
                 part.append(todo[at])
                 at += 1
-            left += _throw(sets, np.array(part), theta, k, sig)
+            left += _throw([sets[i] for i in part], [weights[i] for i in part], np.array(part), theta, k, sig)
         todo = np.array(left, np.int64)
         theta[todo] *= 2
     return sig
 
 
-def _throw(sets: list[np.ndarray], part: np.ndarray, theta: np.ndarray, k: int, sig: np.ndarray) -> list[int]:
+def _cells(sets: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, owner, width) of the cells of width 1 or less that the elements' regions are cut into."""
+    h, w = np.concatenate(sets), np.concatenate(weights)
+    owner = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    many = np.maximum(1, np.ceil(w)).astype(np.int64)
+    if (many > 1).any():
+        src = np.repeat(np.arange(len(h)), many)
+        nth = np.arange(len(src)) - np.repeat(np.cumsum(many) - many, many)
+        h, w, owner = repeats_apart(h[src], nth), np.minimum(1.0, w[src] - nth), owner[src]
+    return h, owner, w
+
+
+def _throw(sets: list[np.ndarray], weights: list[np.ndarray], part: np.ndarray, theta: np.ndarray, k: int, sig: np.ndarray) -> list[int]:
     """Fills the signatures of part; returns those with a coordinate that no dart reached."""
-    h = np.concatenate([sets[i] for i in part])
-    owner = np.repeat(np.arange(len(part)), [len(sets[i]) for i in part])
+    h, owner, width = _cells(sets, weights)
     limit = theta[part]
     best = np.full(len(part) * k, np.inf)
     thrown = []
     level, low, high = 0, 0.0, _FIRST
     while low < limit.max():
         live = slice(None) if level == 0 else np.flatnonzero(limit[owner] > low)
-        e, o = h[live], owner[live]
+        e, o, wide = h[live], owner[live], width[live]
         if level not in _CDF:
             _CDF[level] = _poisson_cdf(high - low)
         many = np.searchsorted(_CDF[level], _unit(mix(e ^ salt(2 * level))))
@@ -85,6 +100,8 @@ def _throw(sets: list[np.ndarray], part: np.ndarray, theta: np.ndarray, k: int,
             dart = mix(mix(e[src] ^ salt(2 * level + 1)) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             rank = low + (high - low) * _unit(dart)
             ok = rank < limit[o[src]]
+            if (wide < 1).any():
+                ok &= _unit(mix(dart + np.uint64(1))) < wide[src]
             dart, rank, o = dart[ok], rank[ok], o[src][ok]
             cell = o * k + (mix(dart) % np.uint64(k)).astype(np.int64)
             np.minimum.at(best, cell, rank)
@@ -100,7 +117,7 @@ def _throw(sets: list[np.ndarray], part: np.ndarray, theta: np.ndarray, k: int,
 
 
 def signatures(docs: DataFrame, *, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
-    """(id, d1, d2, n, keys): digest of the words, number of shingles, band keys. Texts without words have no keys.
+    """(id, d1, d2, n, keys): digest of the words, number of shingles with their repeats, band keys. Texts without words have no keys.
 
     Rows with a null id are left out.
     """
@@ -111,8 +128,8 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, bands: int = BAND
             for at in range(0, whole.num_rows, 2000):
                 batch = whole.slice(at, 2000)
                 words = word_hashes(batch.column(1))
-                sets = [shingle_set(w, size) for w in words]
-                sig = dart_signatures(sets, bands * rows)
+                sets, weights = zip(*(counted(shingles(w, size)) for w in words)) if words else ((), ())
+                sig = dart_signatures(list(sets), bands * rows, list(weights))
                 keys = np.zeros((len(sets), bands), np.uint64)
                 for r in range(rows):
                     keys = mix(keys * np.uint64(0x100000001B3) + sig[:, r * bands : (r + 1) * bands] + np.uint64(r + 1))
@@ -127,7 +144,7 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, bands: int = BAND
                         batch.column(0),
                         pa.array([signed(int(x) >> 64) for x in dig], pa.int64()),
                         pa.array([signed(int(x) & (1 << 64) - 1) for x in dig], pa.int64()),
-                        pa.array([len(s) for s in sets], pa.int32()),
+                        pa.array([int(w.sum()) for w in weights], pa.int32()),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[full].ravel(), pa.int64())),
                     ],
                     names=["id", "d1", "d2", "n", "keys"],
@@ -137,7 +154,10 @@ def signatures(docs: DataFrame, *, id_col: str, text_col: str, bands: int = BAND
 
 
 def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
-    """(id, s): every text's distinct shingles as hashes."""
+    """(id, s): every text's shingles as hashes, the n-th of equal ones by a hash of its own.
+
+    As sets these have the Jaccard similarity that the weighted sets have.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +171,7 @@ def shingle_sets(docs: DataFrame, *, id_col: str, text_col: str, size: int = SHI
 
 
 def _compare(t: pa.Table, num: int) -> pa.Table:
-    """Edges (a, b) that span the links between rows of different roots, in one bucket or across two of its blocks."""
+    """Edges (a, b) that span the links between rows of different roots, in one block of a bucket or across two."""
     t = t.combine_chunks()
     ids, root, block = (t.column(c).to_numpy().copy() for c in ("rep", "root", "block"))
     cross = t.column("p")[0].as_py() != t.column("q")[0].as_py()
@@ -187,15 +207,17 @@ def _compare(t: pa.Table, num: int) -> pa.Table:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of at least `similarity` on their sets of `size`-word shingles.
 
-    One row per distinct non-null id: the id column, class_id (the smallest id reachable by links) and kept (the id is
-    its class's). Texts with the same words are one class and are compared once. A text of fewer than `size` words is
+    One row per distinct non-null id: the id column, class_id (the smallest id reachable by links), kept (the id is its
+    class's) and linked_id (a document that this one is verified against: the first with the same words, else of those
+    linked with it the smallest; null where it is the first of its words and links with no others). The similarity is the weighted one, on shingles with
+    their numbers. Texts with the same words are one class and are compared once. A text of fewer than `size` words is
     one shingle; texts without words (null, empty, white space) link with nothing. If an id repeats with different
     texts, its smallest class counts.
 
     Candidates share a band key. Every text is first compared with one hub, the text of its buckets that shares the
-    most of others. What this leaves apart within a bucket is compared across the classes found so far, in the tasks
-    that hold the bucket or two blocks of a large one; only edges that span the links leave them, never all pairs. The
-    id must be an integer.
+    most of others. Where this leaves a bucket in several classes, all rows outside of its largest class so far are
+    compared with all others of the bucket, in blocks of a bounded number of shingles, two blocks a task; only edges
+    that span the links leave them, never all pairs. The id must be an integer.
     """
     num = round(similarity * 10_000)
     sig = written(signatures(docs, id_col=id_col, text_col=text_col, bands=bands, rows=rows, size=size), "signatures")
@@ -218,15 +240,29 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = written(first.join(left, "a").join(right, "b").where(similar).select("a", "b"), "links")
     # what this leaves apart in a bucket: all its members across classes, within a task or a pair of blocks
     roots = written(components(links), "roots")
-    now = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "c", F.coalesce("root", "rep").alias("root"))
+    now = shared.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
     apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    rest = now.join(apart, "key").withColumn("nb", F.ceil(F.col("c") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int"))
-    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", "rep", "root", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
+    now = written(now.join(apart, "key"), "apart")
+    parts = now.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    major = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("w").alias("all"))
+    parts = parts.join(major, "key")
+    is_major = F.col("root") == F.col("top.root")
+    # blocks of the largest class are numbered after those of the others
+    sizes = parts.groupBy("key").agg(F.first("top.root").alias("top"), F.ceil(F.sum(F.when(is_major, 0).otherwise(F.col("w"))) / BLOCK).cast("int").alias("n_rest"), F.ceil(F.sum(F.when(is_major, F.col("w")).otherwise(0)) / BLOCK).cast("int").alias("n_top"))
+    place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    of_top = F.col("root") == F.col("top")
+    rest = now.join(sizes, "key").withColumn("block", F.when(of_top, F.col("n_rest") + place(F.col("n_top"))).otherwise(place(F.col("n_rest"))))
+    # rows of the rest meet every block, rows of the largest class those of the rest alone
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(of_top, F.col("n_rest")).otherwise(F.col("n_rest") + F.col("n_top")) - 1)))
+    rest = rest.select("key", "rep", "root", "block", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"))
     sized = rest.join(sets.withColumnRenamed("id", "rep"), "rep")
     on_workers(docs.sparkSession)
     more = sized.groupBy("key", "p", "q").applyInArrow(lambda t: _compare(t, num), "a long, b long")
     links = written(links.unionByName(more.distinct()), "links")
     roots = components(links)
+    mates = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.min("b").alias("mate"))
+    found = roots.withColumnRenamed("id", "rep").join(mates.withColumnRenamed("a", "rep"), "rep", "left")
     rep = sig.join(reps.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("id", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("rep"))
-    out = rep.join(roots.select(F.col("id").alias("rep"), "root"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("class_id"))
-    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"))
+    out = rep.join(found, "rep", "left").select("id", F.coalesce("root", "rep").alias("class_id"), F.when(F.col("id") != F.col("rep"), F.col("rep")).otherwise(F.col("mate")).alias("linked_id"))
+    out = out.groupBy("id").agg(F.min("class_id").alias("class_id"), F.min("linked_id").alias("linked_id"))
+    return out.select(F.col("id").alias(id_col), "class_id", (F.col("id") == F.col("class_id")).alias("kept"), "linked_id")

@@ -35,8 +35,8 @@ def word_hashes(texts: pa.Array) -> list[np.ndarray]:
     return [h[a:b] if ok[a:b].all() else h[a:b][ok[a:b]] for a, b in zip(off[:-1], off[1:])]
 
 
-def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the windows of `size` words; a shorter text is one window, one without words none."""
+def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """Hashes of the windows of `size` words, in order; a shorter text is one window, one without words none."""
     n = len(words)
     if n == 0:
         return words
@@ -44,4 +44,23 @@ def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
     acc = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
         acc = mix(acc * np.uint64(0x100000001B3) + words[i : n - k + 1 + i] + np.uint64(i + 1))
-    return np.unique(acc)
+    return acc
+
+
+def counted(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct hashes, how often each stands there)."""
+    return np.unique(hashes, return_counts=True)
+
+
+def repeats_apart(hashes: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """The hash of the nth of equal elements, from 0; the first keeps its own."""
+    return np.where(nth == 0, hashes, mix(hashes ^ mix(nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))))
+
+
+def shingle_set(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """Sorted hashes of the shingles, equal ones told apart by their number: a set whose size is the weighted set's weight."""
+    h, n = counted(shingles(words, size))
+    if len(h) and n.max() > 1:
+        src = np.repeat(np.arange(len(h)), n)
+        h = np.sort(repeats_apart(h[src], np.arange(len(src)) - np.repeat(np.cumsum(n) - n, n)))
+    return h

@@ -1,7 +1,9 @@
 """Each operator against a plain version of it, and on odd tables: nulls, empty and long texts, repeats, clashing names."""
 
 import collections
+import gzip
 import hashlib
+import html.parser
 import math
 import random
 import re
@@ -236,22 +238,34 @@ def test_bpe_as_the_library(spark, odd, none):
 
 def test_warc(spark):
     rng = random.Random(7)
-    html = [words(rng, 40) for _ in range(6)] + ["", None, "é" * 700_000, "a\r\n\r\nWARC/1.1\r\n\r\n"]
-    rows = [(i, None if i % 5 == 0 else f"http://x/{i}\n", html[rng.randrange(len(html))]) for i in range(60)] + [(None, "u", "x"), (7, "again", html[0]), (7, "again", html[0])]
+    bodies = [words(rng, 40) for _ in range(6)] + ["", None, "é" * 700_000, "a\r\n\r\nWARC/1.1\r\n\r\n"]
+    rows = [(i, None if i % 5 == 0 else f"http://x/{i}\n", bodies[rng.randrange(len(bodies))]) for i in range(60)] + [(None, "u", "x"), (7, "again", bodies[0]), (7, "again", bodies[0])]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = warc.round_trip(pages).collect()
-    kept = [r for r in rows if r[0] is not None]
-    assert sorted(r.page_id for r in got) == sorted(r[0] for r in kept)
+    assert len(got) == len(rows)
     top = {}
-    for i, _, h in kept:
-        top[h or ""] = max(i, top.get(h or "", -1))
-    want = sorted((i, len((h or "").encode()), warc.base32_sha1(hashlib.sha1((h or "").encode())), "revisit" if i < top[h or ""] else "response", top[h or ""] if i < top[h or ""] else -1) for i, _, h in kept)
-    assert sorted((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, -1 if r.refers_to is None else r.refers_to) for r in got) == want
+    for i, _, h in rows:
+        top[h or ""] = max(-1 if i is None else i, top.get(h or "", -1))
+    behind = lambda i, h: i is not None and i < top[h or ""]
+    want = [(i, len((h or "").encode()), warc.base32_sha1(hashlib.sha1((h or "").encode())), "revisit" if behind(i, h) else "response", top[h or ""] if behind(i, h) else None) for i, _, h in rows]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert warc.round_trip(pages.limit(0)).count() == 0
     small = warc.round_trip(pages, min_revisit_bytes=100).where("payload_bytes < 100 AND record_type = 'revisit'").count()
     assert small == 0
 
 
+def test_warc_record_ids(spark, tmp_path):
+    rows = [(1, "u", "a"), (1, "u", "b"), (2, "u", "a"), (3, "u", "c"), (3, "u", "c"), (2, "u", "c"), (None, "u", "a"), (None, "u", "a"), (1, "u", "a")]
+    folder = f"file://{tmp_path}/w"
+    files = warc.write_archives(warc.plan_records(spark.createDataFrame(rows, "page_id long, url string, html string")), folder)
+    got = warc.read_chunks(files, folder).where("last").collect()
+    assert len({r.record_id for r in got}) == len(got) == len(rows)
+    text = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").iterdir() if p.suffix == ".gz").decode()
+    refers = re.findall("WARC-Refers-To: (.*)\r", text)
+    assert len(refers) == 2 and set(refers) <= {r.record_id for r in got if r.page_key == "2" and r.record_type == "response"}
+    assert sorted((r.page_key, r.refers_to) for r in got if r.record_type == "revisit") == [("1", "2"), ("1", "2"), ("2", "3")]
+
+
 def test_warc_chunks(spark, tmp_path):
     pages = spark.createDataFrame([(1, "u", "ab" * 5000), (2, "v", "")], "page_id long, url string, html string")
     folder = f"file://{tmp_path}/w"
@@ -365,6 +379,29 @@ def test_forest_against_all_pairs(spark):
     assert embedding.near_vectors(df.limit(0)).count() == 0
 
 
+def test_forest_of_real_depth(spark):
+    """Pairs planted at a cosine of 0.98 to 0.985, in a forest of four levels and more: all are found."""
+    rng = np.random.default_rng(20)
+    dim, n = 32, 3000
+    base = rng.standard_normal((n, dim))
+    base /= np.sqrt((base**2).sum(1))[:, None]
+    off = rng.standard_normal((n, dim))
+    off -= (off * base).sum(1)[:, None] * base
+    off /= np.sqrt((off**2).sum(1))[:, None]
+    c = rng.uniform(0.9801, 0.985, n)[:, None]
+    x = np.concatenate([base, c * base + np.sqrt(1 - c**2) * off])
+    forest = embedding.grow_forest(x, np.zeros(len(x), int), 1.0, 0.98)
+    depths = [max(node.bit_length() for node in t) for t in forest.threshold]
+    assert min(depths) >= 5
+    df = spark.createDataFrame([(i, v.tolist(), 1, "clash", 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, v string, rep int")
+    got = {r.vec_id: r for r in embedding.near_vectors(df.repartition(4)).collect()}
+    assert len(got) == 2 * n
+    found = sum(got[i].component_id == got[n + i].component_id for i in range(n))
+    assert found == n
+    links = sum(int(((x[a : a + 500] @ x.T) >= 0.98).sum()) for a in range(0, 2 * n, 500)) - 2 * n
+    assert sum(r.n_links for r in got.values()) == links
+
+
 def test_blocks_of_a_large_leaf():
     rng = np.random.default_rng(10)
     x = rng.standard_normal((90, 8))
@@ -436,6 +473,97 @@ def test_html_quotes_in_tags(page, want):
     assert html_text.render(page) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>z", "yes\nz"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "  - yes"),
+        ("<div style='display:none'><b style='visibility:visible'>no</b></div>z", "z"),
+        ("<details>no<summary>s</summary><p>no</p></details><details open><summary>t</summary>u</details>", "s\nt\nu"),
+        ("<table><tr><th colspan=2>ab<th>c<tr><td>1<td>2<td>3</table>", "ab    c\n1  2  3"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tr><td colspan=2>wide heading<tr><td>x<td>y<tr><td colspan=900>z</table>", "wide heading\nx  y\nz"),
+        ("<table><tr><td rowspan=9 colspan=2>a<td>b<tr><td>c</table>", "a  b\n   c"),
+    ],
+)
+def test_html_visibility_and_spans(page, want):
+    assert html_text.render(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>x", "<ul><li>x", "<li>", "<p><span>", "<table><tr><td>", "<b>x</p>", "<p><table><td><div>", "<td rowspan=999 colspan=999>x", "</div>", "<details><summary>"])
+def test_html_takes_time_in_proportion(piece):
+    at = time.perf_counter()
+    html_text.render(piece * (400_000 // len(piece)))
+    assert time.perf_counter() - at < 20
+
+
+class PlainWords(html.parser.HTMLParser):
+    """Visible words of a well-formed page, by a stack of what hides."""
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.words = [], []
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        style = a.get("style") or ""
+        gone, unseen = self.open[-1] if self.open else (False, False)
+        gone = gone or tag in ("script", "style", "template", "noscript") or "hidden" in a or "display:none" in style
+        if "visibility" in style:
+            unseen = "visible" not in style
+        if tag not in ("br", "hr", "img"):
+            self.open.append((gone, unseen))
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+
+    def handle_data(self, data):
+        if not self.open or self.open[-1] == (False, False):
+            self.words += re.findall(r"q\d+", data)
+
+
+def test_html_words_against_a_plain_walk():
+    rng = random.Random(19)
+    count = 0
+
+    def text():
+        nonlocal count
+        out = []
+        for _ in range(rng.randrange(1, 4)):
+            count += 1
+            out.append(f"q{count}")
+        return rng.choice((" ", "\n", " &amp; ")).join(out)
+
+    def style():
+        return rng.choice([""] * 8 + [" hidden", " style='display:none'", " style='visibility:hidden'", " style=\"visibility:visible\"", " class='a>b'"])
+
+    def inline(d):
+        return text() if d <= 0 or rng.random() < 0.5 else f"<{(t := rng.choice(['b', 'i', 'span', 'a', 'em']))}{style()}>{inline(d - 1)}</{t}> {text()}"
+
+    def block(d):
+        kind = rng.randrange(8)
+        if d <= 0 or kind == 0:
+            return f"<p{style()}>{inline(2)}</p>"
+        if kind == 1:
+            t = rng.choice(["ul", "ol"])
+            return f"<{t}{style()}>" + "".join(f"<li{style()}>{inline(1)}{block(d - 1) if rng.random() < 0.3 else ''}</li>" for _ in range(rng.randrange(4))) + f"</{t}>"
+        if kind == 2:
+            return f"<table{style()}>" + "".join(f"<tr{style()}>" + "".join(f"<td{style()} colspan={rng.randrange(1, 3)} rowspan={rng.randrange(1, 3)}>{inline(1)}{block(d - 1) if rng.random() < 0.2 else ''}</td>" for _ in range(rng.randrange(4))) + "</tr>" for _ in range(rng.randrange(4))) + "</table>"
+        if kind == 3:
+            return f"<script>var q{count} = '<p>';</script><!-- q0 -->"
+        t = rng.choice(["div", "section", "blockquote", "article", "h2", "pre", "form"])
+        return f"<{t}{style()}>" + "".join(block(d - 1) if t not in ("h2", "pre") else inline(2) for _ in range(rng.randrange(1, 4))) + f"</{t}>"
+
+    for _ in range(400):
+        page = "<html><body>" + "".join(block(3) for _ in range(4)) + "</body></html>"
+        plain = PlainWords()
+        plain.feed(page)
+        got = re.findall(r"q\d+", html_text.render(page))
+        assert collections.Counter(got) == collections.Counter(plain.words), page
+        if "<table" not in page:
+            assert got == plain.words, page
+
+
 def test_html_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, None, None), (3, "u", ""), (None, "u", "b"), (1, "u", "<p>a</p>")], "page_id long, url string, html string")
     got = sorted(map(tuple, html_text.extract_text(pages).collect()), key=str)
@@ -450,6 +578,39 @@ def test_toxicity_bounds_are_whole():
     assert (toxicity.MAX_POSITIVE, toxicity.MAX_UNLABELLED) == (3000, 6000)
 
 
+@pytest.mark.parametrize("known_by_heart", [False, True])
+def test_risk_against_a_plain_version(known_by_heart):
+    """The risk by its definition, row by row, and its slopes by differences; with the negative part above and below zero."""
+    rng = np.random.default_rng(22)
+    zp, zu, prior = rng.normal(4 if known_by_heart else -1, 1, 7), rng.normal(-6 if known_by_heart else 0, 1, 9), 0.3
+
+    def plain(zp, zu, step):
+        loss = lambda z, y: math.log(1 + math.exp(-y * z))
+        positive = prior * sum(loss(z, 1) for z in zp) / len(zp)
+        negative = sum(loss(z, -1) for z in zu) / len(zu) - prior * sum(loss(z, -1) for z in zp) / len(zp)
+        if step:
+            return positive + negative if negative >= 0 else -negative
+        return positive + max(0, negative)
+
+    got, gp, gu = toxicity.risk(zp, zu, prior)
+    assert (prior * np.logaddexp(0, zp).mean() > np.logaddexp(0, zu).mean()) == known_by_heart
+    assert math.isclose(got, plain(zp, zu, False))
+    for side, slopes in ((zp, gp), (zu, gu)):
+        for i in range(len(side)):
+            d = np.zeros(len(side))
+            d[i] = 1e-5
+            up, down = [plain(*((side + s, zu) if side is zp else (zp, side + s)), True) for s in (d, -d)]
+            assert abs((up - down) / 2e-5 - slopes[i]) < 1e-6
+
+
+def test_toxicity_of_repeated_and_null_ids(spark):
+    rows = [(1, "vile vile word")] * 50 + [(2, None), (None, "vile"), (3, "")] + [(k, f"plain w{k}") for k in range(10, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0), (None, 1), (999, 1)], "doc_id long, toxic int"))
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+
+
 def test_toxicity_learns_and_generalises(spark, odd, none):
     rng = random.Random(11)
     bad = ["vileword", "nastyterm", "slurname"]
@@ -570,6 +731,7 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
             v[rng.randrange(len(v))] = f"y{rng.randrange(9999)}"
         text.append((k, " ".join(v)))
     monkeypatch.setattr(minhash, "BLOCK", 700)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 9)
     got = minhash.near_duplicates(spark.createDataFrame(text, "doc_id long, text string")).collect()
     assert {r.doc_id: r.class_id for r in got} == plain_classes(text)
 

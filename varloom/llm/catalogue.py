@@ -60,7 +60,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learn = toxicity.learn_part()
     model = toxicity.train(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
-    return toxicity.score(docs, model).select("doc_id", (~learn).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

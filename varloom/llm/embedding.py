@@ -7,14 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, components, written
 
-#: The forest is laid out on a sample of at most so many vectors, drawn by hash over the whole table.
-SAMPLE = 50_000
-TREES, LEAF, MAX_DEPTH, MIN_SAMPLE = 4, 1024, 16, 16
+#: The forest is laid out on a sample of at most so many vectors and of so many numbers, drawn by hash over the whole
+#: table. They bound the driver's memory.
+SAMPLE, SAMPLE_NUMBERS = 50_000, 4_000_000
+#: LEAF: vectors of a label that a leaf is expected to hold at most.
+TREES, LEAF, MAX_DEPTH, MIN_SAMPLE = 4, 48, 16, 16
 
 
 @dataclass
@@ -56,18 +59,12 @@ class Forest:
         return row[order], leaf[order], block[order]
 
 
-def unit_rows(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """(which of the vectors can link, their unit vectors as double); all the same length."""
-    ok = np.array([v is not None and None not in v for v in vectors], bool)
-    x = np.array([v for v, o in zip(vectors, ok) if o], np.float64)
-    if not len(x) or x.ndim < 2 or not x.shape[1]:
-        return np.zeros(len(vectors), bool), np.zeros((0, 0))
-    fine = np.isfinite(x).all(1)
-    top = np.abs(np.where(np.isfinite(x), x, 0)).max(1)
-    fine &= top > 0
-    ok[np.flatnonzero(ok)[~fine]] = False
-    x = x[fine] / top[fine][:, None]
-    return ok, x / np.sqrt((x * x).sum(1))[:, None]
+def unit_rows(vectors: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors as double of lists that all hold `dim` finite numbers, not all 0; read from the flat buffer."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    x /= np.abs(x).max(1, initial=0, keepdims=True)
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    return x
 
 
 def grow_forest(x: np.ndarray, label: np.ndarray, scale: float, similarity: float, *, trees: int = TREES, leaf: int = LEAF, seed: int = 5) -> Forest:
@@ -151,7 +148,7 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     hold null or non-finite components, and rows with a null label or id, link with nothing. Equal vectors of a label
     are compared as one row with its multiplicity and their links counted. The id must be an integer.
 
-    The forest is laid out on a bounded sample; every row is sent through it. Leaves of a label are compared within,
+    Rows of an empty table give none; other columns are ignored. The forest is laid out on a bounded sample, the same on every run; every row is sent through it. Leaves of a label are compared within,
     oversized ones by pairs of blocks, and only counts and spanning edges leave a leaf.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
@@ -163,16 +160,17 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     reps = keyed.where("sound").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("v").alias("v"))
     reps = written(reps, "vectors")
     n = reps.count()
-    draw = F.pmod(F.xxhash64("k1", "rep"), F.lit(1 << 40)) / float(1 << 40)
-    picked = reps.where(draw < min(1.0, 1.1 * sample / max(n, 1))).limit(sample).select("label", "v", F.size("v").alias("dim")).toArrow()
+    widest = reps.agg(F.max(F.size("v"))).first()[0] or 1
+    sample = max(1, min(sample, SAMPLE_NUMBERS // widest))
+    order = F.pmod(F.xxhash64("k1", "rep"), F.lit(1 << 40))
+    drawn = reps.where(order < int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 40))).orderBy(order, "rep").limit(sample)
+    picked = drawn.select("label", "v", F.size("v").alias("dim")).toArrow().combine_chunks()
     forests: dict[int, Forest] = {}
-    dims = np.array(picked.column("dim").to_pylist(), np.int64)
-    for dim in sorted(set(dims.tolist())):
-        at = np.flatnonzero(dims == dim)
-        part = picked.take(pa.array(at))
-        ok, x = unit_rows(part.column("v").to_pylist())
-        names = np.array([str(v) for v, o in zip(part.column("label").to_pylist(), ok) if o])
-        forests[dim] = grow_forest(x, names, n / max(len(dims), 1), similarity, trees=trees, leaf=leaf)
+    dims = picked.column("dim").to_numpy()
+    for dim in np.unique(dims).tolist():
+        part = picked.take(pa.array(np.flatnonzero(dims == dim))).combine_chunks()
+        names = np.array([str(v) for v in part.column("label").to_pylist()])
+        forests[dim] = grow_forest(unit_rows(part.column("v").chunk(0), dim), names, n / max(len(dims), 1), similarity, trees=trees, leaf=leaf)
 
     label_type = reps.schema["label"].dataType.simpleString()
 
@@ -181,12 +179,10 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
-                vec = batch.column(3).to_pylist()
-                size = np.array([len(v) for v in vec])
-                for dim in np.unique(size):
+                size = pc.list_value_length(batch.column(3)).to_numpy()
+                for dim in np.unique(size).tolist():
                     mine = np.flatnonzero(size == dim)
-                    ok, x = unit_rows([vec[i] for i in mine])
-                    mine = mine[ok]
+                    x = unit_rows(batch.column(3).take(pa.array(mine)), dim)
                     if dim in forests:
                         r, leaf_id, blocks = forests[dim].leaves(x)
                     else:  # a length that the sample doesn't hold: one leaf
@@ -214,7 +210,9 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
 
     def compare(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
-        x = np.frombuffer(b"".join(t.column("v").to_pylist()), np.float64).reshape(t.num_rows, -1)
+        v = t.column("v").chunk(0)
+        ends = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
+        x = np.frombuffer(v.buffers()[2], np.float64, (ends[-1] - ends[0]) // 8, ends[0]).reshape(t.num_rows, -1)
         ids = t.column("rep").to_numpy()
         cross = t.column("p")[0].as_py() != t.column("q")[0].as_py()
         count, edges = links_in(x, ids, t.column("mult").to_numpy(), t.column("block").to_numpy(), t.column("leaves").to_pylist(), t.column("leaf")[0].as_py(), cross, similarity)

@@ -5,7 +5,8 @@ from __future__ import annotations
 import html as _html
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,42 +40,103 @@ IMPLIED = {
 #: What a table is made of; all else in it stands before it.
 PARTS = frozenset("tr tbody thead tfoot td th caption colgroup col".split())
 _SCOPE = frozenset("table td th caption html body".split())
+#: Their end tags reach out of a table cell.
+_THROUGH = frozenset("table tr td th tbody thead tfoot body html".split())
 #: A quote opens a string only after "=", and only where it is closed; elsewhere it is a character like any other.
 _VALUE = r"\"([^\"]*)\"|'([^']*)'|([^\s>]*+)"
 _NAME = r"[^\s/>][^\s/>=]*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE.replace('(', '(?:')}))?+)*+)>", re.S)
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:{_VALUE}))?+")
 _UNCLOSED = re.compile(r"<[!?]")
-_INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
+#: Levels of lists and quotations that are indented; deeper ones stand as far in as these.
+MAX_INDENT = 32
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("children", "hidden", "mute", "order", "tag", "within")
+    """hidden: nothing of it is drawn. unseen: its own strings are not, but those of parts that say they are visible."""
+
+    __slots__ = ("children", "closed", "hidden", "mute", "order", "span", "tag", "unseen", "within")
 
     def __init__(self, tag: str, hidden: bool = False, order: int | None = None):
         self.tag, self.hidden, self.order, self.children = tag, hidden, order, []
         self.within, self.mute = "", False  # svg or math that holds it; whether its own strings are not drawn
+        self.unseen = self.closed = False  # closed: details of which only the summary is drawn
+        self.span = (1, 1)  # columns and rows of a cell
+
+
+def _attributes(raw: str) -> dict[str, str]:
+    """Names in lower case with their values; of repeated names the first counts."""
+    attrs: dict[str, str] = {}
+    if raw.strip(" /"):
+        for m in _ATTRIBUTE.finditer(raw):
+            attrs.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return attrs
+
+
+def _hides(tag: str, attrs: dict[str, str]) -> bool:
+    return (
+        tag in HIDDEN
+        or "hidden" in attrs
+        or ("style" in attrs and bool(_UNDISPLAYED.search(attrs["style"])))
+        or (tag == "input" and attrs.get("type", "").lower() == "hidden")
+        or (tag == "dialog" and "open" not in attrs)
+    )
+
+
+def _number(attrs: dict[str, str], name: str, most: int) -> int:
+    x = attrs.get(name, "").strip()
+    return max(1, min(int(x), most)) if re.fullmatch(r"\d{1,9}", x) else 1
+
 
+class _Stack:
+    """The open elements, and where each kind of them stands: what closes what is found without a walk."""
 
-def _hides(tag: str, raw: str) -> tuple[bool, dict[str, str]]:
-    attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(raw)} if raw.strip(" /") else {}
-    hidden = tag in HIDDEN or "hidden" in attrs or ("style" in attrs and bool(_INVISIBLE.search(attrs["style"]))) or (tag == "input" and attrs.get("type", "").lower() == "hidden")
-    if tag == "dialog" and "open" not in attrs:
-        hidden = True
-    return hidden, attrs
+    def __init__(self, root: Node):
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = {root.tag: [0]}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.tag, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        """Close the elements from place `at` on."""
+        for node in self.nodes[at:]:
+            self.places[node.tag].pop()
+        del self.nodes[at:]
+
+    def last(self, tags: Iterable[str]) -> int:
+        """The place of the innermost element of these kinds; -1 if none is open."""
+        return max((p[-1] for t in tags if (p := self.places.get(t))), default=-1)
+
+    def first_after(self, tags: Iterable[str], at: int) -> int | None:
+        """The place of the outermost element of these kinds within the element at place `at`."""
+        found = []
+        for t in tags:
+            p = self.places.get(t)
+            if p and p[-1] > at:
+                found.append(p[bisect_right(p, at)])
+        return min(found, default=None)
 
 
 def parse(html: str) -> Node:
     """A tree with implied end tags. Unclosed elements end with their parent; stray end tags are dropped."""
     root = Node("html")
-    stack = [root]
+    stack = _Stack(root)
+    nodes = stack.nodes
 
     def put(s: str) -> None:
-        if stack[-1].tag == "colgroup" and s.strip():
-            stack.pop()
-        if not stack[-1].mute:
-            stack[-1].children.append(s)
+        if nodes[-1].tag == "colgroup" and s.strip():
+            stack.cut(len(nodes) - 1)
+        x = nodes[-1]
+        if x.unseen or x.closed:
+            if not x.mute and not x.closed and x.children and x.children[-1] != " ":
+                x.children.append(" ")
+        elif not x.mute:
+            x.children.append(s)
 
     at = 0
     n = len(html)
@@ -96,80 +158,73 @@ def parse(html: str) -> Node:
             continue
         tag = tag.lower()
         if m[1]:  # end tag
-            if tag == "p" and not any(x.tag == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
-                continue
-            if tag == "br":
-                stack[-1].children.append(Node("br"))
-                continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("table", "td", "th") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "body", "html"):
-                    break  # an end tag does not reach out of its table cell
+            here = stack.last((tag,))
+            if tag == "p" and here < 0:
+                nodes[-1].children.append(Node("p"))
+            elif tag == "br":
+                nodes[-1].children.append(Node("br"))
+            elif here > 0 and (tag in _THROUGH or stack.last(("table", "td", "th")) <= here):
+                stack.cut(here)  # no other end tag reaches out of its table cell
             continue
         if tag in ("html", "body"):
-            if any(x.tag == "head" for x in stack):
-                del stack[next(i for i, x in enumerate(stack) if x.tag == "head") :]
-            if tag == "html" or any(x.tag == "body" for x in stack):
+            head = stack.last(("head",))
+            if head > 0:
+                stack.cut(stack.places["head"][0])
+            if tag == "html" or stack.places.get("body"):
                 continue
-        elif stack[-1].tag == "head" and tag not in HIDDEN and tag not in ("meta", "link", "base"):
-            stack.pop()  # the first other element ends the head
-        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-            stack.pop()
+        elif nodes[-1].tag == "head" and tag not in HIDDEN and tag not in ("meta", "link", "base"):
+            stack.cut(len(nodes) - 1)  # the first other element ends the head
+        if nodes[-1].tag == "colgroup" and tag not in ("col", "template"):
+            stack.cut(len(nodes) - 1)
         if tag == "table":  # one that does not stand in a cell ends the table before it
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ("td", "th", "caption"):
-                    break
-                if stack[i].tag == "table":
-                    del stack[i:]
-                    break
+            before = stack.last(("table",))
+            if before > stack.last(("td", "th", "caption")):
+                stack.cut(before)
         if tag in CLOSES_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in _SCOPE:
-                    break
+            p = stack.last(("p",))
+            if p > 0 and p > stack.last(_SCOPE):
+                stack.cut(p)
         if tag in IMPLIED:
             closes, scope = IMPLIED[tag]
-            cut = None
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in scope:
-                    break
-                if stack[i].tag in closes:
-                    cut = i
-            if cut is not None:
-                del stack[cut:]
-        raw = m[3]
-        hidden, attrs = _hides(tag, raw)
+            place = stack.first_after(closes, max(0, stack.last(scope)))
+            if place is not None:
+                stack.cut(place)
+        attrs = _attributes(m[3])
         order = None
         if tag == "ol":
             order = int(attrs["start"]) if re.fullmatch(r"-?\d{1,9}", attrs.get("start", "")) else 1
         elif tag == "li" and re.fullmatch(r"-?\d{1,9}", attrs.get("value", "")):
             order = int(attrs["value"])
-        node = Node(tag, hidden, order)
-        if tag == "img" and attrs.get("alt"):
+        up = nodes[-1]
+        node = Node(tag, _hides(tag, attrs), order)
+        seen = _VISIBILITY.findall(attrs.get("style", ""))
+        node.unseen = seen[-1].lower() != "visible" if seen else up.unseen
+        node.closed = tag == "details" and "open" not in attrs
+        if tag in ("td", "th"):
+            node.span = _number(attrs, "colspan", 1000), _number(attrs, "rowspan", 65534)
+        if tag == "img" and attrs.get("alt") and not node.unseen:
             node.children.append(attrs["alt"])
-        elif tag == "optgroup" and attrs.get("label"):
+        elif tag == "optgroup" and attrs.get("label") and not node.unseen:
             node.children.append(attrs["label"])
-        up = stack[-1]
         node.within = tag if tag in HIDDEN_IN else "" if tag == "foreignobject" else up.within
         node.mute = tag == "svg" or (up.mute and tag not in ("text", "foreignobject", "math"))
-        node.hidden = hidden or (up.within != "" and tag in HIDDEN_IN[up.within])
-        if up.mute and not node.mute:  # a text of a drawing stands by itself
-            up.children.append(Node("div"))
-            up = up.children[-1]
-        up.children.append(node)
+        node.hidden = node.hidden or (up.within != "" and tag in HIDDEN_IN[up.within])
+        if up.closed:  # of closed details only the first summary is drawn
+            node.hidden = node.hidden or tag != "summary" or any(x.tag == "summary" for x in up.children[:1])
+        if not (up.closed and node.hidden and up.children):
+            if up.mute and not node.mute:  # a text of a drawing stands by itself
+                up.children.append(Node("div"))
+                up = up.children[-1]
+            up.children.append(node)
         if tag in VOID:
             continue
         if tag in RAW:
             end = re.compile(r"</" + re.escape(tag) + r"(?=[\s/>])[^>]*>?", re.I).search(html, at)
-            node.children.append(html[at : end.start() if end else n])
+            if not node.unseen:
+                node.children.append(html[at : end.start() if end else n])
             at = end.end() if end else n
             continue
-        stack.append(node)
+        stack.push(node)
     return root
 
 
@@ -184,7 +239,7 @@ class _Page:
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap = self.space = False
-        self.indent, self.marker = "", ""
+        self.depth, self.marker = 0, ""
 
     def text(self, s: str) -> None:
         s = _html.unescape(s) if "&" in s else s
@@ -207,7 +262,8 @@ class _Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
-        self.line = [self.indent, self.marker] if self.marker else [self.indent]
+        indent = "  " * min(self.depth, MAX_INDENT)
+        self.line = [indent, self.marker] if self.marker else [indent]
         self.marker = ""
 
     def end_line(self) -> None:
@@ -314,10 +370,10 @@ def _render(root: Node, page: _Page, depth: int = 0) -> None:
             if tag in ("ul", "ol", "menu", "dir"):
                 lists.pop()
                 page.block(not lists)
-                page.indent = page.indent[:-2]
+                page.depth -= 1
             elif tag == "blockquote" or tag == "dd":
                 page.block(tag in SPACED)
-                page.indent = page.indent[:-2]
+                page.depth -= 1
             else:
                 page.block(tag in SPACED)
                 if tag == "li":
@@ -349,16 +405,16 @@ def _render(root: Node, page: _Page, depth: int = 0) -> None:
             page.block(tag in SPACED and not (nested and lists))
             if nested:
                 lists.append([tag == "ol", x.order or 1])
-                page.indent += "  "
+                page.depth += 1
             elif tag in ("blockquote", "dd"):
-                page.indent += "  "
+                page.depth += 1
             elif tag == "li":
+                marker = "- "
                 if lists and lists[-1][0]:
                     number = x.order if x.order is not None else lists[-1][1]
                     lists[-1][1] = number + 1
-                    page.marker = f"{number}. "
-                else:
-                    page.marker = "- "
+                    marker = f"{number}. "
+                page.marker = "" if x.unseen else marker
             todo.append((x, True))
         elif tag == "q":
             todo += [("”", False)]
@@ -368,7 +424,7 @@ def _render(root: Node, page: _Page, depth: int = 0) -> None:
 
 
 def _table(table: Node, page: _Page, depth: int) -> None:
-    """What stands outside of cells first; cells padded to their column's width, columns set apart by two spaces. Deeply nested tables run on as blocks."""
+    """What stands outside of cells first; cells padded to the width of the columns they span, columns set apart by two spaces. A cell of several rows stands in its first. Deeply nested tables run on as blocks."""
     rows, captions, stray = _parts(table)
     for x in stray:
         if depth < 8:
@@ -380,22 +436,59 @@ def _table(table: Node, page: _Page, depth: int) -> None:
         page.block(True)
     for x in captions:
         page.verbatim([" ".join(_text_of(x).split())])
-    cells = []
+    grid: list[list[tuple[int, int, list[str]]]] = []  # per row (column, last column, lines)
+    below: list[tuple[int, int, int]] = []  # (column, columns, rows left) of cells that reach into the next row
     for row in rows:
-        got = []
+        got, col = [], 0
+        held = sorted(below)
+        k = 0
         for c in row:
+            while k < len(held) and held[k][0] <= col:
+                col = max(col, held[k][0] + held[k][1])
+                k += 1
+            wide, high = c.span
             inner = _Page()
             if depth < 8:
                 _render(c, inner, depth + 1)
             else:
                 inner.text(_text_of(c))
-            got.append(inner.result().split("\n"))
-        cells.append(got)
-    columns = max(map(len, cells), default=0)
-    width = [max((_width(y) for r in cells if i < len(r) for y in r[i]), default=0) for i in range(columns)]
-    for r in cells:
-        if any(y for c in r for y in c):
-            page.verbatim(["  ".join((c[k] if k < len(c) else "") + " " * (width[i] - _width(c[k] if k < len(c) else "")) for i, c in enumerate(r)) for k in range(max(map(len, r)))])
+            got.append((col, col + wide - 1, inner.result().split("\n")))
+            if high > 1:
+                below.append((col, wide, high))
+            col += wide
+        below = [(a, n, left - 1) for a, n, left in below if left > 1]
+        grid.append(got)
+    # columns in which no cell begins take no place
+    used = sorted({a for r in grid for a, _, _ in r})
+    at = {a: i for i, a in enumerate(used)}
+    width = [0] * len(used)
+    spanning = []
+    for r in grid:
+        for a, b, lines in r:
+            i, j = at[a], bisect_right(used, b) - 1
+            need = max(map(_width, lines))
+            if i == j:
+                width[i] = max(width[i], need)
+            else:
+                spanning.append((i, j, need))
+    for i, j, need in spanning:
+        width[j] += max(0, need - sum(width[i : j + 1]) - 2 * (j - i))
+    for r in grid:
+        if not any(y for _, _, lines in r for y in lines):
+            continue
+        out = []
+        for k in range(max(len(lines) for _, _, lines in r)):
+            line, i = [], 0
+            for a, b, lines in r:
+                while i < at[a]:
+                    line.append(" " * width[i])
+                    i += 1
+                j = bisect_right(used, b) - 1
+                s = lines[k] if k < len(lines) else ""
+                line.append(s + " " * (sum(width[i : j + 1]) + 2 * (j - i) - _width(s)))
+                i = j + 1
+            out.append("  ".join(line))
+        page.verbatim(out)
 
 
 def render(html: str) -> str:

@@ -25,8 +25,8 @@ from .shingles import counted, mix, repeats_apart, salt, shingle_set, shingles,
 SHINGLE, SIMILARITY = 5, 0.8
 #: At similarity 0.8 a pair shares no band with probability (1 - 0.8 ** 5) ** 30, below 0.00001.
 BANDS, ROWS = 30, 5
-#: Shingles of a bucket's texts that a block holds (a longer text is a block by itself); a task compares two blocks.
-BLOCK = 100_000
+#: Shingles and rows of a bucket that a block holds (a longer text is a block by itself); a task compares two blocks.
+BLOCK, BLOCK_ROWS = 200_000, 1000
 _FIRST = 0.125  # ranks are cut into [0, 1/8) and intervals that double
 
 
@@ -244,11 +244,12 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     apart = now.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     now = written(now.join(apart, "key"), "apart")
     parts = now.groupBy("key", "root").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
-    major = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("w").alias("all"))
+    major = parts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"))
     parts = parts.join(major, "key")
     is_major = F.col("root") == F.col("top.root")
     # blocks of the largest class are numbered after those of the others
-    sizes = parts.groupBy("key").agg(F.first("top.root").alias("top"), F.ceil(F.sum(F.when(is_major, 0).otherwise(F.col("w"))) / BLOCK).cast("int").alias("n_rest"), F.ceil(F.sum(F.when(is_major, F.col("w")).otherwise(0)) / BLOCK).cast("int").alias("n_top"))
+    blocks = lambda mine: F.ceil(F.greatest(F.sum(F.when(mine, F.col("w")).otherwise(0)) / BLOCK, F.sum(F.when(mine, F.col("m")).otherwise(0)) / BLOCK_ROWS)).cast("int")
+    sizes = parts.groupBy("key").agg(F.first("top.root").alias("top"), blocks(~is_major).alias("n_rest"), blocks(is_major).alias("n_top"))
     place = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
     of_top = F.col("root") == F.col("top")
     rest = now.join(sizes, "key").withColumn("block", F.when(of_top, F.col("n_rest") + place(F.col("n_top"))).otherwise(place(F.col("n_rest"))))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map
+from ._common import arrow_map, written
 
 _WORD = re.compile(r"\w+")
 #: Bounds of the fit: rows of confirmed toxic examples, rows of unlabelled text, features. They bound the driver's memory.
@@ -38,19 +38,38 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, *, max_features: int = MAX_FEATURES, steps: int = 300, rate: float = 0.1, shrink: float = 1e-3, seed: int = 7) -> Model:
-    """A sparse logistic model that minimises the class-prior-corrected risk, its negative part kept from going below zero.
+def hashes(text: str) -> np.ndarray:
+    """The text's features as sorted distinct 64-bit numbers."""
+    own = features(text)
+    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(f.encode()) for f in own), np.uint64, len(own)))
 
-    Risk = prior * E_positive[loss(+)] + max(0, E_unlabelled[loss(-)] - prior * E_positive[loss(-)]). Where the second
-    term is negative the step goes against it (the non-negative correction). A feature is used if positives hold it
-    clearly more often than unlabelled texts; an L1 step keeps chance features at zero, so long texts gather no noise.
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of logits of positives and of unlabelled texts, and the step's slopes by each logit.
+
+    Risk = prior * E_positive[loss(+)] + max(0, negative), negative = E_unlabelled[loss(-)] - prior * E_positive[loss(-)],
+    loss logistic. Where negative is below zero (the model knows the unlabelled positives by heart) the slopes are those
+    of -negative, which lead back.
+    """
+    n_p, n_u = len(zp), len(zu)
+    sp, su = 1 / (1 + np.exp(-np.clip(zp, -60, 60))), 1 / (1 + np.exp(-np.clip(zu, -60, 60)))
+    negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
+    positive = prior * np.mean(np.logaddexp(0, -zp))
+    if negative >= 0:
+        return positive + negative, (prior * (sp - 1) - prior * sp) / n_p, su / n_u
+    return positive, prior * sp / n_p, -su / n_u
+
+
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, max_features: int = MAX_FEATURES, steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, bias) of a sparse logistic model that minimises risk(); texts are given by hashes().
+
+    A feature is used if positives hold it clearly more often than unlabelled texts; an L1 step keeps chance features at
+    zero, so long texts gather no noise.
     """
     if not positive or not unlabelled:
-        return Model({}, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
-    # features as 64-bit hashes while there are many: a set of strings per text would not fit the driver
-    hashed = [[np.unique(np.fromiter((xxhash.xxh3_64_intdigest(f.encode()) for f in features(t)), np.uint64)) for t in side] for side in (positive, unlabelled)]
+        return np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     n_p, n_u = len(positive), len(unlabelled)
-    keys, p = np.unique(np.concatenate(hashed[0]), return_counts=True)
+    keys, p = np.unique(np.concatenate(positive), return_counts=True)
     keys, p = keys[p >= 3], p[p >= 3]
 
     def place(h: np.ndarray) -> np.ndarray:
@@ -61,47 +80,56 @@ def fit_nnpu(positive: list[str], unlabelled: list[str], prior: float, *, max_fe
         return i[keys[i] == h]
 
     u = np.zeros(len(keys), np.int64)
-    for h in hashed[1]:
+    for h in unlabelled:
         u[place(h)] += 1
     a, b = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
     z = (np.log(a) - np.log(b)) / np.sqrt((1 - a) / (p + 0.5) + (1 - b) / (u + 0.5))
     best = np.argsort(-z, kind="stable")[: min(max_features, int((z > 3).sum()))]
     keys = np.sort(keys[best])
-    name = {}
-    wanted = set(keys.tolist())
-    for t in positive:
-        for f in features(t):
-            h = xxhash.xxh3_64_intdigest(f.encode())
-            if h in wanted:
-                name[h] = f
-    names = [name[k] for k in keys.tolist()]
 
     def sparse(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         cols = [place(h) for h in side]
         return np.repeat(np.arange(len(side)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
 
-    (rp, cp), (ru, cu) = sparse(hashed[0]), sparse(hashed[1])
-    del hashed
-    w, bias = np.zeros(len(names)), float(np.log(prior / (1 - prior)))
+    (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
+    w, bias = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -60, 60)))
     for t in range(1, steps + 1):
         zp = bias + np.bincount(rp, w[cp], n_p) if len(rp) else np.full(n_p, bias)
         zu = bias + np.bincount(ru, w[cu], n_u) if len(ru) else np.full(n_u, bias)
-        sp, su = sigmoid(zp), sigmoid(zu)
-        negative = np.mean(np.logaddexp(0, zu)) - prior * np.mean(np.logaddexp(0, zp))
-        if negative >= 0:
-            gp, gu = prior * (sp - 1) - prior * sp, su
-        else:
-            gp, gu = prior * sp, -su
-        g = np.bincount(cp, gp[rp], len(w)) / n_p + np.bincount(cu, gu[ru], len(w)) / n_u
-        gb = gp.mean() + gu.mean()
+        _, gp, gu = risk(zp, zu, prior)
+        g = np.bincount(cp, gp[rp], len(w)) + np.bincount(cu, gu[ru], len(w))
+        gb = gp.sum() + gu.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         a = rate * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
         w = w - a * m / (np.sqrt(v) + 1e-8)
         w = np.sign(w) * np.maximum(0, np.abs(w) - a * shrink)
         bias -= a * mb / (np.sqrt(vb) + 1e-8)
-    return Model({f: float(x) for f, x in zip(names, w) if x}, float(bias), prior)
+    return keys[w != 0], w[w != 0], float(bias)
+
+
+def _hashed(texts: DataFrame) -> DataFrame:
+    """(h) per row of (text): the features as numbers, so that no text goes to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [hashes(x.as_py() or "").view(np.int64) for x in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64()))], names=["h"])
+
+    return arrow_map(texts.select("text"), run, "h array<long>")
+
+
+def _names(texts: DataFrame, keys: np.ndarray) -> dict[int, str]:
+    """What the chosen features are called, from texts that hold them."""
+    wanted = set(keys.tolist())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = {f for x in batch.column(0) for f in features(x.as_py() or "") if xxhash.xxh3_64_intdigest(f.encode()) in wanted}
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], names=["f"])
+
+    found = arrow_map(texts.select("text"), run, "f string").groupBy("f").count().collect()  # a row per chosen feature
+    return {xxhash.xxh3_64_intdigest(r["f"].encode()): r["f"] for r in found}
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
@@ -109,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     The class prior is the share of label 1 among the labels given. Rows are drawn by hash of the id, so the sample is
     the same on every run and covers the whole table. Labels that are null, or whose id is null or absent, are ignored;
-    of repeated ids the highest label counts.
+    of repeated ids the highest label counts, and of their texts the first in order. The driver gets the samples'
+    features as numbers (distinct ones per text), not the texts.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n, n_pos = known.agg(F.count("*"), F.sum(F.col("y").cast("long"))).first()
@@ -121,10 +150,20 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     total = docs.count()
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     picked = text.where(draw < min(1.0, 1.3 * max_unlabelled / max(total, 1))).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(max_unlabelled)
-    unlabelled = [r[0] or "" for r in picked.select("text").toLocalIterator()]
     ids = [r[0] for r in pos_ids.collect()]
-    positive = [r[0] or "" for r in text.where(F.col("id").isin(ids)).select("text").toLocalIterator()] if ids else []
-    return fit_nnpu(positive, unlabelled, prior)
+    if not ids or not total:
+        return Model({}, fit_nnpu([], [], prior)[2], prior)
+    confirmed = written(text.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("text").alias("text")), "confirmed")
+    both = _hashed(confirmed).select("h", F.lit(1).alias("p")).unionByName(_hashed(written(picked, "unlabelled")).select("h", F.lit(0).alias("p")))
+    t = both.toArrow().combine_chunks()
+    if not t.num_rows:
+        return Model({}, fit_nnpu([], [], prior)[2], prior)
+    lists, is_p = t.column("h").chunk(0), t.column("p").to_numpy()
+    flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    side = lambda k: [flat[at[i] : at[i + 1]] for i in np.flatnonzero(is_p == k)]
+    keys, w, bias = fit_nnpu(side(1), side(0), prior)
+    name = _names(confirmed, keys)
+    return Model({name[k]: float(x) for k, x in zip(keys.tolist(), w)}, bias, prior)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:

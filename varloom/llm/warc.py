@@ -26,22 +26,27 @@ def base32_sha1(h) -> str:
 
 
 def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_revisit_bytes: int = 0) -> DataFrame:
-    """(id, url, body, sha1, payload_bytes, record_type, refers_to) of every row; a null body is empty.
+    """(id, url, body, sha1, payload_bytes, record_type, refers_to, named) of every row; a null body is empty.
 
     Of rows with equal payloads of at least min_revisit_bytes that with the largest id is the response, the others
-    revisit it. Largest ids are found per digest with partial maxima before the shuffle and written, so that both sides
-    of the join back are plain exchanges and the rows of a hot digest can be split over tasks.
+    revisit it; a row without an id is a response that none refers to. named: the row is the only one with its id and
+    payload, and others may refer to its record. Largest ids are found per digest with partial maxima before the shuffle
+    and written, so that both sides of the join back are plain exchanges and the rows of a hot digest can be split over
+    tasks.
     """
     body = F.coalesce(F.col(body_col).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("sha1", F.sha1("body"))
-    top = written(rows.groupBy("sha1").agg(F.max("id").alias("top")), "tops")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), body.alias("body")).withColumn("sha1", F.sha1("body"))
+    ids = rows.groupBy("sha1", "id").agg(F.count("*").alias("n"))
+    top = written(ids.groupBy("sha1").agg(F.max("id").alias("top"), F.max_by("n", "id").alias("n")), "tops")
     size = F.octet_length("body").cast("long")
-    revisit = (size >= min_revisit_bytes) & (F.col("id") < F.col("top"))
-    return rows.join(top, "sha1").select("id", "url", "body", "sha1", size.alias("payload_bytes"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"))
+    revisit = F.coalesce((size >= min_revisit_bytes) & (F.col("id") < F.col("top")), F.lit(False))
+    named = F.coalesce((F.col("id") == F.col("top")) & (F.col("n") == 1), F.lit(False))
+    return rows.join(top, "sha1").select("id", "url", "body", "sha1", size.alias("payload_bytes"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("top")).alias("refers_to"), (named | (revisit & (F.col("n") == 1))).alias("named"))
 
 
-def _record_id(key: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, 'page:' + key)}>"
+def _record_id(key: str, sha1: str) -> str:
+    """The record of the one row with this id and payload, which revisits refer to."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{key}:{sha1}')}>"
 
 
 def write_archives(plan: DataFrame, folder: str) -> DataFrame:
@@ -49,10 +54,11 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
 
     Payloads go through the packer in pieces; a revisit holds none. A task writes under a name of its own attempt and
     renames at the end, so a repeated task leaves one whole file under the partition's name. Null urls are written as
-    urn:page:ID.
+    urn:page:ID. Every record has an id of its own; a revisit names its response's where that page is one row, and its
+    page's key always.
     """
     payload = F.when(F.col("record_type") == "response", F.col("body")).otherwise(F.lit("").cast("binary"))
-    rows = plan.select(F.col("id").cast("string").alias("k"), "url", payload.alias("b"), "payload_bytes", "sha1", "record_type", F.col("refers_to").cast("string").alias("r"))
+    rows = plan.select(F.col("id").cast("string").alias("k"), "url", payload.alias("b"), "payload_bytes", "sha1", "record_type", F.col("refers_to").cast("string").alias("r"), "named")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -62,24 +68,25 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
         n = size = 0
         with fs.open_output_stream(own) as out:
             for batch in batches:
-                k, u, b, nb, dg, rt, rf = (batch.column(i) for i in range(7))
+                k, u, b, nb, dg, rt, rf, nm = (batch.column(i) for i in range(8))
                 for i in range(batch.num_rows):
                     key, data = k[i].as_py(), b[i].as_buffer()
-                    kind, refers = rt[i].as_py(), rf[i].as_py()
+                    kind, refers, sha1 = rt[i].as_py(), rf[i].as_py(), dg[i].as_py()
+                    own_id = _record_id(key, sha1) if nm[i].as_py() and refers is None else f"<urn:uuid:{uuid.uuid4()}>"
                     uri = (u[i].as_py() or f"urn:page:{key}").translate({10: "%0A", 13: "%0D"})
                     head = [
                         "WARC/1.1",
                         f"WARC-Type: {kind}",
-                        f"WARC-Record-ID: {_record_id(key)}",
+                        f"WARC-Record-ID: {own_id}",
                         f"WARC-Target-URI: {uri}",
                         "WARC-Date: 2000-01-01T00:00:00Z",
-                        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(dg[i].as_py())).decode()}",
-                        f"X-Page-Key: {key}",
+                        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(sha1)).decode()}",
+                        *([] if key is None else [f"X-Page-Key: {key}"]),
                         f"X-Payload-Length: {nb[i].as_py()}",
                         f"Content-Length: {len(data)}",
                     ]
                     if refers is not None:
-                        head += [f"WARC-Refers-To: {_record_id(refers)}", f"X-Refers-To-Key: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+                        head += [*([f"WARC-Refers-To: {_record_id(refers, sha1)}"] if nm[i].as_py() else []), f"X-Refers-To-Key: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     size += out.write(z.compress(("\r\n".join(head) + "\r\n\r\n").encode()))
                     view = memoryview(data)
@@ -191,9 +198,10 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     """Write the archives, read them back, and give per page what the archives say.
 
     One row per record: id, payload_bytes, payload_digest, record_type, refers_to. A response's bytes and digest are
-    those of the chunks read, a revisit's those its header states; a response whose digest differs from its header
-    raises. Null payloads count as empty; rows with a null id have no record; repeated ids give a record each, and
-    equal rows are written as responses both (neither has the larger id).
+    those of the chunks read, a revisit's those its header states; a response whose chunks have another length or digest
+    than the payload had before it was written (which its header tells) raises. Null payloads count as empty; rows with
+    a null id have a record and are responses; repeated ids give a record each, and equal rows are written as responses
+    both (neither has the larger id). Other columns are ignored; an empty table gives no rows.
     """
     folder = folder or new_path(pages.sparkSession, "warc")
     kind = pages.schema[id_col].dataType
@@ -201,6 +209,6 @@ def round_trip(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
     files = write_archives(plan, folder)
     c = read_chunks(files, folder, data=False).where("last")
     revisit = F.col("record_type") == "revisit"
-    wrong = ~revisit & (F.col("sha1_so_far") != F.col("stated_digest"))
-    digest = F.when(wrong, F.raise_error(F.concat(F.lit("digest differs in record "), F.col("record_id")))).when(revisit, F.col("stated_digest")).otherwise(F.col("sha1_so_far"))
+    wrong = ~revisit & ((F.col("sha1_so_far") != F.col("stated_digest")) | (F.col("so_far") != F.col("stated_bytes")))
+    digest = F.when(wrong, F.raise_error(F.concat(F.lit("payload differs in record "), F.col("record_id")))).when(revisit, F.col("stated_digest")).otherwise(F.col("sha1_so_far"))
     return c.select(F.col("page_key").cast(kind).alias(id_col), F.when(revisit, F.col("stated_bytes")).otherwise(F.col("so_far")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", F.col("refers_to").cast(kind).alias("refers_to"))

@@ -1,9 +1,13 @@
 """The engine's fixtures in one graph of many components, and rules on small inputs."""
 
+import os
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.operators import calling, collinear, decompose, graphs, profiles
+from varloom.operators import calling, collinear, decompose, graphs, profiles, validate
+from varloom.plans.durable import numbered
 from varloom.plans.graph_api import Graph
 from varloom.sources import gfa, vcf
 
@@ -44,7 +48,7 @@ def _frame(spark, text):
     return spark.createDataFrame(list(enumerate(text)), gfa.LINES)
 
 
-@pytest.mark.parametrize("name", ["minimal", "nested_sub", "anchor_deletion", "anchor_insertion", "linear", "two"])
+@pytest.mark.parametrize("name", list(FIXTURES))
 def test_calls(spark, name):
     g = Graph.from_lines(_frame(spark, _lines(name)))
     rows = g.gfa2vcf(["HG1"]).orderBy("pos", "id").collect()
@@ -79,10 +83,93 @@ def test_bubble_tree(spark):
     assert got[">1>7"][4] == 1 and got[">4>6"][2:] == (got[">1>7"][0], got[">1>7"][1], 2)
 
 
-@pytest.mark.parametrize("pairs,want", [([(1, 1), (2, 2), (3, 1), (4, 2)], ["1-3", "2-4"]), ([(10, 7), (11, 7), (12, 7)], []), ([(10, 1), (20, 2), (30, 1), (40, 3), (50, 1)], ["10-30", "30-50"])])
+@pytest.mark.parametrize("pairs,want", [([(1, 1), (2, 2), (3, 1), (4, 2)], ["1-3", "2-4"]), ([(10, 7), (11, 7), (12, 7)], []), ([(10, 1), (20, 2), (30, 1), (40, 3), (50, 1)], ["10-30", "30-50"]), ([(9, 1), (7, 2), (5, 1), (7, 3), (9, 1)], ["5-9"])])
 def test_boundaries(spark, pairs, want):
     s = spark.createDataFrame([(1, i, ">", a, i, c) for i, (a, c) in enumerate(pairs)], decompose.STACK)
-    assert sorted(f"{r.start_id}-{r.end_id}" for r in decompose.boundaries(s).collect()) == want
+    assert sorted("-".join(map(str, sorted((r.start_id, r.end_id)))) for r in decompose.boundaries(s).collect()) == want
+
+
+def test_nested_against_the_join(spark):
+    rng = random.Random(31)
+    rows = []
+
+    def fill(comp, a, b):
+        while b - a > 1 and rng.random() < 0.85:
+            i = rng.randrange(a, b)
+            j = rng.randrange(i + 1, b + 1)
+            if (comp, i, j) not in rows:
+                rows.append((comp, i, j))
+            fill(comp, i, j)
+            a = j
+
+    for comp in range(1, 6):
+        fill(comp, 0, 200)
+    s = spark.createDataFrame(rows, "comp_id long, i long, j long")
+    assert sorted(map(tuple, decompose.nested(s).collect()), key=str) == sorted(map(tuple, decompose.hierarchy(s).collect()), key=str)
+
+
+def test_loci_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "STEPS", 7)
+    rng = random.Random(32)
+    seq = {s: "A" * rng.randrange(0, 5) for s in range(20)}
+    steps = [(p, k, rng.randrange(20), ">") for p in range(3) for k in range(p * 25)]
+    got = graphs.with_loci(spark.createDataFrame(steps, "path_id long, step_idx long, seg_id long, strand string"), spark.createDataFrame(list(seq.items()), "seg_id long, seq string")).collect()
+    want = {}
+    for p in range(3):
+        at = 1
+        for q, k, s, _ in steps:
+            if q == p:
+                want[p, k] = at
+                at += len(seq[s])
+    assert {(r.path_id, r.step_idx): r.locus for r in got} == want
+
+
+def test_written_sets(spark, tmp_path):
+    g = Graph.from_lines(_frame(spark, _lines("two")))
+    g.write_vcf(["HG1"], f"{tmp_path}/each")
+    g.write_vcf(["HG1", "HG2"], f"{tmp_path}/all", combined=True)
+    text = lambda p: [r.value for r in spark.read.text(p).collect()]
+    for p, contigs in ((f"{tmp_path}/each/HG1", 1), (f"{tmp_path}/all", 2)):
+        files = sorted(x for x in os.listdir(p) if x.startswith("part"))
+        lines = [x for f in files for x in open(f"{p}/{f}").read().splitlines()]
+        assert lines[0] == "##fileformat=VCFv4.2" and sum(x.startswith("#CHROM") for x in lines) == 1
+        assert sum(x.startswith("##contig") for x in lines) == contigs and sum(not x.startswith("#") for x in lines) == 2 * contigs
+    bare = Graph.from_lines(_frame(spark, _lines("linear")))
+    bare.write_vcf(["HG1"], f"{tmp_path}/none")
+    assert [x for x in text(f"{tmp_path}/none/HG1") if not x.startswith("##")] == ["#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tHG1\tHG2"]
+    g.write_prune(f"{tmp_path}/prune")
+    assert sorted(os.listdir(f"{tmp_path}/prune"))[-1] == "comp_id=1" and "L\t0\t+\t1\t+\t0M" in text(f"{tmp_path}/prune/comp_id=1")
+    assert tuple(g.counts().first()) == (7, 8, 2) and g.vertices().count() == 7 and g.edges().count() == 8
+
+
+def test_reports(spark, tmp_path):
+    g = Graph.from_lines(_frame(spark, _lines("minimal")))
+    lines = ["##fileformat=VCFv4.2", "c\t2\t>0>3\tC\tG\t60\tPASS\tAT=>1,>2\tGT\t0\t1", "c\t2\t>0>3\tC\tG\t60\tPASS\tAT=>1,>2\tGT\t1\t0"]
+    rec = vcf.records(_frame(spark, lines))
+    failed, _ = g.validate(rec)
+    assert [tuple(r) for r in failed.collect()] == [(2, "2:0:0")]
+    g.write_report(rec, str(tmp_path))
+    text = lambda p: [r.value for r in spark.read.text(f"{tmp_path}/{p}").collect()]
+    assert sorted(text("report")) == ["2\t>0>3\t2\t>2\t1\tHG1", "rec_idx\tID\tPOS\tAT\tHap-ID\tsample"]
+    assert text("summary") == ["Error rate: 50.00%"]
+    many = [(f"1:{s}:0", 1, s, 0, 0, ">9") for s in range(12)]
+    claims = spark.createDataFrame(many[2:], "claim string, line_no long, sample_no long, phase long, path_id long, at string")
+    assert [tuple(r) for r in validate.failed_records(claims, claims.select("claim", F.lit(False).alias("found"))).collect()] == [(1, "1:2:0")]
+
+
+def test_left_normalising_needs_sequences(spark):
+    row = "c1\t4\t>3>5\tAA\tA\t60\tPASS\tAC=1;VARTYPE=DEL\tGT\t0\t1"
+    rec = vcf.records(_frame(spark, [row]))
+    lone = spark.createDataFrame([("other", "AAAAAC")], "name string, sequence string")
+    assert [(r.pos, r.ref, r.alts) for r in profiles.left_normalised(rec, lone).collect()] == [(1, "AA", ["A"])]
+    with pytest.raises(Exception, match="no sequence for c1"):
+        profiles.left_normalised(rec, lone.unionByName(lone.withColumn("name", F.lit("third")))).collect()
+
+
+def test_numbers(spark):
+    df = spark.createDataFrame([(x * 37 % 1000, "q") for x in range(1000)], "k long, _p string").repartition(5)
+    got = numbered(df, "k", name="n").collect()
+    assert [r.n for r in sorted(got, key=lambda r: r.k)] == list(range(1000))
 
 
 @pytest.mark.parametrize("text", [["Z\tx"], ["S\t1"], ["S\t0\tA", "S\t1\tC", "L\t0\t+\t1\t+\t1M", "P\tp\t0+,1+\t*"], ["S\t0\tA", "P\tp\t0+"]])

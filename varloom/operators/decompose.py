@@ -276,7 +276,8 @@ def next_seen(stack: DataFrame) -> DataFrame:
 def boundaries(stack: DataFrame) -> DataFrame:
     """(comp_id, i, j, label, start_or, start_id, end_or, end_id): places closed by their class with something between.
 
-    Where both ends are < the label is turned to > and its ends change places.
+    Where both ends are < the label is turned to > and its ends change places. Of places that join the same two
+    segments, in whichever order, the first of a component counts.
     """
     s = next_seen(stack).where("nxt > i + 1")
     e = stack.select("comp_id", F.col("i").alias("nxt"), F.col("orient").alias("o2"), F.col("seg_id").alias("s2"))
@@ -284,6 +285,8 @@ def boundaries(stack: DataFrame) -> DataFrame:
     turned = (F.col("orient") == "<") & (F.col("o2") == "<")
     pick = lambda a, b, name: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(name)
     b = b.select("comp_id", "i", F.col("nxt").alias("j"), F.when(turned, ">").otherwise(F.col("orient")).alias("start_or"), pick("seg_id", "s2", "start_id"), F.when(turned, ">").otherwise(F.col("o2")).alias("end_or"), pick("s2", "seg_id", "end_id"))
+    pair = ["comp_id", F.least("start_id", "end_id").alias("_a"), F.greatest("start_id", "end_id").alias("_b")]
+    b = b.groupBy(*pair).agg(F.min(F.struct("i", "j", "start_or", "start_id", "end_or", "end_id")).alias("x")).select("comp_id", "x.*")
     label = F.concat("start_or", F.col("start_id").cast("string"), "end_or", F.col("end_id").cast("string"))
     return b.select("comp_id", "i", "j", label.alias("label"), "start_or", "start_id", "end_or", "end_id")
 
@@ -307,11 +310,36 @@ def hierarchy(spans: DataFrame, key: str = "comp_id", lo: str = "i", hi: str = "
     return spans.join(best, [key, lo, hi], "left").select(*spans.columns, F.col("p.a").alias("parent_lo"), F.col("p.b").alias("parent_hi"), F.coalesce("level", F.lit(0)).cast("bigint").alias("level"))
 
 
+def nested(spans: DataFrame) -> DataFrame:
+    """hierarchy() of spans (comp_id, i, j, ...) of which two either hold one another or meet at most at an end.
+
+    One sweep per component over its spans by start, the open ones on a stack: rows and time grow with the spans, however
+    deep they nest.
+    """
+    on_workers(spans.sparkSession)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["i", "j"], ascending=[True, False])
+        out, held = [], []
+        for i, j in zip(pdf.i.tolist(), pdf.j.tolist()):
+            while held and held[-1][1] < j:
+                held.pop()
+            up = held[-1] if held else (None, None)
+            out.append((i, j, *up, len(held)))
+            held.append((i, j))
+        got = pd.DataFrame(out, columns=["i", "j", "parent_lo", "parent_hi", "level"]).astype({"parent_lo": "Int64", "parent_hi": "Int64"})
+        got.insert(0, "comp_id", pdf.comp_id.iloc[0])
+        return got
+
+    found = spans.select("comp_id", "i", "j").groupBy("comp_id").applyInPandas(run, "comp_id long, i long, j long, parent_lo long, parent_hi long, level long")
+    return spans.join(found, ["comp_id", "i", "j"]).select(*spans.columns, "parent_lo", "parent_hi", "level")
+
+
 def pvst(links: DataFrame, comps: DataFrame, stack: DataFrame | None = None) -> DataFrame:
     """The bubble tree: (comp_id, i, j, label, start_or, start_id, end_or, end_id, parent_lo, parent_hi, height).
 
     height is 1 under the component's root (which has no row), one more per enclosing bubble.
     """
     b = boundaries(class_stacks(links, comps) if stack is None else stack)
-    h = hierarchy(b)
+    h = nested(b)
     return h.withColumn("height", F.col("level") + 1).drop("level")

@@ -16,6 +16,10 @@ from ..plans.durable import discard, written
 from ..session import on_workers
 
 
+#: Steps of a path that are summed up in one task.
+STEPS = 1_000_000
+
+
 def bidirected(links: DataFrame) -> DataFrame:
     """Every link from both of its ends: (edge_idx, seg_id, side, other, other_side)."""
     a = links.select("edge_idx", F.col("v1").alias("seg_id"), F.col("v1_end").alias("side"), F.col("v2").alias("other"), F.col("v2_end").alias("other_side"))
@@ -67,7 +71,12 @@ def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     on_workers(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = e.repartitionByRange("v", "u").sortWithinPartitions("v", "u").mapInPandas(_forests, "u long, v long")
-    e = written(e.distinct(), "star")
+    e = star_edges(written(e.distinct(), "star"), max_rounds)
+    return nodes.select("id").distinct().join(e.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def star_edges(e: DataFrame, max_rounds: int = 100) -> DataFrame:
+    """Edges (u, v), u > v, of a table made by written(), as one edge from every node to the smallest that it reaches."""
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     stamp = mark(e)
     for _ in range(max_rounds):
@@ -81,7 +90,7 @@ def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         discard(e)
         e = nxt
         if now == stamp:
-            return nodes.select("id").distinct().join(e.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+            return e
         stamp = now
     raise RuntimeError("components did not settle")
 
@@ -109,10 +118,17 @@ def graph_info(segments: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def with_loci(steps: DataFrame, segments: DataFrame) -> DataFrame:
-    """steps with seq and locus: the 1-based place of a step's first base on its path."""
-    w = Window.partitionBy("path_id").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
-    s = steps.join(segments.select("seg_id", "seq"), "seg_id")
-    return s.withColumn("locus", (1 + F.coalesce(F.sum(F.length("seq")).over(w), F.lit(0))).cast("bigint"))
+    """steps with seq and locus: the 1-based place of a step's first base on its path.
+
+    Sums run within blocks of a path's steps and over the blocks' totals before, so a long path is many tasks.
+    """
+    s = steps.join(segments.select("seg_id", "seq"), "seg_id").withColumn("_b", F.floor(F.col("step_idx") / STEPS))
+    total = s.groupBy("path_id", "_b").agg(F.sum(F.length("seq")).alias("_n"))
+    upto = Window.partitionBy("path_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    total = total.select("path_id", "_b", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    own = Window.partitionBy("path_id", "_b").orderBy("step_idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_own", F.coalesce(F.sum(F.length("seq")).over(own), F.lit(0))).join(total, ["path_id", "_b"])
+    return s.select(*steps.columns, "seq", (1 + F.col("_before") + F.col("_own")).cast("bigint").alias("locus"))
 
 
 def path_lengths(steps: DataFrame, segments: DataFrame) -> DataFrame:

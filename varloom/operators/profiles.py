@@ -74,11 +74,15 @@ def left_align(reference: str, pos: int, ref: str, alt: str) -> tuple[int, str,
 def left_normalised(rec: DataFrame, fasta: DataFrame) -> DataFrame:
     """Calls with one ALT at their leftmost place on fasta(name, sequence). Multi-ALT calls raise.
 
-    Sequences join by name. A task walks one call at a time, over the bases to its left.
+    Sequences join by name; a lone sequence serves every call, and of several a call whose contig is not among them
+    raises. A task walks one call at a time, over the bases to its left.
     """
+    known = [r[0] for r in fasta.select("name").limit(2).collect()]
     cols = rec.columns
     one = rec.withColumn("_alt", F.when(F.size("alts") == 1, F.get("alts", F.lit(0))).otherwise(F.raise_error(F.lit("left normalisation takes one ALT a record"))))
-    both = one.join(fasta.select(F.col("name").alias("chrom"), F.col("sequence").alias("_seq")), "chrom")
+    on = F.lit(known[0]) if len(known) == 1 else F.col("chrom")
+    both = one.withColumn("_on", on).join(fasta.select(F.col("name").alias("_on"), F.col("sequence").alias("_seq")), "_on", "left")
+    both = both.withColumn("_seq", F.coalesce("_seq", F.raise_error(F.concat(F.lit("no sequence for "), F.col("chrom")))))
 
     @F.pandas_udf("pos long, ref string, alt string")
     def move(seq, pos, ref, alt):

@@ -10,6 +10,11 @@ from ..sources.vcf import genotype_entries, info
 from . import graphs
 
 
+#: Phases that a path without haplotypes in its name stands for.
+MAX_PHASE = 15
+REPORT_HEAD = "\t".join(("rec_idx", "ID", "POS", "AT", "Hap-ID", "sample"))
+
+
 def check_calls(claims: DataFrame, steps: DataFrame) -> DataFrame:
     """claims(claim, path_id, at) with found: whether the path holds the walk at as steps in a row.
 
@@ -29,22 +34,40 @@ def report(checked: DataFrame) -> DataFrame:
 
 
 def claims_of_vcf(rec: DataFrame, paths: DataFrame) -> DataFrame:
-    """claims for check_calls() of every called allele of sources.vcf.records(): (claim, line_no, path_id, at).
+    """claims for check_calls() of every called allele of sources.vcf.records(): (claim, line_no, sample_no, phase, path_id, at).
 
     A genotype's column and phase name a haplotype by the layout of genotype_columns(); its walk is the AT entry of its
-    allele. Genotypes of haplotypes that the graph lacks claim path -1, which holds nothing.
+    allele. A path whose name does not tell haplotypes stands for all phases of its sample. Genotypes of haplotypes
+    that the graph lacks claim path -1, which holds nothing.
     """
     g = genotype_entries(rec)
-    cols = graphs.genotype_columns(paths).select(F.col("hap_col").alias("sample_no"), "phase", "path_id")
+    cols = graphs.genotype_columns(paths).join(graphs.path_names(paths).select("path_id", "format"), "path_id")
+    cols = cols.select(F.col("hap_col").alias("sample_no"), F.explode(F.when(F.col("format") == "PANSN", F.array("phase")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.lit(MAX_PHASE).cast("bigint")))).alias("phase"), "path_id")
+    cols = cols.groupBy("sample_no", "phase").agg(F.min("path_id").alias("path_id"))
     at = rec.select("line_no", F.posexplode(F.split(info("AT"), ",")).alias("allele", "at"))
     x = g.join(cols, ["sample_no", "phase"], "left").join(at, ["line_no", "allele"], "left")
-    return x.select(F.concat_ws(":", "line_no", "sample_no", "phase").alias("claim"), "line_no", F.coalesce("path_id", F.lit(-1)).alias("path_id"), F.coalesce("at", F.lit("")).alias("at"))
+    return x.select(F.concat_ws(":", "line_no", "sample_no", "phase").alias("claim"), "line_no", "sample_no", "phase", F.coalesce("path_id", F.lit(-1)).alias("path_id"), F.coalesce("at", F.lit("")).alias("at"))
 
 
 def failed_records(claims: DataFrame, checked: DataFrame) -> DataFrame:
-    """(line_no, claim): the first claim of each record that does not hold."""
-    bad = checked.where("NOT found").select("claim").join(claims.select("claim", "line_no"), "claim")
-    return bad.groupBy("line_no").agg(F.min("claim").alias("claim"))
+    """(line_no, claim): the first claim of each record, by sample and phase, that does not hold."""
+    bad = checked.where("NOT found").select("claim").join(claims, "claim")
+    return bad.groupBy("line_no").agg(F.min_by("claim", F.struct("sample_no", "phase")).alias("claim"))
+
+
+def report_lines(rec: DataFrame, claims: DataFrame, checked: DataFrame, paths: DataFrame) -> DataFrame:
+    """(line_no, line): a row of the error report per record that fails, with record, id, place, walk, haplotype and sample."""
+    first = failed_records(claims, checked).join(claims.drop("line_no"), "claim").join(rec.select("line_no", "id", "pos"), "line_no")
+    who = graphs.path_names(paths).select("path_id", "hap_id").join(paths.select("path_id", "name"), "path_id")
+    sample = graphs.genotype_columns(paths).select(F.col("hap_col").alias("sample_no"), "sample").distinct()
+    rows = first.join(who, "path_id", "left").join(sample, "sample_no", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    return rows.select("line_no", F.concat_ws("\t", F.col("line_no").cast("string"), "id", F.col("pos").cast("string"), "at", text("hap_id"), text("sample")).alias("line"))
+
+
+def summary_line(report: DataFrame) -> DataFrame:
+    """(line) that says in words what report() counts."""
+    return report.select(F.when(F.col("bad") == 0, "No errors").otherwise(F.format_string("Error rate: %.2f%%", "error_rate")).alias("line"))
 
 
 def record_violations(rec: DataFrame) -> DataFrame:

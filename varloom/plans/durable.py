@@ -5,14 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (one machine) one is made and set."""
+    """The folder named by spark.checkpoint.dir. Only where it is unset and Spark runs on one machine one is made and set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="varloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -36,6 +38,20 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def numbered(df: DataFrame, *order: str, name: str = "number") -> DataFrame:
+    """df with the rank of each row by `order` from 0, without a window over the whole table.
+
+    Rows are range-sorted and written with their place in their range; the ranges' counts before give the rest.
+    """
+    low = (1 << 33) - 1
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    ranged = written(ranged, "ranged").withColumn("_p", F.shiftright("_m", 33))
+    before = ranged.groupBy("_p").count()  # a row per range
+    upto = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("_p", F.coalesce(F.sum("count").over(upto), F.lit(0)).alias("_before"))
+    return ranged.join(before, "_p").select(*df.columns, (F.col("_before") + F.col("_m").bitwiseAND(F.lit(low))).cast("bigint").alias(name))
+
+
 def observed(df: DataFrame, stage: str) -> tuple[DataFrame, Observation]:
     """df with a count of its rows that the returned observation tells once an action has run: a trace of stages' sizes."""
     seen = Observation(stage)

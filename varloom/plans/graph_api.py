@@ -115,13 +115,30 @@ class Graph:
         """(chrom, pos, id, vartype, line) of every call, to be ordered by its first columns."""
         return calling.vcf_lines(self.call(refs, region), self.paths)
 
-    def write_vcf(self, prefixes: list[str], path: str) -> None:
-        """A folder of VCF files per prefix below path, each with its own header."""
+    def write_prune(self, path: str) -> None:
+        """prune() as text, a folder per component below path."""
+        rows = self.prune().select("comp_id", F.expr("IF(line LIKE 'S%', 0, 1)").alias("k"), F.col("line").alias("value"))
+        keys = ("comp_id", "k", "value")
+        rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("comp_id", "value").write.partitionBy("comp_id").text(path)
+
+    def vertices(self) -> DataFrame:
+        return self.segments.select("seg_id", "seq")
+
+    def edges(self) -> DataFrame:
+        return self.links.select("edge_idx", "v1", "v1_end", "v2", "v2_end")
+
+    def counts(self) -> DataFrame:
+        """One row: vertices, edges, paths."""
+        one = lambda df, name: df.agg(F.count("*").alias(name))
+        return one(self.segments, "vertices").join(one(self.links, "edges")).join(one(self.paths, "paths"))
+
+    def write_vcf(self, prefixes: list[str], path: str, combined: bool = False) -> None:
+        """A folder of VCF files per prefix below path, each with its own header; combined: one of all prefixes at path."""
         names = [r[0] for r in graphs.genotype_columns(self.paths).groupBy("hap_col").agg(F.min("sample").alias("s")).orderBy("hap_col").select("s").collect()]
-        for p in prefixes:
-            lengths = graphs.path_lengths(self.steps, self.segments).join(self.references([p]), "path_id").join(self.paths, "path_id")
+        for chosen in [prefixes] if combined else [[p] for p in prefixes]:
+            lengths = graphs.path_lengths(self.steps, self.segments).join(self.references(chosen), "path_id").join(self.paths, "path_id")
             contigs = [(r.name, r.hap_len) for r in lengths.select("name", "hap_len", "path_id").orderBy("path_id").collect()]
-            vcf.write(self.gfa2vcf([p]), vcf.header(contigs, names), f"{path}/{p}")
+            vcf.write(self.gfa2vcf(chosen), vcf.header(contigs, names), path if combined else f"{path}/{chosen[0]}")
 
     def call_collinear(self, ref: str | None = None) -> DataFrame:
         """Calls without a decomposition, from each path's alignment with one reference path."""
@@ -130,8 +147,19 @@ class Graph:
             raise ValueError(f"no path is called {ref!r}")
         return collinear.collinear_calls(self.steps, self.segments, self.paths, first[0])
 
+    def _checked(self, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
+        claims = written(validate.claims_of_vcf(rec, self.paths), "claims")
+        return claims, written(validate.check_calls(claims.select("claim", "path_id", "at"), self.steps), "checked")
+
     def validate(self, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(failed records, summary) of sources.vcf.records() against the graph's walks."""
-        claims = written(validate.claims_of_vcf(rec, self.paths), "claims")
-        checked = written(validate.check_calls(claims.select("claim", "path_id", "at"), self.steps), "checked")
+        claims, checked = self._checked(rec)
         return validate.failed_records(claims, checked), validate.report(checked)
+
+    def write_report(self, rec: DataFrame, path: str) -> None:
+        """report (a row per failed record, behind its head) and summary as text folders below path."""
+        claims, checked = self._checked(rec)
+        head = self.spark.createDataFrame([(-1, validate.REPORT_HEAD)], "line_no long, line string")
+        rows = head.unionByName(validate.report_lines(rec, claims, checked, self.paths))
+        rows.repartitionByRange("line_no").sortWithinPartitions("line_no").select(F.col("line").alias("value")).write.text(f"{path}/report")
+        validate.summary_line(validate.report(checked)).select(F.col("line").alias("value")).write.text(f"{path}/summary")

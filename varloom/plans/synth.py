@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .durable import numbered
 from .graph_api import Graph
 
 
@@ -17,7 +18,7 @@ def choices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Sites are suppliers by rank, haplotypes nations; the allele follows from a digest of both keys.
     """
-    sites = _table(spark, sf_dir, "supplier").select("s_suppkey", (F.row_number().over(Window.orderBy("s_suppkey")) - 1).cast("bigint").alias("s"))
+    sites = numbered(_table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", name="s")
     haps = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("h"))
     digit = F.substring(F.md5(F.concat_ws(":", F.col("h").cast("string"), F.col("s_suppkey").cast("string")).cast("binary")), 1, 1)
     allele = F.when(F.col("h") == 0, "R").when(digit.isin("c", "d"), "A").when(digit == "e", "D").when(digit == "f", "I").otherwise("R")
@@ -46,12 +47,13 @@ def _from_steps(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     segments = steps.select("seg_id").distinct().select("seg_id", sequence_of("seg_id").alias("seq"))
     w = Window.partitionBy("path_id").orderBy("step_idx")
     pairs = steps.select(F.col("seg_id").alias("v1"), F.expr("IF(strand = '>', 'r', 'l')").alias("v1_end"), F.lead("seg_id").over(w).alias("v2"), F.expr("IF(lead(strand) OVER (PARTITION BY path_id ORDER BY step_idx) = '>', 'l', 'r')").alias("v2_end")).where("v2 IS NOT NULL").distinct()
-    return segments, pairs.select((F.row_number().over(Window.orderBy("v1", "v1_end", "v2", "v2_end")) - 1).cast("bigint").alias("edge_idx"), "v1", "v1_end", "v2", "v2_end")
+    return segments, numbered(pairs, "v1", "v1_end", "v2", "v2_end", name="edge_idx").select("edge_idx", *pairs.columns)
 
 
 def walks(spark: SparkSession, sf_dir: str) -> Graph:
     """A path per user through the types of its events in order of time: few segments, many loops."""
     e = _table(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")
+    # a few kinds of events
     types = e.select("event_type").distinct().select("event_type", (F.row_number().over(Window.orderBy("event_type")) - 1).cast("bigint").alias("seg_id"))
     steps = e.join(F.broadcast(types), "event_type").select(F.col("user_id").alias("path_id"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("bigint").alias("step_idx"), "seg_id", F.lit(">").alias("strand"))
     paths = steps.select("path_id").distinct().select("path_id", F.concat(F.lit("user"), F.col("path_id").cast("string")).alias("name"))

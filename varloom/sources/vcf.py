@@ -46,31 +46,25 @@ def line(chrom: str = "chrom", pos: str = "pos", id: str = "id", ref: str = "ref
     return F.concat_ws("\t", F.col(chrom), F.col(pos).cast("string"), F.col(id), F.col(ref), F.array_join(alts, ","), F.lit("60"), F.lit("PASS"), F.array_join(info, ";"), F.lit("GT"), F.array_join(gts, "\t"))
 
 
-def header(contigs: list[tuple[str, int]], names: list[str]) -> list[str]:
-    """Header lines; contigs as (name, length)."""
+def header(contigs: list[tuple[str, int]], names: list[str], more: tuple[tuple[str, str, str, str], ...] = ()) -> list[str]:
+    """Header lines; contigs as (name, length), more INFO keys as (key, number, type, description)."""
     keys = [("AC", "A", "Integer"), ("AF", "A", "Float"), ("AN", "1", "Integer"), ("NS", "1", "Integer"), ("AT", "R", "String"), ("VARTYPE", "1", "String"), ("TANGLED", "1", "String"), ("ES", "1", "String"), ("LV", "1", "Integer")]
     told = {"AC": "Alternate allele counts", "AF": "Alternate allele frequencies", "AN": "Called haplotypes", "NS": "Samples with data", "AT": "Walks of the alleles", "VARTYPE": "Kind of variant", "TANGLED": "Whether the region is revisited", "ES": "Enclosing site", "LV": "Depth of the site"}
     out = ["##fileformat=VCFv4.2", "##source=varloom", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
     out += [f'##INFO=<ID={k},Number={n},Type={t},Description="{told[k]}">' for k, n, t in keys]
+    out += [f'##INFO=<ID={k},Number={n},Type={t},Description="{d}">' for k, n, t, d in more]
     out += [f"##contig=<ID={c},length={n}>" for c, n in contigs]
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
 
 
 def write(lines: DataFrame, head: list[str], path: str) -> None:
-    """Text files of call lines (chrom, pos, id, vartype, line), range-sorted, each file with the header on top.
+    """Text files of call lines (chrom, pos, id, vartype, line), range-sorted behind the header.
 
-    Files are cut by range, so nothing is gathered in one task; their names sort as their ranges do.
+    Files are cut by range, so nothing is gathered in one task; their names sort as their ranges do, so that one after
+    the other they are one VCF file. Without calls there is the header alone.
     """
-    keys = ("chrom", "pos", "id")
-
-    def with_header(it):
-        import pandas as pd
-
-        first = True
-        for pdf in it:
-            if len(pdf) and first:
-                yield pd.DataFrame({"value": head})
-                first = False
-            yield pdf[["value"]]
-
-    lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).mapInPandas(with_header, "value string").write.text(path)
+    keys = ("top", "chrom", "pos", "id", "vartype")
+    first = lines.sparkSession.createDataFrame(list(enumerate(head)), "top int, line string")
+    first = first.select("top", F.lit("").alias("chrom"), F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("id"), F.lit("").alias("vartype"), "line")
+    rest = lines.select(F.lit(len(head)).alias("top"), "chrom", "pos", "id", "vartype", "line")
+    first.unionByName(rest).repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.text(path)

@@ -390,11 +390,11 @@ def test_forest_of_real_depth(spark):
     off /= np.sqrt((off**2).sum(1))[:, None]
     c = rng.uniform(0.9801, 0.985, n)[:, None]
     x = np.concatenate([base, c * base + np.sqrt(1 - c**2) * off])
-    forest = embedding.grow_forest(x, np.zeros(len(x), int), 1.0, 0.98)
+    forest = embedding.grow_forest(x, np.zeros(len(x), int), 1.0, 0.98, leaf=48)
     depths = [max(node.bit_length() for node in t) for t in forest.threshold]
     assert min(depths) >= 5
     df = spark.createDataFrame([(i, v.tolist(), 1, "clash", 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int, v string, rep int")
-    got = {r.vec_id: r for r in embedding.near_vectors(df.repartition(4)).collect()}
+    got = {r.vec_id: r for r in embedding.near_vectors(df.repartition(4), leaf=48).collect()}
     assert len(got) == 2 * n
     found = sum(got[i].component_id == got[n + i].component_id for i in range(n))
     assert found == n

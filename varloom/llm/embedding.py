@@ -17,7 +17,7 @@ from ._common import arrow_map, components, written
 #: table. They bound the driver's memory.
 SAMPLE, SAMPLE_NUMBERS = 50_000, 4_000_000
 #: LEAF: vectors of a label that a leaf is expected to hold at most.
-TREES, LEAF, MAX_DEPTH, MIN_SAMPLE = 4, 48, 16, 16
+TREES, LEAF, MAX_DEPTH, MIN_SAMPLE = 4, 256, 16, 16
 
 
 @dataclass

@@ -153,6 +153,8 @@ def spanning_tree(vertices: Iterable[int], links: Iterable[tuple[int, int, str,
 def cycle_classes(tree: dict) -> tuple[list[int], list[tuple[int, int]]]:
     """(class of the edge above each tree vertex, hairpin boundaries as pairs of tree vertices).
 
+    The brackets that it adds to the tree's own back edges are left in tree["added"] as (from, to).
+
     Vertices are taken in falling order of discovery. A vertex's bracket list joins its children's, loses the brackets
     that end here and gains those that start here, with a capping one where two children reach above it. The edge above
     has the class of the top bracket at its present size.
@@ -172,7 +174,7 @@ def cycle_classes(tree: dict) -> tuple[list[int], list[tuple[int, int]]]:
     klass = [-1] * n
     fresh = 0
     hairpins: list[tuple[int, int]] = []
-    opened: dict[int, int] = {}
+    added = tree["added"] = []
     for v in range(n - 1, 0, -1):
         own = min(starts[v], default=n)
         reach = sorted(high[c] for c in children[v])
@@ -193,10 +195,12 @@ def cycle_classes(tree: dict) -> tuple[list[int], list[tuple[int, int]]]:
             b = _Bracket()
             here.push(b)
             ends[second].append(b)
+            added.append((v, second))
         if not here.n:
             b = _Bracket()
             here.push(b)
             ends[0].append(b)
+            added.append((v, 0))
             high[v] = 0
             if tree["side"][v]:
                 hairpins.append((v, parent[v]))
@@ -229,42 +233,171 @@ def class_stack(tree: dict, klass: list[int]) -> list[tuple[str, int, int, int]]
     return out
 
 
-def _with_component(links: DataFrame, comps: DataFrame) -> DataFrame:
-    return links.join(comps.select(F.col("seg_id").alias("v1"), "comp_id"), "v1")
+def tree_measures(tree: dict) -> dict[str, list[int]]:
+    """Per tree vertex: depth, size (of its subtree, itself included) and brackets (back edges from below it to above it)."""
+    parent, n = tree["parent"], len(tree["parent"])
+    depth, size, brackets = [0] * n, [1] * n, [0] * n
+    for v in range(1, n):
+        depth[v] = depth[parent[v]] + 1
+    for _, a, b in tree["back"]:
+        a, b = max(a, b), min(a, b)
+        if a != b and a:
+            brackets[parent[a]] += 1
+            brackets[b] -= 1
+    for v in range(n - 1, 0, -1):
+        size[parent[v]] += size[v]
+        brackets[parent[v]] += brackets[v]
+    return {"depth": depth, "size": size, "brackets": brackets}
 
 
-def class_stacks(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> DataFrame:
-    """The class stack of every component of at least min_vertices segments: (comp_id, i, orient, seg_id, tree_edge, class_id)."""
+def lowest_common(tree: dict, depth: list[int], a: int, b: int) -> int:
+    """The lowest tree vertex that holds both in its subtree."""
+    parent = tree["parent"]
+    while a != b:
+        if depth[a] < depth[b]:
+            a, b = b, a
+        a = parent[a]
+    return a
+
+
+class _Families:
+    """What kind of bubble a bubble without others in it is, told from the tree between its inner ends.
+
+    upper and lower are the inner ends: of the four tree vertices of its two black edges the middle ones.
+    """
+
+    def __init__(self, tree: dict):
+        self.tree = tree
+        self.measures = tree_measures(tree)
+        n = len(tree["parent"])
+        self.children: list[list[int]] = [[] for _ in range(n)]
+        for v in range(1, n):
+            self.children[tree["parent"][v]].append(v)
+        self.below = [-1] * (max(tree["edge"], default=-1) + 1)  # tree edge -> its lower vertex
+        for v, e in enumerate(tree["edge"]):
+            if e >= 0:
+                self.below[e] = v
+        # back edges by their ends: (other end, whether the graph has it)
+        self.out: list[list[tuple[int, bool]]] = [[] for _ in range(n)]
+        self.into: list[list[tuple[int, bool]]] = [[] for _ in range(n)]
+        for a, b, own in [*((max(a, b), min(a, b), True) for _, a, b in tree["back"]), *((a, b, False) for a, b in tree["added"])]:
+            self.out[a].append((b, own))
+            self.into[b].append((a, own))
+
+    def ends(self, edge_a: int, edge_b: int) -> tuple[int, int]:
+        four = sorted(x for e in (edge_a, edge_b) for x in (self.below[e], self.tree["parent"][self.below[e]]))
+        return four[1], four[2]
+
+    def _gray(self, v: int) -> list[int]:
+        return [c for c in self.children[v] if not self.tree["black"][c]]
+
+    def tiny(self, upper: int, lower: int) -> bool:
+        """A segment or none between the ends, and beside it only single segments that lead back to the upper end."""
+        size = self.measures["size"]
+        back = lambda c: size[c] == 2 and any(to == upper for to, own in self.out[self.children[c][0]] if own)
+        return lower - upper in (1, 3) and all(back(c) for c in self._gray(lower))
+
+    def parallel(self, upper: int, lower: int) -> bool:
+        """Most of what lies between the ends is reached from one of them directly."""
+        return self._parallel_branch(upper, lower) or self._parallel_trunk(upper, lower)
+
+    def _parallel_branch(self, upper: int, lower: int) -> bool:
+        gray = self._gray(lower)
+        if lower - upper != 1 or len(gray) != 1:
+            return False
+        inside = self.measures["brackets"][gray[0]]
+        need = inside + len(self.out[gray[0]])
+        return inside > 2 and (sum(own for _, own in self.into[upper]) >= need or len(self.out[lower]) >= need)
+
+    def _parallel_trunk(self, upper: int, lower: int) -> bool:
+        span = lower - upper
+        if span < 3 or (span == 3 and len(self.into[upper]) <= 1) or len(self.children[lower]) != 1:
+            return False
+        forks, v = [], lower
+        while v != upper and v > 0:
+            if len(self.children[v]) > 1:
+                forks.append(v)
+            v = self.tree["parent"][v]
+        if len(forks) > 1 or (forks and not any(c > lower and self.measures["size"][c] == 2 for c in self.children[forks[0]])):
+            return False
+        at_upper = sum(own for _, own in self.into[upper])
+        if 2 * at_upper >= span - 3:
+            return True
+        return at_upper == 0 and 2 * sum(own for _, own in self.out[lower]) >= span - 3
+
+    def of(self, rows: list[tuple[str, int, int, int]]) -> list[tuple[int, int, str, int, int]]:
+        """(i, j, symbol, upper, lower) of every bubble of class_stack() rows; symbols as in the tree's text form."""
+        later: dict[int, int] = {}
+        spans = []
+        for i in range(len(rows) - 1, -1, -1):
+            j = later.get(rows[i][3], i)
+            later[rows[i][3]] = i
+            if j > i + 1:
+                spans.append((i, j))
+        spans.sort(key=lambda s: (s[0], -s[1]))
+        out = []
+        for k, (i, j) in enumerate(spans):
+            upper, lower = self.ends(rows[i][2], rows[j][2])
+            leaf = k + 1 == len(spans) or spans[k + 1][1] > j
+            symbol = "F" if not leaf else "T" if self.tiny(upper, lower) else "O" if self.parallel(upper, lower) else "F"
+            out.append((i, j, symbol, upper, lower))
+        return out
+
+
+def _per_component(links: DataFrame, comps: DataFrame, min_vertices: int, rows_of, schema: str) -> DataFrame:
+    """rows_of(tree) of every component of at least min_vertices segments, behind its comp_id."""
     on_workers(links.sparkSession)
     big = comps.groupBy("comp_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_vertices).select("comp_id")
     v = comps.join(big, "comp_id").select("comp_id", F.col("seg_id").alias("v1"), F.lit(None).cast("bigint").alias("edge_idx"), F.lit("").alias("v1_end"), F.col("seg_id").alias("v2"), F.lit("").alias("v2_end"))
     e = _with_component(links, comps).join(big, "comp_id").select("comp_id", "v1", "edge_idx", "v1_end", "v2", "v2_end")
+    names = [x.split()[0] for x in schema.split(", ")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         e = pdf[pdf.edge_idx.notna()]
         tree = spanning_tree(pdf[pdf.edge_idx.isna()].v1.tolist(), list(zip(e.edge_idx.astype("int64"), e.v1, e.v1_end, e.v2, e.v2_end)))
-        klass, _ = cycle_classes(tree)
-        rows = class_stack(tree, klass)
         comp = int(pdf.comp_id.iloc[0])
-        return pd.DataFrame([(comp, i, *r) for i, r in enumerate(rows)], columns=["comp_id", "i", "orient", "seg_id", "tree_edge", "class_id"])
+        return pd.DataFrame([(comp, *r) for r in rows_of(tree)], columns=names)
 
-    return v.unionByName(e).groupBy("comp_id").applyInPandas(run, STACK)
+    return v.unionByName(e).groupBy("comp_id").applyInPandas(run, schema)
 
 
-def hairpins(links: DataFrame, comps: DataFrame) -> DataFrame:
-    """(comp_id, seg_id, side): sides below which no cycle passes, where a hairpin may turn."""
-    on_workers(links.sparkSession)
-    v = comps.select("comp_id", F.col("seg_id").alias("v1"), F.lit(None).cast("bigint").alias("edge_idx"), F.lit("").alias("v1_end"), F.col("seg_id").alias("v2"), F.lit("").alias("v2_end"))
-    e = _with_component(links, comps).select("comp_id", "v1", "edge_idx", "v1_end", "v2", "v2_end")
+def families(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> DataFrame:
+    """(comp_id, i, j, sym, upper, lower) of every bubble: T tiny, O parallel, else F; its inner ends in the tree."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[pdf.edge_idx.notna()]
-        tree = spanning_tree(pdf[pdf.edge_idx.isna()].v1.tolist(), list(zip(e.edge_idx.astype("int64"), e.v1, e.v1_end, e.v2, e.v2_end)))
-        _, found = cycle_classes(tree)
-        comp = int(pdf.comp_id.iloc[0])
-        return pd.DataFrame([(comp, *tree["side"][v]) for v, _ in found], columns=["comp_id", "seg_id", "side"])
+    def rows(tree: dict) -> list[tuple]:
+        klass, _ = cycle_classes(tree)
+        return _Families(tree).of(class_stack(tree, klass))
+
+    return _per_component(links, comps, min_vertices, rows, "comp_id long, i long, j long, sym string, upper long, lower long")
+
+
+def bracket_counts(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """(comp_id, seg_id, side, depth, size, brackets) of every side in its component's tree."""
+
+    def rows(tree: dict) -> list[tuple]:
+        m = tree_measures(tree)
+        return [(*s, m["depth"][v], m["size"][v], m["brackets"][v]) for v, s in enumerate(tree["side"]) if s]
+
+    return _per_component(links, comps, 1, rows, "comp_id long, seg_id long, side string, depth long, size long, brackets long")
+
+
+def _with_component(links: DataFrame, comps: DataFrame) -> DataFrame:
+    return links.join(comps.select(F.col("seg_id").alias("v1"), "comp_id"), "v1")
 
-    return v.unionByName(e).groupBy("comp_id").applyInPandas(run, "comp_id long, seg_id long, side string")
+
+def class_stacks(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> DataFrame:
+    """The class stack of every component of at least min_vertices segments: (comp_id, i, orient, seg_id, tree_edge, class_id)."""
+
+    def rows(tree: dict) -> list[tuple]:
+        klass, _ = cycle_classes(tree)
+        return [(i, *r) for i, r in enumerate(class_stack(tree, klass))]
+
+    return _per_component(links, comps, min_vertices, rows, STACK)
+
+
+def hairpins(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """(comp_id, seg_id, side): sides below which no cycle passes, where a hairpin may turn."""
+    return _per_component(links, comps, 1, lambda tree: [tree["side"][v] for v, _ in cycle_classes(tree)[1]], "comp_id long, seg_id long, side string")
 
 
 def next_seen(stack: DataFrame) -> DataFrame:

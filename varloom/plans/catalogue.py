@@ -218,6 +218,15 @@ def q_flubbles(spark, d):
     return synth.chain(spark, d).decompose().select("label", "height")
 
 
+def q_families(spark, d):
+    return synth.chain(spark, d).decompose(families=True).select("label", "sym")
+
+
+def q_bracket_counts(spark, d):
+    g = synth.chain(spark, d)
+    return decompose.bracket_counts(g.links, g.comps).groupBy("comp_id").agg(F.count("*").alias("sides"), F.max("size").alias("size"), F.min("brackets").alias("least"))
+
+
 def q_rov_columns(spark, d):
     _, cols, _ = _chain_regions(spark, d)
     return cols.select("label", "col", "seg_id")
@@ -453,6 +462,8 @@ def oracle_sql() -> dict[str, str]:
         "nesting": f"WITH {WALKS} SELECT x.p AS comp_id, x.i AS i, x.j AS j, coalesce(min(y.j - y.i), -1) AS parent_size, count(y.i) AS level FROM bd x LEFT JOIN bd y ON x.p = y.p AND y.i <= x.i AND x.j <= y.j AND (y.i < x.i OR x.j < y.j) GROUP BY ALL",
         "class_stack": 'SELECT CAST(1 AS BIGINT) AS comp_id, CAST(i AS BIGINT) AS i, o AS orient, CAST(s AS BIGINT) AS seg_id, CAST(e AS BIGINT) AS tree_edge, CAST(g AS BIGINT) AS "group" FROM (VALUES (0, \'>\', 0, 1, 1), (1, \'>\', 1, 3, 3), (2, \'>\', 3, 5, 5), (3, \'>\', 4, 7, 3), (4, \'<\', 2, 12, 12), (5, \'>\', 5, 9, 1)) AS t(i, o, s, e, g)',
         "flubbles": f"WITH {CHAIN} SELECT '>' || e || '>' || 3 * s + 3 AS label, CAST(1 AS BIGINT) AS height FROM es",
+        "families": f"WITH {CHAIN} SELECT '>' || e || '>' || 3 * s + 3 AS label, CASE WHEN i > 0 AND a + d > 0 THEN 'O' ELSE 'T' END AS sym FROM es",
+        "bracket_counts": f"WITH {CHAIN} SELECT CAST(1 AS BIGINT) AS comp_id, 2 * count(DISTINCT seg) AS sides, 2 * count(DISTINCT seg) AS size, CAST(0 AS BIGINT) AS least FROM st",
         "rov_columns": f"WITH {CHAIN}, x AS (SELECT s, e, '>' || e || '>' || 3 * s + 3 AS label, 3 * s + unnest(CASE WHEN a + i > 0 THEN [0, 1, 2, 3] ELSE [0, 1, 3] END) AS seg_id FROM es) SELECT label, row_number() OVER (PARTITION BY label ORDER BY seg_id) - 1 AS col, seg_id FROM x WHERE seg_id >= e",
         "colour": f"WITH {CHAIN} SELECT '>' || e || '>' || 3 * s + 3 AS label FROM es WHERE e IN (SELECT seg FROM st WHERE h = 3)",
         "region": f"WITH {CHAIN} SELECT DISTINCT '>' || e || '>' || 3 * s + 3 AS label FROM es JOIN rl ON seg IN (e, 3 * s + 3) WHERE locus >= 20 AND locus < 160",

@@ -58,9 +58,10 @@ class Graph:
     def info(self) -> DataFrame:
         return graphs.graph_info(self.segments, self.links)
 
-    def decompose(self) -> DataFrame:
-        """The bubble tree of every component."""
-        return decompose.pvst(self.links, self.comps, self.class_stack)
+    def decompose(self, families: bool = False) -> DataFrame:
+        """The bubble tree of every component; with families also sym, upper and lower of decompose.families()."""
+        tree = decompose.pvst(self.links, self.comps, self.class_stack)
+        return tree.join(decompose.families(self.links, self.comps), ["comp_id", "i", "j"]) if families else tree
 
     def prune(self) -> DataFrame:
         """(comp_id, line): each component's structure as GFA text without sequences."""

@@ -15,10 +15,14 @@ class InvalidTree(ValueError):
 
 
 def nodes(tree: DataFrame) -> DataFrame:
-    """(comp_id, idx, sym, label, parent_idx, height): bubbles numbered from 1 by their start, under a root numbered 0."""
+    """(comp_id, idx, sym, label, parent_idx, height): bubbles numbered from 1 by their start, under a root numbered 0.
+
+    sym is the tree's own where it has families, else F.
+    """
+    sym = F.col("sym") if "sym" in tree.columns else F.lit("F").alias("sym")
     n = tree.withColumn("idx", F.row_number().over(Window.partitionBy("comp_id").orderBy("i", F.desc("j"))).cast("bigint"))
     up = n.select("comp_id", F.col("i").alias("parent_lo"), F.col("j").alias("parent_hi"), F.col("idx").alias("up"))
-    own = n.join(up, ["comp_id", "parent_lo", "parent_hi"], "left").select("comp_id", "idx", F.lit("F").alias("sym"), "label", F.coalesce("up", F.lit(0).cast("bigint")).alias("parent_idx"), F.col("height").cast("bigint").alias("height"))
+    own = n.join(up, ["comp_id", "parent_lo", "parent_hi"], "left").select("comp_id", "idx", sym, "label", F.coalesce("up", F.lit(0).cast("bigint")).alias("parent_idx"), F.col("height").cast("bigint").alias("height"))
     root = tree.select("comp_id").distinct().select("comp_id", F.lit(0).cast("bigint").alias("idx"), F.lit("D").alias("sym"), F.lit(".").alias("label"), F.lit(None).cast("bigint").alias("parent_idx"), F.lit(0).cast("bigint").alias("height"))
     return root.unionByName(own)
 

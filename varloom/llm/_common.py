@@ -1,15 +1,15 @@
-"""Shared plumbing of the training-data operators: table access, durable intermediate tables, components."""
+"""Shared plumbing of the training-data operators: table access, tasks on Arrow batches, components."""
 
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graphs import star_edges
+from ..plans.durable import discard, new_path, written  # noqa: F401
 from ..session import on_workers
 
 
@@ -17,19 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return on_workers(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a folder is made and set.
-    """
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="varloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
 def release() -> None:
     """Give memory that this process has freed back to the system; workers live on between tasks."""
     pa.default_memory_pool().release_unused()
@@ -51,29 +38,6 @@ def arrow_map(df: DataFrame, run, schema: str) -> DataFrame:
     return df.mapInArrow(task, schema)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/varloom/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and outlives any executor."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._varloom_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables made by written() that no later step reads."""
-    for t in tables:
-        path = getattr(t, "_varloom_path", None)
-        if path:
-            jvm = t.sparkSession._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
-
-
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """Connected components of edges(a, b): one row (id, root) per id in an edge, root the smallest id reachable.
 
@@ -82,22 +46,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     the shared folder, and the loop ends when a round leaves the edges as they were. Null ends and self-links are
     ignored. Raises if max_rounds do not suffice.
     """
-    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    stamp = None
-    for _ in range(max_rounds):
-        # large-star: every neighbour above u, and u, point to the smallest of u's neighbourhood
-        both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small-star: u and its smaller neighbours point to the smallest of them
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x"))
-        nxt = written(small.select("x.u", "x.v").where("u <> v").distinct(), "edges")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(e)
-        e = nxt
-        if tuple(now) == stamp:
-            roots = e.select(F.col("v").alias("id")).distinct()
-            return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots.select("id", F.col("id").alias("root")))
-        stamp = tuple(now)
-    raise RuntimeError("components did not settle")
+    e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "star")
+    e = star_edges(e, max_rounds)
+    roots = e.select(F.col("v").alias("id")).distinct()
+    return e.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(roots.select("id", F.col("id").alias("root")))

@@ -9,11 +9,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, written
+from ._common import arrow_map, discard, written
 
 _WORD = re.compile(r"\w+")
 #: Bounds of the fit: rows of confirmed toxic examples, rows of unlabelled text, features. They bound the driver's memory.
@@ -38,12 +37,6 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def hashes(text: str) -> np.ndarray:
-    """The text's features as sorted distinct 64-bit numbers."""
-    own = features(text)
-    return np.unique(np.fromiter((xxhash.xxh3_64_intdigest(f.encode()) for f in own), np.uint64, len(own)))
-
-
 def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
     """The non-negative risk of logits of positives and of unlabelled texts, and the step's slopes by each logit.
 
@@ -60,39 +53,20 @@ def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, np.ndarra
     return positive, prior * sp / n_p, -su / n_u
 
 
-def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, max_features: int = MAX_FEATURES, steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, bias) of a sparse logistic model that minimises risk(); texts are given by hashes().
+def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], n_features: int, prior: float, *, steps: int = 300, rate: float = 0.1, shrink: float = 1e-3) -> tuple[np.ndarray, float]:
+    """(weights, bias) of a sparse logistic model that minimises risk(); a text is given by its features' numbers.
 
-    A feature is used if positives hold it clearly more often than unlabelled texts; an L1 step keeps chance features at
-    zero, so long texts gather no noise.
+    An L1 step keeps chance features at zero, so long texts gather no noise.
     """
     if not positive or not unlabelled:
-        return np.zeros(0, np.uint64), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+        return np.zeros(n_features), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     n_p, n_u = len(positive), len(unlabelled)
-    keys, p = np.unique(np.concatenate(positive), return_counts=True)
-    keys, p = keys[p >= 3], p[p >= 3]
-
-    def place(h: np.ndarray) -> np.ndarray:
-        """Where those of h that are among keys stand."""
-        if not len(keys):
-            return np.zeros(0, np.int64)
-        i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-        return i[keys[i] == h]
-
-    u = np.zeros(len(keys), np.int64)
-    for h in unlabelled:
-        u[place(h)] += 1
-    a, b = (p + 0.5) / (n_p + 1), (u + 0.5) / (n_u + 1)
-    z = (np.log(a) - np.log(b)) / np.sqrt((1 - a) / (p + 0.5) + (1 - b) / (u + 0.5))
-    best = np.argsort(-z, kind="stable")[: min(max_features, int((z > 3).sum()))]
-    keys = np.sort(keys[best])
 
     def sparse(side: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [place(h) for h in side]
-        return np.repeat(np.arange(len(side)), [len(c) for c in cols]), np.concatenate(cols).astype(np.int64)
+        return np.repeat(np.arange(len(side)), list(map(len, side))), np.concatenate(side).astype(np.int64)
 
     (rp, cp), (ru, cu) = sparse(positive), sparse(unlabelled)
-    w, bias = np.zeros(len(keys)), float(np.log(prior / (1 - prior)))
+    w, bias = np.zeros(n_features), float(np.log(prior / (1 - prior)))
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):
         zp = bias + np.bincount(rp, w[cp], n_p) if len(rp) else np.full(n_p, bias)
@@ -105,40 +79,52 @@ def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
         w = w - a * m / (np.sqrt(v) + 1e-8)
         w = np.sign(w) * np.maximum(0, np.abs(w) - a * shrink)
         bias -= a * mb / (np.sqrt(vb) + 1e-8)
-    return keys[w != 0], w[w != 0], float(bias)
+    return w, float(bias)
 
 
-def _hashed(texts: DataFrame) -> DataFrame:
-    """(h) per row of (text): the features as numbers, so that no text goes to the driver."""
+def _features(texts: DataFrame) -> DataFrame:
+    """(p, f): the features of every text of (p, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [hashes(x.as_py() or "").view(np.int64) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.int64()))], names=["h"])
+            for p, x in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = sorted(features(x.as_py() or ""))
+                yield pa.RecordBatch.from_arrays([pa.array([p] * len(own), pa.int32()), pa.array(own, pa.string())], names=["p", "f"])
+
+    return arrow_map(texts.select("p", "text"), run, "p int, f string")
 
-    return arrow_map(texts.select("text"), run, "h array<long>")
+
+def chosen_features(texts: DataFrame, n_p: int, n_u: int, max_features: int) -> list[str]:
+    """Features that 3 positives or more hold, and positives clearly more often than unlabelled texts, of (p, text).
+
+    Counted on Spark; the driver gets max_features names at most, those of the largest z score.
+    """
+    c = _features(texts).groupBy("f").agg(F.sum("p").alias("a"), F.sum(1 - F.col("p")).alias("b")).where("a >= 3")
+    a, b = (F.col("a") + 0.5) / (n_p + 1), (F.col("b") + 0.5) / (n_u + 1)
+    z = (F.log(a) - F.log(b)) / F.sqrt((1 - a) / (F.col("a") + 0.5) + (1 - b) / (F.col("b") + 0.5))
+    best = c.withColumn("z", z).where("z > 3").orderBy(F.desc("z"), "f").limit(max_features)
+    return sorted(r["f"] for r in best.select("f").collect())
 
 
-def _names(texts: DataFrame, keys: np.ndarray) -> dict[int, str]:
-    """What the chosen features are called, from texts that hold them."""
-    wanted = set(keys.tolist())
+def _numbered(texts: DataFrame, names: list[str]) -> DataFrame:
+    """(p, x): the numbers of each text's chosen features."""
+    number = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = {f for x in batch.column(0) for f in features(x.as_py() or "") if xxhash.xxh3_64_intdigest(f.encode()) in wanted}
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(got), pa.string())], names=["f"])
+            own = [sorted(number[f] for f in features(x.as_py() or "") if f in number) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.list_(pa.int32()))], names=["p", "x"])
 
-    found = arrow_map(texts.select("text"), run, "f string").groupBy("f").count().collect()  # a row per chosen feature
-    return {xxhash.xxh3_64_intdigest(r["f"].encode()): r["f"] for r in found}
+    return arrow_map(texts.select("p", "text"), run, "p int, x array<int>")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Model:
     """Fit on confirmed toxic documents (label 1) and on unlabelled text (any document), both bounded samples.
 
     The class prior is the share of label 1 among the labels given. Rows are drawn by hash of the id, so the sample is
     the same on every run and covers the whole table. Labels that are null, or whose id is null or absent, are ignored;
-    of repeated ids the highest label counts, and of their texts the first in order. The driver gets the samples'
-    features as numbers (distinct ones per text), not the texts.
+    of repeated ids the highest label counts, and of their texts the first in order. Features are counted and chosen on
+    Spark; the driver gets the chosen ones' numbers for each text of the samples, never a text.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     n, n_pos = known.agg(F.count("*"), F.sum(F.col("y").cast("long"))).first()
@@ -151,19 +137,16 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
     picked = text.where(draw < min(1.0, 1.3 * max_unlabelled / max(total, 1))).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(max_unlabelled)
     ids = [r[0] for r in pos_ids.collect()]
-    if not ids or not total:
-        return Model({}, fit_nnpu([], [], prior)[2], prior)
-    confirmed = written(text.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("text").alias("text")), "confirmed")
-    both = _hashed(confirmed).select("h", F.lit(1).alias("p")).unionByName(_hashed(written(picked, "unlabelled")).select("h", F.lit(0).alias("p")))
-    t = both.toArrow().combine_chunks()
-    if not t.num_rows:
-        return Model({}, fit_nnpu([], [], prior)[2], prior)
-    lists, is_p = t.column("h").chunk(0), t.column("p").to_numpy()
-    flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-    side = lambda k: [flat[at[i] : at[i + 1]] for i in np.flatnonzero(is_p == k)]
-    keys, w, bias = fit_nnpu(side(1), side(0), prior)
-    name = _names(confirmed, keys)
-    return Model({name[k]: float(x) for k, x in zip(keys.tolist(), w)}, bias, prior)
+    confirmed = text.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("text").alias("text"))
+    both = confirmed.select(F.lit(1).alias("p"), "text").unionByName(picked.select(F.lit(0).alias("p"), "text"))
+    both = written(both.repartition(16), "training")  # at most max_positive + max_unlabelled rows
+    n_p, n_u = both.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum(1 - F.col("p")), F.lit(0))).first()
+    names = chosen_features(both, n_p, n_u, max_features)
+    t = _numbered(both, names).toArrow()
+    side = lambda k: [np.array(x, np.int64) for x, p in zip(t.column("x").to_pylist(), t.column("p").to_pylist()) if p == k]
+    w, bias = fit_nnpu(side(1), side(0), len(names), prior)
+    discard(both)
+    return Model({f: float(x) for f, x in zip(names, w) if x}, bias, prior)
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, keep: tuple[str, ...] = ()) -> DataFrame:

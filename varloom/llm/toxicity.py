@@ -135,11 +135,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     pos_ids = known.where("y = 1").where(draw < min(1.0, 1.3 * max_positive / max(n_pos, 1))).orderBy(F.xxhash64("id", F.lit(17))).limit(max_positive).select("id")
     total = docs.count()
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    picked = text.where(draw < min(1.0, 1.3 * max_unlabelled / max(total, 1))).orderBy(F.xxhash64("id", F.lit(17)), "id").limit(max_unlabelled)
+    some = text.where(draw < min(1.0, 1.3 * max_unlabelled / max(total, 1))).select("id").distinct()
+    u_ids = [r[0] for r in some.orderBy(F.xxhash64("id", F.lit(17)), "id").limit(max_unlabelled).collect()]
     ids = [r[0] for r in pos_ids.collect()]
-    confirmed = text.where(F.col("id").isin(ids)).groupBy("id").agg(F.min("text").alias("text"))
-    both = confirmed.select(F.lit(1).alias("p"), "text").unionByName(picked.select(F.lit(0).alias("p"), "text"))
-    both = written(both.repartition(16), "training")  # at most max_positive + max_unlabelled rows
+    if not ids or not u_ids:
+        return Model({}, fit_nnpu([], [], 0, prior)[1], prior)
+    # one scan for both samples; only ids go through the driver
+    taken = text.where(F.col("id").isin(sorted({*ids, *u_ids}))).groupBy("id").agg(F.min("text").alias("text"))
+    as_p, as_u = F.when(F.col("id").isin(ids), 1), F.when(F.col("id").isin(u_ids), 0)
+    both = written(taken.select(F.explode(F.array_compact(F.array(as_p, as_u))).alias("p"), "text"), "training")
     n_p, n_u = both.agg(F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum(1 - F.col("p")), F.lit(0))).first()
     names = chosen_features(both, n_p, n_u, max_features)
     t = _numbered(both, names).toArrow()

@@ -5,10 +5,11 @@ import random
 import pytest
 from test_graphs import _frame, _lines
 
-from varloom.operators import inversions, views
+from varloom.operators import calling, inversions, profiles, views
 from varloom.operators.align import align, cost
+from varloom.plans.durable import written
 from varloom.plans.graph_api import Graph
-from varloom.sources import pvst, texts
+from varloom.sources import pvst, texts, vcf
 
 
 @pytest.fixture(scope="module")
@@ -85,6 +86,33 @@ def test_loops_are_called_lap_by_lap(spark):
     assert [(r.tangled, r.id, r["at"], r.vartype, r.pos, r.an) for r in rows] == [("T", ">0>3", ">1,>2", "SUB", 7, 2)]
 
 
+def test_order_of_laps():
+    assert calling.lap_order([]) == []
+    assert calling.lap_order([[0, 2, 4], [0, 1, 4], [0, 1, 3, 2, 3, 4]]) == [0, 2, 1, 3, 4]
+    # 3 lies between 2 and 1 of its lap, which the order has the other way round: it goes before 2
+    assert calling.lap_order([[0, 1, 2, 4], [0, 2, 3, 1, 4]]) == [0, 1, 3, 2, 4]
+
+
+def test_cyclic_regions_follow_the_haplotypes(spark):
+    text = [f"S\t{i}\t{s}" for i, s in enumerate("ACGT")] + [f"L\t{a}\t+\t{b}\t+\t0M" for a, b in ((0, 1), (0, 3), (1, 2), (2, 1), (2, 3))]
+    text += ["P\tHG1#1#c\t0+,1+,2+,3+\t*", "P\tHG2#1#c\t0+,1+,2+,1+,2+,3+\t*", "P\tHG3#1#c\t0+,3+\t*"]
+    g = Graph.from_lines(_frame(spark, text))
+    called = written(calling.colour(g.decompose(), g.steps, g.references(["HG1"])), "called")
+    assert [(r.seg_id, r.cyclic) for r in g._columns(called).orderBy("col").collect()] == [(0, True), (1, True), (2, True), (3, True)]
+    got = sorted((r.vartype, r.id, r.ref_seq, r.alt, r["at"], r.tangled) for r in g.call(["HG1"]).collect())
+    assert got == [("DEL", ">0>3", "ACG", "A", ">0>1>2,>0", "F"), ("INS", ">0>3", "ACG", "ACGCG", ">0>1>2,>0>1>2>1>2", "F")]
+
+
+def test_profiles_that_reject(spark, nested):
+    rec = vcf.records(_frame(spark, ["c\t2\t>1>4\tCT\tC\t60\tPASS\tLV=1\tGT\t0\t1"]))
+    tree = nested.decompose()
+    assert profiles.raw_graph(rec, tree, nested.steps, nested.references(["HG1"])).count() == 1
+    with pytest.raises(profiles.ProfileRejected, match=">1>4"):
+        profiles.raw_graph(rec, tree, nested.steps, nested.references(["HG3"]))
+    with pytest.raises(profiles.ProfileRejected):
+        profiles.inserted_path_raw(rec)
+
+
 def test_views(spark, nested):
     assert [r.context for r in views.step_context(nested.steps, 1, 1).orderBy("path_id").collect()] == [">0>1>3", ">0>1>4"]
     assert views.path_window(nested.steps, 0, 2, 1).count() == 3

@@ -14,9 +14,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flip_walk, revcomp, walk_to_string
+from ..plans.durable import written
 from ..session import on_workers
 from . import graphs
 
+#: Steps of a path that meet its laps at a time.
+LAP_BLOCK = 4096
+
 
 def colour(tree: DataFrame, steps: DataFrame, refs: DataFrame) -> DataFrame:
     """Rows of the bubble tree to call: all refs(path_id) visit both ends, and no child is to be called itself.
@@ -50,8 +54,8 @@ def restrict(called: DataFrame, loci: DataFrame, paths: DataFrame, region: str)
     return a.select(*called.columns).unionByName(b.select(*called.columns)).distinct()
 
 
-def column_order(near: dict, start: tuple[str, int], end: tuple[str, int]) -> list[int]:
-    """Segments between two oriented ends: breadth first, then in topological order; of a cyclic region as found."""
+def column_order(near: dict, start: tuple[str, int], end: tuple[str, int]) -> tuple[list[int], bool]:
+    """Segments between two oriented ends in topological order, or as found breadth first and True if they lie on a cycle."""
     kind: dict[int, str] = {start[1]: start[0]}
     edges: dict[int, list[int]] = {}
     todo = deque([start[1]])
@@ -76,7 +80,7 @@ def column_order(near: dict, start: tuple[str, int], end: tuple[str, int]) -> li
         for x in outs:
             degree[x] += 1
     if degree[start[1]]:
-        return found
+        return found, True
     ready, order = deque([start[1]]), []
     while ready:
         u = ready.popleft()
@@ -85,11 +89,38 @@ def column_order(near: dict, start: tuple[str, int], end: tuple[str, int]) -> li
             degree[x] -= 1
             if not degree[x]:
                 ready.append(x)
-    return order if len(order) == len(found) else found
+    return (order, False) if len(order) == len(found) else (found, True)
+
+
+def lap_order(laps: list[list[int]]) -> list[int]:
+    """Segments in an order that laps between the same two segments agree on as far as they can.
+
+    The first lap gives the order. What a later one adds stands before the next known segment of that lap, or before the
+    last known one where the order has that later.
+    """
+    order = list(dict.fromkeys(laps[0])) if laps else []
+    for lap in laps[1:]:
+        place = {s: k for k, s in enumerate(order)}
+        if place.keys() >= set(lap):
+            continue
+        ahead, right = {}, lap[-1]
+        for s in reversed(lap):
+            right = s if s in place else right
+            ahead.setdefault(s, right)
+        added: dict[int, list[int]] = {}
+        left, told = lap[0], set()
+        for s in lap:
+            if s in place:
+                left = s
+            elif s not in told:
+                told.add(s)
+                added.setdefault(ahead[s] if place[left] < place[ahead[s]] else left, []).append(s)
+        order = [x for s in order for x in (*added.get(s, ()), s)]
+    return order
 
 
 def columns(called: DataFrame, links: DataFrame, comps: DataFrame, min_columns: int = 3) -> DataFrame:
-    """(comp_id, i, j, label, height, col, seg_id) of the regions with at least min_columns segments."""
+    """(comp_id, i, j, label, height, col, seg_id, cyclic, rov_id) of the regions with at least min_columns segments."""
     on_workers(links.sparkSession)
     both = graphs.bidirected(links).join(comps.select("seg_id", "comp_id"), "seg_id")
     e = both.join(called.select("comp_id").distinct(), "comp_id", "left_semi").select("comp_id", F.lit(None).cast("bigint").alias("i"), "edge_idx", F.col("seg_id").alias("a"), F.col("side").alias("x"), F.col("other").alias("b"), F.col("other_side").alias("y"), F.lit("").alias("label"), F.lit(0).cast("bigint").alias("height"))
@@ -101,15 +132,40 @@ def columns(called: DataFrame, links: DataFrame, comps: DataFrame, min_columns:
             near.setdefault((a, x), []).append((b, y))
         out = []
         for t in pdf[pdf.i.notna()].itertuples(index=False):
-            order = column_order(near, (t.x, t.a), (t.y, t.b))
+            order, cyclic = column_order(near, (t.x, t.a), (t.y, t.b))
             if len(order) >= min_columns:
-                out += [(t.comp_id, int(t.i), t.edge_idx, t.label, t.height, k, s) for k, s in enumerate(order)]
-        return pd.DataFrame(out, columns=["comp_id", "i", "j", "label", "height", "col", "seg_id"])
+                out += [(t.comp_id, int(t.i), t.edge_idx, t.label, t.height, k, s, cyclic) for k, s in enumerate(order)]
+        return pd.DataFrame(out, columns=["comp_id", "i", "j", "label", "height", "col", "seg_id", "cyclic"])
 
-    out = e.unionByName(r).groupBy("comp_id").applyInPandas(run, "comp_id long, i long, j long, label string, height long, col long, seg_id long")
+    out = e.unionByName(r).groupBy("comp_id").applyInPandas(run, "comp_id long, i long, j long, label string, height long, col long, seg_id long, cyclic boolean")
     return out.withColumn("rov_id", F.concat_ws(":", "comp_id", "i"))
 
 
+def guided(cols: DataFrame, called: DataFrame, steps: DataFrame, min_columns: int = 3) -> DataFrame:
+    """cols with the segments of cyclic regions in lap_order() of the haplotypes' laps, and without those off all laps.
+
+    A lap runs from a path's n-th step on one end to its n-th on the other. Laps are cut out of the steps in blocks, and
+    equal ones count once; a region's different laps are ordered in one task. Regions that no path passes stay as they are.
+    """
+    on_workers(cols.sparkSession)
+    ends = cols.where("cyclic AND col = 0").select("rov_id", "comp_id", "i", "j").join(called.select("comp_id", "i", "j", "start_id", "end_id"), ["comp_id", "i", "j"])
+    nth = F.row_number().over(Window.partitionBy("rov_id", "path_id").orderBy("step_idx"))
+    on = lambda end, name: ends.select("rov_id", F.col(end).alias("seg_id")).join(steps, "seg_id").select("rov_id", "path_id", F.col("step_idx").alias(name), nth.alias("n"))
+    block = lambda c: F.floor(F.col(c) / LAP_BLOCK)
+    laps = on("start_id", "a").join(on("end_id", "b"), ["rov_id", "path_id", "n"]).select("rov_id", "path_id", "n", F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    inside = laps.withColumn("_b", F.explode(F.sequence(block("lo"), block("hi")))).join(steps.select("path_id", "step_idx", "seg_id", block("step_idx").alias("_b")), ["path_id", "_b"]).where("step_idx BETWEEN lo AND hi")
+    walks = inside.groupBy("rov_id", "path_id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("step_idx", "seg_id"))), lambda x: x["seg_id"]).alias("lap"))
+    walks = written(walks.groupBy("rov_id", "lap").agg(F.min(F.struct("path_id", "n")).alias("f")).select("rov_id", "lap", "f.path_id", "f.n"), "laps")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        order = lap_order([list(x) for x in pdf.sort_values(["path_id", "n"]).lap])
+        order = order if len(order) >= min_columns else []
+        return pd.DataFrame({"rov_id": pdf.rov_id.iloc[0], "col": range(len(order)), "seg_id": order}).astype({"col": "int64", "seg_id": "int64"})
+
+    found = walks.groupBy("rov_id").applyInPandas(run, "rov_id string, col long, seg_id long").join(cols.where("col = 0").drop("col", "seg_id"), "rov_id")
+    return cols.join(walks.select("rov_id").distinct(), "rov_id", "left_anti").select(*cols.columns).unionByName(found.select(*cols.columns))
+
+
 def visits(cols: DataFrame, steps: DataFrame) -> DataFrame:
     """(rov_id, path_id, col, code, first_step, last_step, rn): a row per column that a haplotype visits, ranked by column."""
     return visited(steps.join(cols.select("rov_id", "col", "seg_id"), "seg_id"))

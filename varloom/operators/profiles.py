@@ -32,6 +32,25 @@ def _recount(of: Column, gts: Column) -> Column:
     return _set(_set(of, "AN", called.cast("string")), "NS", called.cast("string"))
 
 
+class ProfileRejected(ValueError):
+    """The calls of this graph have no form in the profile."""
+
+
+def raw_graph(rec: DataFrame, tree: DataFrame, steps: DataFrame, refs: DataFrame) -> DataFrame:
+    """The calls as they are. Raises ProfileRejected if a nested bubble's ends are on none of refs(path_id), as it has no place there."""
+    on = steps.join(refs.select("path_id").distinct(), "path_id").select("path_id", "seg_id").distinct()
+    placed = tree.join(on.withColumnRenamed("seg_id", "start_id"), "start_id").select("comp_id", "i", "j", "path_id", F.col("end_id").alias("seg_id")).join(on, ["path_id", "seg_id"])
+    lost = tree.where("parent_lo IS NOT NULL").join(placed, ["comp_id", "i", "j"], "left_anti").take(1)
+    if lost:
+        raise ProfileRejected(f"nested bubble {lost[0].label} has no place on a chosen reference")
+    return rec
+
+
+def inserted_path_raw(rec: DataFrame) -> DataFrame:
+    """Coordinates on inserted paths are not defined: raises ProfileRejected whatever the calls."""
+    raise ProfileRejected("coordinates on inserted paths are not defined")
+
+
 def top_level(rec: DataFrame) -> DataFrame:
     """Reversals and calls of level 0."""
     kept = rec.where((info("VARTYPE") == "SUBR") | (info("LV") == "0"))

@@ -77,13 +77,17 @@ class Graph:
         p = self.spark.createDataFrame([(x,) for x in prefixes], "prefix string")
         return graphs.select_references(self.paths, p).select("path_id").distinct()
 
+    def _columns(self, called: DataFrame) -> DataFrame:
+        cols = written(calling.columns(called, self.links, self.comps), "columns")
+        return written(calling.guided(cols, called, self.steps), "guided") if cols.where("cyclic").take(1) else cols
+
     def call(self, refs: list[str], region: str | None = None, tree: DataFrame | None = None) -> DataFrame:
         """records() of the bubbles that all chosen references cross."""
         chosen = self.references(refs)
         called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen)
         if region:
             called = calling.restrict(called, self.loci, self.paths, region)
-        cols = written(calling.columns(called, self.links, self.comps), "columns")
+        cols = self._columns(called)
         seen = written(calling.visits(cols, self.steps), "visits")
         loops = written(calling.tangled(cols, seen), "tangled")
         plain = seen.join(loops, "rov_id", "left_anti")
@@ -104,7 +108,7 @@ class Graph:
         """subr_records() of the bubbles that a haplotype reads backwards as a whole."""
         chosen = self.references(refs)
         called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen)
-        cols = written(calling.columns(called, self.links, self.comps), "columns")
+        cols = self._columns(called)
         seen = written(calling.visits(cols, self.steps), "visits")
         pins = written(inversions.whole_pins(seen, calling.anchors(seen, chosen)), "pins")
         return inversions.subr_records(written(inversions.stretches(pins, self.steps), "stretches"), self.loci, self.paths)

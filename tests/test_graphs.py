@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,23 +239,56 @@ def test_region():
             calling.parse_region(bad)
 
 
-def test_matches_are_longest():
-    import itertools
+def _longest(a, b):
+    """Index pairs of a longest common subsequence by the whole table; on ties a advances first."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif t[i + 1][j] >= t[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+def test_chains_are_longest_common_subsequences():
     import random
 
     random.seed(3)
-    for _ in range(200):
-        a = [random.choice("abc") for _ in range(random.randint(0, 7))]
-        b = [random.choice("abc") for _ in range(random.randint(0, 7))]
-        m = collinear.matches(a, b)
-        assert all(a[i] == b[j] for i, j in m) and m == sorted(m) and len({i for i, _ in m}) == len(m) == len({j for _, j in m})
-        best = max((n for n in range(min(len(a), len(b)) + 1) for c in itertools.combinations(range(len(a)), n) if _sub([a[i] for i in c], b)), default=0)
-        assert len(m) == best
-
-
-def _sub(x, y):
-    it = iter(y)
-    return all(c in it for c in x)
+    for _ in range(400):
+        a, b = ([random.choice("abcd") for _ in range(random.randint(0, 9))] for _ in range(2))
+        met = np.array([(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if x == y], "int64").reshape(-1, 2)
+        assert collinear.chained(met[:, 0], met[:, 1]) == _longest(a, b)
+
+
+def test_collinear_sites_against_whole_tables(spark):
+    import random
+
+    random.seed(7)
+    walks = [[(random.randint(1, 6), random.choice("><")) for _ in range(random.randint(1, 30))] for _ in range(9)]
+    steps = spark.createDataFrame([(p, k, s, o) for p, w in enumerate(walks) for k, (s, o) in enumerate(w)], "path_id long, step_idx long, seg_id long, strand string")
+    text = lambda w: "".join(f"{o}{s}" for s, o in w)
+    want = set()
+    for p, w in enumerate(walks[1:], 1):
+        m = _longest(walks[0], w)
+        want |= {(p, i, k, text(walks[0][i + 1 : k]), text(w[j + 1 : n])) for (i, j), (k, n) in zip(m, m[1:]) if k > i + 1 or n > j + 1}
+    spans = {x[1:3] for x in want}
+    want = {x for x in want if not any(x[1] <= s and e <= x[2] and (s, e) != x[1:3] for s, e in spans)}
+    got = [tuple(r) for r in collinear.collinear_sites(steps, 0).collect()]
+    assert len(got) == len(want) and set(got) == want and want
+
+
+def test_reverse_paths(spark):
+    walks = [[(1, ">"), (2, "<"), (1, ">")], [(1, "<"), (2, ">"), (1, "<")], [(1, "<"), (2, ">")], [(3, ">"), (1, "<"), (2, ">"), (1, "<")], [(1, ">"), (2, "<"), (1, ">")]]
+    steps = spark.createDataFrame([(p, k, s, o) for p, w in enumerate(walks) for k, (s, o) in enumerate(w)], "path_id long, step_idx long, seg_id long, strand string")
+    assert [r.path_id for r in collinear.reverse_paths(steps, 0).collect()] == [1]
+    assert collinear.reverse_paths(steps, 9).count() == 0
 
 
 def test_left_align():

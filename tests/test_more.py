@@ -50,10 +50,42 @@ def test_inversion_of_a_whole_path(spark):
     assert g.call(["ref"]).count() == 0
 
 
-def test_grown_and_merged():
-    ref, alt = [">1", ">2", ">3", ">4"], [">9", "<3", "<2", ">1"]
-    assert inversions.grow(ref, alt, 1, 2, None, None) == (1, 1, 2)
-    assert inversions.grow(ref, alt, 0, 0, None, None)[2] == 0
+def _grow(ref, alt, i, j, down, up):
+    """(start on ref, start on alt, length) of the longest stretch through ref[i] and alt[j] that alt reads backwards."""
+    same = lambda x, y: x[0] == y[0] and x[1] != y[1]
+    if not same(ref[i], alt[j]):
+        return i, j, 0
+    a, b, c, d = i, j, i, j
+    while a + 1 < len(ref) and b > 0 and (up is None or a + 1 - i <= up) and same(ref[a + 1], alt[b - 1]):
+        a, b = a + 1, b - 1
+    while c > 0 and d + 1 < len(alt) and (down is None or i - c + 1 <= down) and same(ref[c - 1], alt[d + 1]):
+        c, d = c - 1, d + 1
+    return c, b, a - c + 1
+
+
+def test_stretches_against_growing_each_pin(spark):
+    random.seed(11)
+    turn = {">": "<", "<": ">"}
+    ref = [(random.randint(1, 40), random.choice("><")) for _ in range(120)]
+    alts = []
+    for _ in range(4):
+        w = [(s, turn[o]) for s, o in reversed(ref)]
+        for _ in range(12):
+            w[random.randrange(len(w))] = (99, ">")
+        alts.append(w)
+    steps = spark.createDataFrame([(p, k, s, o) for p, w in enumerate([ref, *alts]) for k, (s, o) in enumerate(w)], "path_id long, step_idx long, seg_id long, strand string")
+    pins = {(p, i, j) for p, w in enumerate(alts, 1) for i, j in ((random.randrange(120), random.randrange(120)) for _ in range(400)) if i + j == 119 or ref[i][0] == w[j][0]}
+    want = set()
+    for p, w in enumerate(alts, 1):
+        own = sorted(x[1:] for x in pins if x[0] == p)
+        grown = []
+        for k, (i, j) in enumerate(own):
+            down = (i - own[k - 1][0] + 1) // 2 if k else None
+            up = (own[k + 1][0] - i + 1) // 2 if k + 1 < len(own) else None
+            grown.append(_grow(ref, w, i, j, down, up))
+        want |= {(0, p, *x) for x in inversions.merge([x for x in grown if x[2] > 1])}
+    got = inversions.stretches(spark.createDataFrame([(0, *x) for x in pins], "ref long, alt long, i long, j long"), steps).collect()
+    assert {tuple(r) for r in got} == want and len(want) > 8
     assert inversions.merge([(1, 1, 2), (1, 1, 2), (1, 2, 1)]) == [(1, 1, 2)]
 
 

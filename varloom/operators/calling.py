@@ -204,29 +204,26 @@ def contexts(anch: DataFrame) -> DataFrame:
     return nxt.where("v IS NOT NULL AND (rr2 - rr > 1 OR hr2 - hr > 1)").select("rov_id", "ref", "hap", F.col("col").alias("u"), "v")
 
 
-def alleles(anch: DataFrame, ctx: DataFrame, cols: DataFrame, loci: DataFrame, laps: DataFrame | None = None) -> DataFrame:
+def alleles(anch: DataFrame, ctx: DataFrame, loci: DataFrame) -> DataFrame:
     """The allele of each haplotype in each context: (rov_id, ref, u, v, hap, is_ref, type, walk, dna, at, pos, id).
 
     is_ref: its columns in the context and its walk equal the reference's. type by number of steps: SUB, INS, DEL;
-    INV where its walk is the reference's backwards, which is left to inversion calling. laps(rov_id, path_id, lap) gives the steps of each
-    haplotype in a region where they are not simply all of them.
+    INV where its walk is the reference's backwards, which is left to inversion calling. Only the steps between the two
+    ends of a context are read, once for each different stretch of a path.
     """
     seats = ctx.select("rov_id", "ref", "u", "v").distinct()
-    at_u = anch.select("rov_id", "ref", "hap", F.col("col").alias("u"), F.col("eq").alias("eu"), F.col("rr").alias("rr_u"), F.col("hr").alias("hr_u"), F.col("ce").alias("ce_u"), F.col("rf").alias("rf_u"), F.col("rl").alias("rl_u"), F.col("hf").alias("hf_u"), F.col("hl").alias("hl_u"))
-    at_v = anch.select("rov_id", "ref", "hap", F.col("col").alias("v"), F.col("eq").alias("ev"), F.col("rr").alias("rr_v"), F.col("hr").alias("hr_v"), F.col("ce").alias("ce_v"), F.col("rf").alias("rf_v"), F.col("rl").alias("rl_v"), F.col("hf").alias("hf_v"), F.col("hl").alias("hl_v"))
-    both = seats.join(at_u, ["rov_id", "ref", "u"]).join(at_v, ["rov_id", "ref", "hap", "v"])
-    same = (F.col("eu") == 1) & (F.col("ev") == 1) & (F.col("rr_v") - F.col("rr_u") == F.col("hr_v") - F.col("hr_u")) & (F.col("ce_v") - F.col("ce_u") == F.col("rr_v") - F.col("rr_u"))
+    end = lambda c: anch.select("rov_id", "ref", "hap", F.col("col").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("eq", "rr", "hr", "ce", "rf", "rl", "hf", "hl")))
+    both = seats.join(end("u"), ["rov_id", "ref", "u"]).join(end("v"), ["rov_id", "ref", "hap", "v"])
+    same = (F.col("eq_u") == 1) & (F.col("eq_v") == 1) & (F.col("rr_v") - F.col("rr_u") == F.col("hr_v") - F.col("hr_u")) & (F.col("ce_v") - F.col("ce_u") == F.col("rr_v") - F.col("rr_u"))
     both = both.join(ctx.withColumn("alt", F.lit(True)), ["rov_id", "ref", "hap", "u", "v"], "left").withColumn("same", same).where("same OR alt")
     span = lambda f, l, f2, l2: (F.when(F.col(f) <= F.col(l2), F.col(f)).otherwise(F.col(f2)), F.when(F.col(f) <= F.col(l2), F.col(l2)).otherwise(F.col(l)))  # noqa: E731, E741
     (rs, re), (hs, he) = span("rf_u", "rl_u", "rf_v", "rl_v"), span("hf_u", "hl_u", "hf_v", "hl_v")
-    both = both.select("rov_id", "ref", "u", "v", "hap", "same", rs.alias("rs"), re.alias("re"), hs.alias("hs"), he.alias("he"))
-    # the steps of each haplotype inside the region, in order
+    both = written(both.select("rov_id", "ref", "u", "v", "hap", "same", rs.alias("rs"), re.alias("re"), hs.alias("hs"), he.alias("he")), "seats")
+    spans = both.select(F.col("ref").alias("path_id"), F.col("rs").alias("s"), F.col("re").alias("e")).union(both.select("hap", "hs", "he")).distinct()
     step = F.struct("step_idx", F.col("strand").alias("orient"), "seg_id", "locus", "seq")
-    if laps is None:
-        laps = loci.join(cols.select("rov_id", "seg_id"), "seg_id").groupBy("rov_id", "path_id").agg(F.sort_array(F.collect_list(step)).alias("lap"))
-    cut = lambda lap, s, e: F.filter(lap, lambda x: x["step_idx"].between(F.col(s), F.col(e)))
-    both = both.join(laps.select("rov_id", F.col("path_id").alias("ref"), F.col("lap").alias("rlap")), ["rov_id", "ref"]).join(laps.select("rov_id", F.col("path_id").alias("hap"), F.col("lap").alias("hlap")), ["rov_id", "hap"])
-    both = both.select("rov_id", "ref", "u", "v", "hap", "same", cut("rlap", "rs", "re").alias("rw"), cut("hlap", "hs", "he").alias("hw"))
+    told = written(graphs.stretches(spans, loci, step), "spans")
+    side = lambda path, s, e, name: told.select(F.col("path_id").alias(path), F.col("s").alias(s), F.col("e").alias(e), F.col("w").alias(name))
+    both = both.join(side("ref", "rs", "re", "rw"), ["ref", "rs", "re"]).join(side("hap", "hs", "he", "hw"), ["hap", "hs", "he"])
     plain = lambda w: F.transform(w, lambda x: F.struct(x["orient"].alias("orient"), x["seg_id"].alias("seg_id")))
     both = both.withColumn("rwalk", plain("rw")).withColumn("walk", plain("hw")).withColumn("n", F.size("rw")).withColumn("m", F.size("hw"))
     is_ref = F.col("same") & (F.col("rwalk") == F.col("walk"))

@@ -2,104 +2,81 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from itertools import groupby
+from operator import itemgetter
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import flip, parse_walk, revcomp
+from ..plans.durable import written
 from ..session import on_workers
+from . import graphs
 
 
-def matches(ref: list, path: list) -> list[tuple[int, int]]:
-    """Index pairs of a longest common subsequence; on ties the reference advances first.
+def chained(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+    """The longest chain of pairs (i, j) that rises in both. Of several, i goes as far as it can before j moves.
 
-    Ends that agree are taken first, so the table covers only what lies between them; where every reference step occurs
-    once, the longest increasing run of places gives the same in n log n.
+    One pass from the back tells how long a chain each pair can begin. Then each link is a pair beyond the last that
+    begins all that is left: that of the very next j and the least i, or else that of the greatest i and the least j.
     """
-    lo = 0
-    while lo < len(ref) and lo < len(path) and ref[lo] == path[lo]:
-        lo += 1
-    hi = 0
-    while hi < len(ref) - lo and hi < len(path) - lo and ref[-1 - hi] == path[-1 - hi]:
-        hi += 1
-    a, b = ref[lo : len(ref) - hi], path[lo : len(path) - hi]
-    head = [(i, i) for i in range(lo)]
-    tail = [(len(ref) - hi + i, len(path) - hi + i) for i in range(hi)]
-    if len(set(a)) == len(a):
-        place = {x: i for i, x in enumerate(a)}
-        import bisect
-
-        tops: list[int] = []
-        at: list[int] = []
-        back: list[int] = []
-        seq = [(place[x], j) for j, x in enumerate(b) if x in place]
-        for n, (i, _) in enumerate(seq):
-            k = bisect.bisect_left(tops, i)
-            back.append(at[k - 1] if k else -1)
-            if k == len(tops):
-                tops.append(i)
-                at.append(n)
-            else:
-                tops[k], at[k] = i, n
-        mid, n = [], at[-1] if at else -1
-        while n >= 0:
-            mid.append((seq[n][0] + lo, seq[n][1] + lo))
-            n = back[n]
-        return head + mid[::-1] + tail
-    long = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            long[i][j] = long[i + 1][j + 1] + 1 if a[i] == b[j] else max(long[i + 1][j], long[i][j + 1])
-    i = j = 0
-    mid = []
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            mid.append((i + lo, j + lo))
-            i, j = i + 1, j + 1
-        elif long[i + 1][j] >= long[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return head + mid + tail
+    order = np.lexsort((i, -j))
+    tops: list[int] = []  # at k the greatest i, negated, that begins a chain of k + 1
+    reach = np.empty(len(order), "int64")
+    for n, x in zip(order.tolist(), (-i[order]).tolist()):
+        k = bisect_left(tops, x)
+        tops[k : k + 1] = [x]
+        reach[n] = k + 1
+    order = np.argsort(-reach, kind="stable")
+    out: list[tuple[int, int]] = []
+    a = b = -1
+    for _, same in groupby(zip(reach[order].tolist(), i[order].tolist(), j[order].tolist()), key=itemgetter(0)):
+        _, _, _, a, b = min((0, x, 0, x, y) if y == b + 1 else (1, -x, y, x, y) for _, x, y in same if x > a and y > b)
+        out.append((a, b))
+    return out
 
 
 def collinear_sites(steps: DataFrame, ref_path: int) -> DataFrame:
     """(path_id, ref_start, ref_end, ref_walk, alt_walk): stretches between consecutive matches where a path differs.
 
-    ref_start and ref_end are the steps of the reference that match on either side. One task holds the reference and
-    one path at a time.
+    ref_start and ref_end are the steps of the reference that match on either side. Equal steps meet by a join; a task
+    chains one path's meetings, which are pairs of numbers.
     """
     on_workers(steps.sparkSession)
-    token = F.concat("strand", F.col("seg_id").cast("string"))
-    whole = steps.groupBy("path_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step_idx", token.alias("t")))), lambda x: x["t"]).alias("w"))
-    ref = whole.where(F.col("path_id") == ref_path).select(F.col("w").alias("rw"))
-    both = whole.where(F.col("path_id") != ref_path).join(ref)
-
-    def run(it):
-        for pdf in it:
-            out = []
-            for p, w, rw in pdf[["path_id", "w", "rw"]].itertuples(index=False):
-                r, a = list(rw), list(w)
-                m = matches(r, a)
-                for (i, j), (i2, j2) in zip(m, m[1:]):
-                    if r[i + 1 : i2] != a[j + 1 : j2]:
-                        out.append((p, i, i2, "".join(r[i + 1 : i2]), "".join(a[j + 1 : j2])))
-            yield pd.DataFrame(out, columns=["path_id", "ref_start", "ref_end", "ref_walk", "alt_walk"])
-
-    found = both.mapInPandas(run, "path_id long, ref_start long, ref_end long, ref_walk string, alt_walk string")
-    # a stretch that holds a smaller one is not a site
-    spans = found.select("ref_start", "ref_end").distinct()
-    w = Window.orderBy("ref_start", F.desc("ref_end")).rowsBetween(1, Window.unboundedFollowing)
-    leaf = spans.withColumn("next_end", F.min("ref_end").over(w)).where("next_end IS NULL OR next_end > ref_end").select("ref_start", "ref_end")
-    return found.join(leaf, ["ref_start", "ref_end"]).select("path_id", "ref_start", "ref_end", "ref_walk", "alt_walk")
+    ref = steps.where(F.col("path_id") == ref_path)
+    met = steps.where(F.col("path_id") != ref_path).select("path_id", F.col("step_idx").alias("j"), "seg_id", "strand").join(ref.select(F.col("step_idx").alias("i"), "seg_id", "strand"), ["seg_id", "strand"]).select("path_id", "i", "j")
+
+    def gaps(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.array(chained(pdf.i.to_numpy(), pdf.j.to_numpy()), "int64").reshape(-1, 2)
+        wide = (np.diff(m, axis=0) > 1).any(axis=1)
+        return pd.DataFrame({"path_id": pdf.path_id.iloc[0], "ref_start": m[:-1, 0][wide], "ref_end": m[1:, 0][wide], "s": m[:-1, 1][wide] + 1, "e": m[1:, 1][wide] - 1})
+
+    found = written(met.groupBy("path_id").applyInPandas(gaps, "path_id long, ref_start long, ref_end long, s long, e long"), "gaps")
+    # a stretch that holds a smaller one is not a site: the least end of those that start later, or as late and end before
+    spans = found.select("ref_start", "ref_end").distinct().withColumn("_b", F.floor(F.col("ref_start") / graphs.STEPS))
+    least = lambda c, w: F.min(c).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    later = spans.groupBy("_b").agg(F.min("ref_end").alias("m")).select("_b", least("m", Window.orderBy(F.desc("_b"))).alias("_later"))  # a row per block
+    own = least("ref_end", Window.partitionBy("_b").orderBy(F.desc("ref_start"), "ref_end"))
+    leaf = spans.withColumn("_own", own).join(later, "_b").withColumn("_next", F.least("_own", "_later")).where("_next IS NULL OR _next > ref_end").select("ref_start", "ref_end")
+    kept = found.join(leaf, ["ref_start", "ref_end"])
+    spelled = lambda df: graphs.stretches(df.distinct(), steps, F.struct("step_idx", F.concat("strand", F.col("seg_id").cast("string")).alias("t"))).withColumn("w", F.array_join(F.transform("w", lambda x: x["t"]), ""))
+    alt = spelled(kept.select("path_id", "s", "e")).withColumnRenamed("w", "alt_walk")
+    own = spelled(leaf.select(F.lit(ref_path).cast("bigint").alias("path_id"), (F.col("ref_start") + 1).alias("s"), (F.col("ref_end") - 1).alias("e")))
+    own = own.select((F.col("s") - 1).alias("ref_start"), (F.col("e") + 1).alias("ref_end"), F.col("w").alias("ref_walk"))
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return kept.join(alt, ["path_id", "s", "e"], "left").join(own, ["ref_start", "ref_end"], "left").select("path_id", "ref_start", "ref_end", text("ref_walk"), text("alt_walk"))
 
 
 def reverse_paths(steps: DataFrame, ref_path: int) -> DataFrame:
     """(path_id) of paths that are the reference path walked backwards: hairpin inversions of the whole."""
-    w = steps.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("step_idx", "seg_id", "strand"))).alias("w"))
-    plain = F.transform("w", lambda x: F.struct(x["seg_id"].alias("s"), x["strand"].alias("o")))
-    back = F.reverse(F.transform("w", lambda x: F.struct(x["seg_id"].alias("s"), F.when(x["strand"] == ">", "<").otherwise(">").alias("o"))))
-    ref = w.where(F.col("path_id") == ref_path).select(back.alias("rw"))
-    return w.where(F.col("path_id") != ref_path).select("path_id", plain.alias("p")).join(ref, F.col("p") == F.col("rw")).select("path_id")
+    ref, others = steps.where(F.col("path_id") == ref_path), steps.where(F.col("path_id") != ref_path)
+    n = ref.count()
+    back = ref.select((F.lit(n - 1) - F.col("step_idx")).alias("step_idx"), "seg_id", flip(F.col("strand")).alias("strand"))
+    hit = others.join(back, ["step_idx", "seg_id", "strand"]).groupBy("path_id").agg(F.count("*").alias("m")).where(F.col("m") == n)
+    return others.groupBy("path_id").agg(F.count("*").alias("m")).where(F.col("m") == n).join(hit, ["path_id", "m"]).select("path_id")
 
 
 def collinear_calls(steps: DataFrame, segments: DataFrame, paths: DataFrame, ref_path: int) -> DataFrame:
@@ -109,19 +86,17 @@ def collinear_calls(steps: DataFrame, segments: DataFrame, paths: DataFrame, ref
     that reach neither are missing. Empty stretches of the reference are insertions, empty ones of the path deletions;
     both are anchored at the last base before.
     """
-    from ..functions.scalars import parse_walk, revcomp
-    from .graphs import with_loci
-    from .validate import check_calls
-
-    sites = collinear_sites(steps, ref_path)
-    loci = with_loci(steps, segments).where(F.col("path_id") == ref_path)
+    sites = written(collinear_sites(steps, ref_path), "sites")
+    loci = graphs.with_loci(steps, segments).where(F.col("path_id") == ref_path)
     token = F.concat("strand", F.col("seg_id").cast("string"))
     base = F.when(F.col("strand") == ">", F.col("seq")).otherwise(revcomp(F.col("seq")))
     a = loci.select(F.col("step_idx").alias("ref_start"), token.alias("t0"), F.right(base, F.lit(1)).alias("anchor"), (F.col("locus") + F.length("seq")).alias("next"))
     b = loci.select(F.col("step_idx").alias("ref_end"), token.alias("t1"))
     spot = sites.select("ref_start", "ref_end", "ref_walk").distinct().join(a, "ref_start").join(b, "ref_end")
-    claims = spot.select("ref_start", "ref_end", F.concat("t0", "ref_walk", "t1").alias("at")).join(paths.select("path_id")).withColumn("claim", F.concat_ws(":", "ref_start", "ref_end", "path_id"))
-    same = check_calls(claims, steps).where("found").join(claims.select("claim", "ref_start", "ref_end"), "claim").groupBy("ref_start", "ref_end").agg(F.count("*").alias("n_ref"))
+    # a path walks a site as the reference does where as many steps meet the site's in its order as it has
+    walk = spot.select("ref_start", "ref_end", F.explode(F.sequence("ref_start", "ref_end")).alias("step_idx")).join(steps.where(F.col("path_id") == ref_path).drop("path_id"), "step_idx")
+    hit = walk.withColumn("k", F.col("step_idx") - F.col("ref_start")).drop("step_idx").join(steps, ["seg_id", "strand"]).groupBy("ref_start", "ref_end", "path_id", F.col("step_idx") - F.col("k")).agg(F.count("*").alias("m"))
+    same = hit.where("m = ref_end - ref_start + 1").groupBy("ref_start", "ref_end").agg(F.countDistinct("path_id").alias("n_ref"))
     kind = F.when(F.col("ref_walk") == "", "INS").when(F.col("alt_walk") == "", "DEL").otherwise("SUB")
     seqs = segments.select("seg_id", "seq")
 

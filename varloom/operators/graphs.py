@@ -8,7 +8,7 @@ paths(path_id, name)             steps(path_id, step_idx, seg_id, strand)   stra
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pansn
@@ -131,6 +131,16 @@ def with_loci(steps: DataFrame, segments: DataFrame) -> DataFrame:
     return s.select(*steps.columns, "seq", (1 + F.col("_before") + F.col("_own")).cast("bigint").alias("locus"))
 
 
+def stretches(spans: DataFrame, steps: DataFrame, step: Column) -> DataFrame:
+    """spans(path_id, s, e) with w: the array of `step`, a struct that step_idx leads, from the s-th to the e-th step.
+
+    A row per step of each span meets the steps by number, so the work is as large as what it returns. Spans without
+    steps (e < s) are left out.
+    """
+    inside = spans.where("s <= e").withColumn("step_idx", F.explode(F.sequence("s", "e")))
+    return inside.join(steps, ["path_id", "step_idx"]).groupBy("path_id", "s", "e").agg(F.sort_array(F.collect_list(step)).alias("w"))
+
+
 def path_lengths(steps: DataFrame, segments: DataFrame) -> DataFrame:
     """(path_id, n_steps, hap_len)."""
     return steps.join(segments.select("seg_id", F.length("seq").cast("bigint").alias("n")), "seg_id").groupBy("path_id").agg(F.count("*").alias("n_steps"), F.sum("n").alias("hap_len"))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import half_gap, revcomp
+from ..functions.scalars import flip, half_gap, revcomp
 from ..session import on_workers
 from . import graphs
 
@@ -26,21 +26,6 @@ def limits(pins: DataFrame) -> DataFrame:
     return p.withColumn("down", half_gap(F.col("i"), F.lag("i").over(w))).withColumn("up", half_gap(F.col("i"), F.lead("i").over(w)))
 
 
-def grow(ref: list[str], alt: list[str], i: int, j: int, down: int | None, up: int | None) -> tuple[int, int, int]:
-    """(start on ref, start on alt, length) of the longest stretch through ref[i] and alt[j] that alt reads backwards."""
-    flip = {">": "<", "<": ">"}
-    same = lambda a, b: a[1:] == b[1:] and a[0] == flip[b[0]]
-    if not same(ref[i], alt[j]):
-        return i, j, 0
-    a, b = i, j
-    while a + 1 < len(ref) and b > 0 and (up is None or a + 1 - i <= up) and same(ref[a + 1], alt[b - 1]):
-        a, b = a + 1, b - 1
-    c, d = i, j
-    while c > 0 and d + 1 < len(alt) and (down is None or i - c + 1 <= down) and same(ref[c - 1], alt[d + 1]):
-        c, d = c - 1, d + 1
-    return c, b, a - c + 1
-
-
 def merge(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans of one haplotype pair: those within others go, those that overlap in step with each other join."""
     out: list[tuple[int, int, int]] = []
@@ -57,25 +42,26 @@ def merge(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
 
 
 def stretches(pins: DataFrame, steps: DataFrame) -> DataFrame:
-    """(ref, alt, ref_start, alt_start, len): merged inverted stretches. A task holds two paths at a time."""
+    """(ref, alt, ref_start, alt_start, len): merged inverted stretches of two steps or more.
+
+    What alt reads backwards of ref meets by segment and opposite strand; meetings around one turning point (the sum of
+    both places) in a row are a stretch. It is cut to the limits of the pin within it; a task merges a pair's stretches.
+    """
     on_workers(steps.sparkSession)
-    token = F.concat("strand", F.col("seg_id").cast("string"))
-    need = pins.select(F.col("ref").alias("path_id")).union(pins.select("alt")).distinct()
-    walk = steps.join(need, "path_id").groupBy("path_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("step_idx", token.alias("t")))), lambda x: x["t"]).alias("w"))
-    p = limits(pins).groupBy("ref", "alt").agg(F.collect_list(F.struct("i", "j", "down", "up")).alias("p"))
-    both = p.join(walk.select(F.col("path_id").alias("ref"), F.col("w").alias("a")), "ref").join(walk.select(F.col("path_id").alias("alt"), F.col("w").alias("b")), "alt").select("ref", "alt", "p", "a", "b")
-
-    def run(it):
-        for pdf in it:
-            out = []
-            for ref, alt, ps, a, b in pdf.itertuples(index=False):
-                a, b = list(a), list(b)
-                none = lambda x: None if x is None or x != x else int(x)
-                grown = [grow(a, b, int(x["i"]), int(x["j"]), none(x["down"]), none(x["up"])) for x in ps]
-                out += [(ref, alt, *g) for g in merge([g for g in grown if g[2] > 1])]
-            yield pd.DataFrame(out, columns=["ref", "alt", "ref_start", "alt_start", "len"])
-
-    return both.mapInPandas(run, "ref long, alt long, ref_start long, alt_start long, len long")
+    p = limits(pins).withColumn("turn", F.col("i") + F.col("j"))
+    r = steps.select(F.col("path_id").alias("ref"), F.col("step_idx").alias("a"), "seg_id", "strand").join(p.select("ref", "alt").distinct(), "ref")
+    h = steps.select(F.col("path_id").alias("alt"), F.col("step_idx").alias("b"), "seg_id", flip(F.col("strand")).alias("strand"))
+    met = r.join(h, ["alt", "seg_id", "strand"]).select("ref", "alt", "a", (F.col("a") + F.col("b")).alias("turn")).join(p.select("ref", "alt", "turn").distinct(), ["ref", "alt", "turn"], "left_semi")
+    island = F.col("a") - F.row_number().over(Window.partitionBy("ref", "alt", "turn").orderBy("a"))
+    runs = met.withColumn("island", island).groupBy("ref", "alt", "turn", "island").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
+    grown = p.join(runs, ["ref", "alt", "turn"]).where("i BETWEEN lo AND hi").withColumn("c", F.greatest("lo", F.col("i") - F.col("down"))).withColumn("d", F.least("hi", F.col("i") + F.col("up")))
+    grown = grown.where("d > c").select("ref", "alt", F.col("c").alias("ref_start"), (F.col("turn") - F.col("d")).alias("alt_start"), (F.col("d") - F.col("c") + 1).alias("len"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        spans = merge(list(zip(pdf.ref_start.tolist(), pdf.alt_start.tolist(), pdf.len.tolist())))
+        return pd.DataFrame([(pdf.ref.iloc[0], pdf.alt.iloc[0], *x) for x in spans], columns=list(pdf.columns))
+
+    return grown.groupBy("ref", "alt").applyInPandas(run, "ref long, alt long, ref_start long, alt_start long, len long")
 
 
 def subr_records(found: DataFrame, loci: DataFrame, paths: DataFrame) -> DataFrame:

@@ -92,7 +92,7 @@ class Graph:
         loops = written(calling.tangled(cols, seen), "tangled")
         plain = seen.join(loops, "rov_id", "left_anti")
         anch = written(calling.anchors(plain, chosen), "anchors")
-        rec = calling.records(calling.alleles(anch, calling.contexts(anch), cols, self.loci), cols, self.paths)
+        rec = calling.records(calling.alleles(anch, calling.contexts(anch), self.loci), cols, self.paths)
         if not loops.take(1):
             return rec
         # regions passed more than once: lap by lap
@@ -101,7 +101,7 @@ class Graph:
         pairs = written(untangle.lap_pairs(untangle.transcripts(laps, chosen)), "pairs")
         cols2, laps2 = (written(x, "unrolled") for x in untangle.unrolled(wound, laps, pairs))
         anch2 = written(calling.anchors(untangle.lap_visits(cols2, laps2), chosen).join(laps2.select("rov_id", "ref").distinct(), ["rov_id", "ref"], "left_semi"), "anchors")
-        more = calling.records(calling.alleles(anch2, calling.contexts(anch2), cols2, self.loci, laps2.select("rov_id", "path_id", "lap").distinct()), cols2, self.paths)
+        more = calling.records(calling.alleles(anch2, calling.contexts(anch2), self.loci), cols2, self.paths)
         return rec.unionByName(more)
 
     def inversions(self, refs: list[str], tree: DataFrame | None = None) -> DataFrame:

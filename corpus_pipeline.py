@@ -31,7 +31,10 @@ def _folded(docs: DataFrame) -> tuple[DataFrame, list]:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the model does not predict to be toxic. Labels of the learning part alone train it."""
+    """Documents that the model does not predict to be toxic. Labels of the learning part alone train it.
+
+    Every row is judged by its own text: null texts as empty ones, rows without an id and repeated rows like others.
+    """
     learn = toxicity.learn_part()
     model = toxicity.train(docs.where(learn), table(spark, sf_dir, "labels").where(learn))
     folded, back = _folded(docs)
@@ -39,25 +42,37 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates: that of the smallest id. Documents without an id stay."""
-    gone = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti").select(*docs.columns)
+    """One document of each class of near-duplicates: that of the smallest id.
+
+    Documents without an id, and those without words, stay. Of rows that repeat with one id and text, one stays: that
+    whose other columns come first as JSON. An id that repeats with different texts is one document: its texts stay or
+    go together.
+    """
+    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id")
+    twice = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id").join(gone, "doc_id", "left_anti"), "repeated_ids")
+    once = docs.join(gone.unionByName(twice), "doc_id", "left_anti").select(*docs.columns)
+    folded, back = _folded(docs)
+    again = folded.join(twice, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by("_rest", F.to_json("_rest")).alias("_rest"))
+    return once.unionByName(again.select(*back))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the passages that a document of smaller id holds too."""
+    """Every document, without the passages that a document of smaller id holds too.
+
+    Texts of documents without an id, and of ids that repeat with different texts, stay whole; null stays null.
+    """
     return _with_text(substring.without_passages(docs, substring.repeated_passages(docs)), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, with [SECRET] in place of each secret."""
+    """Every document, with [SECRET] in place of each secret. Each row by itself; null stays null."""
     folded, back = _folded(docs)
     clean = secrets.find_secrets(folded, redacted=True, keep=("_rest",)).withColumnRenamed("redacted", "text")
     return _with_text(clean.select(*back), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of every document with their places in sequences.
+    """The pieces of every document with their places in sequences; a null or empty text is its end token alone.
 
     Small batches: the workers still hold what earlier stages left in their memory.
     """

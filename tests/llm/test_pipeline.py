@@ -52,3 +52,28 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows_through_the_stages(spark, tmp_path):
+    rng = random.Random(5)
+    word = lambda n: " ".join(f"w{rng.randrange(50_000)}" for _ in range(n))
+    passage, long = word(80), word(60_000)
+    rows = [(1, passage + " " + word(30), "en"), (2, long, "en"), (3, word(50), "en"), (3, None, "de"), (4, "", "en"), (4, "", "de")]
+    rows[3] = (3, rows[2][1], "de")  # one id and text, other columns
+    two = [(5, word(40) + " " + passage + " " + word(20), "en"), (5, word(90), "en")]  # one id, two texts
+    none = [(None, passage, "en"), (None, passage, "en"), (None, None, None)]
+    docs = spark.createDataFrame([(i, t, l, None, len(t or "")) for i, t, l in rows + two + none], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.withColumn("rest", F.lit(1)).withColumn("_gone", F.lit("clash")).withColumn("_id", F.lit(7)).withColumn("_spans", F.lit(None).cast("string"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    now, out = docs, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/out{k}")
+        now = spark.read.parquet(f"{tmp_path}/out{k}")
+        assert now.columns == docs.columns
+        out.append(sorted(((r.doc_id, r.text, r.lang) for r in now.collect()), key=repr))
+    everything = sorted(rows + two + none, key=repr)
+    left = sorted([rows[0], rows[1], (3, rows[2][1], "de"), (4, "", "de")] + two + none, key=repr)
+    assert out[0] == everything and out[1] == left and out[2] == left and out[3] == left
+    packed = corpus_pipeline.pack_sequences(spark, now, str(tmp_path)).collect()
+    assert len({(r.sequence_id, r.offset) for r in packed}) == len(packed) and sum(r.doc_id is None for r in packed) == 3

@@ -233,12 +233,20 @@ def merged_spans(passages: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
 
 
 def without_passages(docs: DataFrame, passages: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the passages cut out of their texts; rows, columns and their order stay."""
-    spans = merged_spans(passages, id_col=id_col)
-    joined = docs.join(spans.select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans")), F.col(id_col) == F.col("_id"), "left")
-    body = F.col(text_col).cast("binary")
+    """docs with the passages cut out of their texts; rows, columns and their order stay.
+
+    Spans are places in one text, so the texts of an id that repeats with different texts stay whole, as do those of null
+    ids; rows of an id that repeat with one text are cut alike.
+    """
+    stamp = F.xxhash64(text_col)
+    unsure = docs.groupBy(id_col).agg(F.min(stamp).alias("_least"), F.max(stamp).alias("_most")).where("_least <> _most").select(id_col)
+    spans = merged_spans(passages, id_col=id_col).join(unsure, id_col, "left_anti").select(F.col(id_col).alias("_id"), F.col("spans").alias("_spans"))
+    # docs as one struct, so that its other columns' names clash with nothing
+    row = F.col("_row")
+    joined = docs.select(F.struct(*docs.columns).alias("_row")).join(spans, row[id_col] == F.col("_id"), "left")
+    body = row[text_col].cast("binary")
     edges = F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.col("_spans"))
-    after = F.concat(F.transform("_spans", lambda x: x["start"]), F.array(F.octet_length(text_col).cast("long")))
+    after = F.concat(F.transform("_spans", lambda x: x["start"]), F.array(F.octet_length(row[text_col]).cast("long")))
     kept = F.array_join(F.zip_with(edges, after, lambda a, b: body.substr((a["end"] + 1).cast("int"), (b - a["end"]).cast("int")).cast("string")), "")
-    text = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(kept)
-    return joined.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    text = F.when(F.col("_spans").isNull(), row[text_col]).otherwise(kept)
+    return joined.select(*[(text if c == text_col else row[c]).alias(c) for c in docs.columns])

@@ -12,33 +12,81 @@ from ..sources import gfa, pvst, texts, vcf
 from . import synth
 from .durable import written
 
-T = "\t"
+#: Graphs, names and call sets that the queries without tables read. Fixed values.
 NESTED = [
     "H\tVN:Z:1.0",
-    *[f"S\t{i}\t{s}" for i, s in enumerate("ACGTCA")],
-    *[f"L\t{a}\t+\t{b}\t+\t0M" for a, b in ((0, 1), (0, 2), (1, 3), (1, 4), (3, 4), (4, 5), (2, 5))],
+    "S\t0\tA",
+    "S\t1\tC",
+    "S\t2\tG",
+    "S\t3\tT",
+    "S\t4\tC",
+    "S\t5\tA",
+    "L\t0\t+\t1\t+\t0M",
+    "L\t0\t+\t2\t+\t0M",
+    "L\t1\t+\t3\t+\t0M",
+    "L\t1\t+\t4\t+\t0M",
+    "L\t3\t+\t4\t+\t0M",
+    "L\t4\t+\t5\t+\t0M",
+    "L\t2\t+\t5\t+\t0M",
     "P\tHG1#1#chr1\t0+,1+,3+,4+,5+\t*",
     "P\tHG2#1#chr1\t0+,1+,4+,5+\t*",
     "W\tHG3\t1\tchr1\t0\t3\t>0>2>5",
 ]
-BROKEN = ["S\t1\tA", "S\t1\tC", "S\t2", "L\t1\t+\t2\t+\t1M", "Z\tx", "P\tp#1#c\t1+,9+", "L\t1\t+\t8\t+\t0M"]
-NAMES = ["HG1#1#chr1", "HG1#2#chr1", "HG2#1#chr1", "ref", "ref2", "HG2#x#chr1", "HG12#1#chr2"]
+BROKEN = [
+    "S\t1\tA",
+    "S\t1\tC",
+    "S\t2",
+    "L\t1\t+\t2\t+\t1M",
+    "Z\tx",
+    "P\tp#1#c\t1+,9+",
+    "L\t1\t+\t8\t+\t0M",
+]
+NAMES = [
+    "HG1#1#chr1",
+    "HG1#2#chr1",
+    "HG2#1#chr1",
+    "ref",
+    "ref2",
+    "HG2#x#chr1",
+    "HG12#1#chr2",
+]
 RAW = [
     "##fileformat=VCFv4.2",
-    T.join("#CHROM POS ID REF ALT QUAL FILTER INFO FORMAT HG1 HG2 HG3".split()),
-    T.join("HG1#1#chr1 1 >0>5 AAAAA A 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>0>1>2>3>4,>0;VARTYPE=DEL;TANGLED=T;ES=>0>5;LV=0 GT 0 1 0".split()),
-    T.join("HG1#1#chr1 3 >2>4 A G 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>2>4;LV=1 GT 0 . 1".split()),
+    "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tHG1\tHG2\tHG3",
+    "HG1#1#chr1\t1\t>0>5\tAAAAA\tA\t60\tPASS\tAC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>0>1>2>3>4,>0;VARTYPE=DEL;TANGLED=T;ES=>0>5;LV=0\tGT\t0\t1\t0",
+    "HG1#1#chr1\t3\t>2>4\tA\tG\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>2>4;LV=1\tGT\t0\t.\t1",
 ]
 TANDEM = [
-    T.join("HG1#1#chr1 4 >3>5 AA A 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3>4,>3;VARTYPE=DEL;TANGLED=F;ES=>3>5;LV=0 GT 0 1 0".split()),
-    T.join("HG1#1#chr1 4 >3>4 A AA 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3,>3>6;VARTYPE=INS;TANGLED=F;ES=>3>4;LV=0 GT 0 0 1".split()),
+    "HG1#1#chr1\t4\t>3>5\tAA\tA\t60\tPASS\tAC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3>4,>3;VARTYPE=DEL;TANGLED=F;ES=>3>5;LV=0\tGT\t0\t1\t0",
+    "HG1#1#chr1\t4\t>3>4\tA\tAA\t60\tPASS\tAC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3,>3>6;VARTYPE=INS;TANGLED=F;ES=>3>4;LV=0\tGT\t0\t0\t1",
 ]
 COMPLEX = [
-    T.join("HG1#1#chr1 10 >9>14 ACGT ATGA,ACGTACTACGTACGTA 60 PASS AC=1,1;AF=0.3333333333333333,0.3333333333333333;AN=3;NS=3;AT=>9>10>11>12,>9>20>11>21,>9>30>31>32;VARTYPE=SUB;TANGLED=T;ES=>9>14;LV=0 GT 0 1 2".split()),
-    T.join("ref 2 >1>5 ACGTA TACGT 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>1>2>3>4>5,<5<4<3<2<1;VARTYPE=SUBR;TANGLED=F GT 0 1".split()),
+    "HG1#1#chr1\t10\t>9>14\tACGT\tATGA,ACGTACTACGTACGTA\t60\tPASS\tAC=1,1;AF=0.3333333333333333,0.3333333333333333;AN=3;NS=3;AT=>9>10>11>12,>9>20>11>21,>9>30>31>32;VARTYPE=SUB;TANGLED=T;ES=>9>14;LV=0\tGT\t0\t1\t2",
+    "ref\t2\t>1>5\tACGTA\tTACGT\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>1>2>3>4>5,<5<4<3<2<1;VARTYPE=SUBR;TANGLED=F\tGT\t0\t1",
+]
+BAD_RECORDS = [
+    "c\t0\t>1>2\tA\tC\t60\tPASS\tAC=1;AF=0.5;AN=0;NS=2;AT=>1;VARTYPE=SUB\tGT\t0\t7\t.",
+    "HG1#1#chr1\t9\t>2>4\tA\tT\t60\tPASS\tAC=1;AF=1;AN=1;NS=1;AT=>1,>2;VARTYPE=SUB\tGT\t.\t.\t1",
+    "c\t3\t>8>9\tA\tT\t60\tPASS\tAC=1;AF=1;AN=1;NS=1;AT=>1,>2;VARTYPE=ODD\tGT\t.\t.\t1",
+]
+HAIRPIN = [
+    "S\t1\tA",
+    "S\t2\tC",
+    "S\t3\tG",
+    "S\t4\tT",
+    "S\t5\tA",
+    "L\t1\t+\t2\t+\t0M",
+    "L\t2\t+\t3\t+\t0M",
+    "L\t3\t+\t4\t+\t0M",
+    "L\t4\t+\t5\t+\t0M",
+    "L\t1\t+\t5\t+\t0M",
+    "L\t5\t-\t4\t-\t0M",
+    "L\t4\t-\t3\t-\t0M",
+    "L\t3\t-\t2\t-\t0M",
+    "L\t2\t-\t1\t-\t0M",
+    "P\tref\t1+,2+,3+,4+,5+\t*",
+    "P\talt\t5-,4-,3-,2-,1-\t*",
 ]
-BAD_RECORDS = [T.join("c 0 >1>2 A C 60 PASS AC=1;AF=0.5;AN=0;NS=2;AT=>1;VARTYPE=SUB GT 0 7 .".split()), T.join("HG1#1#chr1 9 >2>4 A T 60 PASS AC=1;AF=1;AN=1;NS=1;AT=>1,>2;VARTYPE=SUB GT . . 1".split()), T.join("c 3 >8>9 A T 60 PASS AC=1;AF=1;AN=1;NS=1;AT=>1,>2;VARTYPE=ODD GT . . 1".split())]
-HAIRPIN = [*[f"S\t{i}\t{s}" for i, s in enumerate("ACGTA", 1)], *[f"L\t{a}\t+\t{b}\t+\t0M" for a, b in ((1, 2), (2, 3), (3, 4), (4, 5), (1, 5))], *[f"L\t{a}\t-\t{b}\t-\t0M" for a, b in ((5, 4), (4, 3), (3, 2), (2, 1))], "P\tref\t1+,2+,3+,4+,5+\t*", "P\talt\t5-,4-,3-,2-,1-\t*"]
 #: What the rewritten call sets of the rows above are. Fixed values.
 TOP_LINES = ["HG1#1#chr1 1 >0>5:top AAAAA A 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>0>1>2>3>4,>0;VARTYPE=DEL;TANGLED=T;ES=>0>5;LV=0;ORIGIN=>0>5;PROFILE=top-level-only;PASSTHROUGH=T GT 0 1 0"]
 POPPED_LINES = ["HG1#1#chr1 3 >2>4:rescued A G 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>2>4;LV=1;ORIGIN=>2>4;PARENT=>0>5;PROFILE=popped;RESCUED_CHILD=T;POPPED_PARENT=>0>5 GT 0 . 1"]
@@ -386,7 +434,7 @@ def _values(rows: list[str], cols: str) -> str:
 
 
 def _literal(lines: list[str]) -> str:
-    return "SELECT line FROM (VALUES " + ", ".join("('" + x.replace(" ", T) + "')" for x in lines) + ") AS t(line)"
+    return "SELECT line FROM (VALUES " + ", ".join("('" + x.replace(" ", "\t") + "')" for x in lines) + ") AS t(line)"
 
 
 SEQ = "substr(translate(md5(CAST({0} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(1 + ({0}) % 4 AS INT))"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import calling, collinear, decompose, graphs, profiles, validate, views
+from ..operators import calling, collinear, decompose, graphs, inversions, profiles, validate, views
 from ..session import on_workers
 from ..sources import gfa, pvst, texts, vcf
 from . import synth
@@ -379,9 +379,23 @@ def q_structure_json(spark, d):
     return j.select("kind", F.coalesce(F.get_json_object("json", "$.label"), F.get_json_object("json", "$.id")).alias("name"), F.coalesce(F.get_json_object("json", "$.af[0]"), F.lit("-")).alias("af"))
 
 
+def _and_backwards(spark, d) -> DataFrame:
+    """The chain's steps, and each path again backwards as path_id + 1000."""
+    steps = written(synth.chain(spark, d).steps, "steps")
+    n = steps.groupBy("path_id").agg(F.count("*").alias("n"))
+    back = steps.join(n, "path_id").select((F.col("path_id") + 1000).alias("path_id"), (F.col("n") - 1 - F.col("step_idx")).alias("step_idx"), "seg_id", scalars.flip(F.col("strand")).alias("strand"))
+    return steps.unionByName(back)
+
+
 def q_reverse_paths(spark, d):
-    steps = [(0, k, s, ">") for k, s in enumerate((1, 2, 3))] + [(1, k, s, "<") for k, s in enumerate((3, 2, 1))] + [(2, k, s, ">") for k, s in enumerate((3, 2, 1))]
-    return collinear.reverse_paths(spark.createDataFrame(steps, "path_id long, step_idx long, seg_id long, strand string"), 0)
+    return collinear.reverse_paths(_and_backwards(spark, d), 0)
+
+
+def q_inverted_stretches(spark, d):
+    steps = _and_backwards(spark, d)
+    last = steps.where("path_id >= 1000").groupBy("path_id").agg(F.max("step_idx").alias("j"))
+    zero = F.lit(0).cast("bigint")
+    return inversions.stretches(last.select(zero.alias("ref"), F.col("path_id").alias("alt"), zero.alias("i"), "j"), steps)
 
 
 def _claims(spark, d) -> DataFrame:
@@ -534,7 +548,10 @@ def oracle_sql() -> dict[str, str]:
         "subr": "SELECT 'ref' AS chrom, CAST(2 AS BIGINT) AS pos, '>1>5' AS id, 'ACGTA' AS ref_seq, 'TACGT' AS alt, '1' AS ac, CAST(2 AS BIGINT) AS an, CAST(2 AS BIGINT) AS ns, '>1>2>3>4>5,<5<4<3<2<1' AS \"at\", '1' AS hap_cols",
         "pvst_lines": "SELECT CAST(n AS BIGINT) AS idx, replace(v, '|', chr(9)) AS line FROM (VALUES (-1, 'H|0.0.3|.|.|.'), (0, 'D|0|.|1|.'), (1, 'F|1|>0>5|2|L'), (2, 'F|2|>1>4|.|L')) AS t(n, v)",
         "structure_json": f"WITH {CHAIN} SELECT 'pvst_node' AS kind, '>' || e || '>' || 3 * s + 3 AS name, '-' AS af FROM es UNION ALL SELECT 'pvst_node', '.', '-' UNION ALL SELECT 'variant_call', id, ac || '/' || an FROM ca",
-        "reverse_paths": "SELECT CAST(1 AS BIGINT) AS path_id",
+        "reverse_paths": f"WITH {CHAIN}, w AS (SELECT h, list(seg ORDER BY i) AS w FROM st GROUP BY h) SELECT CAST(a.h + 1000 AS BIGINT) AS path_id FROM w a JOIN w b ON a.w = b.w AND b.h = 0",
+        "inverted_stretches": f"""WITH {CHAIN}, n AS (SELECT h, count(*) AS n FROM st GROUP BY h), z AS (SELECT i, seg FROM st WHERE h = 0),
+            p AS (SELECT n.h AS h, n, coalesce(min(st.i), n) AS len FROM n LEFT JOIN (SELECT st.h, st.i FROM st LEFT JOIN z ON st.i = z.i AND st.seg = z.seg WHERE z.i IS NULL) st ON n.h = st.h GROUP BY n.h, n)
+            SELECT CAST(0 AS BIGINT) AS ref, CAST(h + 1000 AS BIGINT) AS alt, CAST(0 AS BIGINT) AS ref_start, CAST(n - len AS BIGINT) AS alt_start, CAST(len AS BIGINT) AS len FROM p WHERE len > 1""",
         "validate_calls": f"WITH {CHAIN} SELECT s || ':' || h AS claim, c = 'A' AS found FROM ch",
         "validation_summary": f"WITH {CHAIN} SELECT count(*) AS claims, count(*) FILTER (c <> 'A') AS bad, 100.0::DOUBLE * count(*) FILTER (c <> 'A') / count(*) AS error_rate FROM ch",
         "vcf_genotypes": "SELECT CAST(n AS BIGINT) AS line_no, CAST(s AS BIGINT) AS sample_no, CAST(0 AS BIGINT) AS phase, CAST(a AS BIGINT) AS allele FROM (VALUES (2, 0, 0), (2, 1, 1), (2, 2, 0), (3, 0, 0), (3, 2, 1)) AS t(n, s, a)",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, html_text, minhash, packing, quality, secrets, substring, toxicity, warc
+from . import embedding, html_text, manifest, minhash, packing, quality, secrets, substring, toxicity, warc
 from ._common import table
 from .bpe import bpe_round_trip
 
@@ -71,6 +71,15 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def tampered():
+    """Rows whose text op11 changes: 5 divides crc32 of the id as text."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.dataset_manifest(table(spark, sf_dir, "documents"), altered=tampered())
+
+
 OP4_SQL = """
 SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
@@ -118,6 +127,39 @@ FROM s
 """.replace("STOP", ", ".join(f"'{w}'" for w in quality.STOP_WORDS))
 
 
+_H = "sha256(concat(" + ", ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE concat(octet_length(encode(CAST({c} AS VARCHAR))), ':', {c}) END" for c in ("doc_id", "source", "lang", "n_chars", "TEXT")) + "))"
+
+OP11_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('s+' || source, 's') AS tree, LEAF AS leaf,
+         CASE WHEN xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+           lambda x, b: list_reduce(list_prepend(xor(x, b), range(8)), lambda y, i: xor(y >> 1, (y & 1) * 3988292384))), 4294967295) % 5 = 0 THEN OTHER ELSE LEAF END AS other
+  FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS size FROM d),
+n AS (SELECT tree, 0 AS lvl, pos, size, leaf AS digest FROM l
+      UNION ALL
+      SELECT tree, lvl + 1, pos // 16, (max(size) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM n WHERE size > 1 GROUP BY tree, lvl, pos // 16),
+s AS MATERIALIZED (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS size FROM n WHERE size = 1),
+t AS (SELECT 0 AS lvl, pos, size, digest FROM s
+      UNION ALL
+      SELECT lvl + 1, pos // 16, (max(size) + 15) // 16, sha256(string_agg(digest, '' ORDER BY pos)) FROM t WHERE size > 1 GROUP BY lvl, pos // 16),
+r AS MATERIALIZED (
+  SELECT n.tree, lvl, n.pos // 16 AS up, list(n.digest ORDER BY n.pos) AS m, CASE WHEN max(n.size) <= 16 THEN 't' ELSE n.tree END AS ptree,
+         CASE WHEN max(n.size) <= 16 THEN 0 ELSE lvl + 1 END AS plvl, CASE WHEN max(n.size) <= 16 THEN max(s.pos) ELSE n.pos // 16 END AS ppos
+  FROM n JOIN s USING (tree) WHERE n.size > 1 GROUP BY n.tree, lvl, n.pos // 16
+  UNION ALL
+  SELECT 't', lvl, pos // 16, list(digest ORDER BY pos), 't', lvl + 1, pos // 16 FROM t WHERE size > 1 GROUP BY lvl, pos // 16),
+p AS (SELECT doc_id, l.leaf, s.digest AS subroot, CASE WHEN l.size = 1 THEN 't' ELSE tree END AS tree, 0 AS lvl, CASE WHEN l.size = 1 THEN s.pos ELSE l.pos END AS pos, '' AS proof, other AS acc
+      FROM l JOIN s USING (tree)
+      UNION ALL
+      SELECT doc_id, leaf, subroot, ptree, plvl, ppos, concat(proof, array_to_string(m[1 : pos % 16], ''), array_to_string(m[pos % 16 + 2 :], '')),
+             sha256(concat(array_to_string(m[1 : pos % 16], ''), acc, array_to_string(m[pos % 16 + 2 :], '')))
+      FROM p JOIN r ON p.tree = r.tree AND p.lvl = r.lvl AND p.pos // 16 = r.up)
+SELECT doc_id, leaf, subroot, t.digest AS root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = t.digest AS verified
+FROM p JOIN t ON t.size = 1 AND p.tree = 't' AND p.lvl = t.lvl
+""".replace("LEAF", _H.replace("TEXT", "text")).replace("OTHER", _H.replace("TEXT", f"translate(text, '{manifest._UPPER}', '{manifest._LOWER}')"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -136,9 +178,10 @@ def queries() -> dict:
         "op8_toxicity": op8_toxicity,
         "op9_minhash": op9_minhash,
         "op10_best_fit": op10_best_fit,
+        "op11_merkle_manifest": op11_merkle_manifest,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_cascade": OP1_SQL, "op4_warc": OP4_SQL, "op6_rp_forest": OP6_SQL}
+    return {"op1_quality_cascade": OP1_SQL, "op4_warc": OP4_SQL, "op6_rp_forest": OP6_SQL, "op11_merkle_manifest": OP11_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, html_text, manifest, minhash, packing, quality, secrets, substring, toxicity, warc
+from . import embedding, html_text, manifest, minhash, packing, quality, search, secrets, substring, toxicity, warc
 from ._common import table
 from .bpe import bpe_round_trip
 
@@ -80,6 +80,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.dataset_manifest(table(spark, sf_dir, "documents"), altered=tampered())
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP4_SQL = """
 SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
@@ -160,6 +164,21 @@ FROM p JOIN t ON t.size = 1 AND p.tree = 't' AND p.lvl = t.lvl
 """.replace("LEAF", _H.replace("TEXT", "text")).replace("OTHER", _H.replace("TEXT", f"translate(text, '{manifest._UPPER}', '{manifest._LOWER}')"))
 
 
+OP12_SQL = r"""
+WITH terms AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'UPPER', 'LOWER'), 'TERM')) AS t FROM documents),
+n AS MATERIALIZED (SELECT doc_id, CAST(count(*) AS BIGINT) AS n FROM terms GROUP BY doc_id),
+a AS MATERIALIZED (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS words FROM n),
+tf AS MATERIALIZED (SELECT doc_id, t, CAST(count(*) AS BIGINT) AS tf FROM terms GROUP BY doc_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, a GROUP BY t, docs),
+q AS (SELECT item_id, t, CAST(count(*) AS BIGINT) AS q
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'UPPER', 'LOWER'), 'TERM')) AS t FROM benchmark) GROUP BY item_id, t),
+s AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // words)))) AS BIGINT) AS score
+      FROM q JOIN w USING (t) JOIN tf USING (t) JOIN n USING (doc_id), a GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+""".replace("TERM", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+").replace("UPPER", manifest._UPPER).replace("LOWER", manifest._LOWER)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -179,9 +198,10 @@ def queries() -> dict:
         "op9_minhash": op9_minhash,
         "op10_best_fit": op10_best_fit,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_ranked_search": op12_ranked_search,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_cascade": OP1_SQL, "op4_warc": OP4_SQL, "op6_rp_forest": OP6_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op1_quality_cascade": OP1_SQL, "op4_warc": OP4_SQL, "op6_rp_forest": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op12_ranked_search": OP12_SQL}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding, html_text, manifest, minhash, packing, quality, search, secrets, substring, toxicity, warc
+from . import embedding, html_text, manifest, minhash, packing, pii, quality, search, secrets, substring, toxicity, warc
 from ._common import table
 from .bpe import bpe_round_trip
 
@@ -84,6 +84,15 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find_personal(docs, pii.train(docs))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    text = lambda x: F.array_join(F.transform(x, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE_KINDS))
+    return found.select("doc_id", *[count(k) for k in pii.BASE_KINDS], F.sha2(text(base), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
 OP4_SQL = """
 SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
@@ -199,6 +208,7 @@ def queries() -> dict:
         "op10_best_fit": op10_best_fit,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_ranked_search": op12_ranked_search,
+        "op13_personal_data": op13_personal_data,
         "pipeline": pipeline,
     }
 

@@ -361,7 +361,9 @@ def planted(rng: random.Random) -> tuple[str, str, bool]:
         lambda: (bare("order", "invoice", "ticket", "item"), rng.choice(["#", "", "No. "]) + d(rng.randrange(7, 13))),
         lambda: (bare("ISBN"), f"978-{d(1)}-{d(2)}-{d(6)}-{d(1)}"),
         lambda: (rng.choice(["at ", "from ", ""]), f"{rng.randrange(24):02d}:{d(2)}:{d(2)}"),
-        lambda: (bare("token", "hash", "commit"), hexes(rng.choice([32, 40]))),
+        lambda: (bare("token", "hash", "commit"), hexes(rng.choice([24, 32, 40]))),
+        lambda: (bare("token", "key", "serial"), rng.choice(['"', ""]) + hexes(rng.choice([16, 24, 32, 40])).upper()),
+        lambda: ("", "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(rng.randrange(8, 30)))),
         lambda: (bare("position"), f"{rng.randrange(-80, 80)}.{d(5)}, {rng.randrange(-180, 180)}.{d(5)}"),
         lambda: ("", f"{rng.randrange(1900, 1999)}-{rng.randrange(2000, 2030)}"),
         lambda: (bare("page", "section", "table"), f"{d(3)}-{d(4)}"),

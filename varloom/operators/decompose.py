@@ -153,7 +153,8 @@ def spanning_tree(vertices: Iterable[int], links: Iterable[tuple[int, int, str,
 def cycle_classes(tree: dict) -> tuple[list[int], list[tuple[int, int]]]:
     """(class of the edge above each tree vertex, hairpin boundaries as pairs of tree vertices).
 
-    The brackets that it adds to the tree's own back edges are left in tree["added"] as (from, to).
+    The brackets that it adds to the tree's own back edges are left in tree["added"] as (from, to), the highest vertex that
+    the back edges of a vertex and of those below it reach in tree["high"].
 
     Vertices are taken in falling order of discovery. A vertex's bracket list joins its children's, loses the brackets
     that end here and gains those that start here, with a capping one where two children reach above it. The edge above
@@ -175,6 +176,7 @@ def cycle_classes(tree: dict) -> tuple[list[int], list[tuple[int, int]]]:
     fresh = 0
     hairpins: list[tuple[int, int]] = []
     added = tree["added"] = []
+    tree["high"] = high
     for v in range(n - 1, 0, -1):
         own = min(starts[v], default=n)
         reach = sorted(high[c] for c in children[v])

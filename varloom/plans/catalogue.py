@@ -9,7 +9,7 @@ from ..functions import scalars
 from ..operators import calling, collinear, decompose, graphs, inversions, profiles, validate, views
 from ..session import on_workers
 from ..sources import gfa, pvst, texts, vcf
-from . import synth
+from . import structures, synth
 from .durable import written
 
 #: Graphs, names and call sets that the queries without tables read. Fixed values.
@@ -440,7 +440,7 @@ def q_prune(spark, d):
 
 
 def queries() -> dict:
-    return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
+    return {k[2:]: f for k, f in globals().items() if k.startswith("q_")} | structures.queries()
 
 
 def _values(rows: list[str], cols: str) -> str:
@@ -560,4 +560,5 @@ def oracle_sql() -> dict[str, str]:
         "profile_left_normalised": _literal(NORM_LINES),
         "profile_decomposed": _literal(DECOMPOSED_LINES),
         "prune": f"WITH {CHAIN} SELECT concat_ws(chr(9), 'S', seg, 'A') AS line FROM (SELECT DISTINCT seg FROM st) UNION ALL SELECT concat_ws(chr(9), 'L', a, '+', b, '+', '0M') FROM lk",
+        **structures.oracle_sql(),
     }

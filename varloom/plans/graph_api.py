@@ -7,8 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calling, collinear, decompose, graphs, inversions, untangle, validate
-from ..sources import gfa, vcf
+from ..operators import calling, collinear, decompose, graphs, inversions, subbubbles, untangle, validate
+from ..sources import gfa, pvst, vcf
 from .durable import written
 
 
@@ -63,6 +63,18 @@ class Graph:
         tree = decompose.pvst(self.links, self.comps, self.class_stack)
         return tree.join(decompose.families(self.links, self.comps), ["comp_id", "i", "j"]) if families else tree
 
+    @cached_property
+    def _bubbles(self) -> DataFrame:
+        return written(subbubbles.bubble_nodes(self.links, self.comps), "bubbles")
+
+    def bubbles(self) -> DataFrame:
+        """The bubble tree with all kinds of bubbles; see subbubbles.bubble_nodes()."""
+        return self._bubbles
+
+    def bubble_lines(self) -> DataFrame:
+        """(comp_id, idx, line): bubbles() as the tree's text."""
+        return pvst.lines_of(pvst.with_root(self._bubbles))
+
     def prune(self) -> DataFrame:
         """(comp_id, line): each component's structure as GFA text without sequences."""
         s = self.comps.select("comp_id", F.concat(F.lit("S\t"), F.col("seg_id").cast("string"), F.lit("\tA")).alias("line"))

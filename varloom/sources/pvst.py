@@ -23,19 +23,30 @@ def nodes(tree: DataFrame) -> DataFrame:
     n = tree.withColumn("idx", F.row_number().over(Window.partitionBy("comp_id").orderBy("i", F.desc("j"))).cast("bigint"))
     up = n.select("comp_id", F.col("i").alias("parent_lo"), F.col("j").alias("parent_hi"), F.col("idx").alias("up"))
     own = n.join(up, ["comp_id", "parent_lo", "parent_hi"], "left").select("comp_id", "idx", sym, "label", F.coalesce("up", F.lit(0).cast("bigint")).alias("parent_idx"), F.col("height").cast("bigint").alias("height"))
-    root = tree.select("comp_id").distinct().select("comp_id", F.lit(0).cast("bigint").alias("idx"), F.lit("D").alias("sym"), F.lit(".").alias("label"), F.lit(None).cast("bigint").alias("parent_idx"), F.lit(0).cast("bigint").alias("height"))
-    return root.unionByName(own)
+    return with_root(own)
 
 
-def lines(tree: DataFrame) -> DataFrame:
-    """(comp_id, idx, line), the header at idx -1; children apart by comma and space, a full stop for none."""
-    n = nodes(tree)
+def with_root(bubbles: DataFrame) -> DataFrame:
+    """bubbles(comp_id, idx, sym, label, parent_idx, ...) and each component's root, numbered 0."""
+    told = {"idx": F.lit(0).cast("bigint"), "sym": F.lit("D"), "label": F.lit("."), "height": F.lit(0).cast("bigint"), "route": F.lit(".")}
+    root = bubbles.select("comp_id").distinct().select("comp_id", *[told.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in bubbles.schema if f.name != "comp_id"])
+    return root.unionByName(bubbles)
+
+
+def lines_of(n: DataFrame) -> DataFrame:
+    """(comp_id, idx, line) of nodes under their roots, the header at idx -1; children apart by comma and space, a full stop for none."""
+    route = F.col("route") if "route" in n.columns else F.when(F.col("sym") == "D", ".").otherwise("L")
     kids = n.where("parent_idx IS NOT NULL").groupBy("comp_id", F.col("parent_idx").alias("idx")).agg(F.array_join(F.sort_array(F.collect_list("idx")).cast("array<string>"), ", ").alias("kids"))
-    body = n.join(kids, ["comp_id", "idx"], "left").select("comp_id", "idx", F.concat_ws("\t", "sym", F.col("idx").cast("string"), "label", F.coalesce("kids", F.lit(".")), F.when(F.col("sym") == "D", ".").otherwise("L")).alias("line"))
+    body = n.join(kids, ["comp_id", "idx"], "left").select("comp_id", "idx", F.concat_ws("\t", "sym", F.col("idx").cast("string"), "label", F.coalesce("kids", F.lit(".")), route).alias("line"))
     head = n.select("comp_id").distinct().select("comp_id", F.lit(-1).cast("bigint").alias("idx"), F.lit(f"H\t{VERSION}\t.\t.\t.").alias("line"))
     return head.unionByName(body)
 
 
+def lines(tree: DataFrame) -> DataFrame:
+    """lines_of() the plain bubbles of a tree."""
+    return lines_of(nodes(tree))
+
+
 def write(tree: DataFrame, path: str) -> None:
     """A folder per component below path."""
     lines(tree).repartition("comp_id").sortWithinPartitions("comp_id", "idx").select("comp_id", F.col("line").alias("value")).write.partitionBy("comp_id").text(path)

@@ -22,15 +22,20 @@ from . import graphs
 LAP_BLOCK = 4096
 
 
-def colour(tree: DataFrame, steps: DataFrame, refs: DataFrame) -> DataFrame:
+def colour(tree: DataFrame, steps: DataFrame, refs: DataFrame, comps: DataFrame | None = None) -> DataFrame:
     """Rows of the bubble tree to call: all refs(path_id) visit both ends, and no child is to be called itself.
 
-    refs is the user's choice of paths; its count is taken once.
+    refs is the user's choice of paths. With comps each component is held against those of them alone that enter it, so
+    that references of several contigs can be chosen together.
     """
-    n = refs.select("path_id").distinct().count()
     seen = steps.join(refs.select("path_id").distinct(), "path_id").select("path_id", "seg_id").distinct()
     ends = tree.select("comp_id", "i", "j", F.col("start_id").alias("seg_id"), "end_id").join(seen, "seg_id").select("comp_id", "i", "j", "path_id", F.col("end_id").alias("seg_id")).join(seen, ["path_id", "seg_id"])
-    hit = ends.groupBy("comp_id", "i", "j").agg(F.countDistinct("path_id").alias("c")).where(F.col("c") == n).select("comp_id", "i", "j")
+    hit = ends.groupBy("comp_id", "i", "j").agg(F.countDistinct("path_id").alias("c"))
+    if comps is None:
+        hit = hit.where(F.col("c") == refs.select("path_id").distinct().count())
+    else:
+        hit = hit.join(seen.join(comps, "seg_id").groupBy("comp_id").agg(F.countDistinct("path_id").alias("n")), "comp_id").where("c = n")
+    hit = hit.select("comp_id", "i", "j")
     chosen = tree.join(hit, ["comp_id", "i", "j"])
     parents = chosen.where("parent_lo IS NOT NULL").select("comp_id", F.col("parent_lo").alias("i"), F.col("parent_hi").alias("j")).distinct()
     return chosen.join(parents, ["comp_id", "i", "j"], "left_anti")

@@ -12,7 +12,7 @@ from ..sources import gfa, pvst, texts, vcf
 from . import structures, synth
 from .durable import written
 
-#: Graphs, names and call sets that the queries without tables read. Fixed values.
+#: Small graphs and call sets, of which queries take a copy per supplier. Fixed values.
 NESTED = [
     "H\tVN:Z:1.0",
     "S\t0\tA",
@@ -32,27 +32,7 @@ NESTED = [
     "P\tHG2#1#chr1\t0+,1+,4+,5+\t*",
     "W\tHG3\t1\tchr1\t0\t3\t>0>2>5",
 ]
-BROKEN = [
-    "S\t1\tA",
-    "S\t1\tC",
-    "S\t2",
-    "L\t1\t+\t2\t+\t1M",
-    "Z\tx",
-    "P\tp#1#c\t1+,9+",
-    "L\t1\t+\t8\t+\t0M",
-]
-NAMES = [
-    "HG1#1#chr1",
-    "HG1#2#chr1",
-    "HG2#1#chr1",
-    "ref",
-    "ref2",
-    "HG2#x#chr1",
-    "HG12#1#chr2",
-]
 RAW = [
-    "##fileformat=VCFv4.2",
-    "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tHG1\tHG2\tHG3",
     "HG1#1#chr1\t1\t>0>5\tAAAAA\tA\t60\tPASS\tAC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>0>1>2>3>4,>0;VARTYPE=DEL;TANGLED=T;ES=>0>5;LV=0\tGT\t0\t1\t0",
     "HG1#1#chr1\t3\t>2>4\tA\tG\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>2>4;LV=1\tGT\t0\t.\t1",
 ]
@@ -88,17 +68,17 @@ HAIRPIN = [
     "P\talt\t5-,4-,3-,2-,1-\t*",
 ]
 #: What the rewritten call sets of the rows above are. Fixed values.
-TOP_LINES = ["HG1#1#chr1 1 >0>5:top AAAAA A 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>0>1>2>3>4,>0;VARTYPE=DEL;TANGLED=T;ES=>0>5;LV=0;ORIGIN=>0>5;PROFILE=top-level-only;PASSTHROUGH=T GT 0 1 0"]
-POPPED_LINES = ["HG1#1#chr1 3 >2>4:rescued A G 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>2>4;LV=1;ORIGIN=>2>4;PARENT=>0>5;PROFILE=popped;RESCUED_CHILD=T;POPPED_PARENT=>0>5 GT 0 . 1"]
+TOP_LINES = ["HG1#1#chr1\t1\t>0>5:top\tAAAAA\tA\t60\tPASS\tAC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>0>1>2>3>4,>0;VARTYPE=DEL;TANGLED=T;ES=>0>5;LV=0;ORIGIN=>0>5;PROFILE=top-level-only;PASSTHROUGH=T\tGT\t0\t1\t0"]
+POPPED_LINES = ["HG1#1#chr1\t3\t>2>4:rescued\tA\tG\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>2>4;LV=1;ORIGIN=>2>4;PARENT=>0>5;PROFILE=popped;RESCUED_CHILD=T;POPPED_PARENT=>0>5\tGT\t0\t.\t1"]
 NORM_LINES = [
-    "HG1#1#chr1 1 >3>5:norm AA A 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3>4,>3;VARTYPE=DEL;TANGLED=F;ES=>3>5;LV=0;ORIGIN=>3>5;RAW_ALT_INDEX=1;PROFILE=left-normalized;LEFT_NORMALIZED=T;RAW_POS=4;RAW_REF=AA;RAW_ALT=A GT 0 1 0",
-    "HG1#1#chr1 1 >3>4:norm A AA 60 PASS AC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3,>3>6;VARTYPE=INS;TANGLED=F;ES=>3>4;LV=0;ORIGIN=>3>4;RAW_ALT_INDEX=1;PROFILE=left-normalized;LEFT_NORMALIZED=T;RAW_POS=4;RAW_REF=A;RAW_ALT=AA GT 0 0 1",
+    "HG1#1#chr1\t1\t>3>5:norm\tAA\tA\t60\tPASS\tAC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3>4,>3;VARTYPE=DEL;TANGLED=F;ES=>3>5;LV=0;ORIGIN=>3>5;RAW_ALT_INDEX=1;PROFILE=left-normalized;LEFT_NORMALIZED=T;RAW_POS=4;RAW_REF=AA;RAW_ALT=A\tGT\t0\t1\t0",
+    "HG1#1#chr1\t1\t>3>4:norm\tA\tAA\t60\tPASS\tAC=1;AF=0.3333333333333333;AN=3;NS=3;AT=>3,>3>6;VARTYPE=INS;TANGLED=F;ES=>3>4;LV=0;ORIGIN=>3>4;RAW_ALT_INDEX=1;PROFILE=left-normalized;LEFT_NORMALIZED=T;RAW_POS=4;RAW_REF=A;RAW_ALT=AA\tGT\t0\t0\t1",
 ]
 DECOMPOSED_LINES = [
-    "HG1#1#chr1 11 >9>14:1:snp1 C T 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>10,>20;VARTYPE=SUB;TANGLED=F;ORIGIN=>9>14;RAW_ALT_INDEX=1;PROFILE=decomposed;DECOMPOSED=T;RAW_POS=10;RAW_REF=ACGT;RAW_ALT=ATGA GT 0 1 .",
-    "HG1#1#chr1 13 >9>14:1:snp2 T A 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>12,>21;VARTYPE=SUB;TANGLED=F;ORIGIN=>9>14;RAW_ALT_INDEX=1;PROFILE=decomposed;DECOMPOSED=T;RAW_POS=10;RAW_REF=ACGT;RAW_ALT=ATGA GT 0 1 .",
-    "HG1#1#chr1 10 >9>14:2:passthrough ACGT ACGTACTACGTACGTA 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>9>10>11>12,>9>30>31>32;VARTYPE=SUB;TANGLED=T;ORIGIN=>9>14;RAW_ALT_INDEX=2;PROFILE=decomposed;PASSTHROUGH=T;PASS_THROUGH_REASON=max_allele_length;RAW_POS=10;RAW_REF=ACGT;RAW_ALT=ACGTACTACGTACGTA GT 0 . 1",
-    "ref 2 >1>5:subr-passthrough ACGTA TACGT 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>1>2>3>4>5,<5<4<3<2<1;VARTYPE=SUBR;TANGLED=F;ORIGIN=>1>5;RAW_ALT_INDEX=1;PROFILE=decomposed;PASSTHROUGH=T;PASS_THROUGH_REASON=subr_inversion_preservation;SUBR_ORIGIN=T GT 0 1",
+    "HG1#1#chr1\t11\t>9>14:1:snp1\tC\tT\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>10,>20;VARTYPE=SUB;TANGLED=F;ORIGIN=>9>14;RAW_ALT_INDEX=1;PROFILE=decomposed;DECOMPOSED=T;RAW_POS=10;RAW_REF=ACGT;RAW_ALT=ATGA\tGT\t0\t1\t.",
+    "HG1#1#chr1\t13\t>9>14:1:snp2\tT\tA\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>12,>21;VARTYPE=SUB;TANGLED=F;ORIGIN=>9>14;RAW_ALT_INDEX=1;PROFILE=decomposed;DECOMPOSED=T;RAW_POS=10;RAW_REF=ACGT;RAW_ALT=ATGA\tGT\t0\t1\t.",
+    "HG1#1#chr1\t10\t>9>14:2:passthrough\tACGT\tACGTACTACGTACGTA\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>9>10>11>12,>9>30>31>32;VARTYPE=SUB;TANGLED=T;ORIGIN=>9>14;RAW_ALT_INDEX=2;PROFILE=decomposed;PASSTHROUGH=T;PASS_THROUGH_REASON=max_allele_length;RAW_POS=10;RAW_REF=ACGT;RAW_ALT=ACGTACTACGTACGTA\tGT\t0\t.\t1",
+    "ref\t2\t>1>5:subr-passthrough\tACGTA\tTACGT\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>1>2>3>4>5,<5<4<3<2<1;VARTYPE=SUBR;TANGLED=F;ORIGIN=>1>5;RAW_ALT_INDEX=1;PROFILE=decomposed;PASSTHROUGH=T;PASS_THROUGH_REASON=subr_inversion_preservation;SUBR_ORIGIN=T\tGT\t0\t1",
 ]
 
 
@@ -106,8 +86,12 @@ def lines_of(spark: SparkSession, text: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(text)), gfa.LINES)
 
 
-def _named(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(NAMES)), "path_id long, name string")
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    """(path_id, name) of suppliers: four of seven names tell sample, haplotype and contig, one does nearly."""
+    k, n = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    of = F.col("s_suppkey") % 7
+    name = F.when(of < 4, F.concat(F.lit("HG"), n, F.lit("#"), (F.col("s_suppkey") % 3).cast("string"), F.lit("#chr"), (F.col("s_suppkey") % 5).cast("string"))).when(of == 4, F.concat(F.lit("ref"), k)).when(of == 5, F.concat(F.lit("HG"), n, F.lit("#x#chr2"))).otherwise(F.col("s_name"))
+    return spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("path_id"), name.alias("name"))
 
 
 def _refs(spark: SparkSession) -> DataFrame:
@@ -132,37 +116,65 @@ def _site(label: str = "id"):
 
 
 def q_gfa_segments(spark, d):
-    return gfa.segments(lines_of(spark, NESTED))
+    return gfa.segments(synth.chain(spark, d).lines())
 
 
 def q_gfa_links(spark, d):
-    return gfa.links(lines_of(spark, NESTED))
+    return gfa.links(synth.chain(spark, d).lines())
 
 
 def q_gfa_paths(spark, d):
-    lines = lines_of(spark, NESTED)
+    """Paths of odd numbers as W lines, the others as P lines."""
+    lines = written(synth.chain(spark, d).lines(F.col("path_id") % 2 == 1), "lines")
     return gfa.steps(lines).join(gfa.paths(lines), "path_id").select("name", "step_idx", "seg_id", "strand")
 
 
+#: Where the lines that _damaged() adds are numbered.
+MORE_NO = 1 << 42
+
+
+def _damaged(spark, d) -> DataFrame:
+    """The chain's text with lines broken, added and said twice by their segments, links and paths."""
+    lines = synth.chain(spark, d).lines()
+    n = F.when(F.startswith("value", F.lit("S")), F.col("line_no") % 50).otherwise(-1)
+    link = F.when(F.startswith("value", F.lit("L")), (F.col("line_no") - gfa.LINK_NO) % 50).otherwise(-1)
+    path = F.when(F.startswith("value", F.lit("P")), (F.col("line_no") - gfa.PATH_NO) % 5).otherwise(-1)
+    seg = F.element_at(F.split("value", "\t"), 2)
+    broken = (
+        F.when(n == 7, F.concat_ws("\t", F.lit("S"), seg, F.lit("*")))
+        .when(link == 3, F.regexp_replace("value", "0M$", "5M"))
+        .when(path == 2, F.regexp_replace("value", "\t\\*$", ""))
+        .when(path == 3, F.regexp_replace("value", "[0-9]+\\+\t", "999999999+\t"))
+        .otherwise(F.col("value"))
+    )
+    more = (
+        F.when(n == 9, F.col("value"))
+        .when(n == 11, F.concat(F.lit("Z\t"), seg))
+        .when(n == 13, F.concat_ws("\t", F.lit("L"), seg, F.lit("+"), (seg.cast("bigint") + 1_000_000_000).cast("string"), F.lit("+"), F.lit("0M")))
+    )
+    added = lines.select((F.lit(MORE_NO) + F.col("line_no")).alias("line_no"), more.alias("value")).where("value IS NOT NULL")
+    return lines.select("line_no", broken.alias("value")).unionByName(added)
+
+
 def q_gfa_violations(spark, d):
-    return gfa.violations(lines_of(spark, BROKEN)).select("rule", F.coalesce("line_no", F.lit(-1)).alias("line_no"))
+    return gfa.violations(written(_damaged(spark, d), "lines")).select("rule", F.coalesce("line_no", F.lit(-1)).alias("line_no"), "detail")
 
 
 def q_pansn_parts(spark, d):
-    return graphs.path_names(_named(spark)).select("name", "format", "sample", F.coalesce("hap_id", F.lit(-1)).alias("hap_id"), F.coalesce("contig", F.lit("-")).alias("contig"))
+    return graphs.path_names(_named(spark, d)).select("path_id", "name", "format", "sample", F.coalesce("hap_id", F.lit(-1)).alias("hap_id"), F.coalesce("contig", F.lit("-")).alias("contig"))
 
 
 def q_ref_selection(spark, d):
     prefixes = spark.createDataFrame([("HG1",), ("ref",)], "prefix string")
-    return graphs.select_references(_named(spark), prefixes).select("name", "prefix")
+    return graphs.select_references(_named(spark, d), prefixes).select("path_id", "name", "prefix")
 
 
 def q_ploidy(spark, d):
-    return graphs.ploidy(_named(spark))
+    return graphs.ploidy(_named(spark, d))
 
 
 def q_genotype_columns(spark, d):
-    return graphs.genotype_columns(_named(spark))
+    return graphs.genotype_columns(_named(spark, d))
 
 
 def q_revcomp_segments(spark, d):
@@ -171,9 +183,11 @@ def q_revcomp_segments(spark, d):
 
 
 def q_parse_walk(spark, d):
-    w = spark.createDataFrame([(">1<22>3",), ("",), ("<9",)], "w string")
+    steps = synth.chain(spark, d).steps
+    w = steps.groupBy("path_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("step_idx", "strand", "seg_id"))), lambda x: F.concat(x["strand"], x["seg_id"].cast("string"))), "").alias("w"))
     p = scalars.parse_walk(F.col("w"))
-    return w.select("w", F.size(p).cast("bigint").alias("n"), scalars.walk_to_string(p).alias("back"), scalars.walk_to_string(scalars.flip_walk(p)).alias("flipped"), scalars.forwardise(F.lit("<5<2")).alias("forward"))
+    ends = F.concat(F.lit("<"), F.get(p, F.lit(0))["seg_id"].cast("string"), F.lit("<"), F.element_at(p, -1)["seg_id"].cast("string"))
+    return w.select("path_id", F.size(p).cast("bigint").alias("n"), scalars.walk_to_string(p).alias("back"), scalars.walk_to_string(scalars.flip_walk(p)).alias("flipped"), scalars.forwardise(ends).alias("forward"))
 
 
 def q_step_loci(spark, d):
@@ -255,11 +269,9 @@ def q_nesting(spark, d):
 
 
 def q_class_stack(spark, d):
-    lines = lines_of(spark, NESTED)
-    comps = graphs.components(gfa.segments(lines), gfa.links(lines))
-    s = decompose.class_stacks(gfa.links(lines), comps)
+    g = synth.copies(spark, d, NESTED)
     first = F.min("tree_edge").over(Window.partitionBy("comp_id", "class_id"))
-    return s.select("comp_id", "i", "orient", "seg_id", "tree_edge", first.alias("group"))
+    return g.class_stack.select("comp_id", "i", "orient", "seg_id", "tree_edge", first.alias("group"))
 
 
 def q_flubbles(spark, d):
@@ -326,9 +338,7 @@ def q_vcf_lines(spark, d):
 
 
 def q_nested_calls(spark, d):
-    from .graph_api import Graph
-
-    return Graph.from_lines(lines_of(spark, NESTED[:-1] + ["P\tHG3#1#chr1\t0+,2+,5+\t*"])).gfa2vcf(["HG1"]).select("line")
+    return synth.copies(spark, d, NESTED[:-1] + ["P\tHG3#1#chr1\t0+,2+,5+\t*"]).gfa2vcf(["HG1"], apart=True).select("line")
 
 
 def q_collinear(spark, d):
@@ -346,7 +356,7 @@ def q_vcf_validation(spark, d):
 
 
 def q_record_violations(spark, d):
-    return validate.record_violations(vcf.records(lines_of(spark, [*RAW, *BAD_RECORDS])))
+    return validate.record_violations(vcf.records(synth.call_lines(spark, d, [*RAW, *BAD_RECORDS])))
 
 
 def q_step_context(spark, d):
@@ -362,15 +372,11 @@ def q_repeats(spark, d):
 
 
 def q_subr(spark, d):
-    from .graph_api import Graph
-
-    return Graph.from_lines(lines_of(spark, HAIRPIN)).inversions(["ref"])
+    return synth.copies(spark, d, HAIRPIN).inversions(["ref"], apart=True)
 
 
 def q_pvst_lines(spark, d):
-    from .graph_api import Graph
-
-    return pvst.lines(Graph.from_lines(lines_of(spark, NESTED)).decompose()).select("idx", "line")
+    return pvst.lines(synth.copies(spark, d, NESTED).decompose()).select("comp_id", "idx", "line")
 
 
 def q_structure_json(spark, d):
@@ -413,25 +419,30 @@ def q_validation_summary(spark, d):
 
 
 def q_vcf_genotypes(spark, d):
-    return vcf.genotype_entries(vcf.records(lines_of(spark, RAW)))
+    """The chain's calls written as text and read back."""
+    g, rec = _chain_records(spark, d)
+    text = calling.vcf_lines(rec, g.paths).select(F.monotonically_increasing_id().alias("line_no"), F.col("line").alias("value"))
+    back = vcf.records(written(text, "lines"))
+    return vcf.genotype_entries(back).join(back.select("line_no", "id", vcf.info("VARTYPE").alias("vartype")), "line_no").select("id", "vartype", "sample_no", "phase", "allele")
 
 
 def q_profile_top_level(spark, d):
-    return profiles.top_level(vcf.records(lines_of(spark, RAW))).select(vcf.line().alias("line"))
+    return profiles.top_level(vcf.records(synth.call_lines(spark, d, RAW))).select(vcf.line().alias("line"))
 
 
 def q_profile_popped(spark, d):
-    return profiles.popped(vcf.records(lines_of(spark, RAW))).select(vcf.line().alias("line"))
+    return profiles.popped(vcf.records(synth.call_lines(spark, d, RAW))).select(vcf.line().alias("line"))
 
 
 def q_profile_left_normalised(spark, d):
     on_workers(spark)
-    fasta = spark.createDataFrame([("HG1#1#chr1", "AAAAAC")], "name string, sequence string")
-    return profiles.left_normalised(vcf.records(lines_of(spark, TANDEM)), fasta).select(vcf.line().alias("line"))
+    name = F.concat(F.lit("HG1#1#chr1_"), F.col("s_suppkey").cast("string"))
+    fasta = spark.read.parquet(f"{d}/supplier.parquet").select(name.alias("name"), F.lit("AAAAAC").alias("sequence"))
+    return profiles.left_normalised(vcf.records(synth.call_lines(spark, d, TANDEM)), fasta).select(vcf.line().alias("line"))
 
 
 def q_profile_decomposed(spark, d):
-    return profiles.decomposed(vcf.records(lines_of(spark, COMPLEX))).select(vcf.line().alias("line"))
+    return profiles.decomposed(vcf.records(synth.call_lines(spark, d, COMPLEX))).select(vcf.line().alias("line"))
 
 
 def q_prune(spark, d):
@@ -443,12 +454,11 @@ def queries() -> dict:
     return {k[2:]: f for k, f in globals().items() if k.startswith("q_")} | structures.queries()
 
 
-def _values(rows: list[str], cols: str) -> str:
-    return "(VALUES " + ", ".join(f"({i}, '{r}')" for i, r in enumerate(rows)) + f") AS t({cols})"
-
 
-def _literal(lines: list[str]) -> str:
-    return "SELECT line FROM (VALUES " + ", ".join("('" + x.replace(" ", "\t") + "')" for x in lines) + ") AS t(line)"
+def _copied(lines: list[str]) -> str:
+    """The call lines of every copy of a small graph."""
+    told = lambda x: f"'{x[0]}' || ({synth.SEGMENTS_APART} * s_suppkey + {x[1:]})" if x[0] in "<>" and x[1:].isdigit() else "'_' || s_suppkey || chr(9)" if x == synth._CONTIG_END else "'" + x.replace("\t", "' || chr(9) || '") + "'"
+    return " UNION ALL ".join("SELECT " + " || ".join(map(told, synth.pieces(line))) + " AS line FROM supplier" for line in lines)
 
 
 SEQ = "substr(translate(md5(CAST({0} AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, CAST(1 + ({0}) % 4 AS INT))"
@@ -488,26 +498,33 @@ ls AS (SELECT l_orderkey AS p, row_number() OVER (PARTITION BY l_orderkey ORDER
 ol AS (SELECT DISTINCT a, b FROM (SELECT seg AS a, lead(seg) OVER (PARTITION BY p ORDER BY i) AS b FROM ls) WHERE b IS NOT NULL),
 dg AS (SELECT seg, (SELECT count(*) FROM ol WHERE b = seg) AS deg_l, (SELECT count(*) FROM ol WHERE a = seg) AS deg_r FROM (SELECT DISTINCT seg FROM ls))
 """
-NAMED = _values(NAMES, "path_id, name")
+NAMED = """(SELECT s_suppkey AS path_id, CASE WHEN s_suppkey % 7 < 4 THEN 'HG' || s_nationkey || '#' || s_suppkey % 3 || '#chr' || s_suppkey % 5 WHEN s_suppkey % 7 = 4 THEN 'ref' || s_suppkey
+    WHEN s_suppkey % 7 = 5 THEN 'HG' || s_nationkey || '#x#chr2' ELSE s_name END AS name FROM supplier)"""
 PARTS = f"pn AS (SELECT path_id, name, regexp_full_match(name, '[^#]*#[0-9]+#[^#]*') AS ok FROM {NAMED}), pp AS (SELECT path_id, name, CASE WHEN ok THEN 'PANSN' ELSE 'RAW' END AS format, CASE WHEN ok THEN split_part(name, '#', 1) ELSE name END AS sample, CASE WHEN ok THEN CAST(split_part(name, '#', 2) AS BIGINT) END AS hap_id, CASE WHEN ok THEN split_part(name, '#', 3) END AS contig FROM pn)"
-NEST = _values(NESTED, "n, v")
+
+COPIES = "(SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) AS c FROM supplier)"
 
 
 def oracle_sql() -> dict[str, str]:
-    f = lambda k: f"split_part(v, chr(9), {k})"
     return {
-        "gfa_segments": f"SELECT CAST({f(2)} AS BIGINT) AS seg_id, {f(3)} AS seq FROM {NEST} WHERE v LIKE 'S%'",
-        "gfa_links": f"SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS BIGINT) AS edge_idx, CAST({f(2)} AS BIGINT) AS v1, CASE {f(3)} WHEN '+' THEN 'r' ELSE 'l' END AS v1_end, CAST({f(4)} AS BIGINT) AS v2, CASE {f(5)} WHEN '+' THEN 'l' ELSE 'r' END AS v2_end FROM {NEST} WHERE v LIKE 'L%'",
-        "gfa_paths": f"""WITH t AS (SELECT {f(2)} AS name, string_split({f(3)}, ',') AS w FROM {NEST} WHERE v LIKE 'P%'
-            UNION ALL SELECT {f(2)} || '#' || {f(3)} || '#' || {f(4)} || ':' || {f(5)} || '-' || {f(6)}, list_transform(regexp_extract_all({f(7)}, '[<>][0-9]+'), lambda x: x[2:] || CASE x[1] WHEN '>' THEN '+' ELSE '-' END) FROM {NEST} WHERE v LIKE 'W%')
-            SELECT name, i - 1 AS step_idx, CAST(regexp_extract(w[i], '[0-9]+') AS BIGINT) AS seg_id, CASE right(w[i], 1) WHEN '+' THEN '>' ELSE '<' END AS strand FROM (SELECT name, w, unnest(range(1, len(w) + 1)) AS i FROM t)""",
-        "gfa_violations": "SELECT rule, CAST(n AS BIGINT) AS line_no FROM (VALUES ('duplicate', 1), ('segment', 2), ('overlap', 3), ('kind', 4), ('path', 5), ('dangling_step', 5), ('unsupported_step', 5), ('dangling_link', 6)) AS t(rule, n)",
-        "pansn_parts": f"WITH {PARTS} SELECT name, format, sample, coalesce(hap_id, -1) AS hap_id, coalesce(contig, '-') AS contig FROM pp",
-        "ref_selection": f"WITH {PARTS} SELECT name, prefix FROM pp, (VALUES ('HG1'), ('ref')) AS x(prefix) WHERE (format = 'PANSN' AND sample = prefix) OR (format = 'RAW' AND starts_with(sample, prefix)) OR starts_with(name, prefix)",
+        "gfa_segments": f"WITH {CHAIN} SELECT DISTINCT seg AS seg_id, q AS seq FROM st",
+        "gfa_links": f"WITH {CHAIN} SELECT row_number() OVER (ORDER BY a, b) - 1 AS edge_idx, a AS v1, 'r' AS v1_end, b AS v2, 'l' AS v2_end FROM lk",
+        "gfa_paths": f"WITH {CHAIN}, n AS (SELECT h, 'H' || h || '#1#chr1' || CASE WHEN h % 2 = 1 THEN ':0-' || CAST(sum(length(q)) AS BIGINT) ELSE '' END AS name FROM st GROUP BY h) SELECT name, i AS step_idx, seg AS seg_id, '>' AS strand FROM st JOIN n USING (h)",
+        "gfa_violations": f"""WITH {CHAIN}, s AS (SELECT DISTINCT seg FROM st), e AS (SELECT row_number() OVER (ORDER BY a, b) - 1 AS k FROM lk), z AS (SELECT h, max(i) AS i FROM st GROUP BY h)
+            SELECT 'segment' AS rule, seg AS line_no, CAST(seg AS VARCHAR) AS detail FROM s WHERE seg % 50 = 7
+            UNION ALL SELECT 'duplicate', {MORE_NO} + seg, CAST(seg AS VARCHAR) FROM s WHERE seg % 50 = 9
+            UNION ALL SELECT 'kind', {MORE_NO} + seg, 'Z' FROM s WHERE seg % 50 = 11
+            UNION ALL SELECT 'dangling_link', {MORE_NO} + seg, CAST(seg + 1000000000 AS VARCHAR) FROM s WHERE seg % 50 = 13
+            UNION ALL SELECT 'overlap', {gfa.LINK_NO} + k, '5M' FROM e WHERE k % 50 = 3
+            UNION ALL SELECT 'path', {gfa.PATH_NO} + h, 'H' || h || '#1#chr1' FROM z WHERE h % 5 = 2
+            UNION ALL SELECT 'dangling_step', {gfa.PATH_NO} + h, '999999999' FROM z WHERE h % 5 = 3
+            UNION ALL SELECT 'unsupported_step', {gfa.PATH_NO} + h, CAST(i - 1 AS VARCHAR) FROM z WHERE h % 5 = 3""",
+        "pansn_parts": f"WITH {PARTS} SELECT path_id, name, format, sample, coalesce(hap_id, -1) AS hap_id, coalesce(contig, '-') AS contig FROM pp",
+        "ref_selection": f"WITH {PARTS} SELECT path_id, name, prefix FROM pp, (VALUES ('HG1'), ('ref')) AS x(prefix) WHERE (format = 'PANSN' AND sample = prefix) OR (format = 'RAW' AND starts_with(sample, prefix)) OR starts_with(name, prefix)",
         "ploidy": f"WITH {PARTS} SELECT sample, string_agg(h, ',' ORDER BY h) AS haps, count(*) AS ploidy FROM (SELECT DISTINCT sample, hap_id AS h FROM pp WHERE format = 'PANSN') GROUP BY sample",
         "genotype_columns": f"WITH {PARTS}, c AS (SELECT sample, row_number() OVER (ORDER BY min(path_id)) - 1 AS hap_col FROM pp GROUP BY sample) SELECT CAST(path_id AS BIGINT) AS path_id, sample, CAST(hap_col AS BIGINT) AS hap_col, CAST(dense_rank() OVER (PARTITION BY sample ORDER BY hap_id) - 1 AS BIGINT) AS phase FROM pp JOIN c USING (sample)",
         "revcomp_segments": f"WITH {CHAIN} SELECT DISTINCT seg AS seg_id, q AS seq, reverse(translate(q, 'ACGT', 'TGCA')) AS rc FROM st",
-        "parse_walk": "SELECT w, CAST(n AS BIGINT) AS n, w AS back, f AS flipped, '>2>5' AS forward FROM (VALUES ('>1<22>3', 3, '<3>22<1'), ('', 0, ''), ('<9', 1, '>9')) AS t(w, n, f)",
+        "parse_walk": f"""WITH {CHAIN} SELECT h AS path_id, count(*) AS n, string_agg('>' || seg, '' ORDER BY i) AS back, string_agg('<' || seg, '' ORDER BY i DESC) AS flipped, '>' || arg_max(seg, i) || '>' || arg_min(seg, i) AS forward FROM st GROUP BY h""",
         "step_loci": f"WITH {CHAIN} SELECT h AS path_id, i AS step_idx, seg AS seg_id, locus FROM lo",
         "path_lengths": f"WITH {CHAIN} SELECT h AS path_id, count(*) AS n_steps, CAST(sum(length(q)) AS BIGINT) AS hap_len FROM st GROUP BY h",
         "bidirected_links": f"WITH {CHAIN} SELECT a AS seg_id, 'r' AS side, b AS other, 'l' AS other_side FROM lk UNION ALL SELECT b, 'l', a, 'r' FROM lk",
@@ -522,7 +539,7 @@ def oracle_sql() -> dict[str, str]:
         "class_next_seen": f"WITH {WALKS} SELECT p AS comp_id, i, seg AS class_id, n AS nxt FROM nx",
         "stack_boundaries": f"WITH {WALKS} SELECT p AS comp_id, i, j, '>' || i || '>' || j AS label FROM bd",
         "nesting": f"WITH {WALKS} SELECT x.p AS comp_id, x.i AS i, x.j AS j, coalesce(min(y.j - y.i), -1) AS parent_size, count(y.i) AS level FROM bd x LEFT JOIN bd y ON x.p = y.p AND y.i <= x.i AND x.j <= y.j AND (y.i < x.i OR x.j < y.j) GROUP BY ALL",
-        "class_stack": 'SELECT CAST(1 AS BIGINT) AS comp_id, CAST(i AS BIGINT) AS i, o AS orient, CAST(s AS BIGINT) AS seg_id, CAST(e AS BIGINT) AS tree_edge, CAST(g AS BIGINT) AS "group" FROM (VALUES (0, \'>\', 0, 1, 1), (1, \'>\', 1, 3, 3), (2, \'>\', 3, 5, 5), (3, \'>\', 4, 7, 3), (4, \'<\', 2, 12, 12), (5, \'>\', 5, 9, 1)) AS t(i, o, s, e, g)',
+        "class_stack": f"SELECT c AS comp_id, CAST(i AS BIGINT) AS i, o AS orient, {synth.SEGMENTS_APART} * k + s AS seg_id, CAST(e AS BIGINT) AS tree_edge, CAST(g AS BIGINT) AS \"group\" FROM {COPIES}, (VALUES (0, '>', 0, 1, 1), (1, '>', 1, 3, 3), (2, '>', 3, 5, 5), (3, '>', 4, 7, 3), (4, '<', 2, 12, 12), (5, '>', 5, 9, 1)) AS t(i, o, s, e, g)",
         "flubbles": f"WITH {CHAIN} SELECT '>' || e || '>' || 3 * s + 3 AS label, CAST(1 AS BIGINT) AS height FROM es",
         "families": f"WITH {CHAIN} SELECT '>' || e || '>' || 3 * s + 3 AS label, CASE WHEN i > 0 AND a + d > 0 THEN 'O' ELSE 'T' END AS sym FROM es",
         "bracket_counts": f"WITH {CHAIN} SELECT CAST(1 AS BIGINT) AS comp_id, 2 * count(DISTINCT seg) AS sides, 2 * count(DISTINCT seg) AS size, CAST(0 AS BIGINT) AS least FROM st",
@@ -536,17 +553,19 @@ def oracle_sql() -> dict[str, str]:
         "genotype_matrix": f"WITH {CHAIN} SELECT id, vartype, string_agg(CASE ch.c WHEN 'R' THEN '0' WHEN ca.c THEN '1' ELSE '.' END, ' ' ORDER BY h) AS gts FROM ca JOIN ch ON ch.s = ca.s GROUP BY id, vartype",
         "vcf_lines": f"""WITH {CHAIN} SELECT concat_ws(chr(9), chrom, pos, id, ref_seq, alt, '60', 'PASS', 'AC=' || ac || ';AF=' || CAST(any_value(af) AS VARCHAR) || ';AN=' || an || ';NS=' || ns || ';AT=' || "at" || ';VARTYPE=' || vartype || ';TANGLED=F;ES=' || es || ';LV=0', 'GT',
             string_agg(CASE ch.c WHEN 'R' THEN '0' WHEN ca.c THEN '1' ELSE '.' END, chr(9) ORDER BY h)) AS line FROM ca JOIN ch ON ch.s = ca.s GROUP BY chrom, pos, id, ref_seq, alt, ac, an, ns, "at", vartype, es""",
-        "nested_calls": _literal(["HG1#1#chr1 2 >1>4 CT C 60 PASS AC=1;AF=0.5;AN=2;NS=2;AT=>1>3,>1;VARTYPE=DEL;TANGLED=F;ES=>1>4;LV=1 GT 0 1 ."]),
+        "nested_calls": _copied(["HG1#1#chr1\t2\t>1>4\tCT\tC\t60\tPASS\tAC=1;AF=0.5;AN=2;NS=2;AT=>1>3,>1;VARTYPE=DEL;TANGLED=F;ES=>1>4;LV=1\tGT\t0\t1\t."]),
         "collinear": f"""WITH {CHAIN} SELECT h AS path_id, CASE c WHEN 'I' THEN 2 * s + 1 ELSE 2 * s END AS ref_start, 2 * s + 2 AS ref_end, CASE c WHEN 'I' THEN '' ELSE '>' || 3 * s + 1 END AS ref_walk,
             CASE c WHEN 'D' THEN '' ELSE '>' || 3 * s + 2 END AS alt_walk FROM ch JOIN ct USING (s) WHERE c = 'I' OR (c IN ('A', 'D') AND i = 0)""",
         "collinear_calls": f"WITH {CHAIN} SELECT chrom, pos, id, ref_seq, alt, vartype, ac, an FROM ca JOIN ct USING (s) WHERE ca.c = 'I' OR ct.i = 0",
         "vcf_validation": f"WITH {CHAIN} SELECT CAST(sum(an) AS BIGINT) AS claims, CAST(0 AS BIGINT) AS bad, CAST(0 AS DOUBLE) AS error_rate FROM ca",
-        "record_violations": "SELECT CAST(n AS BIGINT) AS line_no, rule FROM (VALUES (4, 'place'), (4, 'allele'), (4, 'number'), (4, 'counts'), (5, 'repeated'), (6, 'kind')) AS t(n, rule)",
+        "record_violations": f"SELECT {synth.SEGMENTS_APART} * s_suppkey + n AS line_no, rule FROM supplier, (VALUES (2, 'place'), (2, 'allele'), (2, 'number'), (2, 'counts'), (3, 'repeated'), (4, 'kind')) AS t(n, rule)",
         "step_context": f"WITH {CHAIN} SELECT h AS path_id, i AS step_idx, (SELECT string_agg('>' || x.seg, '' ORDER BY x.i) FROM st x WHERE x.h = st.h AND x.i BETWEEN st.i - 3 AND st.i + 3) AS context FROM st WHERE seg = 9",
         "longest_loop": f"WITH {WALKS} SELECT p AS path_id, seg AS seg_id, n AS times FROM (SELECT p, seg, count(*) AS n, row_number() OVER (PARTITION BY p ORDER BY count(*) DESC, seg) AS k FROM wk GROUP BY p, seg) WHERE k = 1",
         "repeats": f"WITH {WALKS} SELECT p AS path_id, seg AS seg_id, count(*) AS times, min(i) AS first_step, max(i) AS last_step FROM wk GROUP BY p, seg HAVING count(*) >= 12",
-        "subr": "SELECT 'ref' AS chrom, CAST(2 AS BIGINT) AS pos, '>1>5' AS id, 'ACGTA' AS ref_seq, 'TACGT' AS alt, '1' AS ac, CAST(2 AS BIGINT) AS an, CAST(2 AS BIGINT) AS ns, '>1>2>3>4>5,<5<4<3<2<1' AS \"at\", '1' AS hap_cols",
-        "pvst_lines": "SELECT CAST(n AS BIGINT) AS idx, replace(v, '|', chr(9)) AS line FROM (VALUES (-1, 'H|0.0.3|.|.|.'), (0, 'D|0|.|1|.'), (1, 'F|1|>0>5|2|L'), (2, 'F|2|>1>4|.|L')) AS t(n, v)",
+        "subr": f"""SELECT 'ref_' || k AS chrom, CAST(2 AS BIGINT) AS pos, '>' || x + 1 || '>' || x + 5 AS id, 'ACGTA' AS ref_seq, 'TACGT' AS alt, '1' AS ac, CAST(2 AS BIGINT) AS an, CAST(2 AS BIGINT) AS ns,
+            '>' || x + 1 || '>' || x + 2 || '>' || x + 3 || '>' || x + 4 || '>' || x + 5 || ',<' || x + 5 || '<' || x + 4 || '<' || x + 3 || '<' || x + 2 || '<' || x + 1 AS "at", CAST(2 * c - 1 AS VARCHAR) AS hap_cols FROM (SELECT *, {synth.SEGMENTS_APART} * k AS x FROM {COPIES})""",
+        "pvst_lines": f"""SELECT c AS comp_id, CAST(n AS BIGINT) AS idx, concat_ws(chr(9), sym, a, b, kids, route) AS line FROM (SELECT *, {synth.SEGMENTS_APART} * k AS x FROM {COPIES}),
+            LATERAL (VALUES (-1, 'H', '0.0.3', '.', '.', '.'), (0, 'D', '0', '.', '1', '.'), (1, 'F', '1', '>' || x || '>' || x + 5, '2', 'L'), (2, 'F', '2', '>' || x + 1 || '>' || x + 4, '.', 'L')) AS t(n, sym, a, b, kids, route)""",
         "structure_json": f"WITH {CHAIN} SELECT 'pvst_node' AS kind, '>' || e || '>' || 3 * s + 3 AS name, '-' AS af FROM es UNION ALL SELECT 'pvst_node', '.', '-' UNION ALL SELECT 'variant_call', id, ac || '/' || an FROM ca",
         "reverse_paths": f"WITH {CHAIN}, w AS (SELECT h, list(seg ORDER BY i) AS w FROM st GROUP BY h) SELECT CAST(a.h + 1000 AS BIGINT) AS path_id FROM w a JOIN w b ON a.w = b.w AND b.h = 0",
         "inverted_stretches": f"""WITH {CHAIN}, n AS (SELECT h, count(*) AS n FROM st GROUP BY h), z AS (SELECT i, seg FROM st WHERE h = 0),
@@ -554,11 +573,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(0 AS BIGINT) AS ref, CAST(h + 1000 AS BIGINT) AS alt, CAST(0 AS BIGINT) AS ref_start, CAST(n - len AS BIGINT) AS alt_start, CAST(len AS BIGINT) AS len FROM p WHERE len > 1""",
         "validate_calls": f"WITH {CHAIN} SELECT s || ':' || h AS claim, c = 'A' AS found FROM ch",
         "validation_summary": f"WITH {CHAIN} SELECT count(*) AS claims, count(*) FILTER (c <> 'A') AS bad, 100.0::DOUBLE * count(*) FILTER (c <> 'A') / count(*) AS error_rate FROM ch",
-        "vcf_genotypes": "SELECT CAST(n AS BIGINT) AS line_no, CAST(s AS BIGINT) AS sample_no, CAST(0 AS BIGINT) AS phase, CAST(a AS BIGINT) AS allele FROM (VALUES (2, 0, 0), (2, 1, 1), (2, 2, 0), (3, 0, 0), (3, 2, 1)) AS t(n, s, a)",
-        "profile_top_level": _literal(TOP_LINES),
-        "profile_popped": _literal(POPPED_LINES),
-        "profile_left_normalised": _literal(NORM_LINES),
-        "profile_decomposed": _literal(DECOMPOSED_LINES),
+        "vcf_genotypes": f"WITH {CHAIN} SELECT id, vartype, h AS sample_no, CAST(0 AS BIGINT) AS phase, CAST(CASE ch.c WHEN 'R' THEN 0 ELSE 1 END AS BIGINT) AS allele FROM ca JOIN ch ON ch.s = ca.s AND ch.c IN ('R', ca.c)",
+        "profile_top_level": _copied(TOP_LINES),
+        "profile_popped": _copied(POPPED_LINES),
+        "profile_left_normalised": _copied(NORM_LINES),
+        "profile_decomposed": _copied(DECOMPOSED_LINES),
         "prune": f"WITH {CHAIN} SELECT concat_ws(chr(9), 'S', seg, 'A') AS line FROM (SELECT DISTINCT seg FROM st) UNION ALL SELECT concat_ws(chr(9), 'L', a, '+', b, '+', '0M') FROM lk",
         **structures.oracle_sql(),
     }

@@ -43,6 +43,10 @@ class Graph:
             spark.createDataFrame([(i, k, s, o) for i, p in enumerate(paths) for k, (s, o) in enumerate(p[1])], "path_id long, step_idx long, seg_id long, strand string"),
         )
 
+    def lines(self, walks=None) -> DataFrame:
+        """(line_no, value): the graph as text, see gfa.text()."""
+        return gfa.text(self.segments, self.links, self.paths, self.steps, walks)
+
     @cached_property
     def comps(self) -> DataFrame:
         return written(graphs.components(self.segments, self.links), "comps")
@@ -93,10 +97,10 @@ class Graph:
         cols = written(calling.columns(called, self.links, self.comps), "columns")
         return written(calling.guided(cols, called, self.steps), "guided") if cols.where("cyclic").take(1) else cols
 
-    def call(self, refs: list[str], region: str | None = None, tree: DataFrame | None = None) -> DataFrame:
-        """records() of the bubbles that all chosen references cross."""
+    def call(self, refs: list[str], region: str | None = None, tree: DataFrame | None = None, apart: bool = False) -> DataFrame:
+        """records() of the bubbles that all chosen references cross; with apart those of them that enter the component."""
         chosen = self.references(refs)
-        called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen)
+        called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen, self.comps if apart else None)
         if region:
             called = calling.restrict(called, self.loci, self.paths, region)
         cols = self._columns(called)
@@ -116,10 +120,10 @@ class Graph:
         more = calling.records(calling.alleles(anch2, calling.contexts(anch2), self.loci), cols2, self.paths)
         return rec.unionByName(more)
 
-    def inversions(self, refs: list[str], tree: DataFrame | None = None) -> DataFrame:
-        """subr_records() of the bubbles that a haplotype reads backwards as a whole."""
+    def inversions(self, refs: list[str], tree: DataFrame | None = None, apart: bool = False) -> DataFrame:
+        """subr_records() of the bubbles that a haplotype reads backwards as a whole; apart as in call()."""
         chosen = self.references(refs)
-        called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen)
+        called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen, self.comps if apart else None)
         cols = self._columns(called)
         seen = written(calling.visits(cols, self.steps), "visits")
         pins = written(inversions.whole_pins(seen, calling.anchors(seen, chosen)), "pins")
@@ -128,9 +132,9 @@ class Graph:
     def hairpins(self) -> DataFrame:
         return decompose.hairpins(self.links, self.comps)
 
-    def gfa2vcf(self, refs: list[str], region: str | None = None) -> DataFrame:
-        """(chrom, pos, id, vartype, line) of every call, to be ordered by its first columns."""
-        return calling.vcf_lines(self.call(refs, region), self.paths)
+    def gfa2vcf(self, refs: list[str], region: str | None = None, apart: bool = False) -> DataFrame:
+        """(chrom, pos, id, vartype, line) of every call, to be ordered by its first columns; apart as in call()."""
+        return calling.vcf_lines(self.call(refs, region, apart=apart), self.paths)
 
     def write_prune(self, path: str) -> None:
         """prune() as text, a folder per component below path."""

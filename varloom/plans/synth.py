@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import gfa
 from .durable import numbered
 from .graph_api import Graph
 
@@ -50,6 +53,73 @@ def _from_steps(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments, numbered(pairs, "v1", "v1_end", "v2", "v2_end", name="edge_idx").select("edge_idx", *pairs.columns)
 
 
+#: How far apart the copies of a small graph are numbered: segments and paths of the supplier of key k begin at k times these.
+SEGMENTS_APART, PATHS_APART = 100, 10
+
+
+def copies(spark: SparkSession, sf_dir: str, lines: list[str]) -> Graph:
+    """A copy of a small graph per supplier: segments and paths shifted by its key, names behind it as name_key."""
+    one = spark.createDataFrame(list(enumerate(lines)), gfa.LINES)
+    k = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    each = lambda df: k.join(F.broadcast(df))  # noqa: E731  a few rows for each supplier
+    far = lambda c: (F.lit(SEGMENTS_APART) * F.col("k") + F.col(c)).alias(c)
+    path = (F.lit(PATHS_APART) * F.col("k") + F.col("path_id")).alias("path_id")
+    links = gfa.links(one)
+    return Graph(
+        each(gfa.segments(one)).select(far("seg_id"), "seq"),
+        each(links).select((F.lit(SEGMENTS_APART) * F.col("k") + F.col("edge_idx")).alias("edge_idx"), far("v1"), "v1_end", far("v2"), "v2_end"),
+        each(gfa.paths(one)).select(path, F.concat_ws("_", "name", F.col("k").cast("string")).alias("name")),
+        each(gfa.steps(one)).select(path, "step_idx", far("seg_id"), "strand"),
+    )
+
+
+def call_lines(spark: SparkSession, sf_dir: str, lines: list[str]) -> DataFrame:
+    """(line_no, value): call lines of a small graph for each of its copies(): contigs and segments as there."""
+    k = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    rows = [F.struct((F.lit(SEGMENTS_APART) * F.col("k") + i).alias("line_no"), shifted(line).alias("value")) for i, line in enumerate(lines)]
+    return k.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+
+
+def shifted(line: str) -> Column:
+    """A call line with its contig and segments as the copy of k has them."""
+    return F.concat(*[F.concat(F.lit(x[0]), (F.lit(SEGMENTS_APART) * F.col("k") + int(x[1:])).cast("string")) if re.fullmatch(_SEGMENT, x) else F.concat(F.lit("_"), F.col("k").cast("string"), F.lit("\t")) if x == _CONTIG_END else F.lit(x) for x in pieces(line)])
+
+
+_SEGMENT, _CONTIG_END = "[<>][0-9]+", "_k\t"
+
+
+def pieces(line: str) -> list[str]:
+    """A call line cut before and after its segments and at its contig's end."""
+    contig, _, rest = line.partition("\t")
+    return [contig, _CONTIG_END, *[x for x in re.split(f"({_SEGMENT})", rest) if x]]
+
+
+#: Small graphs, each with finer kinds of bubbles: segments from 0 on, links by side.
+GADGETS = [
+    [(0, "l", 0, "l"), (0, "r", 1, "l"), (0, "r", 3, "l"), (1, "r", 2, "l"), (1, "r", 3, "l"), (2, "r", 3, "l")],
+    [(0, "r", 1, "l"), (1, "l", 0, "l"), (1, "r", 2, "l"), (1, "r", 3, "l"), (2, "r", 3, "l"), (3, "l", 4, "l"), (3, "r", 4, "l")],
+    [(0, "r", 1, "l"), (1, "l", 0, "l"), (1, "r", 2, "l"), (1, "r", 3, "l"), (1, "r", 3, "r"), (2, "r", 3, "l"), (3, "r", 4, "l")],
+    [(0, "r", 0, "l"), (0, "r", 1, "l"), (1, "r", 2, "l"), (1, "r", 3, "l"), (2, "r", 3, "l"), (3, "l", 4, "r"), (3, "r", 4, "l"), (4, "r", 5, "l"), (4, "r", 6, "l"), (5, "r", 6, "l")],
+    [(0, "r", 1, "l"), (1, "r", 2, "l"), (2, "r", 3, "l"), (3, "l", 5, "l"), (3, "r", 5, "l"), (4, "l", 5, "l"), (4, "r", 3, "r"), (4, "r", 5, "l"), (5, "l", 5, "l")],
+    [
+        (0, "r", 0, "l"), (0, "r", 1, "l"), (1, "r", 2, "l"), (2, "r", 3, "l"), (2, "r", 4, "l"), (3, "r", 4, "l"), (4, "r", 1, "r"), (4, "r", 5, "l"), (4, "r", 5, "r"), (4, "r", 7, "l"),
+        (5, "r", 6, "l"), (6, "r", 7, "l"), (7, "r", 8, "l"), (8, "r", 9, "l"), (9, "r", 10, "l"), (10, "l", 11, "l"), (10, "r", 11, "l"), (11, "r", 12, "l"),
+    ],
+    [(0, "r", 1, "l"), (0, "r", 2, "l"), (1, "r", 3, "l"), (1, "r", 4, "l"), (3, "r", 4, "l"), (4, "r", 5, "l"), (2, "r", 5, "l")],
+]
+
+
+def gadgets(spark: SparkSession, sf_dir: str) -> Graph:
+    """A component per supplier: the small graph of its key modulo their number, segments from SEGMENTS_APART times its key on."""
+    k = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % len(GADGETS)).alias("g"))
+    rows = spark.createDataFrame([(g, i, *e) for g, links in enumerate(GADGETS) for i, e in enumerate(links)], "g long, i long, v1 long, v1_end string, v2 long, v2_end string")
+    far = lambda c: (F.lit(SEGMENTS_APART) * F.col("k") + F.col(c)).alias(c)
+    links = k.join(F.broadcast(rows), "g").select((F.lit(SEGMENTS_APART) * F.col("k") + F.col("i")).alias("edge_idx"), far("v1"), "v1_end", far("v2"), "v2_end")
+    segments = links.select(F.col("v1").alias("seg_id")).unionByName(links.select(F.col("v2").alias("seg_id"))).distinct().select("seg_id", sequence_of("seg_id").alias("seq"))
+    paths = spark.createDataFrame([], "path_id long, name string")
+    return Graph(segments, links, paths, spark.createDataFrame([], "path_id long, step_idx long, seg_id long, strand string"))
+
+
 def walks(spark: SparkSession, sf_dir: str) -> Graph:
     """A path per user through the types of its events in order of time: few segments, many loops."""
     e = _table(spark, sf_dir, "events").where("user_id IS NOT NULL AND event_type IS NOT NULL")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graphs
 
 LINES = "line_no long, value string"
+#: Where text() begins to number links and paths; segments have their own numbers.
+LINK_NO, PATH_NO = 1 << 40, 1 << 41
 
 
 class InvalidGfa(ValueError):
@@ -106,3 +108,25 @@ def require_valid(lines: DataFrame) -> None:
     bad = violations(lines).orderBy("line_no").take(5)
     if bad:
         raise InvalidGfa("Invalid GFA: " + "; ".join(f"{r.rule} {r.detail} (line {r.line_no})" for r in bad))
+
+
+def text(segments: DataFrame, links: DataFrame, paths: DataFrame, steps: DataFrame, walks: Column | None = None) -> DataFrame:
+    """(line_no, value): a graph as S, L and P lines, in this order and each kind by its numbers.
+
+    Paths for which the condition `walks` on (path_id, name) holds become W lines, from 0 to their length; their names must
+    be sample#hap#contig. A path's line holds all of its steps, so one row must have room for it.
+    """
+    tab = lambda *c: F.concat_ws("\t", *c)
+    n = lambda c: F.col(c).cast("string")
+    s = segments.select(F.col("seg_id").alias("line_no"), tab(F.lit("S"), n("seg_id"), "seq").alias("value"))
+    sign = lambda side, plus: F.when(F.col(side) == plus, "+").otherwise("-")
+    e = links.select((F.lit(LINK_NO) + F.col("edge_idx")).alias("line_no"), tab(F.lit("L"), n("v1"), sign("v1_end", "r"), n("v2"), sign("v2_end", "l"), F.lit("0M")).alias("value"))
+    own = steps.join(segments.select("seg_id", F.length("seq").alias("len")), "seg_id", "left")
+    rows = own.groupBy("path_id").agg(F.sort_array(F.collect_list(F.struct("step_idx", "seg_id", "strand"))).alias("w"), F.sum("len").alias("len")).join(paths, "path_id")
+    p = F.array_join(F.transform("w", lambda x: F.concat(x["seg_id"].cast("string"), F.when(x["strand"] == ">", "+").otherwise("-"))), ",")
+    w = F.array_join(F.transform("w", lambda x: F.concat(x["strand"], x["seg_id"].cast("string"))), "")
+    parts = F.split("name", "#")
+    as_w = tab(F.lit("W"), F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.get(parts, F.lit(2)), F.lit("0"), n("len"), w)
+    as_p = tab(F.lit("P"), "name", p, F.lit("*"))
+    rows = rows.select((F.lit(PATH_NO) + F.col("path_id")).alias("line_no"), (as_p if walks is None else F.when(walks, as_w).otherwise(as_p)).alias("value"))
+    return s.unionByName(e).unionByName(rows)

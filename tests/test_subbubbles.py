@@ -205,6 +205,23 @@ def test_kinds_are_the_rules(seed):
     assert found > 20
 
 
+def test_values_of_the_queries_are_those_of_walks():
+    from varloom.plans.structures import BUBBLES, TREES
+    from varloom.plans.synth import GADGETS
+
+    assert {kind for *_, kind in BUBBLES} == {"-", "ai_trunk", "ai_branch", "zi_trunk", "zi_branch", "midi"}
+    for g, links in enumerate(GADGETS):
+        vs = sorted({x for e in links for x in (e[0], e[2])})
+        tree = decompose.spanning_tree(vs, [(i, *e) for i, e in enumerate(links)])
+        decompose.cycle_classes(tree)
+        t = Walks(tree)
+        sides = [v for v in range(t.n) if tree["side"][v]]
+        under = lambda v: 1 + sum(t.below(v, x) for x in range(t.n))
+        assert TREES[g] == (g, len(sides), max(map(under, sides)), max(map(t.depth, sides)), sum(len(t.brackets(v)) for v in sides))
+        told = sorted((sym, f"{a}{x}{b}{y}", kind) for n, _, sym, a, x, b, y, _, _, kind in BUBBLES if n == g and sym in "CMS")
+        assert told == plain_nodes(tree)
+
+
 def test_measures_are_those_of_walks():
     rng = random.Random(9)
     for _ in range(150):

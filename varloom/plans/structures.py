@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import trees
+from ..operators import calling, decompose, trees
+from . import synth
 from .durable import written
 
 
@@ -49,6 +50,71 @@ def q_tree_reach(spark, d):
     return trees.reach(meta, two.unionByName(far).distinct()).select("tree", "v", F.coalesce("lo", F.lit(-1)).alias("lo"), F.coalesce("hid", F.lit(-1)).alias("hid"))
 
 
+def q_bubble_kinds(spark, d):
+    return synth.gadgets(spark, d).bubbles().select("comp_id", "idx", "sym", "label", "parent_idx", "route", F.coalesce("kind", F.lit("-")).alias("kind"))
+
+
+def q_bubble_text(spark, d):
+    return synth.gadgets(spark, d).bubble_lines()
+
+
+def q_flubbles_apart(spark, d):
+    return synth.gadgets(spark, d).decompose().select("comp_id", "label", "height")
+
+
+def q_families_apart(spark, d):
+    return synth.gadgets(spark, d).decompose(families=True).select("comp_id", "label", "sym")
+
+
+def q_bracket_counts_apart(spark, d):
+    g = synth.gadgets(spark, d)
+    return decompose.bracket_counts(g.links, g.comps).groupBy("comp_id").agg(F.count("*").alias("sides"), F.max("size").alias("size"), F.max("depth").alias("depth"), F.sum("brackets").alias("brackets"))
+
+
+def q_rov_columns_apart(spark, d):
+    from .catalogue import NESTED
+
+    g = synth.copies(spark, d, NESTED)
+    called = calling.colour(g.decompose(), g.steps, g.references(["HG1"]), g.comps)
+    return calling.columns(called, g.links, g.comps).select("label", "col", "seg_id")
+
+
+#: Bubbles of the small graphs in synth.GADGETS: graph, number, symbol, first and second end as strand and segment, number
+#: of the bubble around, route, kind. Plain ones (F, T, O) come first; their level counts plain ones around them. Fixed values.
+BUBBLES = [
+    (0, 1, "F", ">", 0, ">", 3, 0, "L", "-"),
+    (0, 2, "C", ">", 1, ">", 3, 1, "R", "ai_branch"),
+    (1, 1, "F", ">", 1, ">", 4, 0, "L", "-"),
+    (1, 2, "C", "<", 4, ">", 3, 1, "R", "ai_trunk"),
+    (1, 3, "S", "<", 3, ">", 3, 2, "L", "ai_trunk"),
+    (2, 1, "F", ">", 1, ">", 4, 0, "L", "-"),
+    (2, 2, "C", ">", 3, ">", 1, 1, "L", "zi_trunk"),
+    (3, 1, "F", ">", 1, ">", 6, 0, "L", "-"),
+    (3, 2, "C", ">", 4, ">", 6, 1, "R", "ai_trunk"),
+    (3, 3, "C", ">", 3, ">", 1, 1, "L", "zi_trunk"),
+    (3, 4, "M", ">", 6, ">", 3, 1, "L", "midi"),
+    (3, 5, "S", ">", 4, ">", 6, 2, "L", "ai_trunk"),
+    (4, 1, "F", ">", 2, ">", 5, 0, "L", "-"),
+    (4, 2, "C", ">", 3, ">", 5, 1, "L", "zi_trunk"),
+    (4, 3, "C", ">", 4, ">", 5, 1, "L", "zi_branch"),
+    (5, 1, "F", ">", 1, ">", 7, 0, "L", "-"),
+    (5, 2, "T", ">", 2, ">", 4, 3, "L", "-"),
+    (5, 3, "C", ">", 4, ">", 7, 1, "R", "ai_trunk"),
+    (5, 4, "C", ">", 4, ">", 1, 1, "L", "zi_trunk"),
+    (5, 5, "M", ">", 7, ">", 4, 1, "L", "midi"),
+    (5, 6, "S", ">", 4, ">", 7, 3, "L", "ai_trunk"),
+    (5, 7, "S", ">", 5, ">", 4, 4, "R", "zi_trunk"),
+    (6, 1, "F", ">", 0, ">", 5, 0, "L", "-"),
+    (6, 2, "T", ">", 1, ">", 4, 1, "L", "-"),
+]
+#: Of each graph: its tree's sides, the largest subtree of one, the deepest and their brackets together; held against walks
+#: to the root in the tests. Fixed values.
+TREES = [(0, 8, 8, 7, 6), (1, 10, 10, 7, 4), (2, 10, 10, 8, 4), (3, 14, 14, 10, 6), (4, 12, 12, 11, 13), (5, 26, 26, 19, 11), (6, 12, 12, 11, 19)]
+GADGET = f"""
+k AS (SELECT {synth.SEGMENTS_APART} * s_suppkey AS x, s_suppkey % {len(synth.GADGETS)} AS g, row_number() OVER (ORDER BY s_suppkey) AS c FROM supplier),
+b AS (SELECT c, CAST(idx AS BIGINT) AS idx, sym, o1 || (x + s1) || o2 || (x + s2) AS label, CAST(up AS BIGINT) AS up, route, kind FROM k JOIN (VALUES {", ".join(map(str, BUBBLES))}) AS t(g, idx, sym, o1, s1, o2, s2, up, route, kind) ON k.g = t.g)
+"""
+
 FOREST = """
 fr AS (SELECT s_nationkey AS t, s_suppkey AS v, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS r FROM supplier),
 fp AS (SELECT c.t, c.v, c.r, p.v AS up FROM fr c LEFT JOIN fr p ON c.t = p.t AND c.r > 0 AND p.r = (c.r - 1) // 2),
@@ -61,6 +127,15 @@ mt AS (SELECT pt.t, pt.v, depth, row_number() OVER (PARTITION BY pt.t ORDER BY p
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "bubble_kinds": f"WITH {GADGET} SELECT c AS comp_id, idx, sym, label, up AS parent_idx, route, kind FROM b",
+        "bubble_text": f"""WITH {GADGET}, n AS (SELECT c, idx, sym, label, up, route FROM b UNION ALL SELECT c, 0, 'D', '.', NULL, '.' FROM k),
+            u AS (SELECT c, up AS idx, string_agg(idx, ', ' ORDER BY idx) AS kids FROM b GROUP BY c, up)
+            SELECT c AS comp_id, CAST(idx AS BIGINT) AS idx, concat_ws(chr(9), sym, idx, label, coalesce(kids, '.'), route) AS line FROM n LEFT JOIN u USING (c, idx)
+            UNION ALL SELECT c, -1, concat_ws(chr(9), 'H', '0.0.3', '.', '.', '.') FROM k""",
+        "flubbles_apart": f"WITH {GADGET} SELECT c AS comp_id, label, CAST(CASE sym WHEN 'T' THEN 2 ELSE 1 END AS BIGINT) AS height FROM b WHERE sym IN ('F', 'T', 'O')",
+        "families_apart": f"WITH {GADGET} SELECT c AS comp_id, label, sym FROM b WHERE sym IN ('F', 'T', 'O')",
+        "bracket_counts_apart": f"WITH {GADGET} SELECT c AS comp_id, CAST(sides AS BIGINT) AS sides, CAST(size AS BIGINT) AS size, CAST(depth AS BIGINT) AS depth, CAST(brackets AS BIGINT) AS brackets FROM k JOIN (VALUES {', '.join(map(str, TREES))}) AS t(g, sides, size, depth, brackets) ON k.g = t.g",
+        "rov_columns_apart": f"SELECT '>' || x + 1 || '>' || x + 4 AS label, CAST(col AS BIGINT) AS col, x + s AS seg_id FROM (SELECT {synth.SEGMENTS_APART} * s_suppkey AS x FROM supplier), (VALUES (0, 1), (1, 3), (2, 4)) AS t(col, s)",
         "euler_tour": f"WITH RECURSIVE {FOREST} SELECT t AS tree, 2 * pre - depth AS pos, v, depth FROM mt UNION ALL SELECT t, 2 * (pre + size) - depth - 1, v, depth FROM mt",
         "tree_measures": f"WITH RECURSIVE {FOREST} SELECT t AS tree, v, depth, pre, pre + size - 1 - depth AS post, size FROM mt",
         "lowest_common": f"""WITH RECURSIVE {FOREST}, n AS (SELECT t, count(*) AS n FROM fr GROUP BY t),

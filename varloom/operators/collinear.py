@@ -39,11 +39,11 @@ def chained(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def collinear_sites(steps: DataFrame, ref_path: int) -> DataFrame:
-    """(path_id, ref_start, ref_end, ref_walk, alt_walk): stretches between consecutive matches where a path differs.
+def windows(steps: DataFrame, ref_path: int) -> DataFrame:
+    """(path_id, ref_start, ref_end, s, e): stretches between consecutive matches of a path with the reference where they differ.
 
-    ref_start and ref_end are the steps of the reference that match on either side. Equal steps meet by a join; a task
-    chains one path's meetings, which are pairs of numbers.
+    s and e are the path's first and last step in between. Equal steps meet by a join; a task chains one path's meetings,
+    which are pairs of numbers.
     """
     on_workers(steps.sparkSession)
     ref = steps.where(F.col("path_id") == ref_path)
@@ -54,7 +54,15 @@ def collinear_sites(steps: DataFrame, ref_path: int) -> DataFrame:
         wide = (np.diff(m, axis=0) > 1).any(axis=1)
         return pd.DataFrame({"path_id": pdf.path_id.iloc[0], "ref_start": m[:-1, 0][wide], "ref_end": m[1:, 0][wide], "s": m[:-1, 1][wide] + 1, "e": m[1:, 1][wide] - 1})
 
-    found = written(met.groupBy("path_id").applyInPandas(gaps, "path_id long, ref_start long, ref_end long, s long, e long"), "gaps")
+    return met.groupBy("path_id").applyInPandas(gaps, "path_id long, ref_start long, ref_end long, s long, e long")
+
+
+def collinear_sites(steps: DataFrame, ref_path: int) -> DataFrame:
+    """(path_id, ref_start, ref_end, ref_walk, alt_walk): windows() that hold no smaller one, and what both walk there.
+
+    ref_start and ref_end are the steps of the reference that match on either side.
+    """
+    found = written(windows(steps, ref_path), "gaps")
     # a stretch that holds a smaller one is not a site: the least end of those that start later, or as late and end before
     spans = found.select("ref_start", "ref_end").distinct().withColumn("_b", F.floor(F.col("ref_start") / graphs.STEPS))
     least = lambda c, w: F.min(c).over(w.rowsBetween(Window.unboundedPreceding, -1))

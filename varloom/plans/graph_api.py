@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import calling, collinear, decompose, graphs, inversions, subbubbles, untangle, validate
+from ..operators import calling, collinear, decompose, graphs, inversions, sites, subbubbles, untangle, validate
 from ..sources import gfa, pvst, vcf
 from .durable import written
 
@@ -168,6 +168,13 @@ class Graph:
             raise ValueError(f"no path is called {ref!r}")
         return collinear.collinear_calls(self.steps, self.segments, self.paths, first[0])
 
+    def site_calls(self, ref: str | None = None) -> DataFrame:
+        """Records by sample, level and parent from each path's alignment with one reference path; see sites.calls()."""
+        first = graphs.first_reference(self.paths, ref).first()
+        if first is None or first[0] is None:
+            raise ValueError(f"no path is called {ref!r}")
+        return sites.calls(self.steps, self.segments, self.paths, first[0])
+
     def _checked(self, rec: DataFrame) -> tuple[DataFrame, DataFrame]:
         claims = written(validate.claims_of_vcf(rec, self.paths), "claims")
         return claims, written(validate.check_calls(claims.select("claim", "path_id", "at"), self.steps), "checked")

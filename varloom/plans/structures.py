@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import calling, decompose, trees
+from ..functions import scalars
+from ..operators import calling, decompose, sites, trees
 from . import synth
 from .durable import written
 
@@ -79,6 +80,22 @@ def q_rov_columns_apart(spark, d):
     return calling.columns(called, g.links, g.comps).select("label", "col", "seg_id")
 
 
+def q_site_calls(spark, d):
+    rec = synth.levels(spark, d).site_calls("H0")
+    return rec.select("chrom", "pos", "id", "ref_seq", "alt", "ac", "af", "an", "ns", "at", "vartype", "lv", F.coalesce("parent", F.lit("-")).alias("parent"), F.array_join("gts", " ").alias("gts"))
+
+
+def q_hairpin_call(spark, d):
+    """The chain, and two paths that walk the reference backwards: one record, of the first."""
+    g = synth.chain(spark, d)
+    steps = written(g.steps, "steps")
+    ref = steps.where("path_id = 0")
+    n = F.lit(ref.count() - 1)
+    back = ref.select(F.explode(F.array(F.lit(1001).cast("bigint"), F.lit(1000).cast("bigint"))).alias("path_id"), (n - F.col("step_idx")).alias("step_idx"), "seg_id", scalars.flip(F.col("strand")).alias("strand"))
+    more = g.paths.where("path_id = 0").select(F.explode(F.array(F.lit(1001).cast("bigint"), F.lit(1000).cast("bigint"))).alias("path_id")).withColumn("name", F.concat(F.lit("B"), F.col("path_id").cast("string"), F.lit("#1#chr1")))
+    return sites.lines(sites.calls(steps.unionByName(back), g.segments, g.paths.unionByName(more), 0)).select("pos", "line")
+
+
 #: Bubbles of the small graphs in synth.GADGETS: graph, number, symbol, first and second end as strand and segment, number
 #: of the bubble around, route, kind. Plain ones (F, T, O) come first; their level counts plain ones around them. Fixed values.
 BUBBLES = [
@@ -126,7 +143,28 @@ mt AS (SELECT pt.t, pt.v, depth, row_number() OVER (PARTITION BY pt.t ORDER BY p
 
 
 def oracle_sql() -> dict[str, str]:
+    from .catalogue import CHAIN, SEQ
+
+    q = SEQ.format
+    levels = f"""
+lc AS (SELECT s_suppkey, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS BIGINT) AS s FROM supplier),
+lb AS (SELECT s // {synth.BLOCK} AS b, count(*) = {synth.BLOCK} AS whole FROM lc GROUP BY b),
+lh AS (SELECT CAST(n_nationkey AS BIGINT) AS h FROM nation),
+lk AS (SELECT b, h FROM lb, lh WHERE whole AND h % 3 = 2 AND substr(md5(b || ':' || h), 1, 1) IN ('0', '1', '2', '3')),
+lo AS (SELECT s, s // {synth.BLOCK} AS b, lh.h AS h, lk.h IS NOT NULL AS skip, lh.h > 0 AND (substr(md5(lh.h || ':' || s_suppkey), 1, 1) IN ('c', 'd', 'e') OR lh.h = 1 AND s % {synth.BLOCK} = 1) AS other
+       FROM lc CROSS JOIN lh LEFT JOIN lk ON lk.b = s // {synth.BLOCK} AND lk.h = lh.h),
+ls AS (SELECT s, {q("3 * s")} AS qb, {q("3 * s + 1")} AS qr, {q("3 * s + 2")} AS qa FROM lc),
+lp AS (SELECT *, 1 + coalesce(sum(length(qb) + length(qr)) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS locus FROM ls)"""
     return {
+        "site_calls": f"""WITH {levels}, n AS (SELECT s, b, count(*) FILTER (other AND NOT skip) AS ac, count(*) FILTER (NOT skip) AS an, bool_or(skip) AND s % {synth.BLOCK} IN (1, 2) AS deep,
+            string_agg(CASE WHEN skip THEN '.' WHEN other THEN '1' ELSE '0' END, ' ' ORDER BY h) AS gts FROM lo GROUP BY s, b)
+            SELECT 'H0#1#chr1' AS chrom, CAST(CASE WHEN s % 2 = 0 THEN locus + length(qb) ELSE locus END AS BIGINT) AS pos, '>' || 3 * s || '>' || 3 * s + 3 AS id, CASE WHEN s % 2 = 0 THEN qr ELSE qb || qr END AS ref_seq,
+            CASE WHEN s % 2 = 0 THEN qa ELSE qb END AS alt, CAST(ac AS VARCHAR) AS ac, CASE WHEN ac = an THEN '1' ELSE CAST(ac / an AS VARCHAR) END AS af, an, an AS ns,
+            CASE WHEN s % 2 = 0 THEN '>' || 3 * s + 1 || ',>' || 3 * s + 2 ELSE '>' || 3 * s || '>' || 3 * s + 1 || ',>' || 3 * s END AS "at", CASE WHEN s % 2 = 0 THEN 'SUB' ELSE 'DEL' END AS vartype,
+            CAST(deep AS BIGINT) AS lv, CASE WHEN deep THEN '>' || {3 * synth.BLOCK} * b || '>' || {3 * synth.BLOCK} * (b + 1) ELSE '-' END AS parent, gts FROM n JOIN lp USING (s) WHERE ac > 0""",
+        "hairpin_call": f"""WITH {CHAIN}, w AS (SELECT string_agg('>' || seg, '' ORDER BY i) AS f, string_agg('<' || seg, '' ORDER BY i DESC) AS r, string_agg(q, '' ORDER BY i) AS dna, min(seg) AS a, max(seg) AS z, max(locus) FILTER (i = 1) AS pos FROM lo WHERE h = 0)
+            SELECT pos, concat_ws(chr(9), 'H0#1#chr1', pos, '>' || a || '>' || z, dna, reverse(translate(dna, 'ACGT', 'TGCA')), '60', 'PASS', 'AC=1;AF=0.5;AN=2;NS=2;AT=' || f || ',' || r || ';VARTYPE=SUBR;TANGLED=F', 'GT',
+            (SELECT '0' || repeat(chr(9) || '.', count(*) - 1) FROM nation), '1', '.') AS line FROM w""",
         "bubble_kinds": f"WITH {GADGET} SELECT c AS comp_id, idx, sym, label, up AS parent_idx, route, kind FROM b",
         "bubble_text": f"""WITH {GADGET}, n AS (SELECT c, idx, sym, label, up, route FROM b UNION ALL SELECT c, 0, 'D', '.', NULL, '.' FROM k),
             u AS (SELECT c, up AS idx, string_agg(idx, ', ' ORDER BY idx) AS kids FROM b GROUP BY c, up)

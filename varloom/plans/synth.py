@@ -53,6 +53,34 @@ def _from_steps(steps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return segments, numbered(pairs, "v1", "v1_end", "v2", "v2_end", name="edge_idx").select("edge_idx", *pairs.columns)
 
 
+#: Sites that a haplotype of levels() leaves out together.
+BLOCK = 4
+
+
+def levels(spark: SparkSession, sf_dir: str) -> Graph:
+    """Backbone 3s, reference allele 3s + 1 and, at even sites, other allele 3s + 2; at odd sites the other allele is nothing.
+
+    Every third haplotype leaves out some whole blocks of sites. Haplotype 0 has the reference allele everywhere,
+    haplotype 1 the other one at each block's second site.
+    """
+    c = numbered(_table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", name="s")
+    blocks = c.groupBy(F.expr(f"s div {BLOCK}").alias("b")).agg((F.count("*") == BLOCK).alias("full"))
+    haps = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("h"))
+    digit = lambda *x: F.substring(F.md5(F.concat_ws(":", *[F.col(y).cast("string") for y in x]).cast("binary")), 1, 1)
+    out = (F.col("h") % 3 == 2) & F.col("full") & digit("b", "h").isin("0", "1", "2", "3")
+    skip = blocks.join(F.broadcast(haps)).where(out).select("b", "h", F.lit(True).alias("skip"))
+    own = c.withColumn("b", F.expr(f"s div {BLOCK}")).join(F.broadcast(haps)).join(skip, ["b", "h"], "left")
+    other = (F.col("h") > 0) & (digit("h", "s_suppkey").isin("c", "d", "e") | ((F.col("h") == 1) & (F.col("s") % BLOCK == 1)))
+    inner = F.when(~other, F.array(F.lit(0), F.lit(1))).when(F.col("s") % 2 == 0, F.array(F.lit(0), F.lit(2))).otherwise(F.array(F.lit(0)))
+    ids = F.when(F.col("skip"), F.when(F.col("s") % BLOCK == 0, F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))).otherwise(inner)
+    rows = own.select(F.col("h").alias("path_id"), F.col("s"), F.explode(ids).alias("d")).select("path_id", (3 * F.col("s") + F.col("d")).alias("seg_id"))
+    last = own.groupBy(F.col("h").alias("path_id")).agg((3 * F.max("s") + 3).alias("seg_id"))
+    steps = rows.unionByName(last)
+    steps = steps.select("path_id", (F.row_number().over(Window.partitionBy("path_id").orderBy("seg_id")) - 1).cast("bigint").alias("step_idx"), "seg_id", F.lit(">").alias("strand"))
+    paths = haps.select(F.col("h").alias("path_id"), F.concat(F.lit("H"), F.col("h").cast("string"), F.lit("#1#chr1")).alias("name"))
+    return Graph(*_from_steps(steps), paths, steps)
+
+
 #: How far apart the copies of a small graph are numbered: segments and paths of the supplier of key k begin at k times these.
 SEGMENTS_APART, PATHS_APART = 100, 10
 

@@ -12,62 +12,47 @@ from varloom.plans.durable import numbered
 from varloom.plans.graph_api import Graph
 from varloom.sources import gfa, vcf
 
-#: name: (segments, links, paths, expected rows as POS ID REF ALT INFO genotypes). Fixed values.
-FIXTURES = {
-    "minimal": ("ACGT", "0+1+ 1+3+ 0+2+ 2+3+", ["0+1+3+", "0+2+3+"], ["2 >0>3 C G AC=1;AF=0.5;AN=2;NS=2;AT=>1,>2;VARTYPE=SUB;TANGLED=F;ES=>0>3;LV=0 0 1"]),
-    "insertion": ("ACGT", "0+1+ 0+2+ 2+1+ 1+3+", ["0+1+3+", "0+2+1+3+"], ["1 >0>1 A AG AC=1;AF=0.5;AN=2;NS=2;AT=>0,>0>2;VARTYPE=INS;TANGLED=F;ES=>0>1;LV=0 0 1"]),
-    "deletion": ("ACGT", "0+1+ 0+2+ 2+1+ 1+3+", ["0+2+1+3+", "0+1+3+"], ["1 >0>1 AG A AC=1;AF=0.5;AN=2;NS=2;AT=>0>2,>0;VARTYPE=DEL;TANGLED=F;ES=>0>1;LV=0 0 1"]),
-    "nested": ("ACGTCA", "0+1+ 0+2+ 1+3+ 1+4+ 3+4+ 4+5+ 2+5+", ["0+1+3+4+5+", "0+1+4+5+", "0+2+5+"], ["2 >1>4 CT C AC=1;AF=0.5;AN=2;NS=2;AT=>1>3,>1;VARTYPE=DEL;TANGLED=F;ES=>1>4;LV=1 0 1 ."]),
-    "nested_sub": ("ACGTCAG", "0+1+ 0+2+ 1+3+ 1+6+ 3+4+ 6+4+ 4+5+ 2+5+", ["0+1+3+4+5+", "0+1+6+4+5+", "0+2+5+"], ["3 >1>4 T G AC=1;AF=0.5;AN=2;NS=2;AT=>3,>6;VARTYPE=SUB;TANGLED=F;ES=>1>4;LV=1 0 1 ."]),
-    "anchor_deletion": ("AAAC", "0+1+ 1+2+ 0+2+ 2+3+", ["0+1+2+3+", "0+2+3+"], ["1 >0>2 AA A AC=1;AF=0.5;AN=2;NS=2;AT=>0>1,>0;VARTYPE=DEL;TANGLED=F;ES=>0>2;LV=0 0 1"]),
-    "anchor_insertion": ("AAAC", "0+2+ 0+1+ 1+2+ 2+3+", ["0+2+3+", "0+1+2+3+"], ["1 >0>2 A AA AC=1;AF=0.5;AN=2;NS=2;AT=>0,>0>1;VARTYPE=INS;TANGLED=F;ES=>0>2;LV=0 0 1"]),
-    "complex_sub": ("ACGTTA", "0+1+ 1+2+ 2+3+ 0+4+ 4+5+ 5+3+", ["0+1+2+3+", "0+4+5+3+"], ["2 >0>3 CG TA AC=1;AF=0.5;AN=2;NS=2;AT=>1>2,>4>5;VARTYPE=SUB;TANGLED=F;ES=>0>3;LV=0 0 1"]),
-    "linear": ("ACG", "0+1+ 1+2+", ["0+1+2+", "0+1+2+"], []),
-    "two": ("ACGTACG", "0+1+ 1+3+ 0+2+ 2+3+ 3+4+ 4+6+ 3+5+ 5+6+", ["0+1+3+4+6+", "0+2+3+5+6+"], ["2 >0>3 C G AC=1;AF=0.5;AN=2;NS=2;AT=>1,>2;VARTYPE=SUB;TANGLED=F;ES=>0>3;LV=0 0 1", "4 >3>6 A C AC=1;AF=0.5;AN=2;NS=2;AT=>4,>5;VARTYPE=SUB;TANGLED=F;ES=>3>6;LV=0 0 1"]),
-}
+#: Small graphs and their calls against HG1, as text files. Fixed values.
+DATA = os.path.join(os.path.dirname(os.path.abspath(__file__)), "data")
+NAMES = sorted(x.removesuffix(".vcf") for x in os.listdir(DATA) if x.endswith(".vcf"))
+
+
 #: Tree edges of each fixture by class, black edges only. Fixed values.
 GROUPS = {"minimal": {(1, 5), (3,), (8,)}, "insertion": {(1, 3, 5), (8,)}, "deletion": {(1, 3, 5), (8,)}, "nested": {(1, 9), (3, 7), (5,), (12,)}, "nested_sub": {(1, 9), (3, 7), (5,), (12,), (15,)}, "two": {(1, 5, 9), (3,), (7,), (12,), (15,)}}
 
 
-def _tokens(text):
-    out = []
-    for x in text.replace("+", "+ ").replace("-", "- ").split():
-        out.append((int(x[:-1]), x[-1]))
-    return out
+def _read(name):
+    with open(os.path.join(DATA, name)) as f:
+        return f.read().splitlines()
 
 
 def _lines(name):
-    seqs, links, paths, _ = FIXTURES[name]
-    text = [f"S\t{i}\t{s}" for i, s in enumerate(seqs)]
-    for link in links.split():
-        (a, x), (b, y) = _tokens(link)
-        text.append(f"L\t{a}\t{x}\t{b}\t{y}\t0M")
-    return text + [f"P\tHG{i + 1}#1#chr1\t{','.join(f'{s}{o}' for s, o in _tokens(p))}\t*" for i, p in enumerate(paths)]
+    return _read(f"{name}.gfa")
+
+
+def _links(name):
+    """(number, segment, side, segment, side) of a graph's links."""
+    f = [x.split("\t") for x in _lines(name) if x[0] == "L"]
+    return [(k, int(a), "r" if x == "+" else "l", int(b), "l" if y == "+" else "r") for k, (_, a, x, b, y, _) in enumerate(f)]
+
+
+def _size(name):
+    return sum(x[0] == "S" for x in _lines(name))
 
 
 def _frame(spark, text):
     return spark.createDataFrame(list(enumerate(text)), gfa.LINES)
 
 
-@pytest.mark.parametrize("name", list(FIXTURES))
+@pytest.mark.parametrize("name", NAMES)
 def test_calls(spark, name):
     g = Graph.from_lines(_frame(spark, _lines(name)))
-    rows = g.gfa2vcf(["HG1"]).orderBy("pos", "id").collect()
-    got = []
-    for r in rows:
-        f = r.line.split("\t")
-        got.append(" ".join([f[1], f[2], f[3], f[4], f[7], *f[9:]]))
-    assert got == FIXTURES[name][3]
+    assert [r.line for r in g.gfa2vcf(["HG1"]).orderBy("pos", "id").collect()] == _read(f"{name}.vcf")
 
 
 @pytest.mark.parametrize("name", list(GROUPS))
 def test_cycle_classes(name):
-    seqs, links, _, _ = FIXTURES[name]
-    rows = []
-    for k, link in enumerate(links.split()):
-        (a, x), (b, y) = _tokens(link)
-        rows.append((k, a, "r" if x == "+" else "l", b, "l" if y == "+" else "r"))
-    tree = decompose.spanning_tree(range(len(seqs)), rows)
+    tree = decompose.spanning_tree(range(_size(name)), _links(name))
     klass, _ = decompose.cycle_classes(tree)
     groups = {}
     for _, _, edge, c in decompose.class_stack(tree, klass):
@@ -101,13 +86,7 @@ def test_boundaries(spark, pairs, want):
     ],
 )
 def test_families(name, want):
-    rows = []
-    links = "0+1+ 1+2+ 2+3+ 3+4+ 0+2+ 0+3+ 0+4+" if name == "fan" else FIXTURES[name][1]
-    n = 5 if name == "fan" else len(FIXTURES[name][0])
-    for k, link in enumerate(links.split()):
-        (a, x), (b, y) = _tokens(link)
-        rows.append((k, a, "r" if x == "+" else "l", b, "l" if y == "+" else "r"))
-    tree = decompose.spanning_tree(range(n), rows)
+    tree = decompose.spanning_tree(range(_size(name)), _links(name))
     stack = decompose.class_stack(tree, decompose.cycle_classes(tree)[0])
     got = {f"{min(stack[i][1], stack[j][1])}>{max(stack[i][1], stack[j][1])}": s for i, j, s, _, _ in decompose._Families(tree).of(stack)}
     assert got == want
@@ -299,8 +278,8 @@ def test_left_align():
 
 def test_vcf_written_and_read(spark, tmp_path):
     g = Graph.from_lines(_frame(spark, _lines("two")))
-    head = vcf.header([("HG1#1#chr1", 5)], ["HG1", "HG2"])
-    vcf.write(g.gfa2vcf(["HG1"]), head, str(tmp_path / "out"))
+    head = vcf.header(["HG1", "HG2"])
+    vcf.write(g.gfa2vcf(["HG1"]), head, spark.createDataFrame([(0, "HG1#1#chr1", 5)], "k long, chrom string, length long"), str(tmp_path / "out"))
     lines = vcf.read_lines(spark, str(tmp_path / "out"))
     assert vcf.samples(lines) == ["HG1", "HG2"]
     got = vcf.records(lines).orderBy("pos").select("pos", "id", vcf.info("VARTYPE").alias("t")).collect()
@@ -328,3 +307,27 @@ def test_queries_and_sql_share_names():
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert F is not None
+
+
+def test_phases_of_a_path_without_haplotypes(spark):
+    """A path whose name tells no haplotypes stands for every phase of its sample, however many."""
+    paths = spark.createDataFrame([(0, "ref"), (1, "A#1#c"), (2, "A#2#c")], "path_id long, name string")
+    line = "\t".join(["ref", "1", ">0>2", "A", "C", "60", "PASS", "AC=1;AF=0.5;AN=2;NS=2;AT=>1,>2;VARTYPE=SUB", "GT", "|".join(["0"] * 40), "1|0|1"])
+    rec = vcf.records(spark.createDataFrame([(0, line)], gfa.LINES))
+    got = {(r.sample_no, r.phase): (r.path_id, r["at"]) for r in validate.claims_of_vcf(rec, paths).collect()}
+    assert got == {**{(0, k): (0, ">1") for k in range(40)}, (1, 0): (1, ">2"), (1, 1): (2, ">1"), (1, 2): (-1, ">2")}
+
+
+def test_written_calls_stand_in_the_order_of_contigs_places_and_ends(spark, tmp_path):
+    rows = [(c, p, f">{a}>{a + d}", t) for c in ("chr10", "chr2", "other") for p in (9, 10, 100) for a in (7, 40, 300) for d in (1, 20) for t in ("SUB", "INS", "DEL")]
+    random.Random(3).shuffle(rows)
+    lines = spark.createDataFrame([(*r, "\t".join(map(str, r))) for r in rows], "chrom string, pos long, id string, vartype string, line string").repartition(7)
+    contigs = spark.createDataFrame([(5, "chr10", 1000), (2, "chr2", 70)], "k long, chrom string, length long")
+    vcf.write(lines, vcf.header(["s"]), contigs, str(tmp_path / "out"))
+    text = []
+    for name in sorted(x for x in os.listdir(tmp_path / "out") if x.startswith("part-")):
+        text += (tmp_path / "out" / name).read_text().splitlines()
+    head = vcf.header(["s"])
+    ends = lambda r: tuple(map(int, r[2][1:].split(">")))
+    want = sorted(rows, key=lambda r: (["chr2", "chr10", "other"].index(r[0]), r[1], ends(r), ["SUB", "INS", "DEL"].index(r[3])))
+    assert text == [*head[:-1], "##contig=<ID=chr2,length=70>", "##contig=<ID=chr10,length=1000>", head[-1], *("\t".join(map(str, r)) for r in want)]

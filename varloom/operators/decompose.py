@@ -353,24 +353,32 @@ def _per_component(links: DataFrame, comps: DataFrame, min_vertices: int, rows_o
     v = comps.join(big, "comp_id").select("comp_id", F.col("seg_id").alias("v1"), F.lit(None).cast("bigint").alias("edge_idx"), F.lit("").alias("v1_end"), F.col("seg_id").alias("v2"), F.lit("").alias("v2_end"))
     e = _with_component(links, comps).join(big, "comp_id").select("comp_id", "v1", "edge_idx", "v1_end", "v2", "v2_end")
     names = [x.split()[0] for x in schema.split(", ")]
+    longs = [x.split()[0] for x in schema.split(", ") if x.endswith(" long")]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         e = pdf[pdf.edge_idx.notna()]
         tree = spanning_tree(pdf[pdf.edge_idx.isna()].v1.tolist(), list(zip(e.edge_idx.astype("int64"), e.v1, e.v1_end, e.v2, e.v2_end)))
         comp = int(pdf.comp_id.iloc[0])
-        return pd.DataFrame([(comp, *r) for r in rows_of(tree)], columns=names)
+        got = pd.DataFrame([(comp, *r) for r in rows_of(tree)], columns=names)
+        return got.astype({c: "Int64" for c in longs if got[c].hasnans})
 
     return v.unionByName(e).groupBy("comp_id").applyInPandas(run, schema)
 
 
-def families(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> DataFrame:
-    """(comp_id, i, j, sym, upper, lower) of every bubble: T tiny, O parallel, else F; its inner ends in the tree."""
+def stacks_with_families(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> DataFrame:
+    """class_stacks(), and at each bubble's start its end j, sym (T tiny, O parallel, else F) and inner ends in the tree."""
 
     def rows(tree: dict) -> list[tuple]:
-        klass, _ = cycle_classes(tree)
-        return _Families(tree).of(class_stack(tree, klass))
+        stack = class_stack(tree, cycle_classes(tree)[0])
+        kind = {i: rest for i, *rest in _Families(tree).of(stack)}
+        return [(i, *r, *kind.get(i, (None, None, None, None))) for i, r in enumerate(stack)]
+
+    return _per_component(links, comps, min_vertices, rows, f"{STACK}, j long, sym string, upper long, lower long")
+
 
-    return _per_component(links, comps, min_vertices, rows, "comp_id long, i long, j long, sym string, upper long, lower long")
+def families(stack: DataFrame) -> DataFrame:
+    """(comp_id, i, j, sym, upper, lower) of every bubble of stacks_with_families()."""
+    return stack.where("sym IS NOT NULL").select("comp_id", "i", "j", "sym", "upper", "lower")
 
 
 def bracket_counts(links: DataFrame, comps: DataFrame) -> DataFrame:

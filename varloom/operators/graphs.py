@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import pansn
-from ..plans.durable import discard, written
+from ..plans.durable import discard, numbered, written
 from ..session import on_workers
 
 
@@ -99,12 +99,8 @@ def components(segments: DataFrame, links: DataFrame) -> DataFrame:
     """(seg_id, root, comp_id): components numbered from 1 in the order of their smallest segment."""
     nodes = segments.select(F.col("seg_id").alias("id"))
     labels = written(min_labels(nodes, links.select(F.col("v1").alias("a"), F.col("v2").alias("b"))).select(F.col("id").alias("seg_id"), "root"), "labels")
-    # number the roots: ranks within blocks of ids, blocks by their counts before them
-    roots = labels.where("seg_id = root").select("root").withColumn("block", F.floor(F.col("root") / 100_000))
-    before = roots.groupBy("block").count()
-    before = before.select("block", F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    numbered = roots.join(before, "block").withColumn("comp_id", F.col("before") + F.row_number().over(Window.partitionBy("block").orderBy("root")))
-    return labels.join(numbered.select("root", F.col("comp_id").cast("bigint").alias("comp_id")), "root").select("seg_id", "root", "comp_id")
+    roots = numbered(labels.where("seg_id = root").select("root"), "root", name="before")
+    return labels.join(roots.select("root", (F.col("before") + 1).cast("bigint").alias("comp_id")), "root").select("seg_id", "root", "comp_id")
 
 
 def graph_info(segments: DataFrame, links: DataFrame) -> DataFrame:

@@ -10,8 +10,6 @@ from ..sources.vcf import genotype_entries, info
 from . import graphs
 
 
-#: Phases that a path without haplotypes in its name stands for.
-MAX_PHASE = 15
 REPORT_HEAD = "\t".join(("rec_idx", "ID", "POS", "AT", "Hap-ID", "sample"))
 
 
@@ -41,11 +39,11 @@ def claims_of_vcf(rec: DataFrame, paths: DataFrame) -> DataFrame:
     that the graph lacks claim path -1, which holds nothing.
     """
     g = genotype_entries(rec)
-    cols = graphs.genotype_columns(paths).join(graphs.path_names(paths).select("path_id", "format"), "path_id")
-    cols = cols.select(F.col("hap_col").alias("sample_no"), F.explode(F.when(F.col("format") == "PANSN", F.array("phase")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.lit(MAX_PHASE).cast("bigint")))).alias("phase"), "path_id")
-    cols = cols.groupBy("sample_no", "phase").agg(F.min("path_id").alias("path_id"))
+    cols = graphs.genotype_columns(paths).join(graphs.path_names(paths).select("path_id", "format"), "path_id").withColumnRenamed("hap_col", "sample_no")
+    told = cols.where("format = 'PANSN'").groupBy("sample_no", "phase").agg(F.min("path_id").alias("_of_phase"))
+    untold = cols.where("format <> 'PANSN'").groupBy("sample_no").agg(F.min("path_id").alias("_of_all"))
     at = rec.select("line_no", F.posexplode(F.split(info("AT"), ",")).alias("allele", "at"))
-    x = g.join(cols, ["sample_no", "phase"], "left").join(at, ["line_no", "allele"], "left")
+    x = g.join(told, ["sample_no", "phase"], "left").join(untold, "sample_no", "left").withColumn("path_id", F.least("_of_phase", "_of_all")).join(at, ["line_no", "allele"], "left")
     return x.select(F.concat_ws(":", "line_no", "sample_no", "phase").alias("claim"), "line_no", "sample_no", "phase", F.coalesce("path_id", F.lit(-1)).alias("path_id"), F.coalesce("at", F.lit("")).alias("at"))
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def step_context(steps: DataFrame, seg_id: int, around: int = 10) -> DataFrame:
-    """(path_id, step_idx, context): the walk around every step on a segment."""
-    w = Window.partitionBy("path_id").orderBy("step_idx").rowsBetween(-around, around)
-    token = F.concat("strand", F.col("seg_id").cast("string"))
-    return steps.withColumn("context", F.array_join(F.collect_list(token).over(w), "")).where(F.col("seg_id") == seg_id).select("path_id", "step_idx", "context")
+    """(path_id, step_idx, context): the walk of up to `around` steps on either side of every step on a segment.
+
+    Only the steps around those on the segment are read: a range of each is met by the steps' numbers.
+    """
+    at = steps.where(F.col("seg_id") == seg_id).select("path_id", F.col("step_idx").alias("at"))
+    near = at.withColumn("step_idx", F.explode(F.sequence(F.greatest(F.lit(0), F.col("at") - around), F.col("at") + around))).join(steps, ["path_id", "step_idx"])
+    walk = F.sort_array(F.collect_list(F.struct("step_idx", F.concat("strand", F.col("seg_id").cast("string")).alias("t"))))
+    return near.groupBy("path_id", F.col("at").alias("step_idx")).agg(F.array_join(F.transform(walk, lambda x: x["t"]), "").alias("context"))
 
 
 def path_window(steps: DataFrame, path_id: int, mid: int, each_side: int = 250) -> DataFrame:

@@ -55,6 +55,10 @@ class Graph:
     def class_stack(self) -> DataFrame:
         return written(decompose.class_stacks(self.links, self.comps), "stack")
 
+    @cached_property
+    def _kinds(self) -> DataFrame:
+        return written(decompose.stacks_with_families(self.links, self.comps), "kinds")
+
     @cached_property
     def loci(self) -> DataFrame:
         return graphs.with_loci(self.steps, self.segments)
@@ -64,8 +68,9 @@ class Graph:
 
     def decompose(self, families: bool = False) -> DataFrame:
         """The bubble tree of every component; with families also sym, upper and lower of decompose.families()."""
-        tree = decompose.pvst(self.links, self.comps, self.class_stack)
-        return tree.join(decompose.families(self.links, self.comps), ["comp_id", "i", "j"]) if families else tree
+        if not families:
+            return decompose.pvst(self.links, self.comps, self.class_stack)
+        return decompose.pvst(self.links, self.comps, self._kinds).join(decompose.families(self._kinds), ["comp_id", "i", "j"])
 
     @cached_property
     def _bubbles(self) -> DataFrame:
@@ -158,8 +163,7 @@ class Graph:
         names = [r[0] for r in graphs.genotype_columns(self.paths).groupBy("hap_col").agg(F.min("sample").alias("s")).orderBy("hap_col").select("s").collect()]
         for chosen in [prefixes] if combined else [[p] for p in prefixes]:
             lengths = graphs.path_lengths(self.steps, self.segments).join(self.references(chosen), "path_id").join(self.paths, "path_id")
-            contigs = [(r.name, r.hap_len) for r in lengths.select("name", "hap_len", "path_id").orderBy("path_id").collect()]
-            vcf.write(self.gfa2vcf(chosen), vcf.header(contigs, names), path if combined else f"{path}/{chosen[0]}")
+            vcf.write(self.gfa2vcf(chosen), vcf.header(names), lengths.select(F.col("path_id").alias("k"), F.col("name").alias("chrom"), F.col("hap_len").alias("length")), path if combined else f"{path}/{chosen[0]}")
 
     def call_collinear(self, ref: str | None = None) -> DataFrame:
         """Calls without a decomposition, from each path's alignment with one reference path."""

@@ -46,25 +46,44 @@ def line(chrom: str = "chrom", pos: str = "pos", id: str = "id", ref: str = "ref
     return F.concat_ws("\t", F.col(chrom), F.col(pos).cast("string"), F.col(id), F.col(ref), F.array_join(alts, ","), F.lit("60"), F.lit("PASS"), F.array_join(info, ";"), F.lit("GT"), F.array_join(gts, "\t"))
 
 
-def header(contigs: list[tuple[str, int]], names: list[str], more: tuple[tuple[str, str, str, str], ...] = ()) -> list[str]:
-    """Header lines; contigs as (name, length), more INFO keys as (key, number, type, description)."""
+def header(names: list[str], more: tuple[tuple[str, str, str, str], ...] = ()) -> list[str]:
+    """Header lines without contigs, the column line last; more INFO keys as (key, number, type, description)."""
     keys = [("AC", "A", "Integer"), ("AF", "A", "Float"), ("AN", "1", "Integer"), ("NS", "1", "Integer"), ("AT", "R", "String"), ("VARTYPE", "1", "String"), ("TANGLED", "1", "String"), ("ES", "1", "String"), ("LV", "1", "Integer")]
     told = {"AC": "Alternate allele counts", "AF": "Alternate allele frequencies", "AN": "Called haplotypes", "NS": "Samples with data", "AT": "Walks of the alleles", "VARTYPE": "Kind of variant", "TANGLED": "Whether the region is revisited", "ES": "Enclosing site", "LV": "Depth of the site"}
     out = ["##fileformat=VCFv4.2", "##source=varloom", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">']
     out += [f'##INFO=<ID={k},Number={n},Type={t},Description="{told[k]}">' for k, n, t in keys]
     out += [f'##INFO=<ID={k},Number={n},Type={t},Description="{d}">' for k, n, t, d in more]
-    out += [f"##contig=<ID={c},length={n}>" for c, n in contigs]
     return [*out, "\t".join(["#CHROM", "POS", "ID", "REF", "ALT", "QUAL", "FILTER", "INFO", "FORMAT", *names])]
 
 
-def write(lines: DataFrame, head: list[str], path: str) -> None:
-    """Text files of call lines (chrom, pos, id, vartype, line), range-sorted behind the header.
+#: The order of a set's lines: header, contigs in their order, then place, the segments of the site's ends, and kind.
+ORDER = ("part", "contig", "pos", "first", "last", "kind")
+
+
+def ordered(lines: DataFrame, head: list[str], contigs: DataFrame) -> DataFrame:
+    """Call lines (chrom, pos, id, vartype, line) and their header, with ORDER's columns.
+
+    contigs: (k, chrom, length), k their order, in which they stand in the header too. Calls on other contigs come last.
+    Kinds stand as SUB, INS, DEL, SUBR, others after them.
+    """
+    spark = lines.sparkSession
+    zero = {"contig": "bigint", "pos": "bigint", "first": "bigint", "last": "bigint", "kind": "int"}
+    top = spark.createDataFrame([(0 if i + 1 < len(head) else 2, i, x) for i, x in enumerate(head)], "part int, contig long, line string")
+    named = contigs.select(F.lit(1).alias("part"), F.col("k").alias("contig"), F.concat(F.lit("##contig=<ID="), "chrom", F.lit(",length="), F.col("length").cast("string"), F.lit(">")).alias("line"))
+    heads = top.unionByName(named).select("part", "contig", *[F.lit(0).cast(t).alias(c) for c, t in zero.items() if c != "contig"], "line")
+    span = F.regexp_extract_all("id", F.lit("[<>]([0-9]+)"), F.lit(1))
+    end = lambda i: F.coalesce(F.get(span, F.lit(i)).try_cast("bigint"), F.lit(-1))
+    kind = F.coalesce(F.array_position(F.array(*map(F.lit, ("SUB", "INS", "DEL", "SUBR"))), F.col("vartype")), F.lit(0)).cast("int")
+    body = lines.join(contigs.select("chrom", F.col("k").alias("contig")), "chrom", "left")
+    body = body.select(F.lit(3).alias("part"), F.coalesce("contig", F.lit((1 << 63) - 1)).alias("contig"), "pos", end(0).alias("first"), end(1).alias("last"), F.when(kind == 0, 9).otherwise(kind).alias("kind"), "line")
+    return heads.select(*ORDER, "line").unionByName(body.select(*ORDER, "line"))
+
+
+def write(lines: DataFrame, head: list[str], contigs: DataFrame, path: str) -> None:
+    """Text files of ordered() lines, range-sorted.
 
     Files are cut by range, so nothing is gathered in one task; their names sort as their ranges do, so that one after
-    the other they are one VCF file. Without calls there is the header alone.
+    the other they are one VCF file, whose lines stand in ORDER. Without calls there is the header alone.
     """
-    keys = ("top", "chrom", "pos", "id", "vartype")
-    first = lines.sparkSession.createDataFrame(list(enumerate(head)), "top int, line string")
-    first = first.select("top", F.lit("").alias("chrom"), F.lit(0).cast("bigint").alias("pos"), F.lit("").alias("id"), F.lit("").alias("vartype"), "line")
-    rest = lines.select(F.lit(len(head)).alias("top"), "chrom", "pos", "id", "vartype", "line")
-    first.unionByName(rest).repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.text(path)
+    keys = (*ORDER, "line")
+    ordered(lines, head, contigs).repartitionByRange(*keys).sortWithinPartitions(*keys).select(F.col("line").alias("value")).write.text(path)

@@ -490,7 +490,25 @@ def test_html_visibility_and_spans(page, want):
     assert html_text.render(page) == want
 
 
-@pytest.mark.parametrize("piece", ["<div>", "<div>x", "<ul><li>x", "<li>", "<p><span>", "<table><tr><td>", "<b>x</p>", "<p><table><td><div>", "<td rowspan=999 colspan=999>x", "</div>", "<details><summary>"])
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<pre><div>one</div><div>two</div></pre>", "one\ntwo"),
+        ("<pre>a<p>b</p>c</pre>", "a\nb\nc"),
+        ("<pre>a <b>b</b>\n  c</pre>", "a b\n  c"),
+        ("<pre><table><tr><td>a<td>b<tr><td>c</table></pre>", "a  b\nc"),
+        ("<table><caption><p>cap one</p><p>two</p></caption><tr><td>x</table>", "cap one\ntwo\nx"),
+        ("<table><tr><td>" * 10 + "k<table><tr><td>p<td>q</table>" + "</table>" * 10, "k\n\np  q"),
+        ("<div style='display:none;display:block'>yes</div><p style='display:block; display : NONE'>no</p>", "yes"),
+        ("<div style='display:none !important;display:block'>no</div><p style='--display:none'>yes</p>", "yes"),
+        ("<form><input type=submit value='Send it'><input type=text value=no><input type=hidden value=no></form>", "Send it"),
+    ],
+)
+def test_html_borders_of_blocks(page, want):
+    assert html_text.render(page) == want
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<div>x", "<table><tr><td>x<td>y<td>", "<table><caption>x<p>", "<pre><div>x", "<ul><li>x", "<li>", "<p><span>", "<table><tr><td>", "<b>x</p>", "<p><table><td><div>", "<td rowspan=999 colspan=999>x", "</div>", "<details><summary>"])
 def test_html_takes_time_in_proportion(piece):
     at = time.perf_counter()
     html_text.render(piece * (400_000 // len(piece)))
@@ -540,8 +558,16 @@ def test_html_words_against_a_plain_walk():
     def inline(d):
         return text() if d <= 0 or rng.random() < 0.5 else f"<{(t := rng.choice(['b', 'i', 'span', 'a', 'em']))}{style()}>{inline(d - 1)}</{t}> {text()}"
 
+    def deep(n):
+        body = text()
+        for _ in range(n):
+            body = f"<table><tr><td>{body}</td>{rng.choice(['', f'<td>{text()}</td>'])}</tr></table>"
+        return body
+
     def block(d):
-        kind = rng.randrange(8)
+        kind = rng.randrange(9)
+        if kind == 8:
+            return deep(rng.randrange(1, 14)) if rng.random() < 0.3 else f"<table><caption>{block(d - 1) if d > 1 else text()}{text()}</caption><tr><td>{text()}</td></tr></table>"
         if d <= 0 or kind == 0:
             return f"<p{style()}>{inline(2)}</p>"
         if kind == 1:
@@ -552,7 +578,7 @@ def test_html_words_against_a_plain_walk():
         if kind == 3:
             return f"<script>var q{count} = '<p>';</script><!-- q0 -->"
         t = rng.choice(["div", "section", "blockquote", "article", "h2", "pre", "form"])
-        return f"<{t}{style()}>" + "".join(block(d - 1) if t not in ("h2", "pre") else inline(2) for _ in range(rng.randrange(1, 4))) + f"</{t}>"
+        return f"<{t}{style()}>" + "".join(inline(2) if t == "h2" or (t == "pre" and rng.random() < 0.5) else block(d - 1) for _ in range(rng.randrange(1, 4))) + f"</{t}>"
 
     for _ in range(400):
         page = "<html><body>" + "".join(block(3) for _ in range(4)) + "</body></html>"

@@ -48,7 +48,9 @@ _NAME = r"[^\s/>][^\s/>=]*+"
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+(?:{_VALUE.replace('(', '(?:')}))?+)*+)>", re.S)
 _ATTRIBUTE = re.compile(rf"({_NAME})(?:\s*+=\s*+(?:{_VALUE}))?+")
 _UNCLOSED = re.compile(r"<[!?]")
-_UNDISPLAYED = re.compile(r"display\s*:\s*none", re.I)
+_DISPLAY = re.compile(r"(?<![\w-])display\s*:\s*([\w-]+)\s*(!\s*important)?", re.I)
+#: Inputs whose value is a button's text.
+BUTTONS = frozenset(["submit", "reset", "button"])
 _VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 #: Levels of lists and quotations that are indented; deeper ones stand as far in as these.
 MAX_INDENT = 32
@@ -76,11 +78,17 @@ def _attributes(raw: str) -> dict[str, str]:
     return attrs
 
 
+def _undisplayed(style: str) -> bool:
+    """Whether the declaration of display that counts, the last one or the last important one, is none."""
+    said = _DISPLAY.findall(style)
+    return bool(said) and max(enumerate(said), key=lambda x: (x[1][1] != "", x[0]))[1][0].lower() == "none"
+
+
 def _hides(tag: str, attrs: dict[str, str]) -> bool:
     return (
         tag in HIDDEN
         or "hidden" in attrs
-        or ("style" in attrs and bool(_UNDISPLAYED.search(attrs["style"])))
+        or ("style" in attrs and _undisplayed(attrs["style"]))
         or (tag == "input" and attrs.get("type", "").lower() == "hidden")
         or (tag == "dialog" and "open" not in attrs)
     )
@@ -204,6 +212,8 @@ def parse(html: str) -> Node:
             node.span = _number(attrs, "colspan", 1000), _number(attrs, "rowspan", 65534)
         if tag == "img" and attrs.get("alt") and not node.unseen:
             node.children.append(attrs["alt"])
+        elif tag == "input" and attrs.get("value") and attrs.get("type", "").lower() in BUTTONS and not node.unseen:
+            node.children.append(attrs["value"])
         elif tag == "optgroup" and attrs.get("label") and not node.unseen:
             node.children.append(attrs["label"])
         node.within = tag if tag in HIDDEN_IN else "" if tag == "foreignobject" else up.within
@@ -289,16 +299,30 @@ class _Page:
 
 
 def _text_of(node: Node) -> str:
+    """The strings of a part as they stand, blocks on lines of their own, cells of a row two spaces apart."""
     out: list[str] = []
-    todo = [node]
+    todo: list = [(x, False) for x in reversed(node.children)]
+
+    def border(mark: str) -> None:
+        if out and out[-1][-1:] not in ("\n", ""):
+            out.append(mark)
+
     while todo:
-        x = todo.pop()
+        x, leaving = todo.pop()
         if isinstance(x, str):
             out.append(_html.unescape(x))
-        elif not x.hidden:
-            if x.tag == "br":
+        elif leaving or not x.hidden:
+            if x.tag in ("td", "th"):
+                if not leaving:
+                    border("  ")
+            elif x.tag in BLOCK:
+                border("\n")
+            elif x.tag == "br":
                 out.append("\n")
-            todo += reversed(x.children)
+            if not leaving:
+                if x.tag in BLOCK:
+                    todo.append((x, True))
+                todo += [(c, False) for c in reversed(x.children)]
     return "".join(out)
 
 
@@ -356,8 +380,8 @@ def _parts(table: Node) -> tuple[list[list[Node]], list[Node], list[Node]]:
     return rows, captions, stray
 
 
-def _render(root: Node, page: _Page, depth: int = 0) -> None:
-    """Walks without recursion but into table cells."""
+def _render(root: Node, page: _Page) -> Iterator:
+    """Draws a part on a page. Yields what is to be drawn before it goes on; see _draw()."""
     lists: list[list] = []  # [is ordered, next number]
     todo: list = [(root, False)]
     while todo:
@@ -397,7 +421,7 @@ def _render(root: Node, page: _Page, depth: int = 0) -> None:
             continue
         if tag == "table":
             page.block(True)
-            _table(x, page, depth)
+            yield _table(x, page)
             page.block(True)
             continue
         if tag in BLOCK:
@@ -423,19 +447,30 @@ def _render(root: Node, page: _Page, depth: int = 0) -> None:
             todo.append(("“", False))
 
 
-def _table(table: Node, page: _Page, depth: int) -> None:
-    """What stands outside of cells first; cells padded to the width of the columns they span, columns set apart by two spaces. A cell of several rows stands in its first. Deeply nested tables run on as blocks."""
+def _draw(part: Iterator) -> None:
+    """Runs a part, and the parts that it yields within it, off one stack, however deep tables nest."""
+    stack = [part]
+    while stack:
+        inner = next(stack[-1], None)
+        if inner is None:
+            stack.pop()
+        else:
+            stack.append(inner)
+
+
+def _table(table: Node, page: _Page) -> Iterator:
+    """What stands outside of cells first; cells padded to the width of the columns they span, columns set apart by two spaces. A cell of several rows stands in its first. A lone cell is drawn as a block."""
     rows, captions, stray = _parts(table)
     for x in stray:
-        if depth < 8:
-            _render(x, page, depth + 1)
-        else:
-            page.text(_text_of(x))
-            page.block(False)
+        yield _render(x, page)
     if stray:
         page.block(True)
     for x in captions:
-        page.verbatim([" ".join(_text_of(x).split())])
+        page.verbatim([y for y in (" ".join(line.split()) for line in _text_of(x).split("\n")) if y])
+    cells = [c for row in rows for c in row]
+    if len(cells) == 1:
+        yield _render(cells[0], page)
+        return
     grid: list[list[tuple[int, int, list[str]]]] = []  # per row (column, last column, lines)
     below: list[tuple[int, int, int]] = []  # (column, columns, rows left) of cells that reach into the next row
     for row in rows:
@@ -448,10 +483,7 @@ def _table(table: Node, page: _Page, depth: int) -> None:
                 k += 1
             wide, high = c.span
             inner = _Page()
-            if depth < 8:
-                _render(c, inner, depth + 1)
-            else:
-                inner.text(_text_of(c))
+            yield _render(c, inner)
             got.append((col, col + wide - 1, inner.result().split("\n")))
             if high > 1:
                 below.append((col, wide, high))
@@ -494,7 +526,7 @@ def _table(table: Node, page: _Page, depth: int) -> None:
 def render(html: str) -> str:
     """All visible text of a page: blocks on lines of their own, paragraphs set apart, lists marked, table cells aligned."""
     page = _Page()
-    _render(parse(html.replace("\x00", "�")), page)
+    _draw(_render(parse(html.replace("\x00", "�")), page))
     return page.result()
 
 

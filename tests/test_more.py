@@ -9,6 +9,7 @@ from varloom.operators import calling, inversions, profiles, views
 from varloom.operators.align import align, cost
 from varloom.plans.durable import written
 from varloom.plans.graph_api import Graph
+from varloom.plans.structures import PIECE
 from varloom.sources import pvst, texts, vcf
 
 
@@ -63,6 +64,67 @@ def _grow(ref, alt, i, j, down, up):
     return c, b, a - c + 1
 
 
+def _added(spans):
+    """Spans (start on ref, start on alt, length) put in one by one: joined with those of one turning point that they touch,
+    then those dropped whose place on alt lies within another's."""
+    held = []
+    for s, t, n in spans:
+        turn, lo, hi = s + t + n, t, t + n
+        while True:
+            met = next((x for x in held if x[0] == turn and x[1] <= hi and lo <= x[2]), None)
+            if met is None:
+                break
+            held.remove(met)
+            lo, hi = min(lo, met[1]), max(hi, met[2])
+        held.append((turn, lo, hi))
+    inside = lambda x, y: x != y and y[1] <= x[1] and x[2] <= y[2] and ((x[1], x[2]) != (y[1], y[2]) or y[0] < x[0])
+    return {(turn - hi, lo, hi - lo) for turn, lo, hi in held if not any(inside((turn, lo, hi), y) for y in held)}
+
+
+def test_merged_spans_in_every_order(spark):
+    from itertools import permutations
+
+    cases = {  # name: (spans, what is left)
+        "exists": ([(5, 5, 3), (5, 5, 3)], {(5, 5, 3)}),
+        "contained": ([(4, 4, 9), (6, 6, 5)], {(4, 4, 9)}),
+        "contained, another turn": ([(4, 4, 9), (60, 6, 3)], {(4, 4, 9)}),
+        "replaced": ([(6, 6, 5), (4, 4, 9)], {(4, 4, 9)}),
+        "extended": ([(10, 4, 5), (7, 7, 5)], {(7, 4, 8)}),
+        "extended before": ([(7, 7, 5), (10, 4, 5)], {(7, 4, 8)}),
+        "repeat at one start": ([(5, 5, 3), (5, 20, 3)], {(5, 5, 3), (5, 20, 3)}),
+        "no overlap": ([(5, 5, 3), (30, 40, 3)], {(5, 5, 3), (30, 40, 3)}),
+        "same place on alt": ([(50, 5, 3), (5, 5, 3)], {(5, 5, 3)}),
+        "chain": ([(10, 4, 3), (4, 10, 3), (7, 7, 3), (90, 5, 2)], {(4, 4, 9)}),
+    }
+    rows, want = [], set()
+    for k, (spans, left) in enumerate(cases.values()):
+        for order in permutations(spans):
+            assert _added(order) == left
+        rows += [(0, k, *x) for x in spans]
+        want |= {(0, k, *x) for x in left}
+    rng = random.Random(21)
+    for k in range(100, 160):
+        spans = [(30 - t - n + rng.choice([0, 0, 0, 7]), t, n) for t, n in ((rng.randrange(20), rng.randrange(2, 7)) for _ in range(rng.randrange(1, 9)))]
+        rows += [(0, k, *x) for x in spans]
+        assert len({frozenset(_added(rng.sample(spans, len(spans)))) for _ in range(20)}) == 1
+        want |= {(0, k, *x) for x in _added(spans)}
+    got = inversions.merged(spark.createDataFrame(rows, "ref long, alt long, ref_start long, alt_start long, len long")).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_pieces_read_backwards_are_found_with_places(spark):
+    g = Graph.from_lines(_frame(spark, PIECE))
+    assert g.inversions(["ref"]).count() == 0
+    got = [(r.chrom, r.pos, r.id, r.ref_seq, r.alt, r.ac, r["at"]) for r in g.inversions(["ref"], local=True).collect()]
+    assert got == [("ref#1#c", 5, ">2>4", "TAAC", "GTTA", "1", ">2>3>4,<4<3<2")]
+
+
+def test_pins_of_a_pair_are_seen_from_both_sides(spark):
+    pins = spark.createDataFrame([(0, 1, 3, 9), (0, 2, 4, 8)], "ref long, alt long, i long, j long")
+    refs = spark.createDataFrame([(0,), (1,)], "path_id long")
+    assert {tuple(r) for r in inversions.paired(pins, refs).collect()} == {(0, 1, 3, 9), (0, 2, 4, 8), (1, 0, 9, 3)}
+
+
 def test_stretches_against_growing_each_pin(spark):
     random.seed(11)
     turn = {">": "<", "<": ">"}
@@ -83,10 +145,9 @@ def test_stretches_against_growing_each_pin(spark):
             down = (i - own[k - 1][0] + 1) // 2 if k else None
             up = (own[k + 1][0] - i + 1) // 2 if k + 1 < len(own) else None
             grown.append(_grow(ref, w, i, j, down, up))
-        want |= {(0, p, *x) for x in inversions.merge([x for x in grown if x[2] > 1])}
+        want |= {(0, p, *x) for x in _added([x for x in grown if x[2] > 1])}
     got = inversions.stretches(spark.createDataFrame([(0, *x) for x in pins], "ref long, alt long, i long, j long"), steps).collect()
     assert {tuple(r) for r in got} == want and len(want) > 8
-    assert inversions.merge([(1, 1, 2), (1, 1, 2), (1, 2, 1)]) == [(1, 1, 2)]
 
 
 def test_alignments_are_cheapest():

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import flip, half_gap, revcomp
-from ..session import on_workers
 from . import graphs
 
 
@@ -19,6 +17,24 @@ def whole_pins(seen: DataFrame, anch: DataFrame) -> DataFrame:
     return inv.join(r, ["rov_id", "ref"]).join(h, ["rov_id", "hap"]).where("inv > 1 AND inv = rn AND inv = hn").select("ref", F.col("hap").alias("alt"), "i", "j")
 
 
+def local_pins(seen: DataFrame, anch: DataFrame) -> DataFrame:
+    """(ref, alt, i, j): pieces of two columns or more that a haplotype reads backwards, within regions that it does not invert whole.
+
+    A piece is a run of shared columns of which none is read alike; its pin is the reference's first step there and the
+    haplotype's last. Columns that only one of the two visits don't end a piece, as growing the pin compares all steps.
+    """
+    whole = whole_pins(seen, anch)
+    runs = anch.where("ref <> hap AND eq = 0").groupBy("rov_id", "ref", "hap", "ce").agg(F.count("*").alias("n"), F.min("rf").alias("i"), F.max("hl").alias("j"))
+    pins = runs.where("n > 1").select("ref", F.col("hap").alias("alt"), "i", "j").distinct()
+    return pins.join(whole, ["ref", "alt", "i", "j"], "left_anti")
+
+
+def paired(pins: DataFrame, refs: DataFrame) -> DataFrame:
+    """pins, and those between two of refs(path_id) again from the other's side: a chain takes the pins of an unordered pair."""
+    back = pins.join(refs.select(F.col("path_id").alias("alt")).distinct(), "alt", "left_semi").select(F.col("alt").alias("ref"), F.col("ref").alias("alt"), F.col("j").alias("i"), F.col("i").alias("j"))
+    return pins.select("ref", "alt", "i", "j").unionByName(back).distinct()
+
+
 def limits(pins: DataFrame) -> DataFrame:
     """pins with how far each may grow: half the gap to the pins before and after on the reference; no limit at the ends."""
     w = Window.partitionBy("ref", "alt").orderBy("i", "j")
@@ -26,28 +42,36 @@ def limits(pins: DataFrame) -> DataFrame:
     return p.withColumn("down", half_gap(F.col("i"), F.lag("i").over(w))).withColumn("up", half_gap(F.col("i"), F.lead("i").over(w)))
 
 
-def merge(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans of one haplotype pair: those within others go, those that overlap in step with each other join."""
-    out: list[tuple[int, int, int]] = []
-    for s, t, n in sorted(set(spans), key=lambda x: (x[0], -x[2])):
-        if out:
-            a, b, m = out[-1]
-            if s + n <= a + m:
-                continue
-            if s <= a + m and a + b + m == s + t + n:  # the same turning point
-                out[-1] = (a, t, s + n - a)
-                continue
-        out.append((s, t, n))
-    return out
+def merged(spans: DataFrame) -> DataFrame:
+    """spans(ref, alt, ref_start, alt_start, len) without repeats and parts: what no order of adding them one by one changes.
+
+    A span reads ref from ref_start on forwards and alt from alt_start + len - 1 on backwards; the sum of both is its
+    turning point. Of two spans of one pair
+      equal ones are one;
+      with one turning point, that touch or overlap, the one is extended by the other on the left or right, or held by it
+      or put in its place where it is longer: they are one span;
+      with different turning points, one whose place on alt lies within the longer other's goes, and of those with the
+      same place on alt the first on ref stays;
+      all others stay: other haplotypes at the same start, other places of one haplotype at the same start (inverted
+      repeats), and places apart.
+    """
+    at = ("ref", "alt", "turn")
+    s = spans.select("ref", "alt", "ref_start", "alt_start", "len").distinct().withColumn("turn", F.col("ref_start") + F.col("alt_start") + F.col("len")).withColumn("end", F.col("alt_start") + F.col("len"))
+    by = Window.partitionBy(*at).orderBy("alt_start", "end")
+    s = s.withColumn("new", F.coalesce(F.col("alt_start") > F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True)))
+    s = s.withColumn("group", F.sum(F.col("new").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    one = s.groupBy(*at, "group").agg(F.min("alt_start").alias("alt_start"), F.max("end").alias("end"))
+    one = one.select("ref", "alt", (F.col("turn") - F.col("end")).alias("ref_start"), "alt_start", "end")
+    over = Window.partitionBy("ref", "alt").orderBy("alt_start", F.desc("end"), "ref_start").rowsBetween(Window.unboundedPreceding, -1)
+    return one.withColumn("held", F.max("end").over(over)).where("held IS NULL OR held < end").select("ref", "alt", "ref_start", "alt_start", (F.col("end") - F.col("alt_start")).alias("len"))
 
 
 def stretches(pins: DataFrame, steps: DataFrame) -> DataFrame:
     """(ref, alt, ref_start, alt_start, len): merged inverted stretches of two steps or more.
 
     What alt reads backwards of ref meets by segment and opposite strand; meetings around one turning point (the sum of
-    both places) in a row are a stretch. It is cut to the limits of the pin within it; a task merges a pair's stretches.
+    both places) in a row are a stretch. It is cut to the limits of the pin within it; merged() joins them.
     """
-    on_workers(steps.sparkSession)
     p = limits(pins).withColumn("turn", F.col("i") + F.col("j"))
     r = steps.select(F.col("path_id").alias("ref"), F.col("step_idx").alias("a"), "seg_id", "strand").join(p.select("ref", "alt").distinct(), "ref")
     h = steps.select(F.col("path_id").alias("alt"), F.col("step_idx").alias("b"), "seg_id", flip(F.col("strand")).alias("strand"))
@@ -56,12 +80,7 @@ def stretches(pins: DataFrame, steps: DataFrame) -> DataFrame:
     runs = met.withColumn("island", island).groupBy("ref", "alt", "turn", "island").agg(F.min("a").alias("lo"), F.max("a").alias("hi"))
     grown = p.join(runs, ["ref", "alt", "turn"]).where("i BETWEEN lo AND hi").withColumn("c", F.greatest("lo", F.col("i") - F.col("down"))).withColumn("d", F.least("hi", F.col("i") + F.col("up")))
     grown = grown.where("d > c").select("ref", "alt", F.col("c").alias("ref_start"), (F.col("turn") - F.col("d")).alias("alt_start"), (F.col("d") - F.col("c") + 1).alias("len"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        spans = merge(list(zip(pdf.ref_start.tolist(), pdf.alt_start.tolist(), pdf.len.tolist())))
-        return pd.DataFrame([(pdf.ref.iloc[0], pdf.alt.iloc[0], *x) for x in spans], columns=list(pdf.columns))
-
-    return grown.groupBy("ref", "alt").applyInPandas(run, "ref long, alt long, ref_start long, alt_start long, len long")
+    return merged(grown)
 
 
 def subr_records(found: DataFrame, loci: DataFrame, paths: DataFrame) -> DataFrame:

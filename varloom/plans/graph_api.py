@@ -125,13 +125,18 @@ class Graph:
         more = calling.records(calling.alleles(anch2, calling.contexts(anch2), self.loci), cols2, self.paths)
         return rec.unionByName(more)
 
-    def inversions(self, refs: list[str], tree: DataFrame | None = None, apart: bool = False) -> DataFrame:
-        """subr_records() of the bubbles that a haplotype reads backwards as a whole; apart as in call()."""
+    def inversions(self, refs: list[str], tree: DataFrame | None = None, apart: bool = False, local: bool = False) -> DataFrame:
+        """subr_records() of the bubbles that a haplotype reads backwards as a whole, with local of pieces within them too;
+        apart as in call()."""
         chosen = self.references(refs)
         called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen, self.comps if apart else None)
         cols = self._columns(called)
         seen = written(calling.visits(cols, self.steps), "visits")
-        pins = written(inversions.whole_pins(seen, calling.anchors(seen, chosen)), "pins")
+        anch = written(calling.anchors(seen, chosen), "anchors")
+        pins = inversions.whole_pins(seen, anch)
+        if local:
+            pins = pins.unionByName(inversions.local_pins(seen, anch))
+        pins = written(inversions.paired(pins, chosen), "pins")
         return inversions.subr_records(written(inversions.stretches(pins, self.steps), "stretches"), self.loci, self.paths)
 
     def hairpins(self) -> DataFrame:

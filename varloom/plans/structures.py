@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import calling, decompose, sites, trees
+from ..operators import calling, decompose, inversions, sites, trees
 from . import synth
 from .durable import written
 
@@ -96,6 +96,31 @@ def q_hairpin_call(spark, d):
     return sites.lines(sites.calls(steps.unionByName(back), g.segments, g.paths.unionByName(more), 0)).select("pos", "line")
 
 
+#: An outer bubble whose alternative paths read a piece of the reference path backwards. Fixed values.
+PIECE = [
+    *[f"S\t{i}\t{s}" for i, s in enumerate(["AC", "G", "T", "AA", "C", "GT", "A", "TT"])],
+    *[f"L\t{a}\t+\t{a + 1}\t+\t0M" for a in range(7)],
+    "L\t1\t+\t4\t-\t0M",
+    "L\t2\t-\t5\t+\t0M",
+    "L\t0\t+\t7\t+\t0M",
+    "P\tref#1#c\t0+,1+,2+,3+,4+,5+,6+,7+\t*",
+    "P\talt#1#c\t0+,1+,4-,3-,2-,5+,6+,7+\t*",
+    "P\tgap#1#c\t0+,7+\t*",
+]
+
+
+def q_local_inversions(spark, d):
+    return synth.copies(spark, d, PIECE).inversions(["ref"], apart=True, local=True).select("chrom", "pos", "id", "ref_seq", "alt", "ac", "an", "at")
+
+
+def q_merged_inversions(spark, d):
+    """Spans of order lines: a turning point or two for each supplier, so that they hold, touch and repeat one another."""
+    li = spark.read.parquet(f"{d}/lineitem.parquet")
+    t, n = F.col("l_partkey") % 200, F.lit(2) + F.col("l_orderkey") % 5
+    spans = li.select(F.lit(0).cast("long").alias("ref"), F.col("l_suppkey").alias("alt"), t.alias("alt_start"), n.alias("len"), (F.lit(300) + 50 * (F.col("l_linenumber") % 2) - t - n).cast("long").alias("ref_start"))
+    return inversions.merged(spans)
+
+
 #: Bubbles of the small graphs in synth.GADGETS: graph, number, symbol, first and second end as strand and segment, number
 #: of the bubble around, route, kind. Plain ones (F, T, O) come first; their level counts plain ones around them. Fixed values.
 BUBBLES = [
@@ -162,6 +187,13 @@ lp AS (SELECT *, 1 + coalesce(sum(length(qb) + length(qr)) OVER (ORDER BY s ROWS
             CASE WHEN s % 2 = 0 THEN qa ELSE qb END AS alt, CAST(ac AS VARCHAR) AS ac, CASE WHEN ac = an THEN '1' ELSE CAST(ac / an AS VARCHAR) END AS af, an, an AS ns,
             CASE WHEN s % 2 = 0 THEN '>' || 3 * s + 1 || ',>' || 3 * s + 2 ELSE '>' || 3 * s || '>' || 3 * s + 1 || ',>' || 3 * s END AS "at", CASE WHEN s % 2 = 0 THEN 'SUB' ELSE 'DEL' END AS vartype,
             CAST(deep AS BIGINT) AS lv, CASE WHEN deep THEN '>' || {3 * synth.BLOCK} * b || '>' || {3 * synth.BLOCK} * (b + 1) ELSE '-' END AS parent, gts FROM n JOIN lp USING (s) WHERE ac > 0""",
+        "local_inversions": f"""SELECT 'ref#1#c_' || k AS chrom, CAST(5 AS BIGINT) AS pos, '>' || x + 2 || '>' || x + 4 AS id, 'TAAC' AS ref_seq, 'GTTA' AS alt, '1' AS ac, CAST(2 AS BIGINT) AS an,
+            '>' || x + 2 || '>' || x + 3 || '>' || x + 4 || ',<' || x + 4 || '<' || x + 3 || '<' || x + 2 AS "at" FROM (SELECT s_suppkey AS k, {synth.SEGMENTS_APART} * s_suppkey AS x FROM supplier)""",
+        "merged_inversions": """WITH s AS (SELECT DISTINCT l_suppkey AS alt, l_partkey % 200 AS a, l_partkey % 200 + 2 + l_orderkey % 5 AS b, 300 + 50 * (l_linenumber % 2) AS turn FROM lineitem),
+            x AS (SELECT DISTINCT alt, turn, unnest(range(a, b)) AS x FROM s),
+            i AS (SELECT alt, turn, min(x) AS a, max(x) + 1 AS b FROM (SELECT alt, turn, x, x - row_number() OVER (PARTITION BY alt, turn ORDER BY x) AS g FROM x) GROUP BY alt, turn, g)
+            SELECT CAST(0 AS BIGINT) AS ref, alt, CAST(turn - b AS BIGINT) AS ref_start, a AS alt_start, CAST(b - a AS BIGINT) AS len FROM i
+            WHERE NOT EXISTS (SELECT 1 FROM i o WHERE o.alt = i.alt AND o.turn <> i.turn AND o.a <= i.a AND i.b <= o.b AND (o.a < i.a OR i.b < o.b OR o.turn < i.turn))""",
         "hairpin_call": f"""WITH {CHAIN}, w AS (SELECT string_agg('>' || seg, '' ORDER BY i) AS f, string_agg('<' || seg, '' ORDER BY i DESC) AS r, string_agg(q, '' ORDER BY i) AS dna, min(seg) AS a, max(seg) AS z, max(locus) FILTER (i = 1) AS pos FROM lo WHERE h = 0)
             SELECT pos, concat_ws(chr(9), 'H0#1#chr1', pos, '>' || a || '>' || z, dna, reverse(translate(dna, 'ACGT', 'TGCA')), '60', 'PASS', 'AC=1;AF=0.5;AN=2;NS=2;AT=' || f || ',' || r || ';VARTYPE=SUBR;TANGLED=F', 'GT',
             (SELECT '0' || repeat(chr(9) || '.', count(*) - 1) FROM nation), '1', '.') AS line FROM w""",

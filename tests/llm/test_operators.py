@@ -100,16 +100,35 @@ def test_components(spark):
 # ---- substring dedup
 
 
-def test_borders_follow_content():
+def test_gear_rolls_over_words():
     rng = np.random.default_rng(4)
-    a = rng.integers(32, 127, 4000).astype(np.uint8)
-    b = np.concatenate([rng.integers(32, 127, 37).astype(np.uint8), a])
-    x, y = set(substring.borders(a).tolist()), {v - 37 for v in substring.borders(b).tolist()}
-    assert len(x & y) > 0.95 * len(x)
-    for data in (np.zeros(9000, np.uint8), np.zeros(0, np.uint8), a[:5]):
-        ends = substring.borders(data)
-        assert (len(data) == 0 and len(ends) == 0) or ends[-1] == len(data)
-        assert len(ends) == 0 or np.diff(ends, prepend=0).max() <= substring.MAX_CHUNK
+    words = rng.integers(0, 2**63, 500).astype(np.uint64)
+    mask, number = (1 << substring.GEAR_BITS) - 1, shingles.mix(words) >> np.uint64(64 - substring.GEAR_BITS)
+    for span in (1, 2, 3):
+        shift, h, want = -(-substring.GEAR_BITS // span), 0, []
+        for i, g in enumerate(number.tolist()):
+            h = ((h << shift) + g) & mask  # one step a word, whatever stood before
+            if i >= span - 1:
+                want.append(h)
+        assert substring.gear(words, span).tolist() == want
+
+
+def test_chunks_follow_content():
+    """Words put in before and within a text change the chunks around them and no others, and chunks are of bounded size."""
+    rng = random.Random(4)
+    own = words(rng, 4000, 3000).split()
+    put = own[:1500] + ["some", "new", "words"] + own[1500:]
+
+    def cut(text):
+        data = " ".join(text).encode()
+        starts, _, _, chosen = substring.word_borders(np.frombuffer(data, np.uint8), 50)
+        assert np.diff(chosen).max() <= substring.window_of(50)[1] and chosen[0] < substring.window_of(50)[1]
+        return [" ".join(text[a:b]) for a, b in zip(chosen, chosen[1:])]
+
+    a = cut(own)
+    for other in (cut(["in", "front"] * 20 + own), cut(put)):
+        left = collections.Counter(a) - collections.Counter(other)
+        assert sum(left.values()) <= 6 and len(a) > 200
 
 
 def test_passages_against_windows(spark):

@@ -1,4 +1,8 @@
-"""Substring dedup: chunks of words under a rolling hash find what may repeat, digests of whole word windows what does."""
+"""Substring dedup: content-defined chunks find what may repeat, digests of whole word windows what does.
+
+A gear hash rolls over a text's words: with every word it moves up and takes the word's own number, so that it depends on
+the last few words alone. A chunk ends where the hash is the least of a window of places. Chunks are deduplicated by digest.
+"""
 
 from __future__ import annotations
 
@@ -16,23 +20,27 @@ from .shingles import mix
 MIN_WORDS = 50
 #: A border of words stands where the hash of so many words is the least of a window of places; see window_of().
 SPAN = 3
-#: For borders() of plain bytes.
-WINDOW = 96
-MAX_CHUNK = 4095
-_GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.uint32)
+#: Bits of a place's hash.
+GEAR_BITS = 33
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _BYTE = np.where(_BLANK, np.uint64(0), mix(np.arange(1, 257, dtype=np.uint64)))
 _POWER = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
-_C1, _C2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """The rolling hash after each byte: h = (h << 1) + GEAR[byte] modulo 2 ** 32, so of the last 32 bytes."""
-    h = _GEAR[data]
-    for s in (1, 2, 4, 8, 16):
-        h[s:] += h[:-s].copy() << np.uint32(s)
-    return h
+def gear(words: np.ndarray, span: int) -> np.ndarray:
+    """The rolling hash after each word from the span-th on: h = (h << shift) + GEAR[word] modulo 2 ** GEAR_BITS.
+
+    words: a 64-bit hash of each word; its number in the gear table is a further mix of it, as a table of all words cannot
+    be held. The shift is such that a word has left the hash after span words.
+    """
+    shift = -(-GEAR_BITS // span)
+    number = mix(words) >> np.uint64(64 - GEAR_BITS)
+    n = len(words) - span + 1
+    h = np.zeros(n, np.uint64)
+    for k in range(span):
+        h = (h << np.uint64(shift)) + number[k : k + n]
+    return h & np.uint64((1 << GEAR_BITS) - 1)
 
 
 def _least(key: np.ndarray, window: int) -> np.ndarray:
@@ -47,32 +55,6 @@ def _least(key: np.ndarray, window: int) -> np.ndarray:
     return least
 
 
-def borders(data: np.ndarray, window: int = WINDOW, max_chunk: int = MAX_CHUNK) -> np.ndarray:
-    """Ends of the chunks of one text's bytes, its length last.
-
-    Of equal least hashes within 32 bytes of each other (short-period text) one stands every 32 bytes or so: whatever
-    their phase, the chunks between them hold the same bytes. Chunks over max_chunk are cut.
-    """
-    n = len(data)
-    if n <= window:
-        return np.array([n] if n else [], np.int64)
-    key = gear(data).astype(np.uint64) << np.uint64(32) | np.arange(n, dtype=np.uint64)
-    least = _least(key, window)
-    change = np.flatnonzero(least[1:] != least[:-1]) + 1
-    chosen = np.unique(np.concatenate([least[:1], least[change]]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    if len(chosen) > 1:
-        h = key[chosen] >> np.uint64(32)
-        same = (h[1:] == h[:-1]) & (chosen[1:] - chosen[:-1] < 32)
-        run = np.concatenate([[0], np.cumsum(~same)])
-        lap = (chosen - chosen[np.searchsorted(run, run)]) // 32
-        chosen = chosen[np.concatenate([[True], ~same | (lap[1:] != lap[:-1])])]
-    ends = np.unique(np.append(chosen + 1, n))
-    sizes = np.diff(ends, prepend=0)
-    if sizes.max() > max_chunk:
-        ends = np.concatenate([np.append(np.arange(a + max_chunk, b, max_chunk), b) for a, b in zip(ends - sizes, ends)])
-    return ends
-
-
 def window_of(min_words: int) -> tuple[int, int]:
     """(words hashed, places compared) such that any min_words words, however short, decide two borders by themselves."""
     if min_words < 2:
@@ -102,12 +84,10 @@ def word_borders(data: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarr
     offset = np.arange(at, len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
     word = mix(np.add.reduceat(_BYTE[data[at:]] * _POWER[offset & 1023], starts - at))
     span, window = window_of(min_words)
-    n = len(word) - span + 1
-    key = word[:n].copy()
-    for k in range(1, span):
-        key = key * _C1 + word[k : k + n] * _C2
-    key = mix(key) >> np.uint64(32) << np.uint64(32) | np.arange(n, dtype=np.uint64)
-    least = (_least(key, window) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    h = gear(word, span)
+    # a text of Spark's greatest size, 2 GB, has fewer words than the places that 31 bits tell apart
+    key = h << np.uint64(64 - GEAR_BITS) | np.arange(len(h), dtype=np.uint64)
+    least = (_least(key, window) & np.uint64((1 << (64 - GEAR_BITS)) - 1)).astype(np.int64)
     return starts, ends, least, least[np.append(True, least[1:] != least[:-1])]
 
 

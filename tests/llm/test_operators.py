@@ -398,6 +398,26 @@ def test_forest_against_all_pairs(spark):
     assert embedding.near_vectors(df.limit(0)).count() == 0
 
 
+def test_a_wide_vector_narrows_no_others(spark, monkeypatch):
+    """The sample of each length is bounded by its own width."""
+    rng = np.random.default_rng(6)
+    rows = [(i, "a", rng.standard_normal(16).tolist()) for i in range(1500)]
+    rows += [(2000 + i, "a", (np.array(rows[i][2]) * 2).tolist()) for i in range(100)]
+    rows.append((5000, "a", rng.standard_normal(400_000).tolist()))
+    seen = {}
+    grow = embedding.grow_forest
+
+    def watched(x, label, scale, similarity, **more):
+        seen[x.shape[1]] = (len(x), scale, (forest := grow(x, label, scale, similarity, **more)).threshold)
+        return forest
+
+    monkeypatch.setattr(embedding, "grow_forest", watched)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding.near_vectors(spark.createDataFrame(rows, "vec_id long, label string, embedding array<double>"), leaf=48).collect()}
+    size, scale, threshold = seen[16]
+    assert size == 1600 and scale == 1 and all(len(t) > 10 for t in threshold)
+    assert all(got[2000 + i] == (1, i) and got[i] == (1, i) for i in range(100)) and got[5000] == (0, 5000) and len(got) == 1601
+
+
 def test_forest_of_real_depth(spark):
     """Pairs planted at a cosine of 0.98 to 0.985, in a forest of four levels and more: all are found."""
     rng = np.random.default_rng(20)

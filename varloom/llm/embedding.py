@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_map, components, written
 
-#: The forest is laid out on a sample of at most so many vectors and of so many numbers, drawn by hash over the whole
-#: table. They bound the driver's memory.
+#: The forest is laid out on a sample of about so many vectors at most and, of each length in proportion to its part of
+#: the table, of so many numbers, drawn by hash over the whole table. They bound the driver's memory.
 SAMPLE, SAMPLE_NUMBERS = 50_000, 4_000_000
 #: LEAF: vectors of a label that a leaf is expected to hold at most.
 TREES, LEAF, MAX_DEPTH, MIN_SAMPLE = 4, 256, 16, 16
@@ -160,17 +160,17 @@ def near_vectors(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str
     reps = keyed.where("sound").groupBy("label", "k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("mult"), F.first("v").alias("v"))
     reps = written(reps, "vectors")
     n = reps.count()
-    widest = reps.agg(F.max(F.size("v"))).first()[0] or 1
-    sample = max(1, min(sample, SAMPLE_NUMBERS // widest))
-    order = F.pmod(F.xxhash64("k1", "rep"), F.lit(1 << 40))
-    drawn = reps.where(order < int(min(1.0, 1.2 * sample / max(n, 1)) * (1 << 40))).orderBy(order, "rep").limit(sample)
-    picked = drawn.select("label", "v", F.size("v").alias("dim")).toArrow().combine_chunks()
+    # a length's share of the sample follows from its own width, so that a wide vector narrows no others
+    size = F.size("v")
+    share = F.least(F.lit(1.0), F.least(F.lit(float(sample)), F.lit(float(SAMPLE_NUMBERS)) / size) / max(n, 1))
+    draw = F.pmod(F.xxhash64("k1", "rep"), F.lit(1 << 40)) / float(1 << 40)
+    picked = reps.where(draw < share).select("label", "v", size.alias("dim"), share.alias("share")).limit(int(1.2 * sample) + 100).toArrow().combine_chunks()
     forests: dict[int, Forest] = {}
     dims = picked.column("dim").to_numpy()
     for dim in np.unique(dims).tolist():
         part = picked.take(pa.array(np.flatnonzero(dims == dim))).combine_chunks()
         names = np.array([str(v) for v in part.column("label").to_pylist()])
-        forests[dim] = grow_forest(unit_rows(part.column("v").chunk(0), dim), names, n / max(len(dims), 1), similarity, trees=trees, leaf=leaf)
+        forests[dim] = grow_forest(unit_rows(part.column("v").chunk(0), dim), names, 1 / part.column("share")[0].as_py(), similarity, trees=trees, leaf=leaf)
 
     label_type = reps.schema["label"].dataType.simpleString()
 

@@ -1,7 +1,10 @@
 """Substring dedup: content-defined chunks find what may repeat, digests of whole word windows what does.
 
 A gear hash rolls over a text's words: with every word it moves up and takes the word's own number, so that it depends on
-the last few words alone. A chunk ends where the hash is the least of a window of places. Chunks are deduplicated by digest.
+the last few words alone. A chunk ends where the hash is the least of a window of places. Chunks are deduplicated by digest:
+each is known by the document of smallest id that holds it. Chunks in a row with one such document, at places that lie as
+far apart there, are a run that this document holds as a whole. Only windows of words that no run covers are digested
+themselves.
 """
 
 from __future__ import annotations
@@ -126,8 +129,18 @@ def _rows(batches: Iterator[pa.RecordBatch], names: list[str], of_row, most: int
         yield _batch(batch, names, *cols)
 
 
+def _back(starts: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """How far before each start stands the text's first one with the same digest."""
+    _, lead, which = np.unique(digest, return_index=True, return_inverse=True)
+    return starts - starts[lead[which]]
+
+
 def chunks(docs: DataFrame, *, id_col: str, text_col: str, min_words: int) -> DataFrame:
-    """(id, digest, pos) of every chunk between two borders of every whole text of min_words words; pos: its first word."""
+    """(id, digest, pos, back) of every chunk between two borders of every whole text of min_words words.
+
+    pos packs start << 32 | number of its first word, start in bytes of UTF-8; back: how far before stands the text's first
+    chunk of this digest.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def of_row(batch: pa.RecordBatch, i: int) -> tuple | None:
@@ -135,16 +148,21 @@ def chunks(docs: DataFrame, *, id_col: str, text_col: str, min_words: int) -> Da
         if got is None:
             return None
         view, starts, _, _, chosen = got
-        return _digests(view, starts[chosen[:-1]], starts[chosen[1:]]), chosen[:-1]
+        a = starts[chosen[:-1]]
+        digest = _digests(view, a, starts[chosen[1:]])
+        return digest, a << 32 | chosen[:-1], _back(a, digest)
 
-    return arrow_map(docs.select(id_col, text_col), lambda b: _rows(b, ["digest", "pos"], of_row), f"id {kind}, digest long, pos long")
+    return arrow_map(docs.select(id_col, text_col), lambda b: _rows(b, ["digest", "pos", "back"], of_row), f"id {kind}, digest long, pos long, back long")
 
 
-def windows(docs: DataFrame, *, min_words: int) -> DataFrame:
-    """(id, digest, pos, size, back) of every window of min_words words all of whose chunks are in hits.
+def runs_and_windows(docs: DataFrame, *, min_words: int) -> DataFrame:
+    """(id, digest, pos, size, back, words): runs of chunks, and every window that no run covers but whose chunks are all hits.
 
-    docs: id, text, hits (first words of the chunks that another document holds too). pos packs start << 32 | number of
-    the first word; start and size in bytes of UTF-8; back is how far before stands the text's first such window.
+    docs: id, text, hits: (pos, f, fs) of the chunks that another document holds too, f the smallest id that holds one, fs
+    where it first stands there. pos packs start << 32 | number of the first word; start and size in bytes of UTF-8. Of a
+    run words is the number of its words, digest the id that holds it and back how much later it stands here; of a window
+    words is 0 and back is how far before stands the text's first such window. A run has min_words words or more and is
+    held by a smaller id. The smallest id that holds a window has no run over it, so it has a row for it.
     """
     span, window = window_of(min_words)
     far = min_words - span + 1 - window
@@ -154,17 +172,35 @@ def windows(docs: DataFrame, *, min_words: int) -> DataFrame:
         if got is None:
             return None
         view, starts, ends, least, chosen = got
-        missing = np.append(0, np.cumsum(~np.isin(chosen[:-1], batch.column(2)[i].values.to_numpy())))
+        own, hits = batch.column(0)[i].as_py(), batch.column(2)[i].values
+        pos, f, fs = (hits.field(k).to_numpy() for k in ("pos", "f", "fs"))
+        at = np.searchsorted(chosen, pos & 0xFFFFFFFF)
+        holder, shift = np.zeros(len(chosen), np.int64), np.zeros(len(chosen), np.int64)
+        is_hit = np.zeros(len(chosen), bool)  # the last place is no chunk
+        is_hit[at], holder[at], shift[at] = True, f, fs - (pos >> 32)
+        new = ~(is_hit[1:] & is_hit[:-1] & (holder[1:] == holder[:-1]) & (shift[1:] == shift[:-1]))
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(chosen)]])
+        lo, hi = cuts[:-1], np.minimum(cuts[1:], len(chosen) - 1)
+        long = is_hit[lo] & (holder[lo] != own) & (chosen[hi] - chosen[lo] >= min_words)
+        a, b, r = chosen[lo[long]], chosen[hi[long]], lo[long]
+        missing = np.append(0, np.cumsum(~is_hit[:-1]))
         place = np.cumsum(np.append(0, least[1:] != least[:-1]))  # of least in chosen
-        first = np.flatnonzero(missing[place[far:]] == missing[place[: len(place) - far]])
-        if not len(first):
+        full = missing[place[far:]] == missing[place[: len(place) - far]]
+        covered = np.zeros(len(full) + 1, np.int64)
+        np.add.at(covered, a, 1)
+        np.add.at(covered, b - min_words + 1, -1)
+        first = np.flatnonzero(full & (np.cumsum(covered)[:-1] == 0))
+        if not len(first) and not len(a):
             return None
-        a, b = starts[first], ends[first + min_words - 1]
-        digest = _digests(view, a, b)
-        _, lead, which = np.unique(digest, return_index=True, return_inverse=True)
-        return digest, a << 32 | first, b - a, a - a[lead[which]]
+        s, e = starts[first], ends[first + min_words - 1]
+        digest = _digests(view, s, e)
+        join = np.concatenate
+        return (
+            join([holder[r], digest]), join([starts[a] << 32 | a, s << 32 | first]), join([ends[b - 1] - starts[a], e - s]),
+            join([-shift[r], _back(s, digest) if len(s) else s]), join([b - a, np.zeros(len(first), np.int64)]),
+        )
 
-    return arrow_map(docs.select("id", "text", "hits"), lambda b: _rows(b, ["digest", "pos", "size", "back"], of_row), "id long, digest long, pos long, size long, back long")
+    return arrow_map(docs.select("id", "text", "hits"), lambda b: _rows(b, ["digest", "pos", "size", "back", "words"], of_row), "id long, digest long, pos long, size long, back long, words long")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -177,29 +213,32 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     id must be an integer; null ids and null or short texts have no passages; of an id that repeats with different texts
     any row's text may be compared. Words are set apart by ASCII white space.
 
-    Whatever two documents share of min_words words holds a chunk with the same borders in both, so only windows whose
-    chunks all stand in two documents are looked at. These meet by a 64-bit digest of all their bytes: partial minima find
-    each digest's first place, and joins whose hot digests can be split bring it back. Windows one word apart with the
-    same first document and shift become one row.
+    Whatever two documents share of min_words words holds a chunk with the same borders in both. Chunks meet by a 64-bit
+    digest of all their bytes, which tells the first document and place of each. A run of chunks that one document holds
+    in a row is held by no smaller one, so its windows need no digests; the others whose chunks all stand in two
+    documents meet by theirs. Partial minima find each digest's first place, and joins whose hot digests can be split
+    bring it back. Windows one word apart with the same first document and shift become one row.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    start, number = F.shiftright("pos", 32), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF))
+    # least id with its place: plain numbers, so that partial results are kept by hash and not sorted
+    lead = (start - F.col("back")).alias("lead")
+    firsts = lambda x: x.select("id", "digest", lead).groupBy("digest").agg(F.min("id").alias("f"), F.min_by("lead", "id").alias("fs"), F.max("id").alias("m")).where("f < m").select("digest", "f", "fs")
     c = written(chunks(rows, id_col="id", text_col="text", min_words=min_words), "chunks")
-    both = c.groupBy("digest").agg(F.min("id").alias("f"), F.max("id").alias("m")).where("f < m").select("digest")
-    both = written(both, "shared")
-    hits = written(c.join(both, "digest").groupBy("id").agg(F.collect_list("pos").alias("hits")), "hits")
-    discard(c, both)
-    w = written(windows(rows.join(hits, "id"), min_words=min_words), "windows")
+    shared = written(firsts(c), "shared")
+    hits = written(c.select("id", "digest", "pos").join(shared, "digest").groupBy("id").agg(F.collect_list(F.struct("pos", "f", "fs")).alias("hits")), "hits")
+    discard(c, shared)
+    w = written(runs_and_windows(rows.join(hits, "id"), min_words=min_words), "windows")
     discard(hits)
-    # least id with its place: plain numbers, so that partial results are kept by hash and not sorted
-    start, number = F.shiftright("pos", 32), F.col("pos").bitwiseAND(F.lit(0xFFFFFFFF))
-    first = w.select("id", "digest", (start - F.col("back")).alias("lead")).groupBy("digest").agg(F.min("id").alias("f"), F.min_by("lead", "id").alias("fs"), F.max("id").alias("m")).where("f < m").select("digest", "f", "fs")
-    first = written(first, "firsts")
-    hit = w.join(first, "digest").where("id <> f").select("id", start.alias("s"), (start + F.col("size")).alias("e"), number.alias("k"), "f", "fs")
-    # windows of one document one word apart with the same first document and shift are one passage
+    alone = w.where("words = 0")
+    first = written(firsts(alone), "firsts")
+    hit = alone.select("id", "digest", "pos", "size").join(first, "digest").where("id <> f").select("id", start.alias("s"), (start + F.col("size")).alias("e"), number.alias("k"), number.alias("last"), "f", "fs")
+    run = w.where("words > 0").select("id", start.alias("s"), (start + F.col("size")).alias("e"), number.alias("k"), (number + F.col("words") - min_words).alias("last"), F.col("digest").alias("f"), (start - F.col("back")).alias("fs"))
+    # windows and runs of one document one word apart with the same first document and shift are one passage
     per_doc = Window.partitionBy("id").orderBy("k", "s", "f", "fs")
-    joins = (F.col("k") - F.lag("k").over(per_doc) <= 1) & (F.lag("f").over(per_doc) == F.col("f")) & (F.lag(F.col("fs") - F.col("s")).over(per_doc) == F.col("fs") - F.col("s"))
-    runs = hit.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("new").over(per_doc))
-    runs = runs.groupBy("id", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), (F.max("k") - F.min("k") + min_words).alias("n_words"), F.min("f").alias("first_id"), F.min("fs").alias("first_start"))
+    joins = (F.col("k") - F.lag("last").over(per_doc) <= 1) & (F.lag("f").over(per_doc) == F.col("f")) & (F.lag(F.col("fs") - F.col("s")).over(per_doc) == F.col("fs") - F.col("s"))
+    runs = hit.unionByName(run).withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("run", F.sum("new").over(per_doc))
+    runs = runs.groupBy("id", "run").agg(F.min("s").alias("start"), F.max("e").alias("end"), (F.max("last") - F.min("k") + min_words).alias("n_words"), F.min("f").alias("first_id"), F.min("fs").alias("first_start"))
     return runs.drop("run").withColumnRenamed("id", id_col)
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.operators import calling, collinear, decompose, graphs, profiles, validate
+from varloom.operators import calling, collinear, decompose, graphs, profiles, subbubbles, validate
 from varloom.plans.durable import numbered
 from varloom.plans.graph_api import Graph
 from varloom.sources import gfa, vcf
@@ -98,7 +98,8 @@ def test_tree_measures_against_walks():
         n = rng.randrange(2, 14)
         links = [(k, k, "r", k + 1, "l") for k in range(n - 1)] + [(n + k, rng.randrange(n), rng.choice("lr"), rng.randrange(n), rng.choice("lr")) for k in range(rng.randrange(6))]
         tree = decompose.spanning_tree(range(n), links)
-        m, parent = decompose.tree_measures(tree), tree["parent"]
+        decompose.cycle_classes(tree)
+        m, parent, arcs = decompose.tree_measures(tree), tree["parent"], subbubbles.Arcs(tree)
 
         def above(v):
             out = []
@@ -113,7 +114,7 @@ def test_tree_measures_against_walks():
             cross = sum(v in above(parent[max(a, b)]) and min(a, b) in above(v)[1:] for _, a, b in tree["back"] if a != b)
             assert m["brackets"][v] == cross
             w = rng.randrange(len(parent))
-            assert decompose.lowest_common(tree, m["depth"], v, w) == max(set(above(v)) & set(above(w)))
+            assert arcs.common(v, w) == max(set(above(v)) & set(above(w)))
 
 
 def test_nested_against_the_join(spark):
@@ -282,8 +283,13 @@ def test_vcf_written_and_read(spark, tmp_path):
     vcf.write(g.gfa2vcf(["HG1"]), head, spark.createDataFrame([(0, "HG1#1#chr1", 5)], "k long, chrom string, length long"), str(tmp_path / "out"))
     lines = vcf.read_lines(spark, str(tmp_path / "out"))
     assert vcf.samples(lines) == ["HG1", "HG2"]
-    got = vcf.records(lines).orderBy("pos").select("pos", "id", vcf.info("VARTYPE").alias("t")).collect()
-    assert [tuple(r) for r in got] == [(2, ">0>3", "SUB"), (4, ">3>6", "SUB")]
+    names, rec = vcf.read(spark, str(tmp_path / "out"))
+    assert names == ["HG1", "HG2"]
+    assert [tuple(r) for r in rec.orderBy("pos").select("pos", "id", vcf.info("VARTYPE").alias("t")).collect()] == [(2, ">0>3", "SUB"), (4, ">3>6", "SUB")]
+    text = [r.value for r in lines.orderBy("line_no").collect()]
+    (tmp_path / "short.vcf").write_text("\n".join([*text[:-1], text[-1].rpartition("\t")[0]]))
+    with pytest.raises(ValueError, match="11 fields a record: 10 in line"):
+        vcf.read(spark, str(tmp_path / "short.vcf"))
 
 
 def test_empty_graph(spark):

@@ -42,6 +42,11 @@ def test_fasta(spark):
     assert {r.name: r.sequence for r in texts.fasta(lines).collect()} == {"a": "ACGT", "b": "", "c": "GG"}
 
 
+def test_reference_list(spark, tmp_path):
+    (tmp_path / "refs.txt").write_text("# chosen\nHG1 more words\n\n  HG2\t#x\n#HG3\nref#0#c\n")
+    assert sorted(r.prefix for r in texts.reference_list(spark, str(tmp_path / "refs.txt")).collect()) == ["HG1", "HG2", "ref#0#c"]
+
+
 def test_inversion_of_a_whole_path(spark):
     text = [f"S\t{i}\t{s}" for i, s in enumerate("ACGTA", 1)] + [f"L\t{a}\t+\t{b}\t+\t0M" for a, b in ((1, 2), (2, 3), (3, 4), (4, 5), (1, 5))] + [f"L\t{a}\t-\t{b}\t-\t0M" for a, b in ((5, 4), (4, 3), (3, 2), (2, 1))]
     text += ["P\tref\t1+,2+,3+,4+,5+\t*", "P\talt\t5-,4-,3-,2-,1-\t*"]

@@ -61,6 +61,17 @@ def in_side(strand: Column) -> Column:
     return F.when(strand == "+", "l").otherwise("r")
 
 
+def reversed_link() -> list[Column]:
+    """The columns of a link read from its other end."""
+    return [F.col("edge_idx"), F.col("v2").alias("v1"), F.col("v2_end").alias("v1_end"), F.col("v1").alias("v2"), F.col("v1_end").alias("v2_end")]
+
+
+def other_end(seg_id: Column, side: Column) -> Column:
+    """struct(seg_id, side): where a link leads from one of its ends; null if this is none of its ends."""
+    end = lambda v, e: F.struct(F.col(v).alias("seg_id"), F.col(e).alias("side"))
+    return F.when((F.col("v1") == seg_id) & (F.col("v1_end") == side), end("v2", "v2_end")).when((F.col("v2") == seg_id) & (F.col("v2_end") == side), end("v1", "v1_end"))
+
+
 def half_gap(a: Column, b: Column) -> Column:
     """Half the distance of two numbers, rounded up from distance + 1."""
     return F.floor((F.abs(a - b) + 1) / 2).cast("bigint")

@@ -252,16 +252,6 @@ def tree_measures(tree: dict) -> dict[str, list[int]]:
     return {"depth": depth, "size": size, "brackets": brackets}
 
 
-def lowest_common(tree: dict, depth: list[int], a: int, b: int) -> int:
-    """The lowest tree vertex that holds both in its subtree."""
-    parent = tree["parent"]
-    while a != b:
-        if depth[a] < depth[b]:
-            a, b = b, a
-        a = parent[a]
-    return a
-
-
 class _Families:
     """What kind of bubble a bubble without others in it is, told from the tree between its inner ends.
 

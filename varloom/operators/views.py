@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,12 @@ def path_window(steps: DataFrame, path_id: int, mid: int, each_side: int = 250)
     return steps.where((F.col("path_id") == path_id) & F.col("step_idx").between(mid - each_side, mid + each_side))
 
 
+def passes(steps: DataFrame, seg_id: int) -> DataFrame:
+    """(path_id, step_idx, strand, nth): every place where a path passes the segment of a number, counted along the path."""
+    nth = F.row_number().over(Window.partitionBy("path_id").orderBy("step_idx"))
+    return steps.where(F.col("seg_id") == seg_id).select("path_id", "step_idx", "strand", nth.alias("nth"))
+
+
 def genotype_table(genotypes: DataFrame, samples: list[str]) -> DataFrame:
     """genotypes(id, vartype, hap_col, allele) with a column per sample."""
     names = F.create_map(*[x for i, s in enumerate(samples) for x in (F.lit(i), F.lit(s))])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import calling, collinear, decompose, graphs, inversions, sites, subbubbles, untangle, validate
-from ..sources import gfa, pvst, vcf
+from ..sources import gfa, pvst, texts, vcf
 from .durable import written
 
 
@@ -84,6 +84,11 @@ class Graph:
         """(comp_id, idx, line): bubbles() as the tree's text."""
         return pvst.lines_of(pvst.with_root(self._bubbles))
 
+    def export(self, refs: list[str], apart: bool = False) -> DataFrame:
+        """(kind, n, json): graph, bubble tree, class stack and calls, see texts.structure_export()."""
+        rec = written(self.call(refs, apart=apart), "records")
+        return texts.structure_export(self.segments, self.links, self.paths, self.steps, pvst.with_root(self._bubbles), decompose.next_seen(self.class_stack), rec, calling.genotype_matrix(rec, self.paths))
+
     def prune(self) -> DataFrame:
         """(comp_id, line): each component's structure as GFA text without sequences."""
         s = self.comps.select("comp_id", F.concat(F.lit("S\t"), F.col("seg_id").cast("string"), F.lit("\tA")).alias("line"))

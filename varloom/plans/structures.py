@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import calling, decompose, inversions, sites, trees
+from ..operators import calling, decompose, inversions, profiles, sites, trees, views
+from ..sources import vcf
 from . import synth
-from .durable import written
+from .durable import stage_costs, traced, written
 
 
 def _forest(spark: SparkSession, d: str) -> DataFrame:
@@ -109,6 +110,69 @@ PIECE = [
 ]
 
 
+def q_structure_export(spark, d):
+    from .catalogue import NESTED
+
+    return synth.copies(spark, d, [*NESTED[:-1], "P\tHG3#1#chr1\t0+,2+,5+\t*"]).export(["HG1"], apart=True)
+
+
+def q_stage_trace(spark, d):
+    """What decomposing the chain writes, counted as it is written."""
+    g = synth.chain(spark, d)
+    with traced() as told:
+        g.decompose(families=True)
+    rows = [(stage, calls, items) for stage, calls, items, _ in stage_costs(told) if stage in ("labels", "comps", "kinds")]
+    return spark.createDataFrame(rows, "stage string, calls long, items long")
+
+
+def q_sql_functions(spark, d):
+    """The functions that register() gives to SQL, called by their names there."""
+    from .catalogue import _named
+
+    scalars.register(spark)
+    _named(spark, d).createOrReplaceTempView("varloom_named")
+    return spark.sql("""SELECT path_id, pansn_sample(name) AS sample, revcomp(translate(md5(CAST(name AS BINARY)), '0123456789abcdef', 'ACGTACGTACGTACGT')) AS rc, flip_orient(IF(path_id % 2 = 0, '>', '<')) AS turned,
+        forwardise(concat('<', path_id, '<', path_id + 1)) AS label, size(walk_tokens(concat('>', path_id, '<7', repeat('>1', CAST(path_id % 3 AS INT))))) AS tokens FROM varloom_named""")
+
+
+def q_provenance(spark, d):
+    from .catalogue import RAW
+
+    return profiles.provenance(profiles.top_level(vcf.records(synth.call_lines(spark, d, RAW))), "top-level-only")
+
+
+def q_field_violations(spark, d):
+    """Call lines of which every seventh copy has lost its last genotype."""
+    from .catalogue import RAW
+
+    lines = synth.call_lines(spark, d, RAW)
+    lost = F.when(F.expr(f"line_no div {synth.SEGMENTS_APART}") % 7 == 3, F.regexp_replace("value", "\t[^\t]*$", "")).otherwise(F.col("value"))
+    return vcf.field_violations(lines.select("line_no", lost.alias("value")), 12)
+
+
+def q_passes(spark, d):
+    return views.passes(synth.walks(spark, d).steps, 2)
+
+
+def q_other_ends(spark, d):
+    """Each link of the chain from its other end, and where it leads from there and from a side that it has not."""
+    links = synth.chain(spark, d).links.select(*scalars.reversed_link())
+    far, none = scalars.other_end(F.col("v1"), F.col("v1_end")), scalars.other_end(F.col("v1"), F.lit("r"))
+    return links.select("edge_idx", "v1", "v1_end", "v2", "v2_end", far["seg_id"].alias("far"), far["side"].alias("far_side"), none.isNull().alias("none"))
+
+
+def q_genotype_table(spark, d):
+    """A column per haplotype of the chain; its names are those of the nations' numbers."""
+    g = synth.chain(spark, d)
+    rec = written(g.call(["H0"]), "records")
+    called = calling.genotypes(rec).join(rec.select("rov_id", "ref", "u", "v", "vartype", "id"), ["rov_id", "ref", "u", "v", "vartype"])
+    return views.genotype_table(called.select("id", "vartype", "hap_col", "allele"), [f"H{h}" for h in range(NATIONS)])
+
+
+#: Nations of the tables, each a haplotype of the chain.
+NATIONS = 25
+
+
 def q_local_inversions(spark, d):
     return synth.copies(spark, d, PIECE).inversions(["ref"], apart=True, local=True).select("chrom", "pos", "id", "ref_seq", "alt", "ac", "an", "at")
 
@@ -168,7 +232,7 @@ mt AS (SELECT pt.t, pt.v, depth, row_number() OVER (PARTITION BY pt.t ORDER BY p
 
 
 def oracle_sql() -> dict[str, str]:
-    from .catalogue import CHAIN, SEQ
+    from .catalogue import CHAIN, NAMED, SEQ, WALKS
 
     q = SEQ.format
     levels = f"""
@@ -187,6 +251,29 @@ lp AS (SELECT *, 1 + coalesce(sum(length(qb) + length(qr)) OVER (ORDER BY s ROWS
             CASE WHEN s % 2 = 0 THEN qa ELSE qb END AS alt, CAST(ac AS VARCHAR) AS ac, CASE WHEN ac = an THEN '1' ELSE CAST(ac / an AS VARCHAR) END AS af, an, an AS ns,
             CASE WHEN s % 2 = 0 THEN '>' || 3 * s + 1 || ',>' || 3 * s + 2 ELSE '>' || 3 * s || '>' || 3 * s + 1 || ',>' || 3 * s END AS "at", CASE WHEN s % 2 = 0 THEN 'SUB' ELSE 'DEL' END AS vartype,
             CAST(deep AS BIGINT) AS lv, CASE WHEN deep THEN '>' || {3 * synth.BLOCK} * b || '>' || {3 * synth.BLOCK} * (b + 1) ELSE '-' END AS parent, gts FROM n JOIN lp USING (s) WHERE ac > 0""",
+        "sql_functions": f"""WITH p AS (SELECT path_id, name FROM {NAMED}) SELECT CAST(path_id AS BIGINT) AS path_id, CASE WHEN regexp_full_match(name, '[^#]*#[0-9]+#[^#]*') THEN split_part(name, '#', 1) ELSE name END AS sample,
+            reverse(translate(translate(md5(name), '0123456789abcdef', 'ACGTACGTACGTACGT'), 'ACGT', 'TGCA')) AS rc, CASE WHEN path_id % 2 = 0 THEN '<' ELSE '>' END AS turned, '>' || path_id + 1 || '>' || path_id AS label, CAST(2 + path_id % 3 AS INTEGER) AS tokens FROM p""",
+        "field_violations": f"SELECT {synth.SEGMENTS_APART} * s_suppkey + i AS line_no, CAST(11 AS BIGINT) AS fields FROM supplier, (VALUES (0), (1)) AS t(i) WHERE s_suppkey % 7 = 3",
+        "passes": f"WITH {WALKS} SELECT p AS path_id, i AS step_idx, '>' AS strand, CAST(row_number() OVER (PARTITION BY p ORDER BY i) AS INTEGER) AS nth FROM wk WHERE seg = 2",
+        "other_ends": f"WITH {CHAIN} SELECT row_number() OVER (ORDER BY a, b) - 1 AS edge_idx, b AS v1, 'l' AS v1_end, a AS v2, 'r' AS v2_end, a AS far, 'r' AS far_side, true AS none FROM lk",
+        "provenance": f"""SELECT CAST(json_object('profile', 'top-level-only', 'operation', 'passthrough', 'raw_record_id', '>' || x || '>' || x + 5, 'raw_alt_index', 1, 'output_record_id', '>' || x || '>' || x + 5 || ':top', 'output_pos', 1, 'output_ref', 'AAAAA', 'output_alts', ['A']) AS VARCHAR) AS json
+            FROM (SELECT {synth.SEGMENTS_APART} * s_suppkey AS x FROM supplier)""",
+        "genotype_table": f"""WITH {CHAIN}, g AS (SELECT id, vartype, h, CAST(CASE ch.c WHEN 'R' THEN 0 ELSE 1 END AS BIGINT) AS a FROM ca JOIN ch ON ch.s = ca.s AND ch.c IN ('R', ca.c))
+            SELECT id, vartype, {", ".join(f'min(a) FILTER (h = {h}) AS "H{h}"' for h in range(NATIONS))} FROM g GROUP BY id, vartype""",
+        "stage_trace": f"WITH {CHAIN}, n AS (SELECT count(DISTINCT seg) AS n FROM st) SELECT s AS stage, CAST(1 AS BIGINT) AS calls, n AS items FROM n, (VALUES ('labels'), ('comps'), ('kinds')) AS t(s)",
+        "structure_export": f"""WITH k AS (SELECT s_suppkey AS k, {synth.SEGMENTS_APART} * s_suppkey AS x, {synth.PATHS_APART} * s_suppkey AS p, row_number() OVER (ORDER BY s_suppkey) AS c FROM supplier),
+            j AS (SELECT 'segment' AS kind, x + i AS n, json_object('id', x + i, 'sequence', q) AS json FROM k, (VALUES (0, 'A'), (1, 'C'), (2, 'G'), (3, 'T'), (4, 'C'), (5, 'A')) AS t(i, q)
+            UNION ALL SELECT 'link', x + i, json_object('order', x + i, 'from', x + a, 'from_orient', '+', 'to', x + b, 'to_orient', '+', 'overlap', '0M') FROM k, (VALUES (0, 0, 1), (1, 0, 2), (2, 1, 3), (3, 1, 4), (4, 3, 4), (5, 4, 5), (6, 2, 5)) AS t(i, a, b)
+            UNION ALL SELECT 'path', p + i, json_object('order', p + i, 'name', 'HG' || i + 1 || '#1#chr1_' || k, 'steps', list_transform(w, lambda s: '>' || (x + s))) FROM k, (VALUES (0, [0, 1, 3, 4, 5]), (1, [0, 1, 4, 5]), (2, [0, 2, 5])) AS t(i, w)
+            UNION ALL SELECT 'boundary_candidate', i, json_object('node_id', c || ':' || i, 'family', CASE i WHEN 1 THEN 'flubble' ELSE 'tiny' END, 'start', '>' || (x + a), 'end', '>' || (x + b), 'route', 's2e', 'boundary', '>' || (x + a) || '>' || (x + b)) FROM k, (VALUES (1, 0, 5), (2, 1, 4)) AS t(i, a, b)
+            UNION ALL SELECT 'pvst_node', 0, json_object('node_id', c || ':0', 'component', c, 'family', 'dummy', 'label', '.', 'start', NULL, 'end', NULL, 'route', NULL, 'parent', NULL, 'children', [c || ':1']) FROM k
+            UNION ALL SELECT 'pvst_node', i, json_object('node_id', c || ':' || i, 'component', c, 'family', CASE i WHEN 1 THEN 'flubble' ELSE 'tiny' END, 'label', '>' || (x + a) || '>' || (x + b), 'start', '>' || (x + a), 'end', '>' || (x + b), 'route', 's2e', 'parent', c || ':' || i - 1, 'children', CASE i WHEN 1 THEN [c || ':2'] ELSE [] END)
+                FROM k, (VALUES (1, 0, 5), (2, 1, 4)) AS t(i, a, b)
+            UNION ALL SELECT 'stack_entry', i, json_object('component', c, 'order', i, 'tree_edge_index', e, 'boundary_vertex_id', x + s, 'orientation', o, 'class_id', g, 'next_seen', nx, 'opens', nx > i + 1)
+                FROM k, (VALUES (0, '>', 0, 1, 1, 5), (1, '>', 1, 3, 2, 3), (2, '>', 3, 5, 3, 2), (3, '>', 4, 7, 2, 3), (4, '<', 2, 12, 0, 4), (5, '>', 5, 9, 1, 5)) AS t(i, o, s, e, g, nx)
+            UNION ALL SELECT 'variant_call', 2, json_object('source', json_object('kind', 'flubble', 'enclosing_site', '>' || x + 1 || '>' || x + 4, 'level', 1), 'chrom', 'HG1#1#chr1_' || k, 'pos', 2, 'id', '>' || x + 1 || '>' || x + 4, 'ref', 'CT', 'ref_traversal', '>' || x + 1 || '>' || x + 3,
+                'alternates', [json_object('index', 1, 'dna', 'C', 'traversal', '>' || x + 1, 'count', 1)], 'variant_type', 'DEL', 'tangled', false, 'af', ['1/2'], 'an', 2, 'ns', 2, 'genotypes', ['0', '1', '.']) FROM k)
+            SELECT kind, CAST(n AS BIGINT) AS n, CAST(json AS VARCHAR) AS json FROM j""",
         "local_inversions": f"""SELECT 'ref#1#c_' || k AS chrom, CAST(5 AS BIGINT) AS pos, '>' || x + 2 || '>' || x + 4 AS id, 'TAAC' AS ref_seq, 'GTTA' AS alt, '1' AS ac, CAST(2 AS BIGINT) AS an,
             '>' || x + 2 || '>' || x + 3 || '>' || x + 4 || ',<' || x + 4 || '<' || x + 3 || '<' || x + 2 AS "at" FROM (SELECT s_suppkey AS k, {synth.SEGMENTS_APART} * s_suppkey AS x FROM supplier)""",
         "merged_inversions": """WITH s AS (SELECT DISTINCT l_suppkey AS alt, l_partkey % 200 AS a, l_partkey % 200 + 2 + l_orderkey % 5 AS b, 300 + 50 * (l_linenumber % 2) AS turn FROM lineitem),

@@ -30,6 +30,22 @@ def records(lines: DataFrame) -> DataFrame:
     return body.select("line_no", at(0).alias("chrom"), at(1).cast("bigint").alias("pos"), at(2).alias("id"), at(3).alias("ref"), F.split(at(4), ",").alias("alts"), F.split(at(7), ";").alias("info"), F.slice(f, 10, 1 << 20).alias("gts"))
 
 
+def field_violations(lines: DataFrame, fields: int) -> DataFrame:
+    """(line_no, fields) of record lines that have another number of tab-separated fields."""
+    n = F.size(F.split("value", "\t")).cast("bigint")
+    return lines.where("value <> '' AND NOT value LIKE '#%'").select("line_no", n.alias("fields")).where(F.col("fields") != fields)
+
+
+def read(spark: SparkSession, path: str) -> tuple[list[str], DataFrame]:
+    """(samples, records()) of a VCF 4.2 file. Raises ValueError where a record has not nine fields and one for each sample."""
+    lines = read_lines(spark, path)
+    names = samples(lines)
+    bad = field_violations(lines, 9 + len(names)).orderBy("line_no").take(3)
+    if bad:
+        raise ValueError(f"{9 + len(names)} fields a record: " + ", ".join(f"{r.fields} in line {r.line_no}" for r in bad))
+    return names, records(lines)
+
+
 def info(key: str, of: Column | str = "info") -> Column:
     """The value of an INFO key, null if absent."""
     of = F.col(of) if isinstance(of, str) else of

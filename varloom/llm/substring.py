@@ -158,8 +158,8 @@ def chunks(docs: DataFrame, *, id_col: str, text_col: str, min_words: int) -> Da
 def runs_and_windows(docs: DataFrame, *, min_words: int) -> DataFrame:
     """(id, digest, pos, size, back, words): runs of chunks, and every window that no run covers but whose chunks are all hits.
 
-    docs: id, text, hits: (pos, f, fs) of the chunks that another document holds too, f the smallest id that holds one, fs
-    where it first stands there. pos packs start << 32 | number of the first word; start and size in bytes of UTF-8. Of a
+    docs: id, text, hits, again. hits: (pos, f, fs) of the chunks that another document holds too, f the smallest id that
+    holds one, fs where it first stands there; again: other rows have this id, so that some hits may be of their texts. pos packs start << 32 | number of the first word; start and size in bytes of UTF-8. Of a
     run words is the number of its words, digest the id that holds it and back how much later it stands here; of a window
     words is 0 and back is how far before stands the text's first such window. A run has min_words words or more and is
     held by a smaller id. The smallest id that holds a window has no run over it, so it has a row for it.
@@ -174,7 +174,11 @@ def runs_and_windows(docs: DataFrame, *, min_words: int) -> DataFrame:
         view, starts, ends, least, chosen = got
         own, hits = batch.column(0)[i].as_py(), batch.column(2)[i].values
         pos, f, fs = (hits.field(k).to_numpy() for k in ("pos", "f", "fs"))
-        at = np.searchsorted(chosen, pos & 0xFFFFFFFF)
+        if batch.column(3)[i].as_py():  # hits of all texts of an id that repeats: where they may stand here, and no runs
+            f = np.full(len(f), own)
+        at = np.searchsorted(chosen[:-1], pos & 0xFFFFFFFF)
+        here = np.append(chosen[:-1], -1)[at] == pos & 0xFFFFFFFF
+        at, pos, f, fs = at[here], pos[here], f[here], fs[here]
         holder, shift = np.zeros(len(chosen), np.int64), np.zeros(len(chosen), np.int64)
         is_hit = np.zeros(len(chosen), bool)  # the last place is no chunk
         is_hit[at], holder[at], shift[at] = True, f, fs - (pos >> 32)
@@ -200,7 +204,7 @@ def runs_and_windows(docs: DataFrame, *, min_words: int) -> DataFrame:
             join([-shift[r], _back(s, digest) if len(s) else s]), join([b - a, np.zeros(len(first), np.int64)]),
         )
 
-    return arrow_map(docs.select("id", "text", "hits"), lambda b: _rows(b, ["digest", "pos", "size", "back", "words"], of_row), "id long, digest long, pos long, size long, back long, words long")
+    return arrow_map(docs.select("id", "text", "hits", "again"), lambda b: _rows(b, ["digest", "pos", "size", "back", "words"], of_row), "id long, digest long, pos long, size long, back long, words long")
 
 
 def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -227,9 +231,11 @@ def repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     c = written(chunks(rows, id_col="id", text_col="text", min_words=min_words), "chunks")
     shared = written(firsts(c), "shared")
     hits = written(c.select("id", "digest", "pos").join(shared, "digest").groupBy("id").agg(F.collect_list(F.struct("pos", "f", "fs")).alias("hits")), "hits")
+    twice = written(rows.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("again")), "repeated_ids")
+    hits_of = hits.join(twice, "id", "left").withColumn("again", F.coalesce("again", F.lit(False)))
     discard(c, shared)
-    w = written(runs_and_windows(rows.join(hits, "id"), min_words=min_words), "windows")
-    discard(hits)
+    w = written(runs_and_windows(rows.join(hits_of, "id"), min_words=min_words), "windows")
+    discard(hits, twice)
     alone = w.where("words = 0")
     first = written(firsts(alone), "firsts")
     hit = alone.select("id", "digest", "pos", "size").join(first, "digest").where("id <> f").select("id", start.alias("s"), (start + F.col("size")).alias("e"), number.alias("k"), number.alias("last"), "f", "fs")

@@ -6,65 +6,47 @@ component; everything after the class stack is relational.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import on_workers
+from .grouped import adjacency, by_key, filled, packed
 
 STACK = "comp_id long, i long, orient string, seg_id long, tree_edge long, class_id long"
 
 
-class _Bracket:
-    __slots__ = ("before", "after", "size", "klass", "capping", "alive")
+class _Sides:
+    """The sides of tree vertices, (segment, l or r) or None for the dummy, kept as numbers."""
 
-    def __init__(self):
-        self.before = self.after = None
-        self.size = self.klass = -1
-        self.alive = True
+    __slots__ = ("seg", "of")
+
+    def __init__(self, seg: array):
+        self.seg, self.of = seg, array("q")
+
+    def __len__(self) -> int:
+        return len(self.of)
+
+    def __getitem__(self, v: int) -> tuple[int, str] | None:
+        s = self.of[v]
+        return None if s < 0 else (self.seg[s >> 1], "r" if s & 1 else "l")
 
 
-class _List:
-    """A doubly linked list: push to the front, splice in front, remove, all in constant time."""
+class _Backs:
+    """Back edges (number, from, to), kept as numbers."""
 
-    __slots__ = ("head", "tail", "n")
+    __slots__ = ("number", "a", "b")
 
     def __init__(self):
-        self.head = self.tail = None
-        self.n = 0
+        self.number, self.a, self.b = array("q"), array("q"), array("q")
 
-    def push(self, b: _Bracket) -> None:
-        b.before, b.after = None, self.head
-        if self.head:
-            self.head.before = b
-        else:
-            self.tail = b
-        self.head = b
-        self.n += 1
+    def __len__(self) -> int:
+        return len(self.a)
 
-    def drop(self, b: _Bracket) -> None:
-        if b.before:
-            b.before.after = b.after
-        else:
-            self.head = b.after
-        if b.after:
-            b.after.before = b.before
-        else:
-            self.tail = b.before
-        self.n -= 1
-
-    def splice(self, other: _List) -> None:
-        if not other.n:
-            return
-        if self.n:
-            other.tail.after = self.head
-            self.head.before = other.tail
-        else:
-            self.tail = other.tail
-        self.head = other.head
-        self.n += other.n
+    def __iter__(self):
+        return zip(self.number, self.a, self.b)
 
 
 def spanning_tree(vertices: Iterable[int], links: Iterable[tuple[int, int, str, int, str]]) -> dict:
@@ -74,83 +56,95 @@ def spanning_tree(vertices: Iterable[int], links: Iterable[tuple[int, int, str,
     to visited sides become back edges, sides without links get a back edge to the root. With tips the root is a dummy
     above the smallest tip; tree and back edges share one numbering.
     """
-    order = sorted(vertices)
-    near: dict[tuple[int, str], list[tuple[int, tuple[int, str]]]] = {(v, e): [] for v in order for e in "lr"}
-    for idx, a, ea, b, eb in sorted(links):
-        near[a, ea].append((idx, (b, eb)))
-        if (a, ea) != (b, eb):
-            near[b, eb].append((idx, (a, ea)))
-    tips = [(v, e) for v in order for e in "lr" if not near[v, e] and not (e == "r" and not near[v, "l"])]
-    side: list[tuple[int, str] | None] = []
-    parent: list[int] = []
-    edge_in: list[int] = []  # number of the tree edge above
-    black: list[bool] = []
-    back: list[tuple[int, int, int]] = []  # number, from, to
-    place: dict[tuple[int, str], int] = {}
-    joined: set[tuple[int, int]] = set()
+    rows = [(i, a, ea == "r", b, eb == "r") for i, a, ea, b, eb in links]
+    return _tree(np.array(list(vertices), np.int64), *np.array(rows, np.int64).reshape(-1, 5).T)
+
+
+def _tree(vertices: np.ndarray, *links: np.ndarray) -> dict:
+    """spanning_tree() of links (number, v1, end, v2, end) as columns, ends 0 left and 1 right."""
+    order = np.unique(vertices)
+    start, near, number = adjacency(order, *links)
+    side, parent, edge_in, black, back = _Sides(packed(order)), array("q"), array("q"), bytearray(), _Backs()
+    tree = {"side": side, "parent": parent, "edge": edge_in, "black": black, "back": back}
+    if not len(order):
+        return tree
+    place = filled(2 * len(order), -1)
+    apart: set[int] = set()  # vertices that a back edge joins, as lower * 2**32 + upper
     looped: set[int] = set()
     counter = 0
+    none = np.diff(np.array(start)) == 0
+    tip = none.copy()
+    tip[1::2] &= ~none[::2]
+    first = int(np.argmax(tip)) if tip.any() else -1
 
-    def add(s: tuple[int, str] | None, up: int, is_black: bool) -> int:
+    def add(s: int, up: int, is_black: int) -> None:
         nonlocal counter
-        v = len(side)
-        side.append(s)
+        if s >= 0:
+            place[s] = len(parent)
+        side.of.append(s)
         parent.append(up)
         black.append(is_black)
-        if up >= 0:
-            edge_in.append(counter)
-            counter += 1
-            joined.add((min(up, v), max(up, v)))
-        else:
-            edge_in.append(-1)
-        if s:
-            place[s] = v
-        return v
-
-    def enter(s: tuple[int, str], up: int) -> list[int]:
-        a = add(s, up, False)
-        return [a, add((s[0], "l" if s[1] == "r" else "r"), a, True)]
+        edge_in.append(counter if up >= 0 else -1)
+        counter += up >= 0
 
     def add_back(a: int, b: int) -> None:
         nonlocal counter
-        back.append((counter, a, b))
+        back.number.append(counter)
+        back.a.append(a)
+        back.b.append(b)
         counter += 1
-        joined.add((min(a, b), max(a, b)))
-
-    if not order:
-        return {"side": side, "parent": parent, "edge": edge_in, "black": black, "back": back}
-    start = tips[0] if tips else (order[0], "l")
-    stack = enter(start, add(None, -1, False) if tips else -1)
-    at: dict[int, int] = {}
+        apart.add((b << 32) + a if a < b else (a << 32) + b)
+
+    if first >= 0:
+        add(-1, -1, 0)
+    add(max(first, 0), len(parent) - 1, 0)
+    add(max(first, 0) ^ 1, len(parent) - 1, 1)
+    stack = array("q", [len(parent) - 2, len(parent) - 1])
+    at = start[:]
     while stack:
         v = stack[-1]
-        s = side[v]
-        if not near[s] and (0, v) not in joined and v:
+        s = side.of[v]
+        k, end = at[s], start[s + 1]
+        if k == end == start[s] and v and parent[v] and v << 32 not in apart:
             add_back(v, 0)
-        k = at.get(v, 0)
-        new = None
-        while k < len(near[s]):
-            idx, other = near[s][k]
+        new = -1
+        while k < end:
+            other = near[k]
+            w = place[other]
             k += 1
-            w = place.get(other)
-            if w is None:
+            if w < 0:
                 new = other
                 break
-            if other[0] == s[0]:
-                if other != s and idx not in looped:
-                    looped.add(idx)
+            if other >> 1 == s >> 1:
+                if other != s and number[k - 1] not in looped:
+                    looped.add(number[k - 1])
                     add_back(max(v, w), min(v, w))
-            elif (min(v, w), max(v, w)) not in joined:
-                add_back(v, w)
-        at[v] = k
-        if new is None:
+            else:
+                hi, lo = (v, w) if v > w else (w, v)
+                if parent[hi] != lo and (hi << 32) + lo not in apart:
+                    add_back(v, w)
+        at[s] = k
+        if new < 0:
             stack.pop()
         else:
-            stack += enter(new, v)
-    return {"side": side, "parent": parent, "edge": edge_in, "black": black, "back": back}
+            add(new, v, 0)
+            add(new ^ 1, len(parent) - 1, 1)
+            stack.append(len(parent) - 2)
+            stack.append(len(parent) - 1)
+    return tree
 
 
-def cycle_classes(tree: dict) -> tuple[list[int], list[tuple[int, int]]]:
+def _kids(parent: array) -> tuple[array, array]:
+    """(first child of each vertex, next child of the same parent), in the order of their numbers, -1 for none."""
+    n = len(parent)
+    first, following = filled(n, -1), filled(n, -1)
+    for v in range(n - 1, 0, -1):
+        following[v] = first[parent[v]]
+        first[parent[v]] = v
+    return first, following
+
+
+def cycle_classes(tree: dict) -> tuple[array, list[tuple[int, int]]]:
     """(class of the edge above each tree vertex, hairpin boundaries as pairs of tree vertices).
 
     The brackets that it adds to the tree's own back edges are left in tree["added"] as (from, to), the highest vertex that
@@ -158,81 +152,124 @@ def cycle_classes(tree: dict) -> tuple[list[int], list[tuple[int, int]]]:
 
     Vertices are taken in falling order of discovery. A vertex's bracket list joins its children's, loses the brackets
     that end here and gains those that start here, with a capping one where two children reach above it. The edge above
-    has the class of the top bracket at its present size.
+    has the class of the top bracket at its present size. Lists are doubly linked by numbers: push to the front, splice in
+    front and removal take constant time.
     """
     parent, n = tree["parent"], len(tree["parent"])
-    starts: list[list[int]] = [[] for _ in range(n)]
-    ends: list[list[_Bracket]] = [[] for _ in range(n)]
-    children: list[list[int]] = [[] for _ in range(n)]
-    for v in range(1, n):
-        children[parent[v]].append(v)
-    for _, a, b in tree["back"]:
-        a, b = max(a, b), min(a, b)
-        if a != b:
-            starts[a].append(b)
-    lists: list[_List | None] = [None] * n
-    high = [n] * n
-    klass = [-1] * n
+    first, following = _kids(parent)
+    a, b = np.array(tree["back"].a, np.int64), np.array(tree["back"].b, np.int64)
+    low, top = np.maximum(a, b), np.minimum(a, b)
+    by = np.argsort(low, kind="stable")
+    by = by[low[by] != top[by]]
+    begin, target = packed(np.concatenate(([0], np.cumsum(np.bincount(low[by], minlength=n))))), packed(top[by])
+    head, tail, count, high = filled(n, -1), filled(n, -1), filled(n, 0), filled(n, n)
+    ends = filled(n, -1)  # the last bracket that ends at a vertex
+    before, after, size, kind, same_end = (array("q") for _ in range(5))
+    klass = filled(n, -1)
     fresh = 0
     hairpins: list[tuple[int, int]] = []
     added = tree["added"] = []
     tree["high"] = high
+
+    def push(v: int, to: int) -> None:
+        new = len(before)
+        before.append(-1)
+        after.append(head[v])
+        size.append(-1)
+        kind.append(-1)
+        same_end.append(ends[to])
+        ends[to] = new
+        if head[v] >= 0:
+            before[head[v]] = new
+        else:
+            tail[v] = new
+        head[v] = new
+        count[v] += 1
+
     for v in range(n - 1, 0, -1):
-        own = min(starts[v], default=n)
-        reach = sorted(high[c] for c in children[v])
-        first = reach[0] if reach else n
-        second = reach[1] if len(reach) > 1 else n
-        high[v] = min(own, first)
-        here = _List()
-        for c in children[v]:
-            here.splice(lists[c])
-            lists[c] = None
-        for b in ends[v]:
-            here.drop(b)
-        for to in starts[v]:
-            b = _Bracket()
-            here.push(b)
-            ends[to].append(b)
-        if second < own and second < v:
-            b = _Bracket()
-            here.push(b)
-            ends[second].append(b)
-            added.append((v, second))
-        if not here.n:
-            b = _Bracket()
-            here.push(b)
-            ends[0].append(b)
+        lo, hi = begin[v], begin[v + 1]
+        own = min(target[lo:hi], default=n)
+        one = two = n
+        c = first[v]
+        while c >= 0:
+            h = high[c]
+            if h < one:
+                one, two = h, one
+            elif h < two:
+                two = h
+            if count[c]:
+                if count[v]:
+                    after[tail[c]] = head[v]
+                    before[head[v]] = tail[c]
+                else:
+                    tail[v] = tail[c]
+                head[v] = head[c]
+                count[v] += count[c]
+            c = following[c]
+        high[v] = min(own, one)
+        x = ends[v]
+        while x >= 0:
+            p, q = before[x], after[x]
+            if p >= 0:
+                after[p] = q
+            else:
+                head[v] = q
+            if q >= 0:
+                before[q] = p
+            else:
+                tail[v] = p
+            count[v] -= 1
+            x = same_end[x]
+        for k in range(lo, hi):
+            push(v, target[k])
+        if two < own and two < v:
+            push(v, two)
+            added.append((v, two))
+        if not count[v]:
+            push(v, 0)
             added.append((v, 0))
             high[v] = 0
             if tree["side"][v]:
                 hairpins.append((v, parent[v]))
-        top = here.head
-        if top.size != here.n:
-            top.size, top.klass = here.n, fresh
+        x = head[v]
+        if size[x] != count[v]:
+            size[x], kind[x] = count[v], fresh
             fresh += 1
-        klass[v] = top.klass
-        lists[v] = here
+        klass[v] = kind[x]
     return klass, hairpins
 
 
-def class_stack(tree: dict, klass: list[int]) -> list[tuple[str, int, int, int]]:
-    """(orient, segment, tree edge, class) of the black edges in the tree's order, a vertex's black child after the others."""
-    n = len(tree["parent"])
-    children: list[list[int]] = [[] for _ in range(n)]
-    for v in range(1, n):
-        children[tree["parent"][v]].append(v)
-    out = []
-    todo = [0] if n else []
-    if n and tree["black"][0]:
+def stack_columns(tree: dict, klass: array) -> tuple[list[str], array, array, array]:
+    """class_stack() as columns."""
+    parent, black, of, seg = tree["parent"], tree["black"], tree["side"].of, tree["side"].seg
+    n = len(parent)
+    first, following = _kids(parent)
+    orient, ids, edges, classes = [], array("q"), array("q"), array("q")
+    if n and black[0]:
         raise ValueError("a root has no edge")
+    todo = [0] if n else []
     while todo:
         v = todo.pop()
-        if tree["black"][v]:
-            seg, end = tree["side"][v]
-            out.append((">" if end == "r" else "<", seg, tree["edge"][v], klass[v]))
-        kids = sorted(children[v], key=lambda c: (tree["black"][c], c))
-        todo += reversed(kids)
-    return out
+        if black[v]:
+            orient.append(">" if of[v] & 1 else "<")
+            ids.append(seg[of[v] >> 1])
+            edges.append(tree["edge"][v])
+            classes.append(klass[v])
+        kids, last = [], []
+        c = first[v]
+        while c >= 0:
+            (last if black[c] else kids).append(c)
+            c = following[c]
+        last.reverse()
+        kids.reverse()
+        todo += last
+        todo += kids
+    return orient, ids, edges, classes
+
+
+def class_stack(tree: dict, klass: array) -> list[tuple[str, int, int, int]]:
+    """(orient, segment, tree edge, class) of the black edges in the tree's order, a vertex's black child after the others."""
+    return list(zip(*stack_columns(tree, klass)))
 
 
 def tree_measures(tree: dict) -> dict[str, list[int]]:
@@ -336,23 +373,31 @@ class _Families:
         return out
 
 
-def _per_component(links: DataFrame, comps: DataFrame, min_vertices: int, rows_of, schema: str) -> DataFrame:
-    """rows_of(tree) of every component of at least min_vertices segments, behind its comp_id."""
-    on_workers(links.sparkSession)
-    big = comps.groupBy("comp_id").agg(F.count("*").alias("n")).where(F.col("n") >= min_vertices).select("comp_id")
-    v = comps.join(big, "comp_id").select("comp_id", F.col("seg_id").alias("v1"), F.lit(None).cast("bigint").alias("edge_idx"), F.lit("").alias("v1_end"), F.col("seg_id").alias("v2"), F.lit("").alias("v2_end"))
-    e = _with_component(links, comps).join(big, "comp_id").select("comp_id", "v1", "edge_idx", "v1_end", "v2", "v2_end")
-    names = [x.split()[0] for x in schema.split(", ")]
-    longs = [x.split()[0] for x in schema.split(", ") if x.endswith(" long")]
+def _per_component(links: DataFrame, comps: DataFrame, min_vertices: int, columns_of, schema: str) -> DataFrame:
+    """columns_of(tree) of every component of at least min_vertices segments, behind its comp_id."""
+    zero = F.lit(0).cast("bigint")
+    v = comps.select("comp_id", zero.alias("is_link"), F.col("seg_id").alias("edge_idx"), *[zero.alias(c) for c in ("v1", "e1", "v2", "e2")])
+    width = len(schema.split(", ")) - 1
+
+    def kernel(is_link, *rest):
+        link = is_link == 1
+        vertices = rest[0][~link]
+        if len(vertices) < min_vertices:
+            return [[]] * width
+        return columns_of(_tree(vertices, *(x[link] for x in rest)))
+
+    return by_key(v.unionByName(numbered_links(links, comps)), kernel, schema)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        e = pdf[pdf.edge_idx.notna()]
-        tree = spanning_tree(pdf[pdf.edge_idx.isna()].v1.tolist(), list(zip(e.edge_idx.astype("int64"), e.v1, e.v1_end, e.v2, e.v2_end)))
-        comp = int(pdf.comp_id.iloc[0])
-        got = pd.DataFrame([(comp, *r) for r in rows_of(tree)], columns=names)
-        return got.astype({c: "Int64" for c in longs if got[c].hasnans})
 
-    return v.unionByName(e).groupBy("comp_id").applyInPandas(run, schema)
+def numbered_links(links: DataFrame, comps: DataFrame) -> DataFrame:
+    """(comp_id, is_link, edge_idx, v1, e1, v2, e2): links by component, as longs: ends 0 left and 1 right, is_link 1."""
+    end = lambda c: F.expr(f"CAST({c} = 'r' AS BIGINT)")
+    return _with_component(links, comps).select("comp_id", F.lit(1).cast("bigint").alias("is_link"), "edge_idx", "v1", end("v1_end").alias("e1"), "v2", end("v2_end").alias("e2"))
+
+
+def turned(rows_of, width: int):
+    """rows_of(tree) as columns."""
+    return lambda tree: list(zip(*rows_of(tree))) or [[]] * width
 
 
 def stacks_with_families(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> DataFrame:
@@ -363,7 +408,7 @@ def stacks_with_families(links: DataFrame, comps: DataFrame, min_vertices: int =
         kind = {i: rest for i, *rest in _Families(tree).of(stack)}
         return [(i, *r, *kind.get(i, (None, None, None, None))) for i, r in enumerate(stack)]
 
-    return _per_component(links, comps, min_vertices, rows, f"{STACK}, j long, sym string, upper long, lower long")
+    return _per_component(links, comps, min_vertices, turned(rows, 9), f"{STACK}, j long, sym string, upper long, lower long")
 
 
 def families(stack: DataFrame) -> DataFrame:
@@ -378,7 +423,7 @@ def bracket_counts(links: DataFrame, comps: DataFrame) -> DataFrame:
         m = tree_measures(tree)
         return [(*s, m["depth"][v], m["size"][v], m["brackets"][v]) for v, s in enumerate(tree["side"]) if s]
 
-    return _per_component(links, comps, 1, rows, "comp_id long, seg_id long, side string, depth long, size long, brackets long")
+    return _per_component(links, comps, 1, turned(rows, 5), "comp_id long, seg_id long, side string, depth long, size long, brackets long")
 
 
 def _with_component(links: DataFrame, comps: DataFrame) -> DataFrame:
@@ -388,16 +433,16 @@ def _with_component(links: DataFrame, comps: DataFrame) -> DataFrame:
 def class_stacks(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> DataFrame:
     """The class stack of every component of at least min_vertices segments: (comp_id, i, orient, seg_id, tree_edge, class_id)."""
 
-    def rows(tree: dict) -> list[tuple]:
-        klass, _ = cycle_classes(tree)
-        return [(i, *r) for i, r in enumerate(class_stack(tree, klass))]
+    def columns(tree: dict) -> tuple:
+        told = stack_columns(tree, cycle_classes(tree)[0])
+        return range(len(told[0])), *told
 
-    return _per_component(links, comps, min_vertices, rows, STACK)
+    return _per_component(links, comps, min_vertices, columns, STACK)
 
 
 def hairpins(links: DataFrame, comps: DataFrame) -> DataFrame:
     """(comp_id, seg_id, side): sides below which no cycle passes, where a hairpin may turn."""
-    return _per_component(links, comps, 1, lambda tree: [tree["side"][v] for v, _ in cycle_classes(tree)[1]], "comp_id long, seg_id long, side string")
+    return _per_component(links, comps, 1, turned(lambda tree: [tree["side"][v] for v, _ in cycle_classes(tree)[1]], 2), "comp_id long, seg_id long, side string")
 
 
 def next_seen(stack: DataFrame) -> DataFrame:
@@ -449,22 +494,22 @@ def nested(spans: DataFrame) -> DataFrame:
     One sweep per component over its spans by start, the open ones on a stack: rows and time grow with the spans, however
     deep they nest.
     """
-    on_workers(spans.sparkSession)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["i", "j"], ascending=[True, False])
-        out, held = [], []
-        for i, j in zip(pdf.i.tolist(), pdf.j.tolist()):
-            while held and held[-1][1] < j:
+    def kernel(i: np.ndarray, j: np.ndarray) -> tuple:
+        by = np.lexsort((-j, i))
+        i, j = i[by].tolist(), j[by].tolist()
+        up_lo, up_hi, level, held = [], [], [], []
+        for at in zip(i, j):
+            while held and held[-1][1] < at[1]:
                 held.pop()
-            up = held[-1] if held else (None, None)
-            out.append((i, j, *up, len(held)))
-            held.append((i, j))
-        got = pd.DataFrame(out, columns=["i", "j", "parent_lo", "parent_hi", "level"]).astype({"parent_lo": "Int64", "parent_hi": "Int64"})
-        got.insert(0, "comp_id", pdf.comp_id.iloc[0])
-        return got
-
-    found = spans.select("comp_id", "i", "j").groupBy("comp_id").applyInPandas(run, "comp_id long, i long, j long, parent_lo long, parent_hi long, level long")
+            lo, hi = held[-1] if held else (None, None)
+            up_lo.append(lo)
+            up_hi.append(hi)
+            level.append(len(held))
+            held.append(at)
+        return i, j, up_lo, up_hi, level
+
+    found = by_key(spans.select("comp_id", "i", "j"), kernel, "comp_id long, i long, j long, parent_lo long, parent_hi long, level long")
     return spans.join(found, ["comp_id", "i", "j"]).select(*spans.columns, "parent_lo", "parent_hi", "level")
 
 

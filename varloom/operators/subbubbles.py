@@ -18,7 +18,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .decompose import _Families, _per_component, class_stack, cycle_classes
+from .decompose import _Families, _per_component, class_stack, cycle_classes, turned
 
 NODES = "comp_id long, idx long, sym string, label string, parent_idx long, route string, kind string, i long, j long"
 
@@ -427,4 +427,4 @@ def bubble_nodes(links: DataFrame, comps: DataFrame, min_vertices: int = 3) -> D
     smothered ones; the root is 0 and has no row. route is L from the first boundary to the second, else R. kind tells where
     a concealed bubble lies and which one a smothered one belongs to; i and j are the plain bubble's places on the class stack.
     """
-    return _per_component(links, comps, min_vertices, _rows, NODES)
+    return _per_component(links, comps, min_vertices, turned(_rows, 8), NODES)

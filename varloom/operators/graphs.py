@@ -65,14 +65,20 @@ def min_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
     """(id, root) of every node(id): the smallest id that edges(a, b) reach from it.
 
     Edges are range-sorted and each batch of them is shrunk to a forest of depth one, which shortens long chains of
-    neighbouring ids. Then large-star and small-star rounds alternate, each written durably; their number grows with the
-    logarithm of what diameter is left.
+    neighbouring ids. What forests meet at nodes joins their roots; over these alone large-star and small-star rounds
+    alternate, each written durably; their number grows with the logarithm of what diameter is left.
     """
     on_workers(edges.sparkSession)
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     e = e.repartitionByRange("v", "u").sortWithinPartitions("v", "u").mapInPandas(_forests, "u long, v long")
-    e = star_edges(written(e.distinct(), "star"), max_rounds)
-    return nodes.select("id").distinct().join(e.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    e = written(e.distinct(), "forests")
+    low = e.groupBy("u").agg(F.min("v").alias("m"))
+    met = e.join(low, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    met = met.unionByName(low.join(e.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select("u", F.col("m").alias("v")))
+    star = star_edges(written(met.distinct(), "star"), max_rounds).select(F.col("u").alias("m"), F.col("v").alias("root"))
+    found = low.select(F.col("u").alias("id"), "m").unionByName(star.select(F.col("m").alias("id"), "m")).groupBy("id").agg(F.min("m").alias("m"))
+    found = found.join(star, "m", "left").select("id", F.coalesce("root", "m").alias("root"))
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
 def star_edges(e: DataFrame, max_rounds: int = 100) -> DataFrame:

@@ -7,8 +7,11 @@ visits a column in between, which the rows' ranks tell without looking at the co
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import flip_walk, revcomp, walk_to_string
 from ..plans.durable import written
 from ..session import on_workers
-from . import graphs
+from . import decompose, graphs
+from .grouped import adjacency, by_key, packed
 
 #: Steps of a path that meet its laps at a time.
 LAP_BLOCK = 4096
@@ -126,24 +130,42 @@ def lap_order(laps: list[list[int]]) -> list[int]:
 
 def columns(called: DataFrame, links: DataFrame, comps: DataFrame, min_columns: int = 3) -> DataFrame:
     """(comp_id, i, j, label, height, col, seg_id, cyclic, rov_id) of the regions with at least min_columns segments."""
-    on_workers(links.sparkSession)
-    both = graphs.bidirected(links).join(comps.select("seg_id", "comp_id"), "seg_id")
-    e = both.join(called.select("comp_id").distinct(), "comp_id", "left_semi").select("comp_id", F.lit(None).cast("bigint").alias("i"), "edge_idx", F.col("seg_id").alias("a"), F.col("side").alias("x"), F.col("other").alias("b"), F.col("other_side").alias("y"), F.lit("").alias("label"), F.lit(0).cast("bigint").alias("height"))
-    r = called.select("comp_id", "i", F.col("j").alias("edge_idx"), F.col("start_id").alias("a"), F.col("start_or").alias("x"), F.col("end_id").alias("b"), F.col("end_or").alias("y"), "label", F.col("height").cast("bigint").alias("height"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        near: dict = {}
-        for _, a, x, b, y in pdf[pdf.i.isna()].sort_values("edge_idx")[["edge_idx", "a", "x", "b", "y"]].itertuples(index=False):
-            near.setdefault((a, x), []).append((b, y))
-        out = []
-        for t in pdf[pdf.i.notna()].itertuples(index=False):
-            order, cyclic = column_order(near, (t.x, t.a), (t.y, t.b))
+    end = lambda c: F.expr(f"CAST({c} = '>' AS BIGINT)")  # noqa: E731  a region goes on at the right of a segment read forwards
+    r = called.select("comp_id", F.lit(0).cast("bigint").alias("is_link"), F.col("i").alias("edge_idx"), F.col("start_id").alias("v1"), end("start_or").alias("e1"), F.col("end_id").alias("v2"), end("end_or").alias("e2"))
+    e = decompose.numbered_links(links, comps).join(called.select("comp_id").distinct(), "comp_id", "left_semi")
+
+    def kernel(is_link, *rest):
+        link, region = is_link == 1, is_link == 0
+        near = _Near(*(x[link] for x in rest))
+        told, cols, segs, loops = array("q"), array("q"), array("q"), []
+        for i, a, x, b, y in zip(*(x[region].tolist() for x in rest)):
+            order, cyclic = column_order(near, ("<>"[x], a), ("<>"[y], b))
             if len(order) >= min_columns:
-                out += [(t.comp_id, int(t.i), t.edge_idx, t.label, t.height, k, s, cyclic) for k, s in enumerate(order)]
-        return pd.DataFrame(out, columns=["comp_id", "i", "j", "label", "height", "col", "seg_id", "cyclic"])
-
-    out = e.unionByName(r).groupBy("comp_id").applyInPandas(run, "comp_id long, i long, j long, label string, height long, col long, seg_id long, cyclic boolean")
-    return out.withColumn("rov_id", F.concat_ws(":", "comp_id", "i"))
+                told.extend([i] * len(order))
+                cols.extend(range(len(order)))
+                segs.extend(order)
+                loops += [cyclic] * len(order)
+        return told, cols, segs, loops
+
+    out = by_key(r.unionByName(e), kernel, "comp_id long, i long, col long, seg_id long, cyclic boolean")
+    of = called.select("comp_id", "i", "j", "label", F.col("height").cast("bigint").alias("height"))
+    return out.join(of, ["comp_id", "i"]).select("comp_id", "i", "j", "label", "height", "col", "seg_id", "cyclic", F.concat_ws(":", "comp_id", "i").alias("rov_id"))
+
+
+class _Near:
+    """What the links of a component join to a segment's side, by their numbers; asked as a dictionary is."""
+
+    def __init__(self, idx: np.ndarray, a: np.ndarray, ea: np.ndarray, b: np.ndarray, eb: np.ndarray):
+        seg = np.unique(np.concatenate((a, b)))
+        self.seg = packed(seg)
+        self.start, self.other, _ = adjacency(seg, idx, a, ea, b, eb)
+
+    def get(self, key: tuple[int, str], none: tuple = ()) -> list[tuple[int, str]] | tuple:
+        k = bisect_left(self.seg, key[0])
+        if k == len(self.seg) or self.seg[k] != key[0]:
+            return none
+        s = 2 * k + (key[1] == "r")
+        return [(self.seg[o >> 1], "lr"[o & 1]) for o in self.other[self.start[s] : self.start[s + 1]]]
 
 
 def guided(cols: DataFrame, called: DataFrame, steps: DataFrame, min_columns: int = 3) -> DataFrame:

@@ -61,7 +61,7 @@ class Graph:
 
     @cached_property
     def loci(self) -> DataFrame:
-        return graphs.with_loci(self.steps, self.segments)
+        return written(graphs.with_loci(self.steps, self.segments), "loci")
 
     def info(self) -> DataFrame:
         return graphs.graph_info(self.segments, self.links)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources import gfa
-from .durable import numbered
+from .durable import numbered, written
 from .graph_api import Graph
 
 
@@ -41,7 +41,8 @@ def chain(spark: SparkSession, sf_dir: str) -> Graph:
     last = c.groupBy("h").agg((F.max("s") + 1).alias("s")).select(F.col("h").alias("path_id"), "s", F.lit(0).alias("k"), (3 * F.col("s")).alias("seg_id"))
     rows = inner.unionByName(last)
     steps = rows.select("path_id", (F.row_number().over(Window.partitionBy("path_id").orderBy("s", "k")) - 1).cast("bigint").alias("step_idx"), "seg_id", F.lit(">").alias("strand"))
-    paths = c.select(F.col("h").alias("path_id")).distinct().select("path_id", F.concat(F.lit("H"), F.col("path_id").cast("string"), F.lit("#1#chr1")).alias("name"))
+    steps = written(steps, "steps")
+    paths = steps.select("path_id").distinct().select("path_id", F.concat(F.lit("H"), F.col("path_id").cast("string"), F.lit("#1#chr1")).alias("name"))
     return Graph(*_from_steps(steps), paths, steps)
 
 

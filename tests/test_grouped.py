@@ -42,3 +42,15 @@ def test_no_data_frame_per_component(spark):
     for df in (decompose.class_stacks(g.links, g.comps), tree, cols):
         plan = df._jdf.queryExecution().toString()
         assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+
+
+def test_genotypes_of_a_record_stay_in_its_row(spark):
+    paths = spark.createDataFrame([(0, "A#1#c"), (1, "A#2#c"), (2, "B#1#c"), (3, "C#1#c"), (4, "D#1#c"), (5, "D#2#c")], "path_id long, name string")
+    m = "array<struct<hap_col:bigint,phase:bigint>>"
+    rec = spark.createDataFrame([("1:0", 0, 0, 2, "SUB", [(0, 0), (2, 0)], [[(1, 0)], [(0, 1)]]), ("1:4", 0, 0, 2, "DEL", [], [[(3, 1)]])], f"rov_id string, ref long, u long, v long, vartype string, refs {m}, alts array<{m}>")
+    got = calling.genotype_matrix(rec, paths)
+    assert sorted((r.rov_id, r.gts) for r in got.collect()) == [("1:0", ["0|2", "1", "0", "."]), ("1:4", [".", ".", ".", ".|1"])]
+    assert sorted((r.vartype, r.hap_col, r.phase, r.allele) for r in calling.genotypes(rec).collect()) == [("DEL", 3, 1, 1), ("SUB", 0, 0, 0), ("SUB", 0, 1, 2), ("SUB", 1, 0, 1), ("SUB", 2, 0, 0)]
+    # the records themselves are dealt to no other task
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(rov_id" not in plan

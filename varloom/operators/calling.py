@@ -278,7 +278,7 @@ def records(al: DataFrame, cols: DataFrame, paths: DataFrame) -> DataFrame:
     """
     key = ["rov_id", "ref", "u", "v"]
     gt = graphs.genotype_columns(paths).select(F.col("path_id").alias("hap"), "hap_col", "phase")
-    al = al.join(gt, "hap")
+    al = written(al.join(gt, "hap"), "alleles")
     member = F.struct("hap_col", "phase")
     match = al.where("type = 'REF'").groupBy(*key).agg(F.collect_list(member).alias("refs"))
     k = F.col("type")
@@ -314,30 +314,36 @@ def records(al: DataFrame, cols: DataFrame, paths: DataFrame) -> DataFrame:
     )
 
 
-def genotypes(rec: DataFrame) -> DataFrame:
-    """(rov_id, ref, u, v, vartype, hap_col, phase, allele): one row per called haplotype; 0 is the reference allele."""
-    key = ["rov_id", "ref", "u", "v", "vartype"]
-    zero = rec.select(*key, F.explode("refs").alias("m"), F.lit(0).cast("bigint").alias("allele"))
-    alts = rec.select(*key, F.posexplode("alts").alias("k", "haps")).select(*key, F.explode("haps").alias("m"), (F.col("k") + 1).cast("bigint").alias("allele"))
-    return zero.unionByName(alts).select(*key, F.col("m.hap_col").alias("hap_col"), F.col("m.phase").alias("phase"), "allele")
+def genotypes(rec: DataFrame, *more: str) -> DataFrame:
+    """(rov_id, ref, u, v, vartype, hap_col, phase, allele): one row per called haplotype, with more columns of its record; 0 is the reference allele."""
+    key = ["rov_id", "ref", "u", "v", "vartype", *more]
+    return rec.select(*key, F.explode(_called()).alias("x")).select(*key, F.col("x.m.hap_col").alias("hap_col"), F.col("x.m.phase").alias("phase"), F.col("x.allele").alias("allele"))
 
 
-def genotype_matrix(rec: DataFrame, paths: DataFrame) -> DataFrame:
-    """(rov_id, ref, u, v, vartype, gts): one text per sample column; phases joined by |, all missing as a full stop."""
-    key = ["rov_id", "ref", "u", "v", "vartype"]
+def _called():
+    """A record's haplotypes with their alleles, as an array of (m, allele)."""
+    told = lambda haps, allele: F.transform(haps, lambda m: F.struct(m.alias("m"), allele.cast("bigint").alias("allele")))
+    return F.concat(told("refs", F.lit(0)), F.flatten(F.transform("alts", lambda haps, k: told(haps, k + 1))))
+
+
+def with_genotypes(rec: DataFrame, paths: DataFrame) -> DataFrame:
+    """rec with gts, one text per sample column; phases joined by |, all missing as a full stop. A record tells its own, so rows stay where they are."""
     width = graphs.genotype_columns(paths).groupBy("hap_col").agg((F.max("phase") + 1).alias("phases"))
-    g = genotypes(rec).groupBy(*key, "hap_col").agg(F.map_from_entries(F.collect_list(F.struct("phase", "allele"))).alias("m"))
-    cell = lambda c: F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("phases") - 1), lambda p: F.coalesce(F.element_at(c, p).cast("string"), F.lit("."))), "|")
-    have = g.join(width, "hap_col").select(*key, "hap_col", cell(F.col("m")).alias("gt"))
-    told = have.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("hap_col", "gt"))).alias("m"))
-    n = width.agg(F.count("*").alias("n"))
-    return told.join(F.broadcast(n)).select(*key, F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda c: F.coalesce(F.element_at("m", c), F.lit("."))).alias("gts"))
+    width = width.agg(F.transform(F.sort_array(F.collect_list(F.struct("hap_col", "phases"))), lambda x: x["phases"]).alias("_phases"))
+    of = lambda c, p: F.struct(c.cast("bigint").alias("hap_col"), p.alias("phase"))
+    cells = lambda n, c: F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), lambda p: F.coalesce(F.element_at("_m", of(c, p)).cast("string"), F.lit(".")))
+    gts = F.transform(F.transform("_phases", cells), lambda x: F.when(F.exists(x, lambda y: y != "."), F.array_join(x, "|")).otherwise("."))
+    return rec.join(F.broadcast(width)).withColumn("_m", F.map_from_entries(_called())).withColumn("gts", gts).drop("_m", "_phases")
+
+
+def genotype_matrix(rec: DataFrame, paths: DataFrame) -> DataFrame:
+    """(rov_id, ref, u, v, vartype, gts) of with_genotypes()."""
+    return with_genotypes(rec, paths).select("rov_id", "ref", "u", "v", "vartype", "gts")
 
 
 def vcf_lines(rec: DataFrame, paths: DataFrame) -> DataFrame:
     """(chrom, pos, id, vartype, line): the text of each record with its genotypes."""
-    g = genotype_matrix(rec, paths)
-    r = rec.join(g, ["rov_id", "ref", "u", "v", "vartype"])
+    r = with_genotypes(rec, paths)
     info = F.concat(F.lit("AC="), "ac", F.lit(";AF="), "af", F.lit(";AN="), F.col("an").cast("string"), F.lit(";NS="), F.col("ns").cast("string"), F.lit(";AT="), "at", F.lit(";VARTYPE="), "vartype", F.lit(";TANGLED="), "tangled", F.lit(";ES="), "es", F.lit(";LV="), F.col("lv").cast("string"))
     line = F.concat_ws("\t", "chrom", F.col("pos").cast("string"), "id", "ref_seq", "alt", F.lit("60"), F.lit("PASS"), info, F.lit("GT"), F.array_join("gts", "\t"))
     return r.select("chrom", "pos", "id", "vartype", line.alias("line"))

@@ -322,14 +322,12 @@ def q_calls(spark, d):
 
 def q_genotypes(spark, d):
     _, rec = _chain_records(spark, d)
-    g = calling.genotypes(rec).join(rec.select("rov_id", "ref", "u", "v", "vartype", "id"), ["rov_id", "ref", "u", "v", "vartype"])
-    return g.select("id", "vartype", "hap_col", "allele")
+    return calling.genotypes(rec, "id").select("id", "vartype", "hap_col", "allele")
 
 
 def q_genotype_matrix(spark, d):
     g, rec = _chain_records(spark, d)
-    m = calling.genotype_matrix(rec, g.paths).join(rec.select("rov_id", "ref", "u", "v", "vartype", "id"), ["rov_id", "ref", "u", "v", "vartype"])
-    return m.select("id", "vartype", F.array_join("gts", " ").alias("gts"))
+    return calling.with_genotypes(rec, g.paths).select("id", "vartype", F.array_join("gts", " ").alias("gts"))
 
 
 def q_vcf_lines(spark, d):

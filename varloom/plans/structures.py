@@ -165,8 +165,7 @@ def q_genotype_table(spark, d):
     """A column per haplotype of the chain; its names are those of the nations' numbers."""
     g = synth.chain(spark, d)
     rec = written(g.call(["H0"]), "records")
-    called = calling.genotypes(rec).join(rec.select("rov_id", "ref", "u", "v", "vartype", "id"), ["rov_id", "ref", "u", "v", "vartype"])
-    return views.genotype_table(called.select("id", "vartype", "hap_col", "allele"), [f"H{h}" for h in range(NATIONS)])
+    return views.genotype_table(calling.genotypes(rec, "id").select("id", "vartype", "hap_col", "allele"), [f"H{h}" for h in range(NATIONS)])
 
 
 #: Nations of the tables, each a haplotype of the chain.

@@ -39,7 +39,7 @@ def colour(tree: DataFrame, steps: DataFrame, refs: DataFrame, comps: DataFrame
         hit = hit.where(F.col("c") == refs.select("path_id").distinct().count())
     else:
         hit = hit.join(seen.join(comps, "seg_id").groupBy("comp_id").agg(F.countDistinct("path_id").alias("n")), "comp_id").where("c = n")
-    hit = hit.select("comp_id", "i", "j")
+    hit = written(hit.select("comp_id", "i", "j"), "hit")
     chosen = tree.join(hit, ["comp_id", "i", "j"])
     parents = chosen.where("parent_lo IS NOT NULL").select("comp_id", F.col("parent_lo").alias("i"), F.col("parent_hi").alias("j")).distinct()
     return chosen.join(parents, ["comp_id", "i", "j"], "left_anti")

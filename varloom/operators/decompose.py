@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import written
 from .grouped import adjacency, by_key, filled, packed
 
 STACK = "comp_id long, i long, orient string, seg_id long, tree_edge long, class_id long"
@@ -518,6 +519,5 @@ def pvst(links: DataFrame, comps: DataFrame, stack: DataFrame | None = None) ->
 
     height is 1 under the component's root (which has no row), one more per enclosing bubble.
     """
-    b = boundaries(class_stacks(links, comps) if stack is None else stack)
-    h = nested(b)
+    h = nested(written(boundaries(class_stacks(links, comps) if stack is None else stack), "boundaries"))
     return h.withColumn("height", F.col("level") + 1).drop("level")

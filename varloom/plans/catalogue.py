@@ -100,7 +100,7 @@ def _refs(spark: SparkSession) -> DataFrame:
 
 def _chain_regions(spark: SparkSession, d: str) -> tuple:
     g = synth.chain(spark, d)
-    called = calling.colour(g.decompose(), g.steps, _refs(spark))
+    called = written(calling.colour(g.tree, g.steps, _refs(spark)), "called")
     cols = written(calling.columns(called, g.links, g.comps), "columns")
     seen = written(calling.visits(cols, g.steps), "visits")
     return g, cols, seen
@@ -294,12 +294,12 @@ def q_rov_columns(spark, d):
 
 def q_colour(spark, d):
     g = synth.chain(spark, d)
-    return calling.colour(g.decompose(), g.steps, spark.createDataFrame([(0,), (3,)], "path_id long")).select("label")
+    return calling.colour(g.tree, g.steps, spark.createDataFrame([(0,), (3,)], "path_id long")).select("label")
 
 
 def q_region(spark, d):
     g = synth.chain(spark, d)
-    called = calling.colour(g.decompose(), g.steps, _refs(spark))
+    called = calling.colour(g.tree, g.steps, _refs(spark))
     return calling.restrict(called, g.loci, g.paths, "H0#1#chr1:20-160").select("label")
 
 
@@ -374,12 +374,12 @@ def q_subr(spark, d):
 
 
 def q_pvst_lines(spark, d):
-    return pvst.lines(synth.copies(spark, d, NESTED).decompose()).select("comp_id", "idx", "line")
+    return pvst.lines(synth.copies(spark, d, NESTED).tree).select("comp_id", "idx", "line")
 
 
 def q_structure_json(spark, d):
     g, rec = _chain_records(spark, d)
-    j = texts.structure_json(g.decompose(), rec)
+    j = texts.structure_json(g.tree, rec)
     return j.select("kind", F.coalesce(F.get_json_object("json", "$.label"), F.get_json_object("json", "$.id")).alias("name"), F.coalesce(F.get_json_object("json", "$.af[0]"), F.lit("-")).alias("af"))
 
 

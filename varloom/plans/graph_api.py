@@ -72,6 +72,11 @@ class Graph:
             return decompose.pvst(self.links, self.comps, self.class_stack)
         return decompose.pvst(self.links, self.comps, self._kinds).join(decompose.families(self._kinds), ["comp_id", "i", "j"])
 
+    @cached_property
+    def tree(self) -> DataFrame:
+        """decompose() as a written table, for verbs that read it more than once."""
+        return written(self.decompose(), "tree")
+
     @cached_property
     def _bubbles(self) -> DataFrame:
         return written(subbubbles.bubble_nodes(self.links, self.comps), "bubbles")
@@ -110,10 +115,10 @@ class Graph:
     def call(self, refs: list[str], region: str | None = None, tree: DataFrame | None = None, apart: bool = False) -> DataFrame:
         """records() of the bubbles that all chosen references cross; with apart those of them that enter the component."""
         chosen = self.references(refs)
-        called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen, self.comps if apart else None)
+        called = calling.colour(self.tree if tree is None else tree, self.steps, chosen, self.comps if apart else None)
         if region:
             called = calling.restrict(called, self.loci, self.paths, region)
-        cols = self._columns(called)
+        cols = self._columns(written(called, "called"))
         seen = written(calling.visits(cols, self.steps), "visits")
         loops = written(calling.tangled(cols, seen), "tangled")
         plain = seen.join(loops, "rov_id", "left_anti")
@@ -134,8 +139,8 @@ class Graph:
         """subr_records() of the bubbles that a haplotype reads backwards as a whole, with local of pieces within them too;
         apart as in call()."""
         chosen = self.references(refs)
-        called = calling.colour(self.decompose() if tree is None else tree, self.steps, chosen, self.comps if apart else None)
-        cols = self._columns(called)
+        called = calling.colour(self.tree if tree is None else tree, self.steps, chosen, self.comps if apart else None)
+        cols = self._columns(written(called, "called"))
         seen = written(calling.visits(cols, self.steps), "visits")
         anch = written(calling.anchors(seen, chosen), "anchors")
         pins = inversions.whole_pins(seen, anch)

@@ -77,7 +77,7 @@ def q_rov_columns_apart(spark, d):
     from .catalogue import NESTED
 
     g = synth.copies(spark, d, NESTED)
-    called = calling.colour(g.decompose(), g.steps, g.references(["HG1"]), g.comps)
+    called = written(calling.colour(g.tree, g.steps, g.references(["HG1"]), g.comps), "called")
     return calling.columns(called, g.links, g.comps).select("label", "col", "seg_id")
 
 

@@ -86,19 +86,23 @@ def levels(spark: SparkSession, sf_dir: str) -> Graph:
 SEGMENTS_APART, PATHS_APART = 100, 10
 
 
+def _dealt(keys: DataFrame) -> DataFrame:
+    """keys(k) over all cores: their file is so small that Spark reads it in one task, which then makes all copies alone."""
+    return keys.repartition(keys.sparkSession.sparkContext.defaultParallelism, "k")
+
+
 def copies(spark: SparkSession, sf_dir: str, lines: list[str]) -> Graph:
     """A copy of a small graph per supplier: segments and paths shifted by its key, names behind it as name_key."""
     one = spark.createDataFrame(list(enumerate(lines)), gfa.LINES)
-    k = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    k = _dealt(_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k")))
     each = lambda df: k.join(F.broadcast(df))  # noqa: E731  a few rows for each supplier
     far = lambda c: (F.lit(SEGMENTS_APART) * F.col("k") + F.col(c)).alias(c)
     path = (F.lit(PATHS_APART) * F.col("k") + F.col("path_id")).alias("path_id")
-    links = gfa.links(one)
     return Graph(
-        each(gfa.segments(one)).select(far("seg_id"), "seq"),
-        each(links).select((F.lit(SEGMENTS_APART) * F.col("k") + F.col("edge_idx")).alias("edge_idx"), far("v1"), "v1_end", far("v2"), "v2_end"),
-        each(gfa.paths(one)).select(path, F.concat_ws("_", "name", F.col("k").cast("string")).alias("name")),
-        each(gfa.steps(one)).select(path, "step_idx", far("seg_id"), "strand"),
+        written(each(gfa.segments(one)).select(far("seg_id"), "seq"), "segments"),
+        written(each(gfa.links(one)).select((F.lit(SEGMENTS_APART) * F.col("k") + F.col("edge_idx")).alias("edge_idx"), far("v1"), "v1_end", far("v2"), "v2_end"), "links"),
+        written(each(gfa.paths(one)).select(path, F.concat_ws("_", "name", F.col("k").cast("string")).alias("name")), "paths"),
+        written(each(gfa.steps(one)).select(path, "step_idx", far("seg_id"), "strand"), "steps"),
     )
 
 

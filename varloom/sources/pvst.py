@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.durable import written
+
 VERSION = "0.0.3"
 #: Symbols of node families. Fixed values.
 FAMILIES = {"H": "header", "D": "dummy", "F": "flubble", "T": "tiny", "O": "parallel", "C": "concealed", "S": "smothered", "M": "midi"}
@@ -23,7 +25,7 @@ def nodes(tree: DataFrame) -> DataFrame:
     n = tree.withColumn("idx", F.row_number().over(Window.partitionBy("comp_id").orderBy("i", F.desc("j"))).cast("bigint"))
     up = n.select("comp_id", F.col("i").alias("parent_lo"), F.col("j").alias("parent_hi"), F.col("idx").alias("up"))
     own = n.join(up, ["comp_id", "parent_lo", "parent_hi"], "left").select("comp_id", "idx", sym, "label", F.coalesce("up", F.lit(0).cast("bigint")).alias("parent_idx"), F.col("height").cast("bigint").alias("height"))
-    return with_root(own)
+    return with_root(written(own, "nodes"))
 
 
 def with_root(bubbles: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from varloom.operators import graphs
 from varloom.plans import synth
 from varloom.plans.catalogue import NESTED
 from varloom.plans.durable import stage_costs, traced
@@ -32,3 +33,11 @@ def test_tree_and_regions_are_made_once(spark, tmp_path):
     assert calls == 40 and n["tree"] == 1 and n["called"] == 2  # one by verb
     plan = pvst.nodes(g.tree)._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan and "Window" not in plan
+
+
+def test_genotype_columns_without_a_window_over_all_samples(spark):
+    names = ["B#2#c", "raw1", "A#1#c", "B#1#c", "B#2#d", "raw2", "A#7#c"]
+    cols = graphs.genotype_columns(spark.createDataFrame(list(enumerate(names)), "path_id long, name string"))
+    got = [(r.sample, r.hap_col, r.phase) for r in cols.orderBy("path_id").collect()]
+    assert got == [("B", 0, 1), ("raw1", 1, 0), ("A", 2, 0), ("B", 0, 0), ("B", 0, 1), ("raw2", 3, 0), ("A", 2, 1)]
+    assert "windowspecdefinition(first" not in cols._jdf.queryExecution().toString()

@@ -181,10 +181,11 @@ def ploidy(paths: DataFrame) -> DataFrame:
 def genotype_columns(paths: DataFrame) -> DataFrame:
     """(path_id, sample, hap_col, phase): a column per sample in the order of first paths, phases by rank of hap_id."""
     p = path_names(paths)
-    cols = p.groupBy("sample").agg(F.min("path_id").alias("first"))
-    cols = cols.withColumn("hap_col", (F.row_number().over(Window.orderBy("first")) - 1).cast("bigint"))
+    cols = numbered(p.groupBy("sample").agg(F.min("path_id").alias("first")), "first", name="hap_col").drop("first")
+    # null is a hap_id of its own
     phase = F.dense_rank().over(Window.partitionBy("sample").orderBy("hap_id")) - 1
-    return p.withColumn("phase", phase.cast("bigint")).join(cols.drop("first"), "sample").select("path_id", "sample", "hap_col", "phase")
+    cols = p.select("sample", "hap_id").distinct().withColumn("phase", phase.cast("bigint")).join(cols, "sample").withColumn("_h", F.coalesce("hap_id", F.lit(-1))).drop("hap_id")
+    return p.withColumn("_h", F.coalesce("hap_id", F.lit(-1))).join(cols, ["sample", "_h"]).select("path_id", "sample", "hap_col", "phase")
 
 
 def laps(steps: DataFrame, inside: DataFrame) -> DataFrame:
